@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from callytics.plans.keyed import with_new_ids
+from callytics.plans.lineage import cut
 
 
 def _max_id(table: DataFrame):
@@ -31,15 +32,15 @@ def catalog_upsert(
 ) -> tuple[DataFrame, DataFrame]:
     """Add or reactivate the (company_code, product_code) pairs of `codes`.
 
-    With `deactivate`, every company and product that is not wanted is switched off.
+    With `deactivate`, every company and product that is not wanted is switched off. The
+    distinct codes and the new catalogue are written out, so a batch is read once for them.
     """
-    wanted = codes.select("company_code", "product_code").distinct()
-    companies_now = _upsert_codes(
-        companies, wanted.select(F.col("company_code").alias("code")), ["code"], deactivate
-    )
+    wanted = cut(codes.select("company_code", "product_code").distinct(), "codes")
+    company_codes = wanted.select(F.col("company_code").alias("code"))
+    companies_now = cut(_upsert_codes(companies, company_codes, ["code"], deactivate), "companies")
     ids = companies_now.select(F.col("id").alias("company_id"), F.col("code").alias("company_code"))
     pairs = wanted.join(ids, "company_code").select("company_id", F.col("product_code").alias("code"))
-    return companies_now, _upsert_codes(products, pairs, ["company_id", "code"], deactivate)
+    return companies_now, cut(_upsert_codes(products, pairs, ["company_id", "code"], deactivate), "products")
 
 
 def catalog_reconcile(

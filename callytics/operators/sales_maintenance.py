@@ -12,6 +12,7 @@ from callytics.functions.text import is_blank, normalize_code, strip
 from callytics.functions.time import Instant, instant
 from callytics.operators.catalog import catalog_upsert
 from callytics.operators.sales_ingest import resolve_catalog
+from callytics.plans.lineage import cut
 from callytics.sources.schemas import BILLING_PERIODS
 
 RELOAD_TAG = "mock_dashboard_seed"
@@ -100,6 +101,7 @@ def sales_update(
         .withColumn("company_code", F.coalesce("_company_code", "_company_now"))
         .withColumn("product_code", F.coalesce("_product_code", "_product_now"))
     )
+    found = cut(found, "patches")
     companies_now, products_now = catalog_upsert(companies, products, found)
     resolved = resolve_catalog(found, companies_now, products_now).select(
         "id",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from callytics.functions.money import amount_to_cents
@@ -9,7 +11,7 @@ from callytics.functions.time import ms_to_timestamp
 from callytics.operators import attendance, transcripts
 from callytics.operators.sales_maintenance import RELOAD_TAG
 from callytics.sources.schemas import AGENT, CLIENT, CLOCK_IN, CLOCK_OUT, FOLLOWUP_CODES
-from callytics.sources.tables import load_raw
+from callytics.sources.tables import load_raw, stream_raw
 
 # The market segments of the customer table, in order.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -29,10 +31,13 @@ GROUPS = {
 }
 
 
-def clock_attempts(spark: SparkSession, folder: str) -> DataFrame:
+Reader = Callable[[SparkSession, str, str], DataFrame]
+
+
+def clock_attempts(spark: SparkSession, folder: str, read: Reader = load_raw) -> DataFrame:
     event, value = F.col("event_type"), F.col("value")
     return (
-        load_raw(spark, folder, "events")
+        read(spark, folder, "events")
         .filter(event != "purchase")
         .select(
             F.col("event_id").alias("id"),
@@ -223,10 +228,14 @@ def sale_patches(spark: SparkSession, folder: str) -> DataFrame:
     return known.unionByName(unknown, allowMissingColumns=True)
 
 
-def turns(spark: SparkSession, folder: str) -> DataFrame:
+def _turn_ms() -> Column:
+    return F.lit(FIRST_TURN_MS) + F.col("conv_id") * 3_600_000 + F.col("turn") * 45_000
+
+
+def turns(spark: SparkSession, folder: str, read: Reader = load_raw) -> DataFrame:
     agent = F.col("role") == "assistant"
     return (
-        load_raw(spark, folder, "conversations")
+        read(spark, folder, "conversations")
         .filter(F.col("role").isin("user", "assistant"))
         .select(
             F.col("conv_id").cast("string").alias("session_id"),
@@ -234,7 +243,7 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
             F.when(agent, AGENT).otherwise(CLIENT).alias("speaker"),
             F.when(agent, 0).otherwise(1).cast("short").alias("channel"),
             "text",
-            (F.lit(FIRST_TURN_MS) + F.col("conv_id") * 3_600_000 + F.col("turn") * 45_000).alias("ts"),
+            _turn_ms().alias("ts"),
         )
     )
 
@@ -277,8 +286,23 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
     return transcripts.sessions_close(starts, session_ends(spark, folder), silence, SESSIONS_AS_OF)
 
 
-def event_heartbeats(spark: SparkSession, folder: str) -> DataFrame:
-    return load_raw(spark, folder, "events").select(F.col("user_id").cast("string").alias("session_id"), "ts")
+def streamed_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of session starts: the opening line of every conversation, whoever says it."""
+    return stream_raw(spark, folder, "conversations").filter("turn = 0").select(
+        F.col("conv_id").cast("string").alias("id"), ms_to_timestamp(_turn_ms()).alias("started_at")
+    )
+
+
+def streamed_ends(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of session ends: a second after the sixth line, where there is one."""
+    return stream_raw(spark, folder, "conversations").filter("turn = 5").select(
+        F.col("conv_id").cast("string").alias("session_id"),
+        ms_to_timestamp(_turn_ms() + 1_000).alias("ended_at"),
+    )
+
+
+def event_heartbeats(spark: SparkSession, folder: str, read: Reader = load_raw) -> DataFrame:
+    return read(spark, folder, "events").select(F.col("user_id").cast("string").alias("session_id"), "ts")
 
 
 def event_starts(spark: SparkSession, folder: str) -> DataFrame:

@@ -242,7 +242,16 @@ TABLES["fbj"] = """
   select fb.*, owned and s.id is not null and fb."at" < coalesce(ended_at, timestamp '9999-01-01') ok
   from fb left join sessions s on s.id = fb.session_id"""
 
-RECURSIVE = {"walk", "walk_ttl"}
+TABLES["walk_stream"] = (
+    TABLES["walk_ttl"]
+    .replace("walk_ttl", "walk_stream")
+    .replace(
+        "min(ts) set_at from ranked group by session_id",
+        "1704067200000 + conv_id * 3600000 set_at from conversations where turn = 0",
+    )
+    .replace("select session_id, 0::bigint n", "select conv_id::varchar session_id, 0::bigint n")
+)
+RECURSIVE = {"walk", "walk_ttl", "walk_stream"}
 
 
 def sql(query: str) -> str:
@@ -590,4 +599,31 @@ Q["suggestion_feedback_rejected"] = """
   select suggestion_id, agent_id, accepted, "at", 'forbidden' reason from fbj where not ok
   union all select -suggestion_id - 1, agent_id, accepted, "at", 'suggestion_not_found' from fbj"""
 
+Q["stream_clock"] = Q["clock_validate"].replace("agent_id, action", "agent_id, display_name, action")
+Q["stream_stages"] = f"""
+  select session_id, seq, ts, speaker, {_NAMES}[previous + 1] previous_stage, {_NAMES}[state + 1] stage,
+         previous <> state changed
+  from walk_stream join ranked using (session_id, n)"""
+Q["stream_silence"] = f"""
+  with quiet as ({Q['sessions_silence']}), f as (select user_id::varchar session_id, ts from events)
+  select session_id, 'closed' outcome, silence_at "at" from quiet
+  where silence_at < (select max(ts) - interval 10 second from f)
+     or silence_at < (select max(ts) from f where f.session_id = quiet.session_id)
+  union all
+  select session_id, 'rejected', ts from f join quiet using (session_id) where ts > silence_at"""
+Q["stream_recent"] = f"""
+  select session_id, seq, ts, case when pts >= ts - 100000 then pl || chr(10) else '' end || line excerpt
+  from (select *, lag(ts) over w pts, lag(line) over w pl from (select *, {_LINE} line from turns)
+        window w as (partition by session_id order by ts, seq))"""
+Q["stream_transcripts"] = """
+  select session_id, seq, speaker, channel, text, ts, outcome
+  from (select t.*, case when e is null then case when max(ts) over (partition by session_id) + 3600000
+                                                        <= max(ts) over () - 10000 then 'expired' end
+                         when ts <= e then 'stored' else 'late' end outcome
+        from turns t left join (select conv_id::varchar session_id, 1704067200000 + conv_id * 3600000 + 226000 e
+                                from conversations where turn = 5) using (session_id))
+  where outcome is not null"""
+Q["append_defaults"] = f"""
+  select {_ID} id, session_id, text question, '' answer, {NOW} asked_at from turns where speaker = 'cliente'"""
+
 ORACLES: dict[str, str] = {name: sql(query) for name, query in Q.items()}

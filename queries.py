@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DateType, TimestampType
@@ -21,8 +22,10 @@ from callytics.operators import (
     transcripts,
 )
 from callytics.plans.keyed import upsert
-from callytics.session import prepare
+from callytics.session import checkpoint_root, prepare
 from callytics.sources import bindings as b
+from callytics.sources.tables import append, load, stream_raw
+from callytics.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -690,3 +693,60 @@ def suggestion_feedback(spark, folder):
 @query
 def suggestion_feedback_rejected(spark, folder):
     return _feedback(spark, folder)[1]
+
+
+# Streams, run over the files once
+
+
+def _replayed(spark, stream):
+    """Run a stream over all its files and read what it wrote."""
+    folder = f"{checkpoint_root(spark)}/stream-{uuid4().hex}"
+    streams.write_stream(stream, f"{folder}/out", f"{folder}/state", available_now=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_clock(spark, folder):
+    streams.prepare_streaming(spark)
+    return _replayed(spark, streams.stream_clock(b.clock_attempts(spark, folder, stream_raw)))
+
+
+@query
+def stream_stages(spark, folder):
+    streams.prepare_streaming(spark)
+    staged = streams.stream_stages(
+        b.turns(spark, folder, stream_raw), b.streamed_starts(spark, folder), b.GROUPS, TTL_SECONDS
+    )
+    return _replayed(spark, staged.drop("text"))
+
+
+@query
+def stream_silence(spark, folder):
+    streams.prepare_streaming(spark)
+    heartbeats = b.event_heartbeats(spark, folder, stream_raw)
+    return _replayed(spark, streams.stream_silence(heartbeats, 7_200, retain_seconds=7_776_000))
+
+
+@query
+def stream_recent(spark, folder):
+    streams.prepare_streaming(spark)
+    return _replayed(spark, streams.stream_recent(b.turns(spark, folder, stream_raw), 100_000, 2))
+
+
+@query
+def stream_transcripts(spark, folder):
+    streams.prepare_streaming(spark)
+    said = b.turns(spark, folder, stream_raw)
+    return _replayed(spark, streams.stream_transcripts(said, b.streamed_ends(spark, folder)))
+
+
+@query
+def append_defaults(spark, folder):
+    """Questions of the clients stored with their defaults, and read back."""
+    asked = b.turns(spark, folder).filter("speaker = 'cliente'").select(
+        b.request_id().alias("id"), "session_id", F.col("text").alias("question")
+    )
+    path = f"{checkpoint_root(spark)}/append-{uuid4().hex}"
+    now = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
+    append(asked, path, "questions", {"answer": "", "asked_at": now})
+    return load(spark, path, "questions")
