@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from callytics.functions.text import strip
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def parse_amount(text: Column) -> Column:
-    """Text to double, null when it is not a plain decimal number."""
-    text = strip(text.cast("string"))
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+def with_cents(df: DataFrame, amount: str, cents: str) -> DataFrame:
+    """Add the cents of an amount given as text; null when it is refused.
+
+    Each step is a column of its own, so that none is worked out twice.
+    """
+    return (
+        df.withColumn("_text", strip(F.col(amount).cast("string")))
+        .withColumn("_number", F.when(F.col("_text").rlike(_NUMBER), F.col("_text").try_cast("double")))
+        .withColumn(cents, amount_to_cents(F.col("_number")))
+        .drop("_text", "_number")
+    )
 
 
 def amount_to_cents(amount: Column) -> Column:

@@ -16,6 +16,7 @@ from callytics.functions.time import (
 from callytics.plans import slices
 from callytics.plans.keyed import latest_per_key
 from callytics.plans.paging import clamp, page, with_total
+from callytics.plans.slices import Spread
 from callytics.sources.schemas import CLOCK_IN, CLOCK_OUT
 
 # Limits of the range, page and history requests.
@@ -28,7 +29,7 @@ ORDER = ["event_at", "id"]
 
 
 def clock_validate(
-    attempts: DataFrame, stored: DataFrame | None = None, slice_seconds: int = slices.DAY
+    attempts: DataFrame, stored: DataFrame | None = None, spread: Spread = Spread()
 ) -> DataFrame:
     """Judge every attempt in order: +accepted, error, last_action, last_at.
 
@@ -41,14 +42,15 @@ def clock_validate(
     if stored is not None:
         base = latest_per_key(stored.select(*KEYS, *ORDER, "action"), KEYS, ORDER)
         rows = rows.unionByName(base.withColumn("_stored", F.lit(True)), allowMissingColumns=True)
-    rows = slices.sliced(rows, slices.time_slice(F.col("event_at"), slice_seconds))
+    rows = slices.sliced(rows, KEYS, slices.time_slice(F.col("event_at"), spread.seconds), spread)
 
     out = F.lit(CLOCK_OUT)
     window = slices.inside(KEYS, ORDER)
     turned = F.col("_stored") | (F.col("action") != F.lag("action").over(window))
     edge = F.struct(*ORDER, "action", "_stored")
     edges = (
-        rows.withColumn("_turned", turned)
+        slices.hot_only(rows)
+        .withColumn("_turned", turned)
         .groupBy(*KEYS, slices.SLICE)
         .agg(
             F.min(edge).alias("_first"),
@@ -92,9 +94,11 @@ def clock_validate(
     )
 
 
-def clock_events(attempts: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def clock_events(
+    attempts: DataFrame, stored: DataFrame | None = None, spread: Spread = Spread()
+) -> DataFrame:
     """The accepted attempts."""
-    return clock_validate(attempts, stored).filter("accepted").select(*attempts.columns)
+    return clock_validate(attempts, stored, spread).filter("accepted").select(*attempts.columns)
 
 
 def clock_status(events: DataFrame, agents: DataFrame | None = None) -> DataFrame:
@@ -147,16 +151,15 @@ def bulk_clock_out(events: DataFrame, now: Instant, zone: str = DEFAULT_ZONE) ->
     )
 
 
-def clock_shifts(
-    events: DataFrame, start: Instant, end: Instant, slice_seconds: int = slices.DAY
-) -> DataFrame:
+def clock_shifts(events: DataFrame, start: Instant, end: Instant, spread: Spread = Spread()) -> DataFrame:
     """Clock-ins up to `end` with their clock-out, where it is the next event."""
     seen = events.filter(F.col("event_at") <= instant(end)).select(*KEYS, *ORDER, "display_name", "action")
     paired = slices.with_neighbours(
         seen,
         KEYS,
         ORDER,
-        slices.time_slice(F.col("event_at"), slice_seconds),
+        slices.time_slice(F.col("event_at"), spread.seconds),
+        spread,
         lead={"_next_action": "action", "_next_at": "event_at"},
     )
     touches = F.col("_next_at").isNull() | (F.col("_next_at") >= instant(start))
@@ -180,11 +183,16 @@ def clip_shifts(shifts: DataFrame, start: Instant, end: Instant, now: Instant) -
 
 
 def clock_summary(
-    events: DataFrame, start: Instant, end: Instant, now: Instant, max_days: int | None = MAX_RANGE_DAYS
+    events: DataFrame,
+    start: Instant,
+    end: Instant,
+    now: Instant,
+    max_days: int | None = MAX_RANGE_DAYS,
+    spread: Spread = Spread(),
 ) -> DataFrame:
     """Worked minutes and shifts per agent and display name, most minutes first."""
     check_range(start, end, max_days)
-    clipped = clip_shifts(clock_shifts(events, start, end), start, end, now)
+    clipped = clip_shifts(clock_shifts(events, start, end, spread), start, end, now)
     worked = clipped.groupBy(*KEYS, "display_name").agg(
         whole_minutes(F.sum(micros_between(F.col("clipped_in"), F.col("clipped_out")))).alias("total_minutes"),
         F.count("*").alias("shifts_count"),
@@ -204,12 +212,16 @@ def clock_summary(
 
 
 def clock_shift_list(
-    events: DataFrame, start: Instant, end: Instant, max_days: int | None = MAX_RANGE_DAYS
+    events: DataFrame,
+    start: Instant,
+    end: Instant,
+    max_days: int | None = MAX_RANGE_DAYS,
+    spread: Spread = Spread(),
 ) -> DataFrame:
     """The shifts behind the summary, one row each, with their unclipped length."""
     check_range(start, end, max_days)
     length = whole_minutes(micros_between(F.col("clock_in"), F.col("clock_out")))
-    return clock_shifts(events, start, end).select(
+    return clock_shifts(events, start, end, spread).select(
         *KEYS, "display_name", "clock_in", "clock_out", length.alias("duration_minutes")
     )
 

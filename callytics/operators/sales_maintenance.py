@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from callytics.functions.money import amount_to_cents, parse_amount
+from callytics.functions.money import with_cents
 from callytics.functions.signature import parse_signature
 from callytics.functions.text import is_blank, normalize_code, strip
 from callytics.functions.time import Instant, instant
@@ -39,18 +39,19 @@ class Updated(NamedTuple):
 
 def _judged_patches(patches: DataFrame) -> DataFrame:
     """Patches with parsed fields and the code of the first rule they fail; null = not supplied."""
-    given = patches.select(
+    parsed = parse_signature(with_cents(patches, "amount", "amount_cents"), "signature_input")
+    given = parsed.select(
         "id",
         "patched_at",
         normalize_code(F.col("company_code")).alias("company_code"),
         normalize_code(F.col("product_code")).alias("product_code"),
         strip(F.col("client_name")).alias("client_name"),
         F.col("amount").isNotNull().alias("_priced"),
-        amount_to_cents(parse_amount(F.col("amount"))).alias("amount_cents"),
+        "amount_cents",
         normalize_code(F.col("currency")).alias("currency"),
         "billing_period",
         (~is_blank(F.col("signature_input"))).alias("_signed"),
-        parse_signature(F.col("signature_input")).alias("signature"),
+        F.struct("signature_status", "signature_date", "followup_code").alias("signature"),
         "sold_at",
         "notes",
         F.coalesce("notes_set", F.lit(False)).alias("notes_set"),
@@ -59,12 +60,13 @@ def _judged_patches(patches: DataFrame) -> DataFrame:
         F.when(~F.col("billing_period").isin(*BILLING_PERIODS), "invalid_body")
         .when(F.col("company_code") == "", "invalid_company")
         .when(F.col("product_code") == "", "invalid_product")
-        .when(F.col("_signed") & F.col("signature.status").isNull(), "invalid_signature_input")
+        .when(F.col("_signed") & F.col("signature.signature_status").isNull(), "invalid_signature_input")
         .when(F.col("_priced") & F.col("amount_cents").isNull(), "invalid_amount")
         .when(F.col("client_name") == "", "invalid_client_name")
     )
     signature = F.when(F.col("_signed"), F.col("signature"))
-    return given.withColumn("error", error).withColumn("signature", signature)
+    # A generator output, so that filters on it do not repeat the rules.
+    return given.select("*", F.explode(F.array(error)).alias("error")).withColumn("signature", signature)
 
 
 def _merged(patches: DataFrame) -> DataFrame:
@@ -121,8 +123,8 @@ def sales_update(
         "amount_cents": F.coalesce("_amount_cents", "amount_cents"),
         "currency": F.coalesce("_currency", "currency"),
         "billing_period": F.coalesce("_billing_period", "billing_period"),
-        "signature_status": F.when(signed, F.col("_signature.status")).otherwise(F.col("signature_status")),
-        "signature_date": F.when(signed, F.col("_signature.date")).otherwise(F.col("signature_date")),
+        "signature_status": F.when(signed, F.col("_signature.signature_status")).otherwise(F.col("signature_status")),
+        "signature_date": F.when(signed, F.col("_signature.signature_date")).otherwise(F.col("signature_date")),
         "followup_code": F.when(signed, F.col("_signature.followup_code")).otherwise(F.col("followup_code")),
         "sold_at": F.coalesce("_sold_at", "sold_at"),
         "notes": F.when(F.col("_noted"), F.col("_note.notes")).otherwise(F.col("notes")),

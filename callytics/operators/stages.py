@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from callytics.functions.text import contains_any, matching_words
 from callytics.plans import slices
 from callytics.plans.keyed import latest_per_key
+from callytics.plans.slices import Spread
 from callytics.sources.schemas import AGENT, CLIENT, KEYWORD_GROUPS, STAGES
 
 Groups = Mapping[str, Sequence[str]]
@@ -79,7 +81,7 @@ def stage_progression(
     turns: DataFrame,
     groups: Groups = KEYWORD_GROUPS,
     initial: str = "opening",
-    slice_seconds: int = slices.HOUR,
+    spread: Spread = Spread(),
 ) -> DataFrame:
     """Turns with previous_stage, stage and changed.
 
@@ -89,13 +91,15 @@ def stage_progression(
     """
     if initial not in ("idle", "opening"):
         raise ValueError("a session starts idle or opening")
-    rows = slices.sliced(_ranked(turns, groups), slices.ms_slice(F.col("ts"), slice_seconds))
+    place = slices.ms_slice(F.col("ts"), spread.seconds)
+    rows = slices.sliced(_ranked(turns, groups), KEYS, place, spread)
     window = slices.inside(KEYS, ORDER)
     objections = F.sum(F.when(F.col("_rank") == OBJECTION, 1).otherwise(0))
     floor = F.lit(OPENING)
 
     edges = (
-        rows.withColumn("_segment", objections.over(slices.upto(window)))
+        slices.hot_only(rows)
+        .withColumn("_segment", objections.over(slices.upto(window)))
         .groupBy(*KEYS, slices.SLICE)
         .agg(F.max(F.struct("_segment", "_rank")).alias("_tail"), F.max(F.struct(*ORDER)).alias("_last"))
     )
@@ -139,15 +143,17 @@ def current_stage(progress: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def _runs(rows: DataFrame, ttl_ms: int, slice_seconds: int) -> DataFrame:
-    """Cut sessions where the expiring stage no longer depends on what came before.
+def _runs(rows: DataFrame, ttl_ms: int, spread: Spread) -> DataFrame:
+    """Cut hot sessions where the expiring stage no longer depends on what came before.
 
     That is so at a turn which comes at least the lifetime after the turn before it, at the
     first objection after a closing or follow-up turn, and at the first closing or
     follow-up turn after an objection: such a turn changes the stage for certain.
     """
     kind = F.when(F.col("_rank") >= CLOSING, F.lit(2)).when(F.col("_rank") == OBJECTION, F.lit(1))
-    rows = slices.sliced(rows, slices.ms_slice(F.col("ts"), slice_seconds)).withColumn("_kind", kind)
+    rows = slices.sliced(rows, KEYS, slices.ms_slice(F.col("ts"), spread.seconds), spread)
+    whole = rows.filter(F.col(slices.HOT).isNull())
+    rows = slices.hot_only(rows).withColumn("_kind", kind)
     window = slices.inside(KEYS, ORDER)
     here = F.struct(*ORDER)
 
@@ -202,7 +208,13 @@ def _runs(rows: DataFrame, ttl_ms: int, slice_seconds: int) -> DataFrame:
     told = F.struct(F.col("_run").alias("run"), F.lit(False).alias("seed"))
     seed = F.struct(F.col("_opened").alias("run"), F.lit(True).alias("seed"))
     places = F.when(F.col("_cut"), F.array(told, seed)).otherwise(F.array(told))
-    return slices.without_carry(marked).select(*KEYS, *ORDER, "_rank", F.explode(places).alias("_place"))
+    cut_up = slices.without_carry(marked).select(*KEYS, *ORDER, "_rank", F.explode(places).alias("_place"))
+    return cut_up.select(
+        *KEYS, *ORDER, "_rank", F.col("_place.run.ts").alias("_run_ts"), F.col("_place.run.seq").alias("_run_seq"),
+        F.col("_place.seed").alias("_seed"),
+    ).unionByName(
+        whole.select(*KEYS, *ORDER, "_rank").withColumn("_seed", F.lit(False)), allowMissingColumns=True
+    )
 
 
 def expiring_stages(
@@ -232,13 +244,13 @@ def stage_progression_ttl(
     sessions: DataFrame,
     groups: Groups = KEYWORD_GROUPS,
     ttl_seconds: int = STAGE_TTL_SECONDS,
-    slice_seconds: int = slices.HOUR,
+    spread: Spread = Spread(),
 ) -> DataFrame:
     """Stages that lapse `ttl_seconds` after their last change.
 
     A session start sets the opening stage, as a turn without keywords would. Expiry makes
-    the rule recursive, so each run (see `_runs`) is folded in order; rows stream through
-    the fold in Arrow batches and only the state is held.
+    the rule recursive, so each session is folded in order, a hot one in runs (see `_runs`).
+    Rows stream through the fold in Arrow batches and only the state is held.
     """
     ttl_ms = ttl_seconds * 1000
     begun = sessions.select(
@@ -247,14 +259,16 @@ def stage_progression_ttl(
         F.lit(-1).cast("long").alias("seq"),
     )
     slim = _ranked(turns, groups).select(*KEYS, *ORDER, "_rank")
-    runs = _runs(slim.unionByName(begun, allowMissingColumns=True), ttl_ms, slice_seconds)
+    if spread.hot is None:
+        spread = replace(spread, hot=slices.hot_keys(turns, KEYS, spread.hot_rows))
+    runs = _runs(slim.unionByName(begun, allowMissingColumns=True), ttl_ms, spread)
     runs = runs.select(
         *KEYS,
         *ORDER,
         F.coalesce("_rank", F.lit(0)).alias("_rank"),
-        F.coalesce(F.col("_place.run.ts"), F.lit(-1)).alias("_run_ts"),
-        F.coalesce(F.col("_place.run.seq"), F.lit(-1)).alias("_run_seq"),
-        F.col("_place.seed").alias("_seed"),
+        F.coalesce("_run_ts", F.lit(-1)).alias("_run_ts"),
+        F.coalesce("_run_seq", F.lit(-1)).alias("_run_seq"),
+        "_seed",
     )
     run = [*KEYS, "_run_ts", "_run_seq"]
 

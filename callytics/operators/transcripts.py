@@ -71,7 +71,7 @@ def sessions_close(
     ends: DataFrame,
     silence: DataFrame,
     as_of: Instant,
-    slice_seconds: int = slices.DAY,
+    spread: slices.Spread = slices.Spread(),
 ) -> DataFrame:
     """Sessions begun by `as_of`, ended by request, by silence or by the agent's next session."""
     starts = starts.filter(F.col("started_at") <= instant(as_of))
@@ -80,7 +80,8 @@ def sessions_close(
         starts,
         ["agent_id"],
         ["started_at", "id"],
-        slices.time_slice(F.col("started_at"), slice_seconds),
+        slices.time_slice(F.col("started_at"), spread.seconds),
+        spread,
         lead={"_replaced": "started_at"},
     )
     joined = sessions.join(first_end.withColumnRenamed("session_id", "id"), "id", "left").join(

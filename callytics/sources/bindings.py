@@ -10,6 +10,7 @@ from callytics.functions.money import amount_to_cents
 from callytics.functions.time import ms_to_timestamp
 from callytics.operators import attendance, transcripts
 from callytics.operators.sales_maintenance import RELOAD_TAG
+from callytics.plans.slices import Spread, hot_keys
 from callytics.sources.schemas import AGENT, CLIENT, CLOCK_IN, CLOCK_OUT, FOLLOWUP_CODES
 from callytics.sources.tables import load_raw, stream_raw
 
@@ -51,8 +52,14 @@ def clock_attempts(spark: SparkSession, folder: str, read: Reader = load_raw) ->
     )
 
 
+def event_spread(spark: SparkSession, folder: str) -> Spread:
+    """Hot agents, counted on one column of the stored table."""
+    ids = load_raw(spark, folder, "events").select(F.col("user_id").cast("string").alias("agent_id"))
+    return Spread(hot=hot_keys(ids, ["agent_id"]))
+
+
 def clock_events(spark: SparkSession, folder: str) -> DataFrame:
-    return attendance.clock_events(clock_attempts(spark, folder))
+    return attendance.clock_events(clock_attempts(spark, folder), spread=event_spread(spark, folder))
 
 
 def agents(spark: SparkSession, folder: str) -> DataFrame:
@@ -347,6 +354,12 @@ def sync_results(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def turn_spread(spark: SparkSession, folder: str) -> Spread:
+    """Hot sessions, counted on one column of the stored table."""
+    ids = load_raw(spark, folder, "conversations").select(F.col("conv_id").cast("string").alias("session_id"))
+    return Spread(hot=hot_keys(ids, ["session_id"]))
+
+
 def request_id(session: str = "session_id") -> Column:
     return F.col(session).cast("long") * 1_048_576 + F.col("seq")
 

@@ -67,7 +67,9 @@ def query(function: Query) -> Query:
 
 @query
 def clock_validate(spark, folder):
-    judged = attendance.clock_validate(b.clock_attempts(spark, folder))
+    judged = attendance.clock_validate(
+        b.clock_attempts(spark, folder), spread=b.event_spread(spark, folder)
+    )
     return judged.select("id", "agent_id", "action", "event_at", "accepted", "error", "last_action", "last_at")
 
 
@@ -98,23 +100,29 @@ def bulk_clock_out(spark, folder):
 
 @query
 def clock_shifts(spark, folder):
-    return attendance.clock_shifts(b.clock_events(spark, folder), FROM, TO)
+    return attendance.clock_shifts(b.clock_events(spark, folder), FROM, TO, b.event_spread(spark, folder))
 
 
 @query
 def clock_shifts_clipped(spark, folder):
-    shifts = attendance.clock_shifts(b.clock_events(spark, folder), FROM, TO)
+    shifts = attendance.clock_shifts(
+        b.clock_events(spark, folder), FROM, TO, b.event_spread(spark, folder)
+    )
     return attendance.clip_shifts(shifts, FROM, TO, NOW)
 
 
 @query
 def clock_summary(spark, folder):
-    return attendance.clock_summary(b.clock_events(spark, folder), FROM, TO, NOW)
+    return attendance.clock_summary(
+        b.clock_events(spark, folder), FROM, TO, NOW, spread=b.event_spread(spark, folder)
+    )
 
 
 @query
 def clock_shift_list(spark, folder):
-    return attendance.clock_shift_list(b.clock_events(spark, folder), FROM, TO)
+    return attendance.clock_shift_list(
+        b.clock_events(spark, folder), FROM, TO, spread=b.event_spread(spark, folder)
+    )
 
 
 @query
@@ -520,7 +528,9 @@ def session_status(spark, folder):
 
 
 def _progress(spark, folder):
-    return stages.stage_progression(b.turns(spark, folder), b.GROUPS)
+    return stages.stage_progression(
+        b.turns(spark, folder), b.GROUPS, spread=b.turn_spread(spark, folder)
+    )
 
 
 @query
@@ -559,7 +569,11 @@ def current_stage(spark, folder):
 @query
 def stage_progression_ttl(spark, folder):
     return stages.stage_progression_ttl(
-        b.turns(spark, folder), b.session_starts(spark, folder), b.GROUPS, TTL_SECONDS
+        b.turns(spark, folder),
+        b.session_starts(spark, folder),
+        b.GROUPS,
+        TTL_SECONDS,
+        b.turn_spread(spark, folder),
     )
 
 

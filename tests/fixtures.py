@@ -113,14 +113,10 @@ def sales(spark):
         "product_id bigint, client_name string, amount_cents bigint, billing_period string, "
         "signature string, sold_at string",
     )
-    parsed = parse_signature(F.col("signature"))
     return conform(
-        df.withColumns(
+        parse_signature(df, "signature").withColumns(
             {
                 "currency": F.lit("USD"),
-                "signature_status": parsed["status"],
-                "signature_date": parsed["date"],
-                "followup_code": parsed["followup_code"],
                 "notes": F.lit("mock_dashboard_seed"),
                 "created_at": F.col("sold_at"),
                 "updated_at": F.col("sold_at"),

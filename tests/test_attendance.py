@@ -9,6 +9,7 @@ from callytics.functions.text import tab_name
 from callytics.functions.time import check_range, instant, local_time
 from callytics.operators import attendance, sync
 from callytics.plans.paging import clamp
+from callytics.plans.slices import Spread
 
 BASE = datetime(2026, 1, 1)
 
@@ -75,7 +76,7 @@ def test_validation_equals_the_sequential_rule(spark, slice_seconds):
         agent = "hot" if number % 3 == 0 else f"a{random.randrange(40)}"
         at = BASE + timedelta(minutes=5 * random.randrange(2_000))
         rows.append((number, agent, agent, random.choice(["CLOCKIN", "CLOCKOUT"]), at, False, None))
-    judged = attendance.clock_validate(fx.clock_events(spark, rows), slice_seconds=slice_seconds)
+    judged = attendance.clock_validate(fx.clock_events(spark, rows), spread=Spread(100, slice_seconds))
     judged = judged.withColumn("last_at", F.col("last_at").cast("timestamp_ntz"))
     assert {r.id: (r.accepted, r.last_action, r.last_at) for r in judged.collect()} == _sequential(rows)
 
@@ -89,15 +90,15 @@ def test_validation_continues_from_stored_events(spark):
     told = _sequential(rows)
     stored = [r for r in rows[:500] if told[r[0]][0]]
     judged = attendance.clock_validate(
-        fx.clock_events(spark, rows[500:]), fx.clock_events(spark, stored), slice_seconds=3_600
+        fx.clock_events(spark, rows[500:]), fx.clock_events(spark, stored), Spread(50, 3_600)
     )
     judged = judged.withColumn("last_at", F.col("last_at").cast("timestamp_ntz"))
     got = {r.id: (r.accepted, r.last_action, r.last_at) for r in judged.collect()}
     assert got == {n: t for n, t in told.items() if n >= 500}
 
 
-@pytest.mark.parametrize("slice_seconds", [600, 86_400])
-def test_shifts_do_not_depend_on_the_slices(spark, slice_seconds):
+@pytest.mark.parametrize("hot_rows", [10, 120, 10_000])
+def test_shifts_do_not_depend_on_the_slices(spark, hot_rows):
     random = Random(11)
     rows = [
         (n, f"a{random.randrange(5)}", "x", random.choice(["CLOCKIN", "CLOCKOUT"]), BASE + timedelta(minutes=7 * n),
@@ -105,7 +106,7 @@ def test_shifts_do_not_depend_on_the_slices(spark, slice_seconds):
         for n in range(600)
     ]
     start, end = BASE + timedelta(hours=20), BASE + timedelta(hours=50)
-    found = attendance.clock_shifts(fx.clock_events(spark, rows), start, end, slice_seconds)
+    found = attendance.clock_shifts(fx.clock_events(spark, rows), start, end, Spread(hot_rows, 600))
     found = found.withColumn("clock_out", F.col("clock_out").cast("timestamp_ntz"))
     want = {}
     for agent in {r[1] for r in rows}:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import fixtures as fx
 from callytics.operators import prompts, stages, suggestions, transcripts
+from callytics.plans.slices import Spread
 from callytics.sources.schemas import KEYWORD_GROUPS, STAGES
 
 TURNS = "session_id string, seq bigint, speaker string, channel smallint, text string, ts bigint"
@@ -73,26 +74,28 @@ def _fold(rows, ttl_ms=None):
 @pytest.mark.parametrize("slice_seconds", [60, 3_600, 10_000_000])
 def test_progression_equals_the_fold(spark, slice_seconds):
     rows = _random_turns(slice_seconds)
-    found = stages.stage_progression(spark.createDataFrame(rows, TURNS), WORDS, slice_seconds=slice_seconds)
+    found = stages.stage_progression(spark.createDataFrame(rows, TURNS), WORDS, spread=Spread(100, slice_seconds))
     assert {(r.session_id, r.seq): (r.previous_stage, r.stage) for r in found.collect()} == _fold(rows)
 
 
-@pytest.mark.parametrize("slice_seconds, ttl", [(60, 3_600), (3_600, 600), (1_800, 7_200), (10_000_000, 3_600)])
-def test_expiring_progression_equals_the_fold(spark, slice_seconds, ttl):
+@pytest.mark.parametrize(
+    "hot_rows, slice_seconds, ttl", [(0, 60, 3_600), (100, 3_600, 600), (0, 1_800, 7_200), (10_000, 3_600, 3_600)]
+)
+def test_expiring_progression_equals_the_fold(spark, hot_rows, slice_seconds, ttl):
     rows = _random_turns(slice_seconds + ttl)
     turns = spark.createDataFrame(rows, TURNS)
     starts = turns.groupBy(F.col("session_id").alias("id")).agg(
         F.timestamp_millis(F.min("ts")).alias("started_at")
     )
-    found = stages.stage_progression_ttl(turns, starts, WORDS, ttl, slice_seconds)
+    found = stages.stage_progression_ttl(turns, starts, WORDS, ttl, Spread(hot_rows, slice_seconds))
     got = {(r.session_id, r.seq): (r.previous_stage, r.stage) for r in found.collect()}
     assert got == _fold(rows, ttl * 1000)
 
 
 def test_long_sessions_are_cut_into_runs(spark):
     turns = spark.createDataFrame(_random_turns(3), TURNS)
-    runs = stages._runs(stages._ranked(turns, WORDS), 3_600_000, 3_600)
-    sizes = runs.groupBy("session_id", "_place.run").count()
+    runs = stages._runs(stages._ranked(turns, WORDS), 3_600_000, Spread(100, 3_600))
+    sizes = runs.groupBy("session_id", "_run_ts", "_run_seq").count()
     assert sizes.filter("session_id = 's1'").count() > 5
     assert sizes.filter("session_id = 's1'").agg(F.max("count")).collect()[0][0] < 200
 

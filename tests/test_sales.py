@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixtures as fx
-from callytics.functions.money import amount_to_cents, parse_amount
+from callytics.functions.money import with_cents
 from callytics.functions.signature import parse_signature
 from callytics.operators import audit, catalog, sales_ingest, sales_maintenance, sales_queries as q
 
@@ -63,7 +63,8 @@ def test_pages(enriched):
 def test_signatures(spark):
     inputs = ["imm", " UW ", "2026-06-20", "5/7/2026", "31/02/2026", "2026-02-31", "soon", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(inputs)], "n int, t string")
-    got = [tuple(r[0]) for r in df.orderBy("n").select(parse_signature(F.col("t"))).collect()]
+    parsed = parse_signature(df, "t").orderBy("n")
+    got = [tuple(r) for r in parsed.select("signature_status", "signature_date", "followup_code").collect()]
     assert got == [
         ("IMM", None, "IMM"), ("UW", None, "UW"), ("DATE", date(2026, 6, 20), None), ("DATE", date(2026, 7, 5), None),
         (None, None, None), (None, None, None), (None, None, None), (None, None, None),
@@ -73,7 +74,7 @@ def test_signatures(spark):
 def test_amounts(spark):
     inputs = ["100", "1.005", "0.125", " 7 ", "1e2", "0", "-1", "abc", "NaN", "Infinity", "12d", "", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(inputs)], "n int, t string")
-    got = [r[0] for r in df.orderBy("n").select(amount_to_cents(parse_amount(F.col("t")))).collect()]
+    got = [r.cents for r in with_cents(df, "t", "cents").orderBy("n").collect()]
     assert got == [10_000, 100, 13, 700, 10_000] + [None] * 8
 
 
