@@ -13,7 +13,7 @@ from callytics.functions.text import contains_any, matching_words
 from callytics.plans import slices
 from callytics.plans.keyed import latest_per_key
 from callytics.plans.slices import Spread
-from callytics.sources.schemas import AGENT, CLIENT, KEYWORD_GROUPS, STAGES
+from callytics.sources.schemas import ACTIVE, AGENT, CLIENT, KEYWORD_GROUPS, STAGES
 
 Groups = Mapping[str, Sequence[str]]
 
@@ -134,12 +134,13 @@ def stage_changes(progress: DataFrame) -> DataFrame:
 
 
 def current_stage(progress: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The last stage of every session, idle when it has none."""
+    """The last stage of every session, idle when it has none or, where `status` is given, ended."""
     last = latest_per_key(progress.select(*KEYS, *ORDER, "stage"), KEYS, ORDER)
+    opened = F.col("status") == ACTIVE if "status" in sessions.columns else F.lit(True)
     return (
-        sessions.select(F.col("id").alias("session_id"))
+        sessions.select(F.col("id").alias("session_id"), opened.alias("_open"))
         .join(last, "session_id", "left")
-        .select("session_id", F.coalesce("stage", F.lit("idle")).alias("stage"))
+        .select("session_id", F.coalesce(F.when(F.col("_open"), F.col("stage")), F.lit("idle")).alias("stage"))
     )
 
 

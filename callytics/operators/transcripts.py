@@ -142,7 +142,8 @@ def transcript_excerpt(
 ) -> DataFrame:
     """One excerpt per session from its (already recent) turns; the last `max_turns` of them.
 
-    Spark drops all but `max_turns` rows per session and task before the shuffle.
+    Spark drops all but `max_turns` rows per session and task before the shuffle. Without
+    `max_turns` the text holds all turns given, so give those of a short window.
     """
     kept = turns
     if max_turns is not None:
@@ -169,7 +170,8 @@ def excerpts_at(
 
     `requests`: request_id, session_id, at (ms). Requests and turns are put in order
     together, per session and slice, so no request is paired with a whole session.
-    A turn near the end of its slice also enters the next one.
+    A turn near the end of its slice also enters the next one; slices nobody asks about
+    are dropped first.
     """
     if window_ms > slice_seconds * 1000:
         raise ValueError("the slice must be at least as wide as the window")
@@ -188,6 +190,7 @@ def excerpts_at(
     recent = (
         Window.partitionBy("session_id", slices.SLICE).orderBy("ts").rangeBetween(-window_ms, Window.currentRow)
     )
+    said = said.join(asked.select("session_id", slices.SLICE).distinct(), ["session_id", slices.SLICE], "left_semi")
     both = said.unionByName(asked, allowMissingColumns=True)
     return (
         both.withColumn("_lines", F.collect_list("_t").over(recent))

@@ -12,7 +12,7 @@ from callytics.operators import attendance, transcripts
 from callytics.operators.sales_maintenance import RELOAD_TAG
 from callytics.plans.slices import Spread, hot_keys
 from callytics.sources.schemas import AGENT, CLIENT, CLOCK_IN, CLOCK_OUT, FOLLOWUP_CODES
-from callytics.sources.tables import load_raw, stream_raw
+from callytics.sources.raw import load_raw, stream_raw
 
 # The market segments of the customer table, in order.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")

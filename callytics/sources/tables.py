@@ -6,7 +6,6 @@ from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import TimestampNTZType
 
 from callytics.sources.schemas import schema
 
@@ -35,23 +34,6 @@ def load_jdbc(
     return reader.options(**options).load()
 
 
-def load_raw(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A source Parquet file; zone-free timestamps are read as UTC instants."""
-    return _with_instants(spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
-
-
-def stream_raw(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """The same as a stream of files."""
-    found = spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet").schema
-    reader = spark.readStream.schema(found).option("pathGlobFilter", f"{table}.parquet")
-    return _with_instants(reader.parquet(folder))
-
-
-def _with_instants(df: DataFrame) -> DataFrame:
-    zone_free = [f.name for f in df.schema.fields if isinstance(f.dataType, TimestampNTZType)]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in zone_free}) if zone_free else df
-
-
 def with_defaults(df: DataFrame, defaults: Mapping[str, Any | Column]) -> DataFrame:
     """Fill absent or null columns, as column defaults of a stored table would."""
     filled = {}

@@ -593,7 +593,7 @@ Q["suggestion_log_requests"] = f"""
          latency_ms, {NOW} created_at
   from copilot join resp using (request_id)"""
 Q["suggestion_feedback"] = """
-  select suggestion_id id, sig.session_id, stage, case when ok then accepted end accepted
+  select suggestion_id id, sig.session_id, stage, case when ok then accepted end::varchar accepted
   from sig join fbj on fbj.suggestion_id = sig.session_id::bigint * 1048576 + sig.seq"""
 Q["suggestion_feedback_rejected"] = """
   select suggestion_id, agent_id, accepted, "at", 'forbidden' reason from fbj where not ok

@@ -24,7 +24,8 @@ from callytics.operators import (
 from callytics.plans.keyed import upsert
 from callytics.session import checkpoint_root, prepare
 from callytics.sources import bindings as b
-from callytics.sources.tables import append, load, stream_raw
+from callytics.sources.raw import stream_raw
+from callytics.sources.tables import append, load
 from callytics.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -701,7 +702,7 @@ def _feedback(spark, folder):
 
 @query
 def suggestion_feedback(spark, folder):
-    return _feedback(spark, folder)[0]
+    return _feedback(spark, folder)[0].withColumn("accepted", F.col("accepted").cast("string"))
 
 
 @query
