@@ -65,24 +65,29 @@ def playbook_sections(docs: DataFrame) -> DataFrame:
     """All `##` and `###` sections of (doc, markdown): part, subpart, level, heading, body.
 
     A section reaches to the next heading of its own or a higher level. (part, subpart) is
-    its place in the document. Works line-free inside each row, without a shuffle.
+    its place in the document. Every row is split by itself, without a shuffle. The outer form
+    of explode keeps Spark from splitting a second time just to test for emptiness.
     """
-    part = docs.select("doc", F.posexplode(F.split("markdown", r"(?<=\n)(?=#{1,2} )")).alias("part", "_part"))
-    piece = part.select(
-        "doc", "part", "_part", F.posexplode(F.split("_part", r"(?<=\n)(?=### )")).alias("subpart", "_piece")
-    )
+    parts = docs.select("doc", F.posexplode_outer(F.split("markdown", r"(?<=\n)(?=#{1,2} )")).alias("part", "_part"))
+    pieces = F.split("_part", r"(?<=\n)(?=### )")
     # The first piece of a part opens with the part's own heading and stands for all of it.
-    top = (F.col("subpart") == 0) & F.col("_part").startswith("## ")
-    body = F.when(top, F.col("_part")).when(F.col("_piece").startswith("### "), F.col("_piece"))
+    first = F.when(F.col("_part").startswith("## "), F.col("_part")).otherwise(F.get("_pieces", F.lit(0)))
+    rest = F.slice("_pieces", 2, F.greatest(F.size("_pieces") - 1, F.lit(0)))
+    bodies = (
+        parts.withColumn("_pieces", pieces)
+        .withColumn("_bodies", F.concat(F.array(first), rest))
+        .select("doc", "part", F.posexplode_outer("_bodies").alias("subpart", "_body"))
+    )
+    level = F.when(F.col("_body").startswith("## "), 2).when(F.col("_body").startswith("### "), 3)
     return (
-        piece.withColumn("_body", body)
-        .filter(F.col("_body").isNotNull())
+        bodies.withColumn("level", level)
+        .filter(F.col("level").isNotNull())
         .select(
             "doc",
             "part",
             "subpart",
-            F.when(top, 2).otherwise(3).alias("level"),
-            F.regexp_extract("_body", r"^#{2,3} ([^\n]*)", 1).alias("heading"),
+            "level",
+            F.substr(F.substring_index("_body", "\n", 1), F.col("level") + 2).alias("heading"),
             strip(F.col("_body")).alias("body"),
         )
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +12,7 @@ from callytics.functions.signature import parse_signature
 from callytics.functions.text import is_blank, normalize_code, strip
 from callytics.functions.time import Instant, instant
 from callytics.operators.catalog import catalog_upsert
+from callytics.plans.lineage import cut
 from callytics.sources.schemas import BILLING_PERIODS
 
 # Defaults and the accepted layout of a sale time.
@@ -67,13 +69,21 @@ def _judged(raw: DataFrame) -> DataFrame:
     )
     # As the output of a generator the error is a finished value: a filter on it does not make
     # Spark work out all rules a second time.
-    return derived.select("*", F.explode(F.array(error)).alias("error"))
+    return derived.select("*", F.explode_outer(F.array(error)).alias("error"))
 
 
 def sales_ingest(raw: DataFrame, now: Instant) -> tuple[DataFrame, DataFrame]:
     """Split raw sales into (accepted, rejected). `id` is the arrival number of a row."""
     judged = _judged(raw)
-    accepted = judged.filter(F.col("error").isNull()).select(
+    return _accepted(judged, now), _rejected(judged, raw.columns)
+
+
+def _rejected(judged: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return judged.filter(F.col("error").isNotNull()).select(*columns, "error")
+
+
+def _accepted(judged: DataFrame, now: Instant) -> DataFrame:
+    return judged.filter(F.col("error").isNull()).select(
         "id",
         "discord_interaction_id",
         "discord_message_id",
@@ -96,7 +106,6 @@ def sales_ingest(raw: DataFrame, now: Instant) -> tuple[DataFrame, DataFrame]:
         instant(now).alias("created_at"),
         instant(now).alias("updated_at"),
     )
-    return accepted, judged.filter(F.col("error").isNotNull()).select(*raw.columns, "error")
 
 
 def sales_dedup(new: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -139,8 +148,12 @@ def record_sales(
     now: Instant,
     stored: DataFrame | None = None,
 ) -> Recorded:
-    """Validate, deduplicate and resolve one batch; accepted codes join the catalogue."""
-    accepted, rejected = sales_ingest(raw, now)
+    """Validate, deduplicate and resolve one batch; accepted codes join the catalogue.
+
+    The judged batch is written out once, as all five results are taken from it.
+    """
+    judged = cut(_judged(raw), "judged")
+    accepted, rejected = _accepted(judged, now), _rejected(judged, raw.columns)
     companies_now, products_now = catalog_upsert(companies, products, accepted)
     kept, duplicates = sales_dedup(accepted, stored)
     sales = resolve_catalog(kept, companies_now, products_now).drop("company_code", "product_code")

@@ -66,7 +66,7 @@ def _judged_patches(patches: DataFrame) -> DataFrame:
     )
     signature = F.when(F.col("_signed"), F.col("signature"))
     # A generator output, so that filters on it do not repeat the rules.
-    return given.select("*", F.explode(F.array(error)).alias("error")).withColumn("signature", signature)
+    return given.select("*", F.explode_outer(F.array(error)).alias("error")).withColumn("signature", signature)
 
 
 def _merged(patches: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ class StageState(KeyedState):
         )
         self.state.update((stage, set_at))
         self.wake_at(set_at + self.ttl_ms)
-        turns = batch.drop(columns=["rank", "event_time"])
+        turns = batch[["session_id", "seq", "ts", "speaker", "text"]]
         yield turns.assign(previous_rank=previous, stage_rank=after)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):

@@ -48,7 +48,10 @@ def _stateful(df: DataFrame, key: str, processor, schema: str, time_mode: str =
 
 
 def _by_event_time(df: DataFrame, delay: str) -> DataFrame:
-    """Add the event time of a `ts` in milliseconds, with its watermark."""
+    """Add the event time of a `ts` in milliseconds, with its watermark.
+
+    Done per input, so that time moves on with the slower one of two inputs.
+    """
     return df.withColumn("event_time", ms_to_timestamp(F.col("ts"))).withWatermark("event_time", delay)
 
 
@@ -87,19 +90,19 @@ def stream_stages(
     `starts` (id, started_at) is the stream of new sessions. Filter `changed` for change
     events; `stages.signals` applies to the result as it is.
     """
-    ranked = stages._ranked(turns.select("session_id", "seq", "ts", "speaker", "text"), groups)
+    said = _by_event_time(turns.select("session_id", "seq", "ts", "speaker", "text"), delay)
+    ranked = stages._ranked(said, groups)
     if starts is not None:
         begun = starts.select(
             F.col("id").alias("session_id"),
             F.lit(-1).cast("long").alias("seq"),
             F.unix_millis("started_at").alias("ts"),
         )
-        ranked = ranked.unionByName(begun, allowMissingColumns=True)
+        ranked = ranked.unionByName(_by_event_time(begun, delay), allowMissingColumns=True)
     ranked = ranked.withColumn("rank", F.coalesce("_rank", F.lit(0))).drop("_rank")
     schema = (
         "session_id string, seq bigint, ts bigint, speaker string, text string, previous_rank int, stage_rank int"
     )
-    ranked = _by_event_time(ranked, delay)
     staged = _stateful(ranked, "session_id", StageState(ttl_seconds * 1000), schema)
     return staged.filter(F.col("seq") >= 0).select(
         "session_id",
@@ -159,7 +162,7 @@ def stream_transcripts(
     ended = ends.select(
         "session_id", F.unix_millis("ended_at").alias("ts"), F.lit(True).alias("ends")
     )
-    both = _by_event_time(said.unionByName(ended, allowMissingColumns=True), delay)
+    both = _by_event_time(said, delay).unionByName(_by_event_time(ended, delay), allowMissingColumns=True)
     processor = TranscriptState(ttl_seconds * 1000, retain_seconds * 1000)
     schema = (
         "session_id string, seq bigint, speaker string, channel smallint, text string, ts bigint, outcome string"

@@ -618,7 +618,7 @@ Q["stream_recent"] = f"""
 Q["stream_transcripts"] = """
   select session_id, seq, speaker, channel, text, ts, outcome
   from (select t.*, case when e is null then case when max(ts) over (partition by session_id) + 3600000
-                                                        <= max(ts) over () - 10000 then 'expired' end
+                                                        <= least(max(ts) over (), max(e) over ()) - 10000 then 'expired' end
                          when ts <= e then 'stored' else 'late' end outcome
         from turns t left join (select conv_id::varchar session_id, 1704067200000 + conv_id * 3600000 + 226000 e
                                 from conversations where turn = 5) using (session_id))

@@ -70,20 +70,36 @@ def test_recent_lines(spark, replay):
     assert {r.seq: r.excerpt for r in got.collect()} == {r.request_id: r.excerpt for r in want.collect()}
 
 
+def _ends(spark, *ends):
+    df = spark.createDataFrame(list(ends), "session_id string, ms bigint")
+    return df.select("session_id", F.timestamp_millis("ms").alias("ended_at"))
+
+
 def test_transcript_buffer(spark, replay):
     source, run = replay
-    turns = fx.call(spark)
     lost = fx.call(spark, pause_at=6, pause_ms=3_600_000, session="s2")
-    both = turns.union(lost)
+    last = lost.agg(F.max("ts")).collect()[0][0]
     # s1 ends between its turns 6 and 7; s2 goes quiet for an hour, then ends.
+    ends = _ends(spark, ("s1", 1_767_312_000_000 + 75_000), ("s2", last + 1_000))
+    turns = source(fx.call(spark).union(lost), "turns", ["ts"], 100)
+    got = run(streams.stream_transcripts(turns, source(ends, "ends", ["ended_at"], 100)))
+    assert {(r.session_id, r.seq): r.outcome for r in got.collect()} == {
+        **{("s1", n): "stored" if n < 7 else "late" for n in range(10)},
+        **{("s2", n): "expired" if n < 6 else "stored" for n in range(10)},
+    }
+
+
+def test_buffer_survives_a_restart(spark, replay, tmp_path):
+    source, run = replay
+    lost = fx.call(spark, pause_at=6, pause_ms=3_600_000, session="s2")
     last = lost.agg(F.max("ts")).collect()[0][0]
-    ends = spark.createDataFrame(
-        [("s1", 1_767_312_000_000 + 75_000), ("s2", last + 1_000), ("s3", last + 9_000_000)],
-        "session_id string, ms bigint",
-    ).select("session_id", F.timestamp_millis("ms").alias("ended_at"))
-    got = run(streams.stream_transcripts(source(both, "turns", ["ts"], 5), source(ends, "ends", ["ended_at"], 1)))
-    found = {(r.session_id, r.seq): r.outcome for r in got.collect()}
-    assert {k: v for k, v in found.items() if k[0] == "s2"} == {
-        ("s2", n): "expired" if n < 6 else "stored" for n in range(10)
+    turns = source(fx.call(spark).union(lost), "turns", ["ts", "session_id"], 5)
+    first = source(_ends(spark, ("s3", last)), "ends", ["ended_at"])
+    assert {r.outcome for r in run(streams.stream_transcripts(turns, first)).collect()} == {"expired"}
+    ends = source(_ends(spark, ("s1", last + 1_000), ("s2", last + 1_000)), "ends", ["ended_at"])
+    got = run(streams.stream_transcripts(turns, ends)).collect()
+    # s1 ends just before its buffer would be lost; s2 lost its first turns to the pause.
+    assert {(r.session_id, r.seq): r.outcome for r in got} == {
+        **{("s1", n): "stored" for n in range(10)},
+        **{("s2", n): "expired" if n < 6 else "stored" for n in range(10)},
     }
-    assert set(found) == {(s, n) for s in ("s1", "s2") for n in range(10)}
