@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from callytics.functions.text import normalize_code
 from callytics.functions.time import Instant, as_utc, check_range, instant
+from callytics.plans.lineage import cut
 from callytics.plans.paging import clamp, page
 
 # Page limits.
@@ -87,30 +88,32 @@ def sales_filtered(
 
 
 
-def _count() -> Column:
-    return F.count("*").alias("sales_count")
+_SUMMARY_KEYS = ["agent_id", "agent_name", "company_code", "company_name", "product_code", "product_name"]
+_MEASURES = ["sales_count", "total_amount_cents"]
 
 
-def _amount() -> Column:
-    return F.coalesce(F.sum("amount_cents"), F.lit(0)).alias("total_amount_cents")
+def _measured(sales: DataFrame) -> DataFrame:
+    """Sales with a count and an amount per row; already summed rows are left as they are."""
+    if set(_MEASURES) <= set(sales.columns):
+        return sales
+    return sales.withColumns({"sales_count": F.lit(1).cast("long"), "total_amount_cents": F.col("amount_cents")})
+
+
+def _sums() -> list[Column]:
+    return [F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in _MEASURES]
 
 
 def sales_totals(filtered: DataFrame) -> DataFrame:
     """Number, amount, rounded average ticket and number of agents, in one row."""
-    agg = filtered.agg(_count(), _amount(), F.countDistinct("agent_id").alias("active_agents"))
+    agg = _measured(filtered).agg(*_sums(), F.countDistinct("agent_id").alias("active_agents"))
     # Exact rounded quotient of two longs, halves up; amounts are never negative.
     count, amount = F.col("sales_count"), F.col("total_amount_cents")
     average = F.when(count > 0, F.call_function("div", amount * 2 + count, count * 2)).otherwise(F.lit(0))
-    return agg.select(
-        "sales_count",
-        "total_amount_cents",
-        average.cast("long").alias("average_ticket_cents"),
-        "active_agents",
-    )
+    return agg.select(*_MEASURES, average.cast("long").alias("average_ticket_cents"), "active_agents")
 
 
 def _grouped(filtered: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return filtered.groupBy(*keys).agg(_count(), _amount())
+    return _measured(filtered).groupBy(*keys).agg(*_sums())
 
 
 def _ranked(filtered: DataFrame, first: str, second: str, top_n: int | None) -> DataFrame:
@@ -141,18 +144,19 @@ def sales_by_product(filtered: DataFrame) -> DataFrame:
 def sales_summary(
     sales: DataFrame, companies: DataFrame, products: DataFrame, start: Instant, end: Instant, **filters: str
 ) -> dict[str, DataFrame]:
-    """All dashboard tables over one shared filter.
+    """All dashboard tables from one pass over the sales.
 
-    Every table is a small aggregate of the same plan. A caller that writes all of
-    them may `persist` the filtered sales first.
+    The sales are summed once per agent and product and that summary is written out; the
+    tables are aggregates of it, and so agree with each other.
     """
     filtered = sales_filtered(sales_enriched(sales, companies, products), start, end, **filters)
+    summed = cut(_grouped(filtered, _SUMMARY_KEYS), "sales-summary")
     return {
-        "totals": sales_totals(filtered),
-        "by_closings": sales_rank_closings(filtered),
-        "by_amount": sales_rank_amount(filtered),
-        "by_company": sales_by_company(filtered),
-        "by_product": sales_by_product(filtered),
+        "totals": sales_totals(summed),
+        "by_closings": sales_rank_closings(summed),
+        "by_amount": sales_rank_amount(summed),
+        "by_company": sales_by_company(summed),
+        "by_product": sales_by_product(summed),
     }
 
 

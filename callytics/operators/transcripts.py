@@ -9,7 +9,7 @@ from callytics.functions.time import Instant, as_utc, instant, ms_to_timestamp
 from callytics.plans import slices
 from callytics.plans.keyed import latest_per_key
 from callytics.sources.schemas import ACTIVE, AGENT, CLIENT, ENDED
-from callytics.sources.tables import write_daily
+from callytics.sources.tables import append_new
 
 # Silence limit, recent windows, turns per excerpt, texts and formats.
 SILENCE_SECONDS = 60
@@ -108,8 +108,8 @@ def transcript_flush(turns: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def write_transcripts(flushed: DataFrame, path: str) -> None:
-    """Store turns by day. Rewriting a day with the same turns changes nothing."""
-    write_daily(flushed, path, ms_to_timestamp(F.col("ts")))
+    """Store turns by day, each (session, seq) once."""
+    append_new(flushed, path, ["session_id", "seq"], ms_to_timestamp(F.col("ts")))
 
 
 def recent_turns(turns: DataFrame, as_of: Instant | DataFrame, window_ms: int) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from callytics.sources.schemas import schema
@@ -73,14 +74,14 @@ def write_version(df: DataFrame, folder: str, table: str, version: int | str) ->
     return path
 
 
-def write_daily(df: DataFrame, path: str, ts: Column) -> None:
-    """Overwrite only the day partitions present in `df`; running it again changes nothing."""
-    (
-        df.withColumn("day", F.to_date(ts))
-        # Even out the files of a day; a large day is split over several tasks.
-        .hint("rebalance", "day")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
-        .parquet(path)
-    )
+def append_new(df: DataFrame, path: str, keys: Sequence[str], ts: Column) -> None:
+    """Append the rows whose key is not stored yet, by day. Running it again adds nothing."""
+    dated = df.withColumn("day", F.to_date(ts))
+    try:
+        stored = df.sparkSession.read.schema(dated.schema).parquet(path)
+    except AnalysisException:  # nothing is stored yet
+        new = dated
+    else:
+        new = dated.join(stored.select("day", *keys), ["day", *keys], "left_anti")
+    # Even out the files of a day; a large day is split over several tasks.
+    new.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)

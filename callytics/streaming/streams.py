@@ -6,14 +6,18 @@ by one task, so hot keys are bounded by the intake limit of the trigger.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callytics.functions.time import ms_to_timestamp
 from callytics.operators import stages, transcripts
+from callytics.plans.keyed import latest_per_key
 from callytics.plans.slices import DAY
 from callytics.session import prepare
 from callytics.sources.schemas import KEYWORD_GROUPS
+from callytics.sources.tables import write_version
 from callytics.streaming.processors import (
     ClockState,
     RecentState,
@@ -78,6 +82,24 @@ def stream_clock(attempts: DataFrame) -> DataFrame:
     )
 
 
+def status_sink(folder: str) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function that keeps the live status of all agents from judged attempts.
+
+    Every micro-batch writes the next version of the table from the one before it, so a
+    repeated micro-batch writes the same version again.
+    """
+
+    def save(judged: DataFrame, batch: int) -> None:
+        spark = judged.sparkSession
+        accepted = judged.filter("accepted").select("agent_id", "event_at", "id", "action")
+        if batch > 0:
+            accepted = accepted.unionByName(spark.read.parquet(f"{folder}/clock_status/version={batch - 1}"))
+        last = latest_per_key(accepted, ["agent_id"], ["event_at", "id"])
+        write_version(last, folder, "clock_status", batch)
+
+    return save
+
+
 def stream_stages(
     turns: DataFrame,
     starts: DataFrame | None = None,
@@ -153,8 +175,8 @@ def stream_transcripts(
 ) -> DataFrame:
     """Turns with their outcome: stored at the end of the session, expired or late.
 
-    `ends` is a stream of (session_id, ended_at). Store the `stored` rows by
-    `write_transcripts` in a `foreachBatch`; the others are the side table.
+    `ends` is a stream of (session_id, ended_at). The `stored` rows are the transcript, the
+    others a side table.
     """
     said = turns.select(
         "session_id", "seq", "speaker", "channel", "text", "ts", F.lit(False).alias("ends")

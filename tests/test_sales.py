@@ -36,6 +36,14 @@ def test_totals_and_rankings(enriched):
     assert len(products) == 9
 
 
+def test_summary_equals_its_parts(spark, enriched):
+    found = q.sales_filtered(enriched, *ALL)
+    summary = q.sales_summary(fx.sales(spark), *fx.catalog(spark), *ALL)
+    assert summary["totals"].collect() == q.sales_totals(found).collect()
+    assert summary["by_closings"].collect() == q.sales_rank_closings(found).collect()
+    assert summary["by_product"].collect() == q.sales_by_product(found).collect()
+
+
 def test_filters(enriched):
     days = q.sales_filtered(enriched, "2026-06-05T00:00:00Z", "2026-06-10T00:00:00Z")
     assert tuple(q.sales_totals(days).collect()[0]) == (10, 305_000, 30_500, 5)

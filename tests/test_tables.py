@@ -30,16 +30,16 @@ def test_versions_stand_side_by_side(spark, tmp_path):
     assert spark.read.parquet(first).count() == 30 and spark.read.parquet(second).count() == 20
 
 
-def test_transcripts_are_rewritten_in_place(spark, tmp_path):
+def test_transcripts_are_stored_once(spark, tmp_path):
     turns = fx.call(spark).union(fx.call(spark, pause_at=5, pause_ms=86_400_000, session="s2"))
     sessions = spark.createDataFrame([("s1", "ended"), ("s2", "ended"), ("s3", "active")], "id string, status string")
     flushed = transcripts.transcript_flush(turns, sessions)
-    for _ in range(2):
-        transcripts.write_transcripts(flushed, str(tmp_path / "t"))
-    back = spark.read.parquet(str(tmp_path / "t"))
-    assert back.count() == 20 and back.select("day").distinct().count() == 2
-    transcripts.write_transcripts(flushed.filter("session_id = 's2' and seq >= 5"), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 20
+    path, counts = str(tmp_path / "t"), []
+    for part in (flushed.filter("seq < 3"), flushed.filter("seq < 3"), flushed, flushed):
+        transcripts.write_transcripts(part, path)
+        counts.append(spark.read.parquet(path).count())
+    assert counts == [6, 6, 20, 20]
+    assert spark.read.parquet(path).select("day").distinct().count() == 2
 
 
 def test_recent_turns(spark):
