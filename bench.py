@@ -27,7 +27,7 @@ HEADLINE = [
     "sales_lines_totals",
     "sales_lines_by_product",
     "sales_lines_rank_amount",
-    "sales_ingested",
+    "sales_ingest",
     "sales_page",
     "sessions_silence",
     "keyword_matches",

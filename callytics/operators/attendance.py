@@ -151,24 +151,33 @@ def bulk_clock_out(events: DataFrame, now: Instant, zone: str = DEFAULT_ZONE) ->
     )
 
 
-def clock_shifts(events: DataFrame, start: Instant, end: Instant, spread: Spread = Spread()) -> DataFrame:
-    """Clock-ins up to `end` with their clock-out, where it is the next event."""
-    seen = events.filter(F.col("event_at") <= instant(end)).select(*KEYS, *ORDER, "display_name", "action")
-    paired = slices.with_neighbours(
-        seen,
+def _paired(events: DataFrame, spread: Spread) -> DataFrame:
+    """Every event with the action and time of the agent's next one."""
+    return slices.with_neighbours(
+        events.select(*KEYS, *ORDER, "display_name", "action"),
         KEYS,
         ORDER,
         slices.time_slice(F.col("event_at"), spread.seconds),
         spread,
         lead={"_next_action": "action", "_next_at": "event_at"},
     )
-    touches = F.col("_next_at").isNull() | (F.col("_next_at") >= instant(start))
-    return paired.filter((F.col("action") == CLOCK_IN) & touches).select(
-        *KEYS,
-        "display_name",
-        "id",
-        F.col("event_at").alias("clock_in"),
-        F.when(F.col("_next_action") == CLOCK_OUT, F.col("_next_at")).alias("clock_out"),
+
+
+def _shift(start: Instant, end: Instant) -> tuple[Column, Column]:
+    """Whether a paired event opens a shift of the range, and the shift's clock-out."""
+    next_at = F.col("_next_at")
+    touches = next_at.isNull() | (next_at >= instant(start))
+    opens = (F.col("action") == CLOCK_IN) & (F.col("event_at") <= instant(end)) & touches
+    closed = (F.col("_next_action") == CLOCK_OUT) & (next_at <= instant(end))
+    return opens, F.when(closed, next_at)
+
+
+def clock_shifts(events: DataFrame, start: Instant, end: Instant, spread: Spread = Spread()) -> DataFrame:
+    """Clock-ins up to `end` with their clock-out, where it is the next event."""
+    opens, clock_out = _shift(start, end)
+    paired = _paired(events.filter(F.col("event_at") <= instant(end)), spread)
+    return paired.filter(opens).select(
+        *KEYS, "display_name", "id", F.col("event_at").alias("clock_in"), clock_out.alias("clock_out")
     )
 
 
@@ -190,23 +199,33 @@ def clock_summary(
     max_days: int | None = MAX_RANGE_DAYS,
     spread: Spread = Spread(),
 ) -> DataFrame:
-    """Worked minutes and shifts per agent and display name, most minutes first."""
+    """Worked minutes and shifts per agent and display name, most minutes first.
+
+    One pass: the agent's last event of all time is the one without a next event, so the
+    current state comes from the same rows as the shifts.
+    """
     check_range(start, end, max_days)
-    clipped = clip_shifts(clock_shifts(events, start, end, spread), start, end, now)
-    worked = clipped.groupBy(*KEYS, "display_name").agg(
-        whole_minutes(F.sum(micros_between(F.col("clipped_in"), F.col("clipped_out")))).alias("total_minutes"),
-        F.count("*").alias("shifts_count"),
+    opens, clock_out = _shift(start, end)
+    marked = _paired(events, spread).select(
+        *KEYS,
+        "display_name",
+        opens.alias("_opens"),
+        F.col("event_at").alias("clock_in"),
+        clock_out.alias("clock_out"),
+        F.when(F.col("_next_at").isNull(), F.col("action") == CLOCK_IN).alias("_in"),
     )
-    status = clock_status(events).select(*KEYS, F.col("clocked_in").alias("_in"))
+    length = micros_between(F.col("clipped_in"), F.col("clipped_out"))
+    named = clip_shifts(marked, start, end, now).groupBy(*KEYS, "display_name").agg(
+        whole_minutes(F.sum(F.when(F.col("_opens"), length))).alias("total_minutes"),
+        F.count_if("_opens").alias("shifts_count"),
+        F.max("_in").alias("_in"),
+    )
+    # One row per display name of an agent; the last event is known to one of them.
+    current = F.max("_in").over(Window.partitionBy(*KEYS))
     return (
-        worked.join(status, KEYS, "left")
-        .select(
-            *KEYS,
-            "display_name",
-            "total_minutes",
-            "shifts_count",
-            F.coalesce("_in", F.lit(False)).alias("currently_clocked"),
-        )
+        named.withColumn("currently_clocked", F.coalesce(current, F.lit(False)))
+        .filter(F.col("shifts_count") > 0)
+        .select(*KEYS, "display_name", "total_minutes", "shifts_count", "currently_clocked")
         .orderBy(F.desc("total_minutes"), "agent_id", "display_name")
     )
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
 def clamp(value: int | str | None, low: int, high: int, default: int) -> int:
-    """A limit inside [low, high]; the default when it is not a number."""
-    try:
-        number = int(value)
-    except (TypeError, ValueError):
-        return default
-    return min(max(number, low), high)
+    """A limit inside [low, high]; the default when it does not begin with a whole number."""
+    number = re.match(r"\s*[+-]?\d+", "" if value is None else str(value))
+    return min(max(int(number[0]), low), high) if number else default
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:

@@ -39,7 +39,7 @@ def build_session(app: str = "callytics", master: str | None = None, **conf: str
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a private one only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -223,7 +223,7 @@ TABLES["copilot"] = f"""
   from (select sig.*, (select string_agg({_LINE}, chr(10) order by t.ts, t.seq) from turns t
                        where t.session_id = sig.session_id and t.ts <= sig.ts and t.ts >= sig.ts - 180000) x
         from sig) s
-  left join (select stage, arg_min(left(text, 200), doc) g from guide where stage <> 'closing' group by stage) g
+  left join (select stage, arg_min(left(text, 5200), doc) g from guide where stage <> 'closing' group by stage) g
        on g.stage = s.stage"""
 TABLES["resp"] = f"""
   select {_ID} request_id,
@@ -339,7 +339,7 @@ Q["users_upsert"] = """
     from events qualify row_number() over (partition by user_id order by ts desc) = 1
   ) u on u.agent_id = c.c_custkey::varchar"""
 
-Q["sales_ingested"] = f"""
+Q["sales_ingest"] = f"""
   select id, null::varchar discord_interaction_id, discord_message_id, null::varchar discord_guild_id,
          null::varchar discord_channel_id, agent_id, agent_name, company_code, product_code, client_name,
          floor(amount::double * 100 + 0.5)::bigint amount_cents, currency, billing_period, signature_status,

@@ -53,16 +53,21 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(function: Query) -> Query:
+def query(function: Query, name: str | None = None) -> Query:
     """Register under the function's name, with the session settings applied."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return flat(function(prepare(spark), folder))
 
-    QUERIES[function.__name__] = run
+    QUERIES[name or function.__name__] = run
     return run
 
 
+def query_as(name: str) -> Callable[[Query], Query]:
+    """Register under a name that a module already has here."""
+    return lambda function: query(function, name)
+
+
 # Attendance
 
 
@@ -168,7 +173,7 @@ def users_upsert(spark, folder):
 # Sales: ingestion and catalogue
 
 
-@query
+@query_as("sales_ingest")
 def sales_ingested(spark, folder):
     return sales_ingest.sales_ingest(b.raw_sales(spark, folder), NOW)[0]
 
@@ -617,11 +622,11 @@ def _prompts(spark, folder):
     raised = _signals(spark, folder).withColumn("request_id", b.request_id())
     requests = raised.select("request_id", "session_id", F.col("ts").alias("at"))
     excerpts = prompts.copilot_excerpts(requests, b.turns(spark, folder))
-    # The guidance is the shortest text of any document, so that it stems from the tables.
+    # The first document with sections for a stage serves as its playbook.
     sections = prompts.playbook_sections(b.playbook_docs(spark, folder))
-    guidance = prompts.stage_guidance(sections, GUIDE, 200)
-    shortest = guidance.groupBy("stage").agg(F.min(F.struct("doc", "guidance"))["guidance"].alias("guidance"))
-    return prompts.copilot_prompts(raised, excerpts, shortest.filter("stage <> 'closing'"), SYSTEM_PROMPT)
+    guidance = prompts.stage_guidance(sections, GUIDE)
+    playbook = guidance.groupBy("stage").agg(F.min(F.struct("doc", "guidance"))["guidance"].alias("guidance"))
+    return prompts.copilot_prompts(raised, excerpts, playbook.filter("stage <> 'closing'"), SYSTEM_PROMPT)
 
 
 @query

@@ -131,7 +131,7 @@ def test_status_history_and_bulk_clock_out(spark):
 def test_page_is_closed_and_clamped(spark):
     page = attendance.clock_events_page(fx.clock_events(spark), fx.DAY_FROM, fx.DAY_TO, limit=9_999).collect()
     assert len(page) == page[0].total == 12
-    assert [clamp(x, 1, 500, 100) for x in (None, "x", "7", 0, 900)] == [100, 100, 7, 1, 500]
+    assert [clamp(x, 1, 500, 100) for x in (None, "x", "7", "12a", 0, 900)] == [100, 100, 7, 12, 1, 500]
 
 
 def test_range_guard():
