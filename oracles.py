@@ -311,7 +311,8 @@ Q["clock_summary"] = f"""
   from shifts s left join latest l using (agent_id) group by all"""
 Q["clock_shift_list"] = """
   select agent_id, display_name, clock_in, clock_out,
-         cast(round((epoch_us(clock_out) - epoch_us(clock_in)) / 60000000.0) as bigint) duration_minutes from shifts"""
+         cast(round((epoch_us(clock_out) - epoch_us(clock_in)) / 60000000.0) as bigint)::varchar duration_minutes
+  from shifts"""
 Q["clock_events_page"] = f"""
   select id, agent_id, display_name, action, event_at, sheets_synced, count(*) over () total
   from ck where event_at between {FROM} and {TO} order by event_at desc, id desc limit 40 offset 25"""
@@ -367,7 +368,7 @@ Q["sales_recorded"] = """
   qualify discord_message_id is null or row_number() over (partition by discord_message_id order by id) = 1"""
 Q["catalog_upsert"] = """
   select 'company' kind, '' company, coalesce(c.code, w.company_code) code,
-         case when w.company_code is null then c.name else w.company_code end as name, true active, c.id known_id
+         case when w.company_code is null then c.name else w.company_code end as name, true active, c.id::varchar known_id
   from (select * from companies where active) c
   full join (select distinct company_code from wanted) w on w.company_code = c.code
   union all
@@ -378,7 +379,7 @@ Q["catalog_upsert"] = """
   full join wanted w on w.company_code = p.cc and w.product_code = p.code"""
 Q["catalog_reconcile"] = """
   select 'company' kind, '' company, c.code, coalesce(w.company_code, c.name) as name,
-         w.company_code is not null active, c.id known_id
+         w.company_code is not null active, c.id::varchar known_id
   from companies c
   left join (select distinct company_code from wanted where product_code <> 'FURNITURE' and company_code > 'NATION_15') w
        on w.company_code = c.code
@@ -558,11 +559,11 @@ Q["signals"] = """
          stage
   from sig"""
 Q["manual_signals"] = """
-  select session_id, null::bigint seq, min(ts) + 600000 ts, 'agente' speaker, 'manual_request' signal_type,
+  select session_id, min(ts) + 600000 ts, 'agente' speaker, 'manual_request' signal_type,
          1.0::double confidence, 'El agente pidió manualmente una recomendación.' reason, '' matched_keywords,
          arg_max(stage, ts) stage
   from progress group by session_id"""
-Q["playbook_sections"] = "select doc, level, heading, length(body) chars, md5(body) body_md5 from sections"
+Q["playbook_sections"] = "select doc, level::bigint as level, heading, length(body) chars, md5(body) body_md5 from sections"
 Q["stage_guidance"] = """
   select doc, stage, length(left(text, 5200)) chars, md5(left(text, 5200)) text_md5 from guide"""
 Q["copilot_prompts"] = "select * from copilot"
@@ -588,7 +589,7 @@ Q["suggestion_log_suggestions"] = f"""
          response_text suggestion, 'gpt_api' source, {NOW} shown_at
   from copilot join resp using (request_id) where error is null"""
 Q["suggestion_log_requests"] = f"""
-  select request_id id, session_id, case when error is null then request_id end suggestion_id, 'gpt_api' provider,
+  select request_id id, session_id, case when error is null then request_id end::varchar suggestion_id, 'gpt_api' provider,
          'm1' model, trigger_type, stage, system_prompt, user_prompt, transcript_excerpt, response_text, error,
          latency_ms, {NOW} created_at
   from copilot join resp using (request_id)"""

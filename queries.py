@@ -6,7 +6,7 @@ from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, DateType, TimestampType
+from pyspark.sql.types import ArrayType, DateType, IntegerType, TimestampType
 
 from callytics.operators import (
     attendance,
@@ -39,7 +39,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def flat(df: DataFrame) -> DataFrame:
-    """Plain columns for comparing: zone-free timestamps, dates and arrays as text."""
+    """Plain columns for comparing: zone-free timestamps, long numbers, dates and arrays as text."""
     out = []
     for field in df.schema.fields:
         value = F.col(field.name)
@@ -47,12 +47,19 @@ def flat(df: DataFrame) -> DataFrame:
             value = value.cast("timestamp_ntz")
         elif isinstance(field.dataType, DateType):
             value = value.cast("string")
+        elif isinstance(field.dataType, IntegerType):
+            value = value.cast("long")
         elif isinstance(field.dataType, ArrayType):
             value = F.array_join(value, "|")
         out.append(value.alias(field.name))
     return df.select(*out)
 
 
+def as_text(df: DataFrame, column: str) -> DataFrame:
+    """A number that may be null as text, which tools read alike."""
+    return df.withColumn(column, F.col(column).cast("string"))
+
+
 def query(function: Query, name: str | None = None) -> Query:
     """Register under the function's name, with the session settings applied."""
 
@@ -126,9 +133,10 @@ def clock_summary(spark, folder):
 
 @query
 def clock_shift_list(spark, folder):
-    return attendance.clock_shift_list(
+    listed = attendance.clock_shift_list(
         b.clock_events(spark, folder), FROM, TO, spread=b.event_spread(spark, folder)
     )
+    return as_text(listed, "duration_minutes")
 
 
 @query
@@ -237,7 +245,7 @@ def _catalog_rows(companies, products, known):
         F.lit("product").alias("kind"), "company", "code", "name", "active",
         F.lit(None).cast("long").alias("known_id"),
     )
-    return company.unionByName(product)
+    return as_text(company.unionByName(product), "known_id")
 
 
 @query
@@ -597,7 +605,7 @@ def manual_signals(spark, folder):
     requests = b.session_starts(spark, folder).select(
         F.col("id").alias("session_id"), (F.unix_millis("started_at") + 600_000).alias("ts")
     )
-    return stages.manual_signals(requests, _current(spark, folder))
+    return stages.manual_signals(requests, _current(spark, folder)).drop("seq")
 
 
 @query
@@ -685,7 +693,7 @@ def suggestion_log_suggestions(spark, folder):
 
 @query
 def suggestion_log_requests(spark, folder):
-    return _log(spark, folder)[1]
+    return as_text(_log(spark, folder)[1], "suggestion_id")
 
 
 def _feedback(spark, folder):
@@ -707,7 +715,7 @@ def _feedback(spark, folder):
 
 @query
 def suggestion_feedback(spark, folder):
-    return _feedback(spark, folder)[0].withColumn("accepted", F.col("accepted").cast("string"))
+    return as_text(_feedback(spark, folder)[0], "accepted")
 
 
 @query
