@@ -5,10 +5,11 @@ import os
 import pytest
 
 import compare
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from oracles import ORACLES
+from queries import QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ORACLES = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,12 +18,12 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    report = compare.compare(spark, con, FOLDER, queries()[name], ORACLES[name])
+    report = compare.compare(spark, con, FOLDER, QUERIES[name], ORACLES[name])
     assert report in (None, "no rows")
 
 
