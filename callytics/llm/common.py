@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from callytics.session import checkpoint_root
 
 #: Rows of one Arrow batch; texts differ a lot in length, so batches are kept short.
-BATCH_ROWS = 500
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

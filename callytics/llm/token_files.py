@@ -22,11 +22,11 @@ from callytics.llm.tokens import default_tokenizer, encoder
 
 MAGIC = b"TOKIDS01"
 END_ID = 2
-#: Documents the dictionary is trained on, ids taken of each, and its size. It changes sizes of files only.
+#: Documents the dictionary is trained on, characters taken of each, and its size. It changes sizes of files only.
 SAMPLE_DOCUMENTS = 1_000
-SAMPLE_IDS = 2_048
-DICTIONARY_BYTES = 64 << 10
-LEVEL = 3
+SAMPLE_CHARS = 8_192
+DICTIONARY_BYTES = 32 << 10
+LEVEL = 1
 INDEX_ROWS = 4_096
 
 INDEX = pa.schema(
@@ -43,16 +43,15 @@ def _open(folder: str):
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> bytes:
-    """A dictionary of serialized id arrays of SAMPLE_DOCUMENTS documents, chosen by a hash; empty if they are too few."""
+    """A dictionary of serialized id arrays of about SAMPLE_DOCUMENTS documents, chosen by a hash; empty if they are too few."""
     import zstandard
 
-    chosen = (
-        docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.lit("dictionary")).alias("h"))
-        .orderBy("h", "text")
-        .limit(SAMPLE_DOCUMENTS)
-    )
+    share = min(1.0, SAMPLE_DOCUMENTS / max(1, docs.count()))
+    text = F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS)
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("dictionary")), F.lit(1 << 40))
+    chosen = docs.filter(place < int(share * (1 << 40))).select(text.alias("text")).orderBy("text").limit(2 * SAMPLE_DOCUMENTS)
     encode = encoder(tokenizer).ids
-    samples = [ids for r in chosen.collect() if (ids := encode(r["text"])[: 4 * SAMPLE_IDS])]
+    samples = [ids for r in chosen.collect() if (ids := encode(r["text"]))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -92,8 +91,10 @@ def write_tokens(
         shard, name = TaskContext.get().partitionId(), f"shard-{uuid4().hex}"
         files, root = _open(folder)
         end = np.array([end_id], dtype="<u4").tobytes()
-        known = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-        compress = zstandard.ZstdCompressor(level=LEVEL, **known).compress
+        shared = zstandard.ZstdCompressionDict(dictionary)
+        if dictionary:
+            shared.precompute_compress(level=LEVEL)
+        compress = zstandard.ZstdCompressor(level=LEVEL, **({"dict_data": shared} if dictionary else {})).compress
         out = index = None
         rows: list[tuple] = []
         place, start, n_docs, low, high = 16, 0, 0, None, None
@@ -103,10 +104,10 @@ def write_tokens(
                 index.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=INDEX))
                 rows.clear()
 
+        encode = encoder(path).ids
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if out is None:
-                    encode = encoder(path).ids
                     out = files.open_output_stream(f"{root}/{name}.ids")
                     sink = files.open_output_stream(f"{root}/{name}.index")
                     index = pa.ipc.new_file(sink, INDEX)
