@@ -3,7 +3,8 @@
 Template canonicalisation. A text becomes a row of tokens: words in lower case, and typed placeholders for numbers,
 units after a number, and names. A name is a capitalised word (capital, then small letters) that doesn't begin a
 sentence; what a placeholder stands for is the value of its slot. Windows of WIDTH tokens of documents and items are
-joined by hash. Windows of which more than half are slots say too little and are left out.
+joined by hash. Windows of which more than half are slots say too little and are left out. A window with a name stands
+a second time with the name as a word, so that a copy in other letter case is found too.
 
 Runs. Matches of a document and an item with the same distance between their places lie on one diagonal. A diagonal
 counts if its longest run of matched windows spans RUN tokens, or if SHARE of the item's windows are matched on it.
@@ -78,8 +79,9 @@ def _tokens() -> Tokens:
     return Tokens()
 
 
-def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all texts: canonical hash, value hash, is it a slot; and the number of tokens of each text."""
+def canonical(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Tokens of all texts: canonical hash, the same with names as words, value hash, is it a slot; and the number of
+    tokens of each text."""
     known = _tokens().__getitem__
     parts = []
     for t in texts:
@@ -101,8 +103,10 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     unit = (kind == UNIT) & follows
     slot_kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, 0)))
     value = packed >> np.uint64(4)
-    h = np.where(slot_kind > 0, _PLACEHOLDER[slot_kind], mix(value))
-    return h, value, slot_kind > 0, np.bincount(text, minlength=len(parts)).astype(np.int64)
+    word = mix(value)
+    h = np.where(slot_kind > 0, _PLACEHOLDER[slot_kind], word)
+    plain = np.where(slot_kind == NAME, word, h)
+    return h, plain, value, slot_kind > 0, np.bincount(text, minlength=len(parts)).astype(np.int64)
 
 
 def template_windows(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, ...]:
@@ -110,7 +114,7 @@ def template_windows(texts: list[str | None], width: int = WIDTH) -> tuple[np.nd
 
     A text of fewer tokens has one window of all its tokens. Windows mostly of slots are left out.
     """
-    h, value, slot, counts = canonical(texts)
+    h, plain, value, slot, counts = canonical(texts)
     if not len(h):
         none = np.empty(0, np.int64)
         return none, none, np.empty(0, np.uint64), np.empty((0, width), np.uint64)
@@ -128,8 +132,23 @@ def template_windows(texts: list[str | None], width: int = WIDTH) -> tuple[np.nd
         total += np.where(inside, mix(ph[j : j + len(h)] + np.uint64(j + 1)) * factor, np.uint64(0))
         values[:, j] = np.where(inside, pv[j : j + len(h)], np.uint64(0))
         slots += values[:, j] > 0
-    keep = ((left >= width) | (place == 0)) & (2 * slots <= used)
-    return text[keep], place[keep], mix(total[keep] + np.uint64(1)), values[keep]
+    whole = (left >= width) | (place == 0)
+    keep = np.flatnonzero(whole & (2 * slots <= used))
+    named = pad(plain != h)
+    again = whole & np.logical_or.reduce([named[j : j + len(h)] & (left > j) for j in range(width)])
+    at = np.flatnonzero(again)
+    pp, still = pad(plain), pad(slot & (plain == h))
+    second, values2 = np.zeros(len(at), np.uint64), np.zeros((len(at), width), np.uint64)
+    for j in range(width):
+        factor = np.uint64((0x9E3779B97F4A7C15 * (2 * j + 3)) & (2**64 - 1))
+        inside = left[at] > j
+        second += np.where(inside, mix(pp[at + j] + np.uint64(j + 1)) * factor, np.uint64(0))
+        values2[:, j] = np.where(inside & still[at + j], pv[at + j], np.uint64(0))
+    fit = 2 * (values2 > 0).sum(axis=1) <= used[at]
+    at, second, values2 = at[fit], second[fit], values2[fit]
+    rows = np.concatenate([keep, at])
+    hashes = mix(np.concatenate([total[keep], second]) + np.uint64(1))
+    return text[rows], place[rows], hashes, np.concatenate([values[keep], values2])
 
 
 def _windows(rows: DataFrame, width: int, bits: np.ndarray | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Lines, the leading comment of a file, and the whole of a licence file are compared with licence templates as sparse vectors of
 words weighted by count and inverse document frequency among the templates; words that no template has weigh as much as
-the rarest. Only texts with one of the ANCHORS are compared: without one, no text comes near the least score. Everything up
+the rarest. Only texts with one of the `anchors` are compared: without one, no text can reach the least score. Everything up
 to a file's own licence is an expression over its row.
 
 A file without a licence takes that of the nearest directory above it that has a licence file. Directories, not files,
@@ -65,18 +65,23 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
 ]
-#: Words of which a text needs one to reach the least score with some template; a test holds the templates against this.
-ANCHORS = (
-    "licen[cs]ed?|unlicense|spdx|copyright|permission|redistribut\\w*|mozilla|apache|gnu|creative|unencumbered|cc0|"
-    "software|public|permitted"
-)
+#: Words that say nothing about a licence and don't count.
+STOP = (
+    "the of and to in is it its this that these those for any or not you may are be a an as at on with without under we "
+    "our your from has have will shall can all no if do does"
+).split()
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 _COMMENT = r"^(?:\\s*(?:#|//|/\\*|\\*|--|;|%|<!--)[^\\n]*\\n?)+"
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text that count; `best_template` gets the same ones."""
+    return [w for w in re.findall(WORD, text.lower()) if w not in STOP]
+
+
 def vectors() -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]]]]:
     """Weights of words, weight of other words, and (name, unit vector) of each template."""
-    counts = [Counter(re.findall(WORD, text.lower())) for _, text in TEMPLATES]
+    counts = [Counter(words_of(text)) for _, text in TEMPLATES]
     seen = Counter(w for c in counts for w in c)
     idf = {w: math.log((1 + len(counts)) / (1 + n)) + 1 for w, n in sorted(seen.items())}
     out = []
@@ -86,6 +91,19 @@ def vectors() -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]
     return idf, math.log(1 + len(counts)) + 1, out
 
 
+def anchors(least: float = LEAST) -> list[str]:
+    """Words of which a text needs one to reach the least score: of each template the heaviest, until the length of
+    what is left, which bounds the cosine of a text without them, is below the score."""
+    out: set[str] = set()
+    for _, vector in vectors()[2]:
+        left = {w: v for w, v in vector.items() if w not in out}
+        while sum(v * v for v in left.values()) >= least * least:
+            word = max(left, key=lambda w: (w.isalpha(), left[w], w))
+            out.add(word)
+            del left[word]
+    return sorted(out)
+
+
 def best_template(words: str) -> str:
     """SQL for struct(score, license): the template nearest to an array of words; the score is rounded to 9 places."""
     idf, other, templates = vectors()
@@ -110,8 +128,9 @@ def own_license(text: str, whole: str = "false", least: float = LEAST) -> str:
     """SQL for struct(score, license) of a text column, null without a licence; `whole` tells if all of it is one."""
     lines = f"split({text}, '\\n')"
     parts = f"concat({lines}, array(regexp_extract({text}, '{_COMMENT}', 0)), if({whole}, array({text}), array()))"
-    some = f"filter({parts}, p -> p rlike '\\\\b({ANCHORS.replace(chr(92), chr(92) * 2)})\\\\b')"
-    words = f"transform({some}, p -> regexp_extract_all(p, '{WORD}', 0))"
+    some = f"filter({parts}, p -> p rlike '\\\\b({'|'.join(anchors(least)).replace('.', '[.]')})\\\\b')"
+    stop = ", ".join(f"'{w}'" for w in STOP)
+    words = f"transform({some}, p -> filter(regexp_extract_all(p, '{WORD}', 0), w -> w not in ({stop})))"
     scored = f"transform({words}, ws -> {best_template('ws')})"
     best = f"array_max({scored})"
     return f"transform(array({best}), b -> if(b.score >= {least!r}D, b, null))[0]"

@@ -94,7 +94,7 @@ def test_nothing(spark, docs):
 
 
 def test_canonical_tokens():
-    h, value, slot, counts = dc.canonical(["Tom met Anna. He ran 12km! Then 5 % more", "", None, "ALL CAPS Hello"])
-    assert counts.tolist() == [10, 0, 0, 3]
-    #        Tom met Anna He ran 12 km Then 5 % | more is part of the text
-    assert slot.tolist()[:10] == [False, False, True, False, False, True, True, False, True, True]
+    h, plain, value, slot, counts = dc.canonical(["Tom met Anna. He ran 12km! Then 5 % more", "", None, "ALL CAPS Hello"])
+    assert counts.tolist() == [11, 0, 0, 3]
+    # Tom met Anna He ran 12 km Then 5 % more
+    assert slot.tolist()[:11] == [False, False, True, False, False, True, True, False, True, True, False]

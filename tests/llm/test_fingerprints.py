@@ -21,7 +21,7 @@ def corpus():
     line = lambda: " ".join("".join(rng.choices("abcdef", k=4)) for _ in range(rng.randrange(1, 12)))
     rows = [(i * 3, "".join(line() + rng.choice([". ", "\n", "!? ", " "]) for _ in range(rng.choice([1, 2, 8, 40])))) for i in range(60)]
     rows += [(1000, "x" * 5_000), (1001, ""), (1002, None), (1003, "é😀" * 301), (1004, rows[4][1]), (1005, "\n".join(line() for _ in range(1_500)))]
-    rows += [(7, "one more"), (7, "and its like"), (-5, "negative id."), (None, "null id. Two."), (None, "null id again")]
+    rows += [(7, "one more"), (7, "and its like"), (-5, "negative id."), (None, "null id. Two."), (None, "null id again and longer")]
     return rows
 
 
