@@ -68,7 +68,7 @@ TEMPLATES: list[tuple[str, str]] = [
 #: Words that say nothing about a licence and don't count.
 STOP = (
     "the of and to in is it its this that these those for any or not you may are be a an as at on with without under we "
-    "our your from has have will shall can all no if do does"
+    "our your from has have will shall can all no if do does by use"
 ).split()
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 _COMMENT = r"^(?:\\s*(?:#|//|/\\*|\\*|--|;|%|<!--)[^\\n]*\\n?)+"

@@ -11,10 +11,10 @@ keeps its first point. Two documents agree in a component with probability equal
 drawn up to a time by which nearly all components are met, and further only for documents that need it.
 
 Equal texts are one text from the start, so groups of copies cost nothing. Bands of ROWS components put texts into
-buckets. In a bucket every text is compared with the least one; then, where these links leave different classes,
-with its NEAR predecessors in the order of the next components, so buckets of up to NEAR + 1 texts are compared
-whole, and in larger ones the texts that agree furthest stand side by side. Each pair is checked on the whole
-multisets, so no wrong link remains.
+buckets. Every text is compared with the least of the least texts of its buckets; then, where these links leave different
+classes, with the least text of each of its buckets, and in each bucket with its NEAR predecessors in the order of the
+next components. So buckets of up to NEAR + 1 texts are compared whole, and in larger ones the texts that agree furthest
+stand side by side. Each pair is checked on the whole multisets, so no wrong link remains.
 """
 
 from __future__ import annotations
@@ -212,18 +212,26 @@ def duplicate_classes(
     # Similarity is at most the smaller number of windows over the larger.
     alike = lambda m, n: F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9
     to_least = members.filter((F.col("k") != F.col("least.k")) & alike(F.col("n"), F.col("least.n")))
-    first = stored(linked(to_least.select(F.col("least.k").alias("a"), F.col("k").alias("b")).distinct(), bag, threshold), "links")
+    one_each = to_least.groupBy(F.col("k").alias("b")).agg(F.min("least.k").alias("a")).select("a", "b")
+    first = stored(linked(one_each, bag, threshold), "links")
     label = classes(first)
 
-    placed = members.join(label, "k", "left").select(
-        "k", "n", "key", "after", F.coalesce("label", "k").alias("label"),
+    known = members.join(label, "k", "left").withColumn("label", F.coalesce("label", "k"))
+    theirs = label.select(F.col("k").alias("least_k"), F.col("label").alias("least_label"))
+    others = known.filter((F.col("k") != F.col("least.k")) & alike(F.col("n"), F.col("least.n"))).select(
+        "k", "label", F.col("least.k").alias("least_k")
+    )
+    others = others.distinct().join(theirs, "least_k", "left").filter(F.col("label") != F.coalesce("least_label", "least_k"))
+    placed = known.select(
+        "k", "n", "key", "after", "label",
         F.when(F.col("texts") > BUCKET, F.pmod(F.shiftright("after", 48), F.ceil(F.col("texts") / BUCKET))).otherwise(0).alias("split"),
     )
     order = Window.partitionBy("key", "split").orderBy("after", "k")
     before = F.array(*(F.lag(F.struct("k", "n", "label"), i).over(order) for i in range(1, near + 1)))
     pairs = placed.withColumn("other", before).select("k", "n", "label", F.explode("other").alias("other"))
     pairs = pairs.filter((F.col("other.label") != F.col("label")) & alike(F.col("n"), F.col("other.n")))
-    pairs = pairs.select(F.least("k", "other.k").alias("a"), F.greatest("k", "other.k").alias("b")).distinct()
+    pairs = pairs.select("k", F.col("other.k").alias("o")).union(others.select("k", F.col("least_k").alias("o")))
+    pairs = pairs.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
     second = stored(linked(pairs, bag, threshold), "links")
     if not second.isEmpty():
         label = classes(first.union(second))
