@@ -1,14 +1,14 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions only.
 
-A paragraph ends with a line or sentence, or after PARAGRAPH characters without an end; together the paragraphs are the
-whole text. Their 64-bit digests, each once, are a document's keys. A sketch has three segments of 2**bits cells. A
+A paragraph ends with its line, with the first sentence that ends after SHORT characters, or after LONG characters;
+together the paragraphs are the whole text. Their 64-bit digests, each once, are a document's keys. A sketch has three segments of 2**bits cells. A
 key goes to one cell of each segment, given by its bits, and a cell holds the number of its keys, their exclusive-or
 and that of a check value of each.
 
 Two sketches of one size subtract cell by cell, and what both texts share cancels. Peeling then recovers the differing
 digests: a cell with one key left, told by its check, gives that key, which is taken from its other cells, and so on.
 If cells remain, a larger sketch is made: keys are dealt over partial sketches, as many as the two documents have keys for,
-and a part that fails again is made with four times the cells, and again; the last resort for keys that meet in all
+and a part that fails is made anew with four times the cells, and again; the last resort for keys that meet in all
 cells is the difference of the sets. Work grows as the number of keys times a root of it.
 
 Everything is an expression over the columns of one row, so no key or document is brought together with others.
@@ -22,39 +22,40 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from callytics.llm.common import partitions_of
 
-PARAGRAPH = 160
+SHORT, LONG = 100, 300
+PARAGRAPH = rf"[^\n]{{{SHORT},{LONG}}}?[.!?]+|[^\n]{{0,{LONG}}}\n+|[^\n]{{1,{LONG}}}"
 BASE_BITS = 3  # the fingerprint: 3 * 2**3 cells
+#: Partial sketches have 3 * 2**3 cells, and 4 and 16 times as many on failure.
 RETRY_BITS = (3, 5, 7)
 #: Keys of both documents for each partial sketch.
-KEYS_A_PART = 10
+KEYS_A_PART = 12
 ROUNDS = 12
 
-_EMPTY = "array()"
-
-
 def keys_of(text: str) -> str:
     """SQL for the keys of a text column: digests of its paragraphs, each once."""
-    pattern = rf"[^\\n.!?]{{0,{PARAGRAPH}}}[\\n.!?]*"
-    return f"array_distinct(transform(filter(regexp_extract_all({text}, '{pattern}', 0), p -> p <> ''), p -> xxhash64(p)))"
+    pattern = PARAGRAPH.replace("\\", "\\\\")
+    return f"array_distinct(transform(regexp_extract_all({text}, '{pattern}', 0), p -> xxhash64(p)))"
 
 
 def _check(key: str) -> str:
     return f"shiftrightunsigned(xxhash64({key}, 1), 32)"
 
 
-def _cell(key: str, j: str, bits: int) -> str:
-    """Is `key` in cell `j`?"""
-    cells = 1 << bits
-    return f"(shiftrightunsigned({key}, {bits} * cast({j} div {cells} as int)) & {cells - 1}) = {j} % {cells}"
+def _placed(key: str, check: str, bits: int, more: str = "") -> str:
+    """SQL for a key with its check and its cell in each segment."""
+    cell = lambda i: f"cast(shiftrightunsigned({key}, {bits * i}) & {(1 << bits) - 1} as int)"
+    return f"named_struct('k', {key}, 'h', {check}, 'p0', {cell(0)}, 'p1', {cell(1)}, 'p2', {cell(2)}{more})"
 
 
 def sketch(keys: str, bits: int = BASE_BITS) -> str:
-    """SQL for the cells of an array of keys: array of struct n, x (keys), c (checks)."""
-    return (
-        f"transform(sequence(0, {3 * 2**bits - 1}), j -> aggregate(filter({keys}, k -> {_cell('k', 'j', bits)}), "
-        f"named_struct('n', 0, 'x', 0L, 'c', 0L), "
-        f"(a, k) -> named_struct('n', a.n + 1, 'x', a.x ^ k, 'c', a.c ^ {_check('k')})))"
+    """SQL for the cells of an array of keys: array of struct n, x (keys), c (checks), one segment after the other."""
+    none = "named_struct('n', 0, 'x', 0L, 'c', 0L)"
+    segments = ", ".join(
+        f"transform(sequence(0, {(1 << bits) - 1}), j -> aggregate(filter(ks, p -> p.p{i} = j), {none}, "
+        f"(a, p) -> named_struct('n', a.n + 1, 'x', a.x ^ p.k, 'c', a.c ^ p.h)))"
+        for i in range(3)
     )
+    return f"transform(array(transform({keys}, k -> {_placed('k', _check('k'), bits)})), ks -> concat({segments}))[0]"
 
 
 def subtract(a: str, b: str) -> str:
@@ -63,19 +64,20 @@ def subtract(a: str, b: str) -> str:
 
 def peel(cells: str, bits: int = BASE_BITS) -> str:
     """SQL for struct(found: array of struct(k, s), done): differing keys, s = 1 for the first document's, -1 else."""
-    pure = (
-        f"array_distinct(transform(filter(t.d, e -> abs(e.n) = 1 and e.c = {_check('e.x')}), "
-        f"e -> named_struct('k', e.x, 's', e.n)))"
-    )
-    taken = (
-        f"transform(t.d, (e, j) -> aggregate(filter(u, p -> {_cell('p.k', 'j', bits)}), e, "
-        f"(a, p) -> named_struct('n', a.n - p.s, 'x', a.x ^ p.k, 'c', a.c ^ {_check('p.k')})))"
+    found = _placed("e.x", "e.c", bits, ", 's', e.n")
+    pure = f"array_distinct(transform(filter(t.d, e -> abs(e.n) = 1 and e.c = {_check('e.x')}), e -> {found}))"
+    taken = ", ".join(
+        f"transform(slice(t.d, {(i << bits) + 1}, {1 << bits}), (e, j) -> aggregate(filter(u, p -> p.p{i} = j), e, "
+        f"(a, p) -> named_struct('n', a.n - p.s, 'x', a.x ^ p.k, 'c', a.c ^ p.h)))"
+        for i in range(3)
     )
     none = "cast(array() as array<struct<k: bigint, s: int>>)"
     return (
-        f"aggregate(sequence(1, {ROUNDS}), named_struct('d', {cells}, 'found', {none}), "
-        f"(t, r) -> transform(array({pure}), u -> if(size(u) = 0, t, "
-        f"named_struct('d', {taken}, 'found', concat(t.found, u))))[0], "
+        f"aggregate(sequence(1, {ROUNDS}), named_struct('d', {cells}, 'found', {none}, 'go', true), "
+        f"(t, r) -> if(t.go, transform(array({pure}), u -> if(size(u) = 0, "
+        f"named_struct('d', t.d, 'found', t.found, 'go', false), "
+        f"named_struct('d', concat({taken}), 'found', concat(t.found, transform(u, p -> named_struct('k', p.k, 's', p.s))), "
+        f"'go', true)))[0], t), "
         f"t -> named_struct('found', t.found, 'done', forall(t.d, e -> e.n = 0 and e.x = 0)))"
     )
 
@@ -137,7 +139,8 @@ def _bucket(bounds: list[int], column: str) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, next_text: each document beside the next in descending order of ids, after the last the first.
+    """doc_id, text, next_text: each document beside the next in descending order of ids, after the last the first;
+    with own_keys, own_cells, next_keys and next_cells.
 
     Null ids come last, and rows with one id are ordered by their texts; a null text is empty. Rows are dealt by quantiles
     of the id. The first row of each part also stands as a guest at the end of the part before, so that each
@@ -160,17 +163,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     guests = rows.join(F.broadcast(guests), same).dropDuplicates(["target"])
     guests = guests.select("doc_id", "text", F.col("target").alias("part"), "tie", F.lit(True).alias("guest"))
     order = Window.partitionBy("part").orderBy("guest", F.desc_nulls_last("doc_id"), "tie", "text")
-    placed = rows.withColumn("guest", F.lit(False)).unionByName(guests).withColumn("next_text", F.lead("text").over(order))
-    return placed.filter("not guest").select("doc_id", "text", "next_text")
+    every = fingerprint(rows.withColumn("guest", F.lit(False)).unionByName(guests).repartition("part"))
+    after = {f"next_{c}": F.lead(c if c == "text" else f"own_{c}").over(order) for c in ("text", "keys", "cells")}
+    return every.withColumns(after).filter("not guest").select("doc_id", "text", "own_keys", "own_cells", *after)
 
 
-def compare(pairs: DataFrame, a: str, b: str, into: str) -> DataFrame:
-    """Add <into>_keys of text column `b`, <into>_cells, and <into>_diff against `a`, whose keys and cells are there."""
-    return (
-        pairs.withColumn(f"{into}_keys", F.expr(keys_of(b)))
-        .withColumn(f"{into}_cells", F.expr(sketch(f"{into}_keys")))
-        .withColumn(f"{into}_diff", F.expr(differences(f"{a}_keys", f"{into}_keys", f"{a}_cells", f"{into}_cells")))
-    )
+def compare(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Add <b>_diff: keys that differ between two texts, of which <a>_keys, <a>_cells, <b>_keys and <b>_cells are there."""
+    return pairs.withColumn(f"{b}_diff", F.expr(differences(f"{a}_keys", f"{b}_keys", f"{a}_cells", f"{b}_cells")))
 
 
 def fingerprint(docs: DataFrame, text: str = "text", into: str = "own") -> DataFrame:
@@ -187,7 +187,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = with_next(docs, id_col, text_col).withColumn(
         "edited", F.expr(f"concat(left(text, cast(char_length(text) - {half} as int)), left(next_text, cast({half} as int)))")
     )
-    rows = compare(compare(fingerprint(rows), "own", "edited", "edited"), "own", "next_text", "next")
+    rows = compare(compare(fingerprint(rows, "edited", "edited"), "own", "edited"), "own", "next")
     return rows.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),

@@ -13,14 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from callytics.llm.common import short_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8  # of each width
-#: Bound of the training sample: documents of each language, chosen by a hash of their id, and windows of each.
+#: Bound of the training sample: documents of each language (about; chosen by a hash of their id), and windows of each.
 SAMPLE_DOCUMENTS = 1_500
 SAMPLE_WINDOWS = 3
 EPOCHS = 6
@@ -119,20 +119,17 @@ def fit(data: np.ndarray, labels: np.ndarray, languages: list[str]) -> Model:
 
 
 def sample(docs: DataFrame, chosen: Column, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Training windows (lang, window): of each language at most SAMPLE_DOCUMENTS documents that are `chosen`."""
-    rank = Window.partitionBy("lang").orderBy("h", "text")
-    texts = (
-        docs.filter(chosen)
-        .select(
-            F.col(lang_col).cast("string").alias("lang"),
-            F.col(text_col).cast("string").alias("text"),
-            F.xxhash64(F.col(id_col), F.lit("language")).alias("h"),
-        )
-        .filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .withColumn("n", F.row_number().over(rank))
-        .filter(F.col("n") <= SAMPLE_DOCUMENTS)
-        .select("lang", "text")
-    )
+    """Training windows (lang, window): of each language about SAMPLE_DOCUMENTS documents that are `chosen`.
+
+    A hash of the id decides, against a share for each language, so no language is brought together.
+    """
+    lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
+    labelled = docs.filter(chosen & lang.isNotNull())
+    counts = labelled.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).collect()  # a row for each language
+    shares = [F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE_DOCUMENTS / r["n"]))] or [F.lit(""), F.lit(0.0)]
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 40)) / float(1 << 40)
+    picked = labelled.filter(place < F.element_at(F.create_map(*shares), lang))
+    texts = picked.select(lang.alias("lang"), text.alias("text")).filter(F.col("text").rlike(r"\p{L}"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,9 @@ from callytics.llm import fingerprints as fp
 
 
 def paragraphs(text):
-    return {p for p in re.findall(rf"[^\n.!?]{{0,{fp.PARAGRAPH}}}[\n.!?]*", text or "") if p}
+    found = re.findall(fp.PARAGRAPH, text or "")
+    assert "".join(found) == (text or "")
+    return set(found)
 
 
 def likeness(a, b):
@@ -63,7 +65,8 @@ def test_edited_texts_and_likeness(spark, docs):
 
 
 def differences(spark, a, b):
-    rows = fp.compare(fp.fingerprint(spark.createDataFrame([(a, b)], "text string, b string")), "own", "b", "other")
+    texts = fp.fingerprint(spark.createDataFrame([(a, b)], "text string, b string"))
+    rows = fp.compare(fp.fingerprint(texts, "b", "other"), "own", "other")
     r = rows.withColumns({f"h_{n}": F.expr(fp.keys_of(n)) for n in ("text", "b")}).first()
     return {(d["k"], d["s"]) for d in r["other_diff"]}, set(r["h_text"]), set(r["h_b"])
 
