@@ -124,9 +124,8 @@ def clock_history(events: DataFrame, agent: str, limit: int | str | None = None)
     return page(mine, [F.desc("event_at"), F.desc("id")], limit)
 
 
-def clock_history_all(events: DataFrame, limit: int | str | None = None) -> DataFrame:
-    """The newest events of every agent; Spark keeps `limit` per agent before the shuffle."""
-    limit = clamp(limit, 1, HISTORY_LIMIT, HISTORY_DEFAULT)
+def clock_history_all(events: DataFrame, limit: int = HISTORY_DEFAULT) -> DataFrame:
+    """The newest `limit` events of every agent; Spark keeps as many per agent before the shuffle."""
     newest = Window.partitionBy(*KEYS).orderBy(F.desc("event_at"), F.desc("id"))
     ranked = events.select(*KEYS, *_HISTORY).withColumn("position", F.row_number().over(newest))
     return ranked.filter(F.col("position") <= limit)

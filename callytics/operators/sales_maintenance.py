@@ -15,6 +15,7 @@ from callytics.operators.sales_ingest import resolve_catalog
 from callytics.plans.lineage import cut
 from callytics.sources.schemas import BILLING_PERIODS
 
+# Fixed value: the notes of sales that a reload replaces.
 RELOAD_TAG = "mock_dashboard_seed"
 
 _FIELDS = [
@@ -39,6 +40,11 @@ class Updated(NamedTuple):
 
 def _judged_patches(patches: DataFrame) -> DataFrame:
     """Patches with parsed fields and the code of the first rule they fail; null = not supplied."""
+    texts = ["company_code", "product_code", "client_name", "amount", "currency", "billing_period", "signature_input", "notes"]
+    seq = F.col("seq").cast("long") if "seq" in patches.columns else F.lit(0).cast("long")
+    # An empty text is no value; notes may be empty, and an empty amount is a wrong one.
+    given = [F.col(c).cast("string") for c in texts if c not in ("amount", "notes")]
+    empty = F.exists(F.array(*given), lambda v: F.coalesce(v == "", F.lit(False)))
     parsed = parse_signature(with_cents(patches, "amount", "amount_cents"), "signature_input")
     given = parsed.select(
         "id",
@@ -55,9 +61,13 @@ def _judged_patches(patches: DataFrame) -> DataFrame:
         "sold_at",
         "notes",
         F.coalesce("notes_set", F.lit(False)).alias("notes_set"),
+        # No two fields of patches at one instant come from different ones: the row itself breaks ties.
+        F.struct("patched_at", seq.alias("seq"), F.xxhash64(*texts).alias("tie")).alias("_order"),
+        empty.alias("_empty"),
     )
     error = (
         F.when(~F.col("billing_period").isin(*BILLING_PERIODS), "invalid_body")
+        .when(F.col("_empty") | (F.col("currency") == ""), "invalid_body")
         .when(F.col("company_code") == "", "invalid_company")
         .when(F.col("product_code") == "", "invalid_product")
         .when(F.col("_signed") & F.col("signature.signature_status").isNull(), "invalid_signature_input")
@@ -72,9 +82,9 @@ def _judged_patches(patches: DataFrame) -> DataFrame:
 def _merged(patches: DataFrame) -> DataFrame:
     """All patches of a sale as one: each field from the last patch that supplies it."""
     last = [
-        F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("patched_at"))).alias(f"_{f}") for f in _FIELDS
+        F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("_order"))).alias(f"_{f}") for f in _FIELDS
     ]
-    noted = F.when(F.col("notes_set"), F.col("patched_at"))
+    noted = F.when(F.col("notes_set"), F.col("_order"))
     notes = F.max_by(F.struct("notes"), noted).alias("_note")
     return patches.groupBy("id").agg(*last, notes, F.max("notes_set").alias("_noted"))
 
@@ -85,8 +95,9 @@ def sales_update(
     """Apply partial updates by id.
 
     `patches`: id, patched_at, company_code, product_code, client_name, amount, currency,
-    billing_period, signature_input, sold_at, notes, notes_set. Null fields keep the stored
-    value; notes are replaced, also by null, when `notes_set` is true.
+    billing_period, signature_input, sold_at, notes, notes_set, and `seq` where several can have one
+    time. Null fields keep the stored value, empty ones are refused; notes are replaced, also by null, when
+    `notes_set` is true. Of patches at one time without `seq` one, the same for all fields, counts as the last.
     """
     judged = _judged_patches(patches)
     rejected = judged.filter(F.col("error").isNotNull()).select("id", "patched_at", "error")

@@ -47,11 +47,9 @@ def stage_name(rank: Column) -> Column:
     return F.get(F.array(*[F.lit(s) for s in STAGES]), rank)
 
 
-def groups_from(vocabulary: DataFrame, limit: int = 10_000) -> dict[str, list[str]]:
-    """Keyword groups from a small (group, position, keyword) table; refused beyond `limit` rows."""
-    rows = vocabulary.orderBy("group", "position").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a vocabulary has at most {limit} keywords")
+def groups_from(vocabulary: DataFrame) -> dict[str, list[str]]:
+    """Keyword groups from a (group, position, keyword) table, which becomes part of the plan."""
+    rows = vocabulary.orderBy("group", "position").collect()
     groups: dict[str, list[str]] = {}
     for row in rows:
         groups.setdefault(row["group"], []).append(row["keyword"])

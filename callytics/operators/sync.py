@@ -43,11 +43,14 @@ def write_clock_export(export: DataFrame, path: str, rows_per_file: int = 1_000_
 def apply_sync_results(events: DataFrame, results: DataFrame) -> DataFrame:
     """Mark exported events as synced and keep the error of failed ones.
 
-    `results` holds at most one row per event: id, ok, error.
+    `results`: id, ok, error, and `at` where an event can have several. One success marks the event; its error is that of
+    the last failure, the greatest text among equal times.
     """
-    told = results.select("id", F.col("ok").alias("_ok"), F.col("error").alias("_error"))
+    at = F.col("at") if "at" in results.columns else F.lit(0)
+    failure = F.when(~F.col("ok"), F.struct(at.alias("at"), F.col("error")))
+    told = results.groupBy("id").agg(F.bool_or("ok").alias("_ok"), F.max(failure).alias("_failure"))
     synced = F.when(F.col("_ok"), F.lit(True)).otherwise(F.col("sheets_synced"))
-    error = F.when(~F.col("_ok"), F.col("_error")).otherwise(F.col("sheets_error"))
+    error = F.when(F.col("_failure").isNotNull(), F.col("_failure.error")).otherwise(F.col("sheets_error"))
     return (
         events.join(told, "id", "left")
         .withColumns({"sheets_synced": synced, "sheets_error": error})

@@ -69,7 +69,8 @@ def agents(spark: SparkSession, folder: str) -> DataFrame:
 
 def _product_id() -> Column:
     position = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment"))
-    return F.col("c_nationkey").cast("long") * 10 + position
+    unknown = F.raise_error(F.concat(F.lit("unknown segment "), F.coalesce("c_mktsegment", F.lit("null")))).cast("long")
+    return F.col("c_nationkey").cast("long") * 10 + F.when(position > 0, position).otherwise(unknown)
 
 
 def companies(spark: SparkSession, folder: str) -> DataFrame:

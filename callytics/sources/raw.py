@@ -37,7 +37,14 @@ def load_raw(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(RAW_TABLES[table]).parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
-def stream_raw(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """The same as a stream of files."""
-    reader = spark.readStream.schema(RAW_TABLES[table]).option("pathGlobFilter", f"{table}.parquet")
-    return reader.parquet(folder)
+def stream_raw(
+    spark: SparkSession, folder: str, table: str, max_bytes: int = 1 << 30, max_files: int | None = None
+) -> DataFrame:
+    """The same as a stream: of the table's file, or of the files in its folder, oldest first.
+
+    `max_bytes` and `max_files` bound what a micro-batch takes in, and with it the rows of a key.
+    """
+    path = f"{folder.rstrip('/')}/{table}.parque[t]"  # a pattern: only by one may a stream read a single file
+    reader = spark.readStream.schema(RAW_TABLES[table])
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader.option("maxBytesPerTrigger", max_bytes)
+    return reader.parquet(path)

@@ -12,10 +12,19 @@ from callytics.sources.schemas import schema
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A model table from Parquet, with its declared schema (no inference)."""
+    """A model table from Parquet, with its declared schema (no inference); `load_current` reads versioned ones."""
     return spark.read.schema(schema(table)).parquet(f"{folder.rstrip('/')}/{table}")
 
 
+def load_current(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The newest version of a table written by `write_version` with rising numbers."""
+    path = f"{folder.rstrip('/')}/{table}"
+    declared = schema(table)
+    newest = spark.read.schema(f"{declared.simpleString()[7:-1].replace(':', ' ')}, version long").parquet(path)
+    version = newest.agg(F.max("version")).first()[0]
+    return spark.read.schema(declared).parquet(f"{path}/version={version}")
+
+
 def load_jdbc(
     spark: SparkSession,
     url: str,
@@ -75,12 +84,19 @@ def write_version(df: DataFrame, folder: str, table: str, version: int | str) ->
 
 
 def append_new(df: DataFrame, path: str, keys: Sequence[str], ts: Column) -> None:
-    """Append the rows whose key is not stored yet, by day. Running it again adds nothing."""
+    """Append the rows whose key is not stored yet, by day, each key once: of rows with one key the least row.
+
+    Running it again adds nothing.
+    """
     dated = df.withColumn("day", F.to_date(ts))
+    row = F.struct(*[F.col(c) for c in dated.columns if c not in keys and c != "day"])
+    dated = dated.groupBy("day", *keys).agg(F.min(row).alias("_row")).select("day", *keys, "_row.*").select(*dated.columns)
     try:
         stored = df.sparkSession.read.schema(dated.schema).parquet(path)
-    except AnalysisException:  # nothing is stored yet
-        new = dated
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        new = dated  # nothing is stored yet
     else:
         new = dated.join(stored.select("day", *keys), ["day", *keys], "left_anti")
     # Even out the files of a day; a large day is split over several tasks.

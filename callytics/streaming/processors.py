@@ -19,8 +19,9 @@ CHUNK = 10_000
 
 
 def in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """The key's rows of this micro-batch, which the trigger's intake limit bounds."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
+    """The key's rows of this micro-batch, which the source's intake limit bounds; ticks are left out."""
+    parts = [part[~part["tick"].astype(bool)] if "tick" in part else part for part in rows]
+    return pd.concat(parts, ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
 
 
 class KeyedState(StatefulProcessor):
@@ -86,6 +87,8 @@ class StageState(KeyedState):
 
     def handleInputRows(self, key, rows, timerValues):
         batch = in_order(rows, ["ts", "seq"])
+        if batch.empty:
+            return
         stage, set_at = self.state.get() if self.state.exists() else (IDLE, 0)
         previous, after, stage, set_at = expiring_stages(
             batch["ts"].tolist(), batch["rank"].tolist(), self.ttl_ms, stage, set_at
@@ -101,13 +104,13 @@ class StageState(KeyedState):
 
 
 class SilenceState(KeyedState):
-    """Last frame of a session, or the time it was closed; later frames are rejected.
+    """Last frame of a session, or that it was closed; later frames are rejected.
 
-    A closed session is remembered for `retain_ms`.
+    A closed session is remembered for good: two numbers each.
     """
 
-    def __init__(self, gap_ms: int, retain_ms: int) -> None:
-        self.gap_us, self.retain_ms = gap_ms * 1000, retain_ms
+    def __init__(self, gap_ms: int) -> None:
+        self.gap_us = gap_ms * 1000
 
     def init(self, handle):
         super().init(handle)
@@ -117,16 +120,20 @@ class SilenceState(KeyedState):
         return pd.DataFrame({"session_id": key[0], "outcome": outcome, "us": us})
 
     def _close(self, last: int) -> int:
-        end = last + self.gap_us
         self.state.update((last, True))
-        self.wake_at(end // 1000 + self.retain_ms)
-        return end
+        return last + self.gap_us
 
     def handleInputRows(self, key, rows, timerValues):
         frames = in_order(rows, ["us"])["us"]
+        if frames.empty:
+            return
         last, closed = self.state.get() if self.state.exists() else (None, False)
         rejected = frames if closed else frames[:0]
         if not closed:
+            if last is not None:  # older frames change nothing
+                frames = frames[frames >= last].reset_index(drop=True)
+                if frames.empty:
+                    return
             before = frames.shift(fill_value=frames.iloc[0] if last is None else last)
             gaps = (frames - before) > self.gap_us
             if gaps.any():
@@ -143,9 +150,7 @@ class SilenceState(KeyedState):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         last, closed = self.state.get()
-        if closed:
-            self.state.clear()
-        else:
+        if not closed:
             yield self._rows(key, "closed", [self._close(last)])
 
 
@@ -161,6 +166,8 @@ class RecentState(KeyedState):
 
     def handleInputRows(self, key, rows, timerValues):
         batch = in_order(rows, ["ts", "seq"])
+        if batch.empty:
+            return
         kept = [tuple(r) for r in self.lines.get()] if self.lines.exists() else []
         excerpts = []
         for ts, line in zip(batch["ts"].tolist(), batch["line"]):
@@ -181,13 +188,13 @@ class TranscriptState(KeyedState):
     """Buffered turns of a call, given out when it ends.
 
     Outcomes: `stored` at the end, `expired` when nothing was added for `ttl_ms`, `late`
-    for turns after the end, which is remembered for `retain_ms`.
+    for turns after the end, which is remembered for good.
     """
 
     TURN = ["seq", "speaker", "channel", "text", "ts"]
 
-    def __init__(self, ttl_ms: int, retain_ms: int) -> None:
-        self.ttl_ms, self.retain_ms = ttl_ms, retain_ms
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
 
     def init(self, handle):
         super().init(handle)
@@ -209,6 +216,8 @@ class TranscriptState(KeyedState):
 
     def handleInputRows(self, key, rows, timerValues):
         batch = in_order(rows, ["ts", "ends", "seq"])
+        if batch.empty:
+            return
         pushed, ended = self.mark.get() if self.mark.exists() else (None, False)
         fresh: list[tuple] = []
         late: list[tuple] = []
@@ -233,9 +242,10 @@ class TranscriptState(KeyedState):
         yield from self._given(key, late, "late")
         if pushed is not None:
             self.mark.update((pushed, ended))
-            self.wake_at(pushed + (self.retain_ms if ended else self.ttl_ms))
+            if not ended:
+                self.wake_at(pushed + self.ttl_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if not self.mark.get()[1]:
             yield from self._flush(key, "expired")
-        self.mark.clear()
+            self.mark.clear()

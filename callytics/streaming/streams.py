@@ -1,20 +1,23 @@
 """Streaming forms of the operators: streaming DataFrame in, streaming DataFrame out.
 
 Stateful streams need the RocksDB state store (`prepare_streaming`). Each key is served
-by one task, so hot keys are bounded by the intake limit of the trigger.
+by one task, so hot keys are bounded by the intake limit of the source.
+
+No row is dropped for being late. The watermark only moves the timers on: it stands on a second
+copy of each row without its texts (a tick), which Spark may drop when late, while the row itself
+carries no event time and always reaches its key's state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callytics.functions.time import ms_to_timestamp
 from callytics.operators import stages, transcripts
 from callytics.plans.keyed import latest_per_key
-from callytics.plans.slices import DAY
 from callytics.session import prepare
 from callytics.sources.schemas import KEYWORD_GROUPS
 from callytics.sources.tables import write_version
@@ -51,12 +54,20 @@ def _stateful(df: DataFrame, key: str, processor, schema: str, time_mode: str =
     )
 
 
-def _by_event_time(df: DataFrame, delay: str) -> DataFrame:
-    """Add the event time of a `ts` in milliseconds, with its watermark.
+def _timed(df: DataFrame, key: str, at: Column, delay: str) -> DataFrame:
+    """The rows without event time, and their ticks, which move the watermark.
 
     Done per input, so that time moves on with the slower one of two inputs.
     """
-    return df.withColumn("event_time", ms_to_timestamp(F.col("ts"))).withWatermark("event_time", delay)
+    narrow = [f.name for f in df.schema.fields if f.name == key or f.dataType.typeName() != "string"]
+    ticks = df.select(*narrow, at.alias("event_time")).withWatermark("event_time", delay).withColumn("tick", F.lit(True))
+    rows = df.withColumn("event_time", F.lit(None).cast("timestamp")).withColumn("tick", F.lit(False))
+    return ticks.unionByName(rows, allowMissingColumns=True)
+
+
+def _by_event_time(df: DataFrame, delay: str) -> DataFrame:
+    """Rows of sessions with a `ts` in milliseconds, and their ticks."""
+    return _timed(df, "session_id", ms_to_timestamp(F.col("ts")), delay)
 
 
 def stream_clock(attempts: DataFrame) -> DataFrame:
@@ -142,13 +153,14 @@ def stream_silence(
     heartbeats: DataFrame,
     gap_seconds: int = transcripts.SILENCE_SECONDS,
     delay: str = DELAY,
-    retain_seconds: int = DAY,
 ) -> DataFrame:
-    """(session_id, outcome, at): `closed` at the end of the first gap, `rejected` for later frames."""
-    frames = heartbeats.withWatermark("ts", delay).select(
-        "session_id", "ts", F.unix_micros("ts").alias("us")
-    )
-    processor = SilenceState(gap_seconds * 1000, retain_seconds * 1000)
+    """(session_id, outcome, at): `closed` at the end of the first gap, `rejected` for later frames.
+
+    A closed session stays closed. Frames older than the last one of an open session change nothing.
+    """
+    frames = _timed(heartbeats.select("session_id", "ts", F.unix_micros("ts").alias("us")), "session_id", F.col("ts"), delay)
+    frames = frames.select("session_id", "event_time", "tick", "us")
+    processor = SilenceState(gap_seconds * 1000)
     told = _stateful(frames, "session_id", processor, "session_id string, outcome string, us bigint")
     return told.select("session_id", "outcome", F.timestamp_micros("us").alias("at"))
 
@@ -171,12 +183,11 @@ def stream_transcripts(
     ends: DataFrame,
     ttl_seconds: int = BUFFER_TTL_SECONDS,
     delay: str = DELAY,
-    retain_seconds: int = DAY,
 ) -> DataFrame:
     """Turns with their outcome: stored at the end of the session, expired or late.
 
     `ends` is a stream of (session_id, ended_at). The `stored` rows are the transcript, the
-    others a side table.
+    others a side table. An ended session stays ended.
     """
     said = turns.select(
         "session_id", "seq", "speaker", "channel", "text", "ts", F.lit(False).alias("ends")
@@ -185,7 +196,7 @@ def stream_transcripts(
         "session_id", F.unix_millis("ended_at").alias("ts"), F.lit(True).alias("ends")
     )
     both = _by_event_time(said, delay).unionByName(_by_event_time(ended, delay), allowMissingColumns=True)
-    processor = TranscriptState(ttl_seconds * 1000, retain_seconds * 1000)
+    processor = TranscriptState(ttl_seconds * 1000)
     schema = (
         "session_id string, seq bigint, speaker string, channel smallint, text string, ts bigint, outcome string"
     )

@@ -628,3 +628,7 @@ Q["append_defaults"] = f"""
   select {_ID} id, session_id, text question, '' answer, {NOW} asked_at from turns where speaker = 'cliente'"""
 
 ORACLES: dict[str, str] = {name: sql(query) for name, query in Q.items()}
+
+# The same rows whichever keys count as hot.
+for _name in ("clock_validate", "clock_shifts", "stage_progression", "stage_progression_ttl"):
+    ORACLES[f"{_name}_hot"] = ORACLES[_name]

@@ -22,6 +22,7 @@ from callytics.operators import (
     transcripts,
 )
 from callytics.plans.keyed import upsert
+from callytics.plans.slices import Spread
 from callytics.session import checkpoint_root, prepare
 from callytics.sources import bindings as b
 from callytics.sources.raw import stream_raw
@@ -752,7 +753,7 @@ def stream_stages(spark, folder):
 def stream_silence(spark, folder):
     streams.prepare_streaming(spark)
     heartbeats = b.event_heartbeats(spark, folder, stream_raw)
-    return _replayed(spark, streams.stream_silence(heartbeats, 7_200, retain_seconds=7_776_000))
+    return _replayed(spark, streams.stream_silence(heartbeats, 7_200))
 
 
 @query
@@ -778,3 +779,31 @@ def append_defaults(spark, folder):
     now = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
     append(asked, path, "questions", {"answer": "", "asked_at": now})
     return load(spark, path, "questions")
+
+
+# The plan for hot keys, with so low a bound that many keys of the given tables count as hot
+
+HOT_EVENTS, HOT_TURNS = Spread(hot_rows=50), Spread(hot_rows=3, seconds=60)
+
+
+@query
+def clock_validate_hot(spark, folder):
+    judged = attendance.clock_validate(b.clock_attempts(spark, folder), spread=HOT_EVENTS)
+    return judged.select("id", "agent_id", "action", "event_at", "accepted", "error", "last_action", "last_at")
+
+
+@query
+def clock_shifts_hot(spark, folder):
+    return attendance.clock_shifts(b.clock_events(spark, folder), FROM, TO, HOT_EVENTS)
+
+
+@query
+def stage_progression_hot(spark, folder):
+    progress = stages.stage_progression(b.turns(spark, folder), b.GROUPS, spread=HOT_TURNS)
+    return progress.select("session_id", "seq", "previous_stage", "stage", "changed")
+
+
+@query
+def stage_progression_ttl_hot(spark, folder):
+    starts = b.session_starts(spark, folder)
+    return stages.stage_progression_ttl(b.turns(spark, folder), starts, b.GROUPS, TTL_SECONDS, HOT_TURNS)

@@ -182,7 +182,12 @@ def test_updates_merge_and_reject(spark):
             (1, at.format(28), None, None, "  Zoe ", "12.5", None, None, None, None, None, None),
             (1, at.format(29), None, "wl", None, None, " eur", None, "1/8/2026", None, None, True),
             (2, at.format(28), None, None, None, "0", None, None, None, None, None, None),
-            (2, at.format(29), None, None, None, None, None, "year", "", None, "kept", False),
+            (2, at.format(29), None, None, None, None, None, "year", None, None, "kept", False),
+            (3, at.format(28), None, None, None, None, "", None, None, None, None, None),
+            (3, at.format(28), None, None, None, None, " ", None, None, None, None, None),
+            (3, at.format(28), None, None, None, None, None, None, "", None, None, None),
+            (4, at.format(28), None, None, "Ana", "10", None, None, None, None, "from Ana", True),
+            (4, at.format(28), None, None, "Eva", "20", None, None, None, None, "from Eva", True),
             (99, at.format(28), None, None, "X", None, None, None, None, None, None, None),
         ],
         names,
@@ -197,7 +202,10 @@ def test_updates_merge_and_reject(spark):
     assert after[2].amount_cents == 17_500 and len(after) == 30
     assert after[3] == {r.id: r for r in sales.collect()}[3]
     assert [r.id for r in done.missing.collect()] == [99]
-    assert [(r.id, r.error) for r in done.rejected.collect()] == [(2, "invalid_amount")]
+    four = after[4]  # one of two patches at one time, whole
+    assert (four.client_name, four.amount_cents, four.notes) in (("Ana", 1_000, "from Ana"), ("Eva", 2_000, "from Eva"))
+    rejected = sorted((r.id, r.error) for r in done.rejected.collect())
+    assert rejected == [(2, "invalid_amount")] + [(3, "invalid_body")] * 3
 
 
 def test_delete_and_reload(spark):

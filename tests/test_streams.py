@@ -114,3 +114,93 @@ def test_buffer_survives_a_restart(spark, replay, tmp_path):
         **{("s1", n): "stored" for n in range(10)},
         **{("s2", n): "expired" if n < 6 else "stored" for n in range(10)},
     }
+
+
+def test_late_rows_are_judged(spark, replay):
+    """Rows that arrive an hour of event time late, one file per micro-batch: as many rows out as in."""
+    source, run = replay
+    turns = fx.call(spark)
+    late = turns.filter("seq in (2, 5)").withColumn("order", F.lit(99))
+    arriving = turns.filter("seq not in (2, 5)").withColumn("order", F.col("seq"))
+    far = turns.filter("seq = 0").withColumns(
+        {"session_id": F.lit("other"), "ts": F.col("ts") + 7_200_000, "order": F.lit(50)}
+    )
+    rows = arriving.unionByName(far).unionByName(late)
+    stream = source(rows, "turns", ["order", "seq"], 1).drop("order")
+    got = run(streams.stream_stages(stream))
+    assert got.count() == turns.count() + 1
+
+
+def test_late_lines(spark, replay):
+    source, run = replay
+    turns = fx.call(spark)
+    late = turns.filter("seq = 3").withColumn("order", F.lit(99))
+    far = turns.filter("seq = 0").withColumns({"session_id": F.lit("x"), "ts": F.col("ts") + 7_200_000, "order": F.lit(50)})
+    rows = turns.filter("seq <> 3").withColumn("order", F.col("seq")).unionByName(far).unionByName(late)
+    got = run(streams.stream_recent(source(rows, "turns", ["order"], 1).drop("order"))).collect()
+    assert sorted((r.session_id, r.seq) for r in got) == sorted([("s1", n) for n in range(10)] + [("x", 0)])
+
+
+def test_late_turns_of_an_ended_session(spark, replay):
+    source, run = replay
+    turns = fx.call(spark)
+    last = turns.agg(F.max("ts")).first()[0]
+    late = turns.filter("seq in (1, 4)").withColumn("order", F.lit(99))
+    far = turns.filter("seq = 0").withColumns({"session_id": F.lit("x"), "ts": F.col("ts") + 90_000_000, "order": F.lit(50)})
+    rows = turns.filter("seq not in (1, 4)").withColumn("order", F.col("seq")).unionByName(far).unionByName(late)
+    ends = source(_ends(spark, ("s1", last + 1_000), ("x", last + 90_000_000)), "ends", ["ended_at"], 100)
+    got = run(streams.stream_transcripts(source(rows, "turns", ["order"], 3).drop("order"), ends)).collect()
+    outcome = {(r.session_id, r.seq): r.outcome for r in got}
+    assert len(got) == len(outcome) == 11
+    assert outcome["s1", 1] == outcome["s1", 4] == "late"
+
+
+def test_late_frames_after_the_close(spark, replay):
+    source, run = replay
+    beats = spark.createDataFrame(
+        [(0, "a", 0), (1, "a", 30), (2, "b", 500_000), (3, "b", 500_010), (4, "a", 20), (5, "a", 200_000)], "n int, session_id string, s bigint"
+    ).select("n", "session_id", F.timestamp_seconds("s").alias("ts"))
+    got = run(streams.stream_silence(source(beats, "beats", ["n"], 1).drop("n")))
+    rows = [(r.session_id, r.outcome, r.at.timestamp()) for r in got.collect() if r.session_id == "a"]
+    assert sorted(rows) == [("a", "closed", 90.0), ("a", "rejected", 20.0), ("a", "rejected", 200_000.0)]
+
+
+@pytest.fixture(scope="module")
+def folder_tables(spark, tmp_path_factory):
+    """The given tables, events and conversations as folders of four files in order of time."""
+    import os
+    import shutil
+
+    given, out = "/root/testdata/sf0.001", str(tmp_path_factory.mktemp("tables"))
+    for name in os.listdir(given):
+        table = name.removesuffix(".parquet")
+        if table not in ("events", "conversations"):
+            shutil.copy(f"{given}/{name}", out)
+            continue
+        df = spark.read.parquet(f"{given}/{name}")
+        order = "ts" if table == "events" else "conv_id"
+        bounds = df.approxQuantile("event_id" if table == "events" else order, [0.25, 0.5, 0.75], 0)
+        key = F.col("event_id" if table == "events" else order)
+        low = None
+        for high in [*bounds, None]:
+            part = df if low is None else df.filter(key > low)
+            part = part if high is None else part.filter(key <= high)
+            part.orderBy(order).coalesce(1).write.mode("append").parquet(f"{out}/{name}")
+            low = high
+    return out
+
+
+@pytest.mark.parametrize("name", ["stream_clock", "stream_stages", "stream_silence", "stream_recent", "stream_transcripts"])
+def test_folder_tables_in_several_batches(spark, folder_tables, name, monkeypatch):
+    from callytics.sources import bindings, raw
+    from queries import QUERIES
+
+    def one_file(spark, folder, table):
+        return raw.stream_raw(spark, folder, table, max_files=1)
+
+    monkeypatch.setattr(bindings, "stream_raw", one_file)
+    monkeypatch.setitem(QUERIES[name].__wrapped__.__globals__ if hasattr(QUERIES[name], "__wrapped__") else QUERIES[name].__globals__, "stream_raw", one_file)
+    got = sorted(map(tuple, QUERIES[name](spark, folder_tables).collect()), key=repr)
+    monkeypatch.undo()
+    want = sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=repr)
+    assert got == want and got

@@ -105,3 +105,38 @@ def test_cut_keeps_rows_and_schema(spark):
     sales = fx.sales(spark)
     again = cut(sales, "sales")
     assert again.schema.simpleString() == sales.schema.simpleString() and again.count() == 30
+
+
+def test_newest_version_is_read_alone(spark, tmp_path):
+    from callytics.sources.tables import load_current, write_version
+
+    def follow_ups(label):
+        return spark.createDataFrame([("IMM", label, True)], "code string, label string, active boolean")
+
+    for version, label in enumerate(["old", "new"]):
+        write_version(follow_ups(label), str(tmp_path), "followup_codes", version)
+    assert [r.label for r in load_current(spark, str(tmp_path), "followup_codes").collect()] == ["new"]
+
+
+def test_rows_repeated_in_a_batch_are_stored_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from callytics.sources.tables import append_new
+
+    path = str(tmp_path / "turns")
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("a", 1, "w"), ("a", 2, "y")], "session_id string, seq int, text string")
+    for _ in range(2):
+        append_new(rows, path, ["session_id", "seq"], F.to_timestamp(F.lit("2024-01-01")))
+    assert sorted((r.seq, r.text) for r in spark.read.parquet(path).collect()) == [(1, "w"), (2, "y")]
+
+
+def test_several_results_of_one_event(spark):
+    from callytics.operators.sync import apply_sync_results
+
+    events = spark.createDataFrame([(1, False, None), (2, False, "old"), (3, False, "kept")], "id int, sheets_synced boolean, sheets_error string")
+    results = spark.createDataFrame(
+        [(1, False, "late", 2), (1, True, None, 3), (1, False, "early", 1), (2, True, None, 1), (2, True, None, 1)],
+        "id int, ok boolean, error string, at int",
+    )
+    got = {r.id: (r.sheets_synced, r.sheets_error) for r in apply_sync_results(events, results).collect()}
+    assert got == {1: (True, "late"), 2: (True, "old"), 3: (False, "kept")}
