@@ -79,6 +79,16 @@ def _judged_patches(patches: DataFrame) -> DataFrame:
     return given.select("*", F.explode_outer(F.array(error)).alias("error")).withColumn("signature", signature)
 
 
+def rejected_patches(patches: DataFrame) -> DataFrame:
+    """(id, patched_at, error) of the patches that break a rule."""
+    return _judged_patches(patches).filter(F.col("error").isNotNull()).select("id", "patched_at", "error")
+
+
+def missing_patches(sales: DataFrame, patches: DataFrame) -> DataFrame:
+    """Ids of patches that match no sale."""
+    return patches.select("id").distinct().join(sales.select("id"), "id", "left_anti")
+
+
 def _merged(patches: DataFrame) -> DataFrame:
     """All patches of a sale as one: each field from the last patch that supplies it."""
     last = [
@@ -99,10 +109,8 @@ def sales_update(
     time. Null fields keep the stored value, empty ones are refused; notes are replaced, also by null, when
     `notes_set` is true. Of patches at one time without `seq` one, the same for all fields, counts as the last.
     """
-    judged = _judged_patches(patches)
-    rejected = judged.filter(F.col("error").isNotNull()).select("id", "patched_at", "error")
-    merged = _merged(judged.filter(F.col("error").isNull()))
-    missing = patches.select("id").distinct().join(sales.select("id"), "id", "left_anti")
+    missing, rejected = missing_patches(sales, patches), rejected_patches(patches)
+    merged = _merged(_judged_patches(patches).filter(F.col("error").isNull()))
 
     company = companies.select(F.col("id").alias("company_id"), F.col("code").alias("_company_now"))
     product = products.select(F.col("id").alias("product_id"), F.col("code").alias("_product_now"))

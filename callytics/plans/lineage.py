@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from callytics.session import checkpoint_root
 
+_open_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that `cut` writes inside, once the caller has written what it built on them."""
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in map(jvm.org.apache.hadoop.fs.Path, _open_scopes.pop()):
+            path.getFileSystem(conf).delete(path, True)
+
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and read it back.
 
     For results several plans build on: they are computed once, survive the loss of an
-    executor, and give Spark their true size for choosing joins.
+    executor, and give Spark their true size for choosing joins. Inside a `scope` the table is
+    removed at its end.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -447,12 +447,12 @@ def sales_update(spark, folder):
 
 @query
 def sales_update_missing(spark, folder):
-    return _update(spark, folder).missing
+    return sales_maintenance.missing_patches(b.sales(spark, folder), b.sale_patches(spark, folder))
 
 
 @query
 def sales_update_rejected(spark, folder):
-    return _update(spark, folder).rejected
+    return sales_maintenance.rejected_patches(b.sale_patches(spark, folder))
 
 
 def _delete(spark, folder):

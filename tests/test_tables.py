@@ -140,3 +140,15 @@ def test_several_results_of_one_event(spark):
     )
     got = {r.id: (r.sheets_synced, r.sheets_error) for r in apply_sync_results(events, results).collect()}
     assert got == {1: (True, "late"), 2: (True, "old"), 3: (False, "kept")}
+
+
+def test_a_scope_removes_its_tables(spark):
+    from callytics.plans.lineage import cut, scope
+
+    with scope(spark):
+        kept = cut(spark.range(5).toDF("id"), "five")
+        path = kept.inputFiles()[0]
+        assert kept.count() == 5
+    import os
+
+    assert not os.path.exists(os.path.dirname(path.removeprefix("file://")))
