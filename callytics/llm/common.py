@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,19 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_memory: dict[str, object] = {}
+
+
+def worker_memory(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker remembers between tasks, made once. It keeps one such memory: a worker that serves another
+    operator gives up the earlier one, so memories of several operators never add up."""
+    if name not in _memory:
+        _memory.clear()
+        gc.collect()
+        _memory[name] = make()
+    return _memory[name]
+
+
 def partitions_of(spark: SparkSession) -> int:
     """The session's shuffle width; it is set by the amount of data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

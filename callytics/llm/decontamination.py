@@ -16,13 +16,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from callytics.llm.common import short_batches, stored
+from callytics.llm.common import short_batches, stored, worker_memory
 from callytics.llm.words import REMEMBERED, mix
 
 WIDTH = 5
@@ -74,9 +73,8 @@ class Tokens(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def _tokens() -> Tokens:
-    return Tokens()
+    return worker_memory("raw tokens", Tokens)
 
 
 def canonical(texts: list[str | None]) -> tuple[np.ndarray, ...]:

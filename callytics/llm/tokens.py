@@ -10,10 +10,11 @@ the memory of the worker.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from callytics.llm.common import worker_memory
+
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
 #: White space other than blank, tab and line ends. A run that ends in one is not cut after it.
@@ -28,8 +29,8 @@ SEGMENT = re.compile(
 SAFE_CUT = re.compile(rf"(?<=[^ \t\n\r{_OTHER_SPACE}])(?=[ \t\n\r])")
 
 #: Segments a worker remembers, twice: when full, they become the old ones and are kept until it is full again. About
-#: 250 MB. Results do not depend on it.
-REMEMBERED = 700_000
+#: 200 MB. Results do not depend on it.
+REMEMBERED = 450_000
 #: Longer segments are not remembered.
 LONG = 64
 
@@ -77,7 +78,6 @@ class Encoder(dict):
         return len(self.ids(text)) // 4
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and tokenizer."""
-    return Encoder(path)
+    return worker_memory(f"tokens {path}", lambda: Encoder(path))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from callytics.llm.common import worker_memory
+
 #: A word is a longest run of letters and digits, in lower case. The same set as Java's [\\p{L}\\p{N}]+.
 WORD = re.compile(r"[^\W_]+")
 HAS_WORD = r"[\p{L}\p{N}]"
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 class Hashes(dict):
@@ -26,9 +27,8 @@ class Hashes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def hashes() -> Hashes:
-    return Hashes()
+    return worker_memory("words", Hashes)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
