@@ -14,7 +14,9 @@ Equal texts are one text from the start, so groups of copies cost nothing. Bands
 buckets. Every text is compared with the least of the least texts of its buckets; then, where these links leave different
 classes, with the least text of each of its buckets, and in each bucket with its NEAR predecessors in the order of the
 next components. So buckets of up to NEAR + 1 texts are compared whole, and in larger ones the texts that agree furthest
-stand side by side. Each pair is checked on the whole multisets, so no wrong link remains.
+stand side by side. Larger buckets that still hold several classes are finished exactly: a pair that reaches the
+threshold shares one of the rarest windows of both, so texts of different classes are joined by these (prefix filter).
+Each pair is checked on the whole multisets, so no wrong link remains.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ SIZE = BANDS * ROWS
 NEAR = 8
 #: Texts of a bucket that are ordered by one task; larger buckets are split by their next component.
 BUCKET = 5_000
+#: Rows of one window that meet in one task on each side of the exact join.
+BLOCK = 1_000
+#: Bits of the table of window counts that orders windows by rarity. Any order gives the same links.
+COUNT_BITS = 20
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,6 +175,70 @@ def linked(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     return both.filter(common >= threshold * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
+def prefixes(bag: DataFrame, threshold: float) -> DataFrame:
+    """The rarest codes of each text of `bag` (k, label, codes): k, label, n (different codes), code, p (rank by rarity).
+
+    Two sets of m and n codes as similar as the threshold share at least o = t / (1 + t) (m + n) codes, hence one among
+    the first m - o + 1 of one and n - o + 1 of the other, in any order common to both. With the smallest partner that
+    is n - t n + 1 codes.
+    """
+    low = F.explode("codes").alias("code")
+    slots = bag.select(low).groupBy(F.col("code").bitwiseAND((1 << COUNT_BITS) - 1).alias("slot")).count().toPandas()
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[slots["slot"].to_numpy(np.int64)] = slots["count"].to_numpy(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                row, n, code, rank = [], [], [], []
+                for i, codes in enumerate(part.column(2)):
+                    own = np.unique(codes.values.to_numpy())
+                    own = own[np.lexsort((own, counts[own & ((1 << COUNT_BITS) - 1)]))]
+                    size = len(own) - int(np.ceil(threshold * len(own) - 1e-6)) + 1
+                    row.append(np.full(size, i))
+                    n.append(np.full(size, len(own), np.int32))
+                    code.append(own[:size].astype(np.int32))
+                    rank.append(np.arange(size, dtype=np.int32))
+                if not row:
+                    continue
+                at_row = pa.array(np.concatenate(row))
+                numbers = [pa.array(np.concatenate(x)) for x in (n, code, rank)]
+                columns = [part.column(0).take(at_row), part.column(1).take(at_row), *numbers]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "label", "n", "code", "p"])
+
+    return bag.mapInArrow(run, "k binary, label binary, n int, code int, p int")
+
+
+def prefix_pairs(bag: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of texts of `bag` (k, label, codes) with different labels that could reach the threshold."""
+    need = threshold / (1 + threshold)
+    rows = stored(prefixes(bag, threshold), "prefixes")
+    # The smaller text of a pair has its meeting code further in front.
+    front = F.col("p") <= F.col("n") - F.ceil(2 * need * F.col("n") - 1e-6)
+    count = rows.groupBy("code").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("texts"), F.sum(front.cast("int")).alias("fronts")
+    )
+    count = count.filter((F.col("low") != F.col("high")) & (F.col("fronts") > 0)).select(
+        "code", F.ceil(F.col("fronts") / BLOCK).alias("across"), F.ceil(F.col("texts") / BLOCK).alias("down")
+    )
+    met = stored(rows.join(count, "code"), "met")
+    # Frequent codes are cut into blocks: each row of one side meets each block of the other.
+    own = lambda n: F.pmod(F.xxhash64("k"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    small = met.filter(front).select("code", "k", "label", "n", "p", own("across").alias("i"), every("down").alias("j")).alias("s")
+    large = met.select("code", "k", "label", "n", "p", own("down").alias("j"), every("across").alias("i")).alias("l")
+    least = F.ceil(need * (F.col("s.n") + F.col("l.n")) - 1e-6)
+    could = (
+        (F.col("s.code") == F.col("l.code")) & (F.col("s.i") == F.col("l.i")) & (F.col("s.j") == F.col("l.j"))
+        & (F.col("s.label") != F.col("l.label"))
+        & ((F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.k") < F.col("l.k"))))
+        & (F.col("s.n") >= threshold * F.col("l.n") - 1e-6)
+        & (F.col("s.p") <= F.col("s.n") - least) & (F.col("l.p") <= F.col("l.n") - least)
+    )
+    return small.join(large, could).select(F.least("s.k", "l.k").alias("a"), F.greatest("s.k", "l.k").alias("b")).distinct()
+
+
 def classes(links: DataFrame) -> DataFrame:
     """Connected components: (k, label) for every k in a link; the label is the least k of its component.
 
@@ -234,7 +304,18 @@ def duplicate_classes(
     pairs = pairs.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
     second = stored(linked(pairs, bag, threshold), "links")
     if not second.isEmpty():
-        label = classes(first.union(second))
+        first = first.union(second)
+        label = classes(first)
+
+    # Larger buckets that still hold several classes: the rest of their pairs.
+    crowd = members.filter(F.col("texts") > near + 1).select("key", "k").join(label, "k", "left")
+    crowd = crowd.select("key", "k", F.coalesce("label", "k").alias("label"))
+    mixed = crowd.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    unsettled = stored(crowd.join(mixed, "key").select("k", "label").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        third = stored(linked(prefix_pairs(unsettled.join(bag, "k").select("k", "label", "codes"), threshold), bag, threshold), "links")
+        if not third.isEmpty():
+            label = classes(first.union(third))
 
     named = texts.select("k", "doc_id").join(label, "k", "left")
     least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_id"))

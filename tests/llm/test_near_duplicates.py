@@ -86,6 +86,20 @@ def test_large_buckets_keep_their_links(spark, docs):
     assert got == want
 
 
+def test_crowd_just_below_the_threshold(spark, docs):
+    """Two thousand texts at 0.78 of each other, and pairs among them at 0.82 that no order of neighbours tells apart."""
+    shared = [f"s{i}" for i in range(300)]
+    rows = []
+    for k in range(1_000):
+        both = [f"b{k}x{i}" for i in range(10)]
+        for side in (0, 1):
+            rows.append((2 * k + side, " ".join(shared + both + [f"o{k}x{side}x{i}" for i in range(32)])))
+    texts = dict(rows)
+    assert 0.77 < similarity(texts[0], texts[2]) < 0.79 and 0.81 < similarity(texts[0], texts[1]) < 0.84
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(docs(rows)).collect()}
+    assert got == {d: d - d % 2 for d in texts}
+
+
 def test_signatures_are_unbiased():
     rng = random.Random(3)
     base = [f"w{i}" for i in range(300)]
