@@ -3,11 +3,14 @@
 Template canonicalisation. A text becomes a row of tokens: words in lower case, and typed placeholders for numbers,
 units after a number, and names. A name is a capitalised word (capital, then small letters) that doesn't begin a
 sentence; what a placeholder stands for is the value of its slot. Windows of WIDTH tokens of documents and items are
-joined by hash. Windows of which more than half are slots say too little and are left out. A window with a name stands
-a second time with the name as a word, so that a copy in other letter case is found too.
+joined by hash. Windows of which more than half are slots say too little as templates and stand with their values, so
+only verbatim copies match them. A window with a name stands a second time with the name as a word, so that a copy in
+other letter case is found too. An item of fewer than WIDTH tokens is one window, and documents have windows of that
+length besides.
 
 Runs. Matches of a document and an item with the same distance between their places lie on one diagonal. A diagonal
-counts if its longest run of matched windows spans RUN tokens, or if SHARE of the item's windows are matched on it.
+counts if its longest run of matched windows spans RUN tokens, or if SHARE of the item's windows are matched on it, all
+of them or those that aren't mostly slots.
 Slot consistency. On a diagonal, each value of the item must always have become the same value of the document; a
 diagonal where one has become two is no re-parameterised copy and doesn't count.
 """
@@ -79,7 +82,7 @@ def _tokens() -> Tokens:
 
 def canonical(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """Tokens of all texts: canonical hash, the same with names as words, value hash, is it a slot; and the number of
-    tokens of each text."""
+    tokens of each text. `mix` of the value hash is the hash of the token as a word."""
     known = _tokens().__getitem__
     parts = []
     for t in texts:
@@ -108,14 +111,15 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, ...]:
 
 
 def template_windows(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, ...]:
-    """Windows of texts: text number, place, hash, and per window the slot values (n, width), 0 where there is no slot.
+    """Windows of texts: text number, place, hash, per window the slot values (n, width), 0 where there is no slot; is it
+    mostly slots, and its number of tokens.
 
-    A text of fewer tokens has one window of all its tokens. Windows mostly of slots are left out.
+    A text of fewer tokens has one window of all its tokens. Windows mostly of slots have their tokens as words.
     """
     h, plain, value, slot, counts = canonical(texts)
     if not len(h):
         none = np.empty(0, np.int64)
-        return none, none, np.empty(0, np.uint64), np.empty((0, width), np.uint64)
+        return none, none, np.empty(0, np.uint64), np.empty((0, width), np.uint64), np.empty(0, bool), none
     text = np.repeat(np.arange(len(counts)), counts)
     begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
     place = np.arange(len(h)) - begin[text]
@@ -131,7 +135,8 @@ def template_windows(texts: list[str | None], width: int = WIDTH) -> tuple[np.nd
         values[:, j] = np.where(inside, pv[j : j + len(h)], np.uint64(0))
         slots += values[:, j] > 0
     whole = (left >= width) | (place == 0)
-    keep = np.flatnonzero(whole & (2 * slots <= used))
+    dense = 2 * slots > used
+    keep = np.flatnonzero(whole & ~dense)
     named = pad(plain != h)
     again = whole & np.logical_or.reduce([named[j : j + len(h)] & (left > j) for j in range(width)])
     at = np.flatnonzero(again)
@@ -144,35 +149,49 @@ def template_windows(texts: list[str | None], width: int = WIDTH) -> tuple[np.nd
         values2[:, j] = np.where(inside & still[at + j], pv[at + j], np.uint64(0))
     fit = 2 * (values2 > 0).sum(axis=1) <= used[at]
     at, second, values2 = at[fit], second[fit], values2[fit]
-    rows = np.concatenate([keep, at])
-    hashes = mix(np.concatenate([total[keep], second]) + np.uint64(1))
-    return text[rows], place[rows], hashes, np.concatenate([values[keep], values2])
+    full = np.flatnonzero(whole & dense)
+    pw, verbatim = pad(mix(value)), np.zeros(len(full), np.uint64)
+    for j in range(width):
+        factor = np.uint64((0x9E3779B97F4A7C15 * (2 * j + 3)) & (2**64 - 1))
+        verbatim += np.where(left[full] > j, mix(pw[full + j] + np.uint64(j + 1)) * factor, np.uint64(0))
+    rows = np.concatenate([keep, at, full])
+    hashes = mix(np.concatenate([total[keep], second, verbatim]) + np.uint64(1))
+    slot_values = np.concatenate([values[keep], values2, np.zeros((len(full), width), np.uint64)])
+    return text[rows], place[rows], hashes, slot_values, dense[rows], used[rows]
 
 
-def _windows(rows: DataFrame, width: int, bits: np.ndarray | None = None) -> DataFrame:
-    """id, place, h, slots of the windows of rows (id, text); with `bits`, those that the table lets pass."""
+def _windows(rows: DataFrame, width: int, bits: np.ndarray | None = None, shorter: tuple[int, ...] = ()) -> DataFrame:
+    """id, place, h, slots, dense, length of the windows of rows (id, text), of `width` tokens and of the numbers of tokens
+    in `shorter`; with `bits`, those that the table lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                text, place, h, values = template_windows(part.column(1).to_pylist(), width)
-                if bits is not None:
-                    low = h & np.uint64((1 << FILTER_BITS) - 1)
-                    keep = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                    text, place, h, values = text[keep], place[keep], h[keep], values[keep]
-                ends = np.arange(0, values.size + 1, width, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(text)),
-                        pa.array(place.astype(np.int64)),
-                        pa.array(h.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel().view(np.int64))),
-                    ],
-                    ["id", "place", "h", "slots"],
-                )
-
-    return rows.mapInArrow(run, "id long, place long, h long, slots array<long>")
+                texts = part.column(1).to_pylist()
+                for n in (width, *shorter):
+                    yield windows(part.column(0), template_windows(texts, n), n)
+
+    def windows(ids: pa.Array, found: tuple[np.ndarray, ...], n: int) -> pa.RecordBatch:
+        if bits is not None:
+            low = found[2] & np.uint64((1 << FILTER_BITS) - 1)
+            keep = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            found = tuple(x[keep] for x in found)
+        text, place, h, values, dense, length = found
+        ends = np.arange(0, values.size + 1, n, dtype=np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                ids.take(pa.array(text)),
+                pa.array(place.astype(np.int64)),
+                pa.array(h.view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel().view(np.int64))),
+                pa.array(dense),
+                pa.array(length.astype(np.int32)),
+            ],
+            ["id", "place", "h", "slots", "dense", "length"],
+        )
+
+    return rows.mapInArrow(run, "id long, place long, h long, slots array<long>, dense boolean, length int")
 
 
 def contaminated(
@@ -200,27 +219,43 @@ def contaminated(
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     places = low.toPandas()["b"].to_numpy(np.int64)
     np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
-    windows = _windows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), width, bits)
+    shorter = tuple(r["length"] for r in items.filter(F.col("length") < width).select("length").distinct().collect())
+    windows = _windows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), width, bits, shorter)
 
-    theirs = items.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "h", F.col("slots").alias("item_slots"))
+    # A short item's list of slots is cut to its tokens, like that of the windows of its length.
+    theirs = items.select(
+        F.col("id").alias("item_id"), F.col("place").alias("item_place"), "h", F.slice("slots", 1, F.col("length")).alias("item_slots"),
+        "length", "dense",
+    )
+    windows = windows.select("id", "place", "h", F.slice("slots", 1, F.col("length")).alias("slots"), "length")
     matches = stored(
-        windows.join(theirs, "h").select(
+        windows.join(theirs, ["h", "length"]).select(
             F.col("id").alias("doc_id"), "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal"),
-            "slots", "item_slots",
+            "slots", "item_slots", "dense",
         ),
         "matches",
     )
     line = ["doc_id", "item_id", "diagonal"]
     # Runs: places less their rank are equal within a run.
     order = Window.partitionBy(*line).orderBy("item_place")
-    steps = matches.select(*line, "item_place").distinct().withColumn("run", F.col("item_place") - F.row_number().over(order))
-    runs = steps.groupBy(*line, "run").agg(F.count("*").alias("n")).groupBy(*line).agg(
-        F.max("n").alias("longest"), F.sum("n").alias("matched")
+    # A place counts as dense by the item's first window of it; a window with names as words stands beside that.
+    steps = matches.groupBy(*line, "item_place").agg((~F.bool_or("dense")).cast("int").alias("typed"))
+    steps = steps.withColumn("run", F.col("item_place") - F.row_number().over(order))
+    runs = steps.groupBy(*line, "run").agg(F.count("*").alias("n"), F.sum("typed").alias("typed")).groupBy(*line).agg(
+        F.max("n").alias("longest"), F.sum("n").alias("matched"), F.sum("typed").alias("matched_typed")
     )
-    sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("place").alias("windows"))
-    long_enough = (F.col("longest") >= run - width + 1) | (F.col("matched") >= share * F.col("windows"))
+    sizes = items.groupBy(F.col("id").alias("item_id")).agg(
+        F.count_distinct("place").alias("windows"),
+        F.count_distinct(F.when(~F.col("dense"), F.col("place"))).alias("windows_typed"),
+        F.max("length").alias("length"),
+    )
+    long_enough = (
+        (F.col("longest") >= run - width + 1)
+        | (F.col("matched") >= share * F.col("windows"))
+        | ((F.col("windows_typed") > 0) & (F.col("matched_typed") >= share * F.col("windows_typed")))
+    )
     same_item = F.col("s.item_id").eqNullSafe(sizes["item_id"])
-    good = runs.alias("s").join(sizes, same_item).filter(long_enough).select("s.*", "windows")
+    good = runs.alias("s").join(sizes, same_item).filter(long_enough).select("s.*", "windows", "length")
 
     slots = matches.select(*line, F.explode(F.arrays_zip("slots", "item_slots")).alias("z")).filter("z.item_slots <> 0")
     became = slots.groupBy(*line, F.col("z.item_slots").alias("value")).agg(
@@ -233,8 +268,8 @@ def contaminated(
     on = [F.col(f"g.{c}").eqNullSafe(F.col(f"t.{c}")) for c in line]
     fair = good.alias("g").join(slot_rows.alias("t"), on, "left").filter(F.coalesce("t.torn", F.lit(0)) == 0)
     return fair.groupBy("g.doc_id", "g.item_id").agg(
-        F.max(F.col("g.longest") + width - 1).alias("run_tokens"),
-        F.first(F.col("g.windows") + width - 1).alias("item_tokens"),
+        F.max(F.col("g.longest") + F.col("g.length") - 1).alias("run_tokens"),
+        F.first(F.col("g.windows") + F.col("g.length") - 1).alias("item_tokens"),
         F.min(F.coalesce("t.changed", F.lit(0))).alias("changed_slots"),
     )
 

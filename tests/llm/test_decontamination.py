@@ -48,6 +48,22 @@ def test_copies_and_reparameterised_items(spark, docs):
     assert got[1, 1]["run_tokens"] <= got[1, 1]["item_tokens"]
 
 
+def test_items_dense_with_slots_and_short_items(spark, docs):
+    dense = "Compute 12 + 34 - 56 * 78"
+    longer = "The bus calls at the stops 3 5 7 11 13 and then at none of the others on its way " + noise(40, 9)
+    rows = [
+        (1, noise(20) + ". " + dense + ". " + noise(20, 1)),
+        (2, noise(20) + ". " + dense.replace("56", "57") + ". " + noise(20, 1)),
+        (3, noise(20, 2) + " " + longer[: longer.index(" none")] + " " + noise(20, 3)),
+        (4, noise(20, 4) + ". Define entropy briefly. " + noise(20, 5)),
+        (5, noise(20, 4) + ". Define entropy twice. " + noise(20, 5)),
+        (6, "Define entropy briefly"),
+    ]
+    got = found(docs, spark, rows, [(1, dense), (2, longer), (3, "Define entropy briefly.")])
+    assert set(got) == {(1, 1), (3, 2), (4, 3), (6, 3)}
+    assert got[4, 3]["item_tokens"] == got[4, 3]["run_tokens"] == 3 and got[1, 1]["item_tokens"] == 5
+
+
 def test_against_plain_windows(spark, docs):
     """Without slots: a document is found if and only if it shares 13 words in a row, or most of an item."""
     rng = random.Random(7)
