@@ -11,8 +11,9 @@ length besides.
 Runs. Matches of a document and an item with the same distance between their places lie on one diagonal. A diagonal
 counts if its longest run of matched windows spans RUN tokens, or if SHARE of the item's windows are matched on it, all
 of them or those that aren't mostly slots.
-Slot consistency. On a diagonal, each value of the item must always have become the same value of the document; a
-diagonal where one has become two is no re-parameterised copy and doesn't count.
+Slot consistency. In a run, or for a share on the whole diagonal, each value of the item must always have become the
+same value of the document; where one has become two it is no re-parameterised copy. That doesn't matter to what is
+unchanged: SHARE of the item's windows unchanged, or RUN unchanged tokens in a row with a slot among them, count anyway.
 """
 
 from __future__ import annotations
@@ -238,39 +239,62 @@ def contaminated(
     line = ["doc_id", "item_id", "diagonal"]
     # Runs: places less their rank are equal within a run.
     order = Window.partitionBy(*line).orderBy("item_place")
+    # Unchanged: by one of the windows of the place, all slots have kept their values.
+    kept = F.col("slots") == F.col("item_slots")
     # A place counts as dense by the item's first window of it; a window with names as words stands beside that.
-    steps = matches.groupBy(*line, "item_place").agg((~F.bool_or("dense")).cast("int").alias("typed"))
-    steps = steps.withColumn("run", F.col("item_place") - F.row_number().over(order))
-    runs = steps.groupBy(*line, "run").agg(F.count("*").alias("n"), F.sum("typed").alias("typed")).groupBy(*line).agg(
-        F.max("n").alias("longest"), F.sum("n").alias("matched"), F.sum("typed").alias("matched_typed")
+    steps = matches.groupBy(*line, "item_place").agg(
+        (~F.bool_or("dense")).cast("int").alias("typed"),
+        F.bool_or(kept).alias("kept"),
+        F.bool_or(kept & (F.col("dense") | F.exists("item_slots", lambda x: x != 0))).alias("kept_slot"),
+    )
+    steps = stored(steps.withColumn("run", F.col("item_place") - F.row_number().over(order)), "steps")
+    same = steps.filter("kept").withColumn("run", F.col("item_place") - F.row_number().over(order))
+    unchanged = same.groupBy(*line, "run").agg(F.count("*").alias("n"), F.bool_or("kept_slot").alias("slot")).groupBy(*line).agg(
+        F.sum("n").alias("kept"), F.max(F.when(F.col("slot"), F.col("n"))).alias("kept_run")
     )
+    by_run = steps.groupBy(*line, "run").agg(F.count("*").alias("n"), F.sum("typed").alias("typed"))
     sizes = items.groupBy(F.col("id").alias("item_id")).agg(
         F.count_distinct("place").alias("windows"),
         F.count_distinct(F.when(~F.col("dense"), F.col("place"))).alias("windows_typed"),
         F.max("length").alias("length"),
     )
-    long_enough = (
-        (F.col("longest") >= run - width + 1)
-        | (F.col("matched") >= share * F.col("windows"))
-        | ((F.col("windows_typed") > 0) & (F.col("matched_typed") >= share * F.col("windows_typed")))
+    # What each value of the item has become, in each run and on the diagonal.
+    slots = matches.select(*line, "item_place", F.explode(F.arrays_zip("slots", "item_slots")).alias("z")).filter("z.item_slots <> 0")
+    at = [F.col(f"m.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*line, "item_place"]]
+    became = slots.alias("m").join(steps.alias("p"), at).groupBy(*(f"m.{c}" for c in line), "p.run", F.col("m.z.item_slots").alias("value")).agg(
+        F.min("m.z.slots").alias("low"), F.max("m.z.slots").alias("high")
+    )
+    became = stored(became, "became")
+    torn = F.max((F.col("low") != F.col("high")).cast("int")).alias("torn")
+    torn_runs = became.groupBy(*line, "run").agg(torn).filter("torn = 1")
+    whole = became.groupBy(*line, "value").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    slot_rows = whole.groupBy(*line).agg(
+        torn, F.sum(((F.col("low") != F.col("high")) | (F.col("low") != F.col("value"))).cast("int")).alias("changed")
     )
-    same_item = F.col("s.item_id").eqNullSafe(sizes["item_id"])
-    good = runs.alias("s").join(sizes, same_item).filter(long_enough).select("s.*", "windows", "length")
 
-    slots = matches.select(*line, F.explode(F.arrays_zip("slots", "item_slots")).alias("z")).filter("z.item_slots <> 0")
-    became = slots.groupBy(*line, F.col("z.item_slots").alias("value")).agg(
-        F.min("z.slots").alias("low"), F.max("z.slots").alias("high")
+    def on(a: str, b: str, *more: str) -> list:
+        return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*line, *more)]
+
+    runs = by_run.alias("r").join(torn_runs.alias("t"), on("r", "t", "run"), "left").groupBy(*(f"r.{c}" for c in line)).agg(
+        F.max("n").alias("longest"), F.max(F.when(F.col("torn").isNull(), F.col("n"))).alias("fair_run"),
+        F.sum("n").alias("matched"), F.sum("typed").alias("matched_typed"),
     )
-    slot_rows = became.groupBy(*line).agg(
-        F.sum((F.col("low") != F.col("high")).cast("int")).alias("torn"),
-        F.sum(((F.col("low") == F.col("high")) & (F.col("low") != F.col("value"))).cast("int")).alias("changed"),
+    same_item = F.col("s.item_id").eqNullSafe(F.col("z.item_id"))
+    judged = runs.alias("s").join(sizes.alias("z"), same_item).join(unchanged.alias("u"), on("s", "u"), "left")
+    judged = judged.join(slot_rows.alias("t"), on("s", "t"), "left").select(
+        "s.*", "z.windows", "z.windows_typed", "z.length", "u.kept", "u.kept_run", "t.changed", F.coalesce("t.torn", F.lit(0)).alias("torn")
+    )
+    shared = (F.col("matched") >= share * F.col("windows")) | (
+        (F.col("windows_typed") > 0) & (F.col("matched_typed") >= share * F.col("windows_typed"))
     )
-    on = [F.col(f"g.{c}").eqNullSafe(F.col(f"t.{c}")) for c in line]
-    fair = good.alias("g").join(slot_rows.alias("t"), on, "left").filter(F.coalesce("t.torn", F.lit(0)) == 0)
+    long_run = run - width + 1
+    enough = [F.col("fair_run") >= long_run, (F.col("torn") == 0) & shared]
+    enough += [F.col("kept") >= share * F.col("windows"), F.col("kept_run") >= long_run]
+    fair = judged.filter(F.greatest(*(F.coalesce(x, F.lit(False)).cast("int") for x in enough)) == 1).alias("g")
     return fair.groupBy("g.doc_id", "g.item_id").agg(
         F.max(F.col("g.longest") + F.col("g.length") - 1).alias("run_tokens"),
         F.first(F.col("g.windows") + F.col("g.length") - 1).alias("item_tokens"),
-        F.min(F.coalesce("t.changed", F.lit(0))).alias("changed_slots"),
+        F.min(F.coalesce("g.changed", F.lit(0))).alias("changed_slots"),
     )
 
 

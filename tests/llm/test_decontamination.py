@@ -64,6 +64,22 @@ def test_items_dense_with_slots_and_short_items(spark, docs):
     assert got[4, 3]["item_tokens"] == got[4, 3]["run_tokens"] == 3 and got[1, 1]["item_tokens"] == 5
 
 
+def test_one_torn_slot_leaves_the_rest(spark, docs):
+    words = noise(60, 11).split()
+    item = " ".join(words[:12] + ["10"] + words[12:45] + ["10"] + words[45:])
+    short = "Mia has 5 apples and 5 pears to share."
+    words = noise(60, 14).split()
+    far = " ".join(words[:14] + ["3"] + words[14:30] + ["8"] + words[30:]) + " " + noise(150, 12) + " 3 " + noise(30, 13) + " 8"
+    rows = [
+        (1, noise(30) + " " + item[: item.rindex("10")] + "12" + item[item.rindex("10") + 2 :]),
+        # The last value differs, far from the copied run.
+        (3, noise(30) + " " + far[: far.rindex("8")] + "9"),
+        (4, noise(30) + " " + short.replace("5", "7")),
+    ]
+    got = found(docs, spark, rows, [(1, item), (2, short), (3, far)])
+    assert set(got) == {(1, 1), (3, 3), (4, 2)}
+
+
 def test_against_plain_windows(spark, docs):
     """Without slots: a document is found if and only if it shares 13 words in a row, or most of an item."""
     rng = random.Random(7)
