@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from callytics.llm.common import short_batches, stored, worker_memory
 from callytics.llm.words import REMEMBERED, mix
@@ -161,8 +161,13 @@ def template_windows(texts: list[str | None], width: int = WIDTH) -> tuple[np.nd
     return text[rows], place[rows], hashes, slot_values, dense[rows], used[rows]
 
 
+def _text_key(text_col: str) -> Column:
+    """Key of a text beside its id; ids may be null or repeated."""
+    return F.unhex(F.md5(F.col(text_col).cast("string")))
+
+
 def _windows(rows: DataFrame, width: int, bits: np.ndarray | None = None, shorter: tuple[int, ...] = ()) -> DataFrame:
-    """id, place, h, slots, dense, length of the windows of rows (id, text), of `width` tokens and of the numbers of tokens
+    """id, k, place, h, slots, dense, length of the windows of rows (id, text, k), of `width` tokens and of the numbers of tokens
     in `shorter`; with `bits`, those that the table lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +176,9 @@ def _windows(rows: DataFrame, width: int, bits: np.ndarray | None = None, shorte
                 part = batch.slice(at, 200)
                 texts = part.column(1).to_pylist()
                 for n in (width, *shorter):
-                    yield windows(part.column(0), template_windows(texts, n), n)
+                    yield windows(part, template_windows(texts, n), n)
 
-    def windows(ids: pa.Array, found: tuple[np.ndarray, ...], n: int) -> pa.RecordBatch:
+    def windows(part: pa.RecordBatch, found: tuple[np.ndarray, ...], n: int) -> pa.RecordBatch:
         if bits is not None:
             low = found[2] & np.uint64((1 << FILTER_BITS) - 1)
             keep = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
@@ -182,20 +187,21 @@ def _windows(rows: DataFrame, width: int, bits: np.ndarray | None = None, shorte
         ends = np.arange(0, values.size + 1, n, dtype=np.int32)
         return pa.RecordBatch.from_arrays(
             [
-                ids.take(pa.array(text)),
+                part.column(0).take(pa.array(text)),
+                part.column(2).take(pa.array(text)),
                 pa.array(place.astype(np.int64)),
                 pa.array(h.view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel().view(np.int64))),
                 pa.array(dense),
                 pa.array(length.astype(np.int32)),
             ],
-            ["id", "place", "h", "slots", "dense", "length"],
+            ["id", "k", "place", "h", "slots", "dense", "length"],
         )
 
-    return rows.mapInArrow(run, "id long, place long, h long, slots array<long>, dense boolean, length int")
+    return rows.mapInArrow(run, "id long, k binary, place long, h long, slots array<long>, dense boolean, length int")
 
 
-def contaminated(
+def _held(
     docs: DataFrame,
     benchmark: DataFrame,
     width: int = WIDTH,
@@ -206,14 +212,13 @@ def contaminated(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """Documents that hold items: doc_id, item_id, run_tokens (longest run), item_tokens, changed_slots.
-
-    One row per document and item. Null and empty texts hold nothing. Rows that repeat an id of `docs` are taken as
-    copies of one document, and a document without an id can't be named, so null ids give a row with a null id.
-    """
+    """Texts that hold items: doc_id, k (the key of the text), item_id, run_tokens, item_tokens, changed_slots."""
     short_batches(docs.sparkSession)
     items = stored(
-        _windows(benchmark.select(F.col(item_id_col).cast("long"), F.col(item_text_col).cast("string")), width).distinct(), "items"
+        _windows(
+            benchmark.select(F.col(item_id_col).cast("long"), F.col(item_text_col).cast("string"), F.lit(None).cast("binary").alias("k")), width
+        ).distinct(),
+        "items",
     )
     # A table of fixed size tells most windows of documents apart before the shuffle; the join below decides.
     low = items.select(F.col("h").bitwiseAND((1 << FILTER_BITS) - 1).alias("b")).distinct()
@@ -221,22 +226,23 @@ def contaminated(
     places = low.toPandas()["b"].to_numpy(np.int64)
     np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
     shorter = tuple(r["length"] for r in items.filter(F.col("length") < width).select("length").distinct().collect())
-    windows = _windows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), width, bits, shorter)
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), _text_key(text_col).alias("k"))
+    windows = _windows(rows, width, bits, shorter)
 
     # A short item's list of slots is cut to its tokens, like that of the windows of its length.
     theirs = items.select(
         F.col("id").alias("item_id"), F.col("place").alias("item_place"), "h", F.slice("slots", 1, F.col("length")).alias("item_slots"),
         "length", "dense",
     )
-    windows = windows.select("id", "place", "h", F.slice("slots", 1, F.col("length")).alias("slots"), "length")
+    windows = windows.select("id", "k", "place", "h", F.slice("slots", 1, F.col("length")).alias("slots"), "length")
     matches = stored(
         windows.join(theirs, ["h", "length"]).select(
-            F.col("id").alias("doc_id"), "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal"),
+            F.col("id").alias("doc_id"), "k", "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal"),
             "slots", "item_slots", "dense",
         ),
         "matches",
     )
-    line = ["doc_id", "item_id", "diagonal"]
+    line = ["doc_id", "k", "item_id", "diagonal"]
     # Runs: places less their rank are equal within a run.
     order = Window.partitionBy(*line).orderBy("item_place")
     # Unchanged: by one of the windows of the place, all slots have kept their values.
@@ -291,15 +297,38 @@ def contaminated(
     enough = [F.col("fair_run") >= long_run, (F.col("torn") == 0) & shared]
     enough += [F.col("kept") >= share * F.col("windows"), F.col("kept_run") >= long_run]
     fair = judged.filter(F.greatest(*(F.coalesce(x, F.lit(False)).cast("int") for x in enough)) == 1).alias("g")
-    return fair.groupBy("g.doc_id", "g.item_id").agg(
+    return fair.groupBy("g.doc_id", "g.k", "g.item_id").agg(
         F.max(F.col("g.longest") + F.col("g.length") - 1).alias("run_tokens"),
         F.first(F.col("g.windows") + F.col("g.length") - 1).alias("item_tokens"),
         F.min(F.coalesce("g.changed", F.lit(0))).alias("changed_slots"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """Rows of `docs`, all columns, whose documents hold no item of the benchmark."""
-    found = contaminated(docs, benchmark, id_col=id_col, **settings).select(F.col("doc_id").alias("_bad_")).distinct()
-    bad = stored(found, "contaminated")
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["_bad_"]), "left_anti")
+def contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    width: int = WIDTH,
+    run: int = RUN,
+    share: float = SHARE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """Documents that hold items: doc_id, item_id, run_tokens (longest run), item_tokens, changed_slots.
+
+    One row per document and item. Null and empty texts hold nothing. Rows that repeat an id of `docs`, null ids too, are
+    judged each by its own text; the report names them by their id, so they share a row for each item.
+    """
+    held = _held(docs, benchmark, width, run, share, id_col, text_col, item_id_col, item_text_col)
+    return held.groupBy("doc_id", "item_id").agg(
+        F.max("run_tokens").alias("run_tokens"), F.first("item_tokens").alias("item_tokens"), F.min("changed_slots").alias("changed_slots")
+    )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """Rows of `docs`, all columns, whose texts hold no item of the benchmark. Rows of one id are judged each by its text."""
+    found = _held(docs, benchmark, id_col=id_col, text_col=text_col, **settings)
+    bad = stored(found.select(F.col("doc_id").alias("_bad_"), F.col("k").alias("_bad_text_")).distinct(), "contaminated")
+    same = docs[id_col].cast("long").eqNullSafe(bad["_bad_"]) & (F.unhex(F.md5(docs[text_col].cast("string"))) == bad["_bad_text_"])
+    return docs.join(bad, same, "left_anti")

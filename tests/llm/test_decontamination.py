@@ -119,6 +119,15 @@ def test_clean_keeps_all_others_whole(spark, docs):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((d or 0, t or "") for d, t in rows[1:])
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark, docs):
+    words = ITEM.split()
+    halves = [" ".join(words[:11]), noise(7, 21) + " " + noise(4, 22) + " " + " ".join(words[11:])]
+    rows = [(None, ITEM), (None, noise(20)), (None, noise(20, 1)), (7, OTHER), (7, noise(20, 2)), (7, None), (8, halves[0]), (8, halves[1])]
+    kept = dc.clean(docs(rows), items(spark, [(1, ITEM), (2, OTHER)]))
+    want = [r for r in rows if r[1] not in (ITEM, OTHER)]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((d or 0, t or "") for d, t in want)
+
+
 def test_nothing(spark, docs):
     assert dc.contaminated(docs([]), items(spark, [(1, ITEM)])).count() == 0
     assert dc.contaminated(docs([(1, ITEM)]), items(spark, [])).count() == 0
