@@ -14,9 +14,12 @@ from callytics.llm import (
     main_text,
     near_duplicates,
     packing,
+    quality,
+    spellings,
     token_counts,
     token_files,
     warc,
+    whitening,
 )
 from callytics.llm.common import new_folder, table
 
@@ -100,6 +103,23 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, language.train(docs))
 
 
+def op11_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spellings.variants(table(spark, folder, "documents"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings projected on the leading components of their covariance."""
+    vectors = table(spark, folder, "embeddings")
+    return whitening.components(vectors, whitening.fit(vectors))
+
+
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from the labelled documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -113,6 +133,9 @@ QUERIES: dict[str, Query] = {
         op8_decontamination,
         op9_fingerprints,
         op10_language,
+        op11_spellings,
+        op12_whitening,
+        op13_quality,
     )
 }
 ORACLES: dict[str, str] = {}
