@@ -42,33 +42,35 @@ def clock_validate(
     if stored is not None:
         base = latest_per_key(stored.select(*KEYS, *ORDER, "action"), KEYS, ORDER)
         rows = rows.unionByName(base.withColumn("_stored", F.lit(True)), allowMissingColumns=True)
-    rows = slices.sliced(rows, KEYS, slices.time_slice(F.col("event_at"), spread.seconds), spread)
+    rows = slices.sliced(rows, KEYS, ORDER, spread)
 
     out = F.lit(CLOCK_OUT)
-    window = slices.inside(KEYS, ORDER)
-    turned = F.col("_stored") | (F.col("action") != F.lag("action").over(window))
-    edge = F.struct(*ORDER, "action", "_stored")
-    edges = (
-        slices.hot_only(rows)
-        .withColumn("_turned", turned)
-        .groupBy(*KEYS, slices.SLICE)
-        .agg(
-            F.min(edge).alias("_first"),
-            F.max(edge).alias("_last"),
-            # The first row of a slice counts below, once its predecessor is known.
-            F.max(F.when(F.col("_turned"), F.col("event_at"))).alias("_turned_at"),
+    window = slices.inside(rows, KEYS, ORDER)
+    hot, carry = slices.hot_only(rows), None
+    if hot is not None:
+        edge = F.struct(*ORDER, "action", "_stored")
+        turned = F.col("_stored") | (F.col("action") != F.lag("action").over(window))
+        edges = (
+            hot.withColumn("_turned", turned)
+            .groupBy(*KEYS, slices.SLICE)
+            .agg(
+                F.min(edge).alias("_first"),
+                F.max(edge).alias("_last"),
+                # The first row of a slice counts below, once its predecessor is known.
+                F.max(F.when(F.col("_turned"), F.col("event_at"))).alias("_turned_at"),
+            )
         )
-    )
-    order = slices.across(KEYS)
-    first = F.col("_first")
-    opened = first["_stored"] | (first["action"] != F.coalesce(F.lag("_last.action").over(order), out))
-    carry = (
-        edges.withColumn("_before", F.lag("_last").over(order))
-        .withColumn("_since", F.coalesce("_turned_at", F.when(opened, first["event_at"])))
-        .withColumn("_since", F.last("_since", ignorenulls=True).over(slices.before(order)))
-        .filter(F.col("_before").isNotNull())
-        .select(*KEYS, slices.SLICE, "_before.event_at", "_before.id", "_before.action", "_since")
-    )
+        order = slices.across(KEYS)
+        first = F.col("_first")
+        opened = first["_stored"] | (first["action"] != F.coalesce(F.lag("_last.action").over(order), out))
+        carry = (
+            edges.withColumn("_before", F.lag("_last").over(order))
+            .withColumn("_since", F.coalesce("_turned_at", F.when(opened, first["event_at"])))
+            .withColumn("_since", F.last("_since", ignorenulls=True).over(slices.before(order)))
+            .filter(F.col("_before").isNotNull())
+            .select(*KEYS, slices.SLICE, "_before.event_at", "_before.id", "_before.action", "_since")
+        )
+    rows = rows.withColumn("_since", F.lit(None).cast("timestamp"))
 
     previous = F.coalesce(F.lag("action").over(window), out)
     judged = (
@@ -156,7 +158,6 @@ def _paired(events: DataFrame, spread: Spread) -> DataFrame:
         events.select(*KEYS, *ORDER, "display_name", "action"),
         KEYS,
         ORDER,
-        slices.time_slice(F.col("event_at"), spread.seconds),
         spread,
         lead={"_next_action": "action", "_next_at": "event_at"},
     )

@@ -14,6 +14,7 @@ from callytics.operators.transcripts import (
     NO_TRANSCRIPT,
     excerpts_at,
 )
+from callytics.plans.intervals import stabbed
 from callytics.sources.schemas import STAGES
 
 # Playbook headings used for every stage, before and after those of the stage.
@@ -182,24 +183,36 @@ def copilot_excerpts(requests: DataFrame, turns: DataFrame, zone: str = "UTC") -
     return excerpts_at(requests, turns, COPILOT_WINDOW_MS, COPILOT_TURNS, zone)
 
 
+#: Sessions last some hours: 2**23 ms. Longer ones are made up of several such blocks.
+SESSION_LEVELS = 23
+
+
+def active_sessions(questions: DataFrame, sessions: DataFrame) -> DataFrame:
+    """`questions` (agent_id, asked_at ...) with the agent's session that was open then, session_id null without one.
+
+    Of sessions that overlap the one that began last counts, of those the greatest id.
+    """
+    lasting = sessions.select(
+        "agent_id", F.unix_millis("started_at").alias("start"), F.unix_millis("ended_at").alias("end"), F.col("id").alias("session_id")
+    )
+    asked = questions.withColumn("_at", F.unix_millis("asked_at"))
+    order = lasting.select("agent_id", "start", "session_id", "end")
+    return stabbed(asked, order, ["agent_id"], "_at", SESSION_LEVELS).select(*questions.columns, "session_id")
+
+
 def ask_prompts(
     questions: DataFrame, turns: DataFrame, sessions: DataFrame, system_prompt: str, zone: str = "UTC"
 ) -> DataFrame:
-    """One prompt per question (request_id, session_id, question, asked_at).
+    """One prompt per question (request_id, agent_id, question, asked_at).
 
-    The transcript of the last five minutes is used while the session is open.
+    The question goes to the agent's open session, and the transcript of its last five minutes is used; a question without
+    an open session has none.
     """
-    at = F.unix_millis("asked_at")
-    owner = sessions.select(F.col("id").alias("session_id"), "started_at", "ended_at")
-    opened = F.coalesce(F.col("asked_at") < F.col("ended_at"), F.lit(True))
-    asked = (
-        questions.join(owner, "session_id")
-        .filter((F.col("asked_at") >= F.col("started_at")) & opened)
-        .select("request_id", "session_id", at.alias("at"))
-    )
-    texts = excerpts_at(asked, turns, ASK_WINDOW_MS, None, zone)
+    asked = active_sessions(questions, sessions)
+    known = asked.filter("session_id is not null").select("request_id", "session_id", F.unix_millis("asked_at").alias("at"))
+    texts = excerpts_at(known, turns, ASK_WINDOW_MS, None, zone)
     excerpt = F.coalesce("excerpt", F.lit(NO_TRANSCRIPT))
-    return questions.join(texts, "request_id", "left").select(
+    return asked.join(texts, "request_id", "left").select(
         "request_id",
         "session_id",
         F.lit(system_prompt).alias("system_prompt"),

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from callytics.functions.lapsing import Run, staged
 from callytics.functions.text import contains_any, matching_words
 from callytics.plans import slices
+from callytics.plans.intervals import as_of
 from callytics.plans.keyed import latest_per_key
 from callytics.plans.slices import Spread
 from callytics.sources.schemas import ACTIVE, AGENT, CLIENT, KEYWORD_GROUPS, STAGES
@@ -20,7 +21,7 @@ Groups = Mapping[str, Sequence[str]]
 KEYS = ["session_id"]
 ORDER = ["ts", "seq"]
 RANK = {stage: rank for rank, stage in enumerate(STAGES)}
-IDLE, OPENING, OBJECTION, CLOSING = RANK["idle"], RANK["opening"], RANK["objection_handling"], RANK["closing"]
+IDLE, OPENING, OBJECTION = RANK["idle"], RANK["opening"], RANK["objection_handling"]
 
 # Which keyword group leads to which stage, in order of precedence.
 STAGE_OF_GROUP = (
@@ -100,30 +101,30 @@ def stage_progression(
     """
     if initial not in ("idle", "opening"):
         raise ValueError("a session starts idle or opening")
-    place = slices.ms_slice(F.col("ts"), spread.seconds)
-    rows = slices.sliced(_ranked(turns, groups), KEYS, place, spread)
-    window = slices.inside(KEYS, ORDER)
+    rows = slices.sliced(_ranked(turns, groups), KEYS, ORDER, spread)
+    window = slices.inside(rows, KEYS, ORDER)
     objections = F.sum(F.when(F.col("_rank") == OBJECTION, 1).otherwise(0))
     floor = F.lit(OPENING)
 
-    edges = (
-        slices.hot_only(rows)
-        .withColumn("_segment", objections.over(slices.upto(window)))
-        .groupBy(*KEYS, slices.SLICE)
-        .agg(F.max(F.struct("_segment", "_rank")).alias("_tail"), F.max(F.struct(*ORDER)).alias("_last"))
-    )
-    order = slices.across(KEYS)
-    resets = F.sum(F.when(F.col("_tail._segment") > 0, 1).otherwise(0))
-    segment = Window.partitionBy(*KEYS, "_reset").orderBy(slices.SLICE)
-    carry = (
-        edges.withColumn("_reset", resets.over(slices.upto(order)))
-        .withColumn("_state", F.greatest(floor, F.max("_tail._rank").over(slices.upto(segment))))
-        .withColumns({"_rank": F.lag("_state").over(order), "_before": F.lag("_last").over(order)})
-        .filter(F.col("_before").isNotNull())
-        .select(*KEYS, slices.SLICE, "_before.ts", "_before.seq", "_rank")
-    )
+    hot, carry = slices.hot_only(rows), None
+    if hot is not None:
+        edges = (
+            hot.withColumn("_segment", objections.over(slices.upto(window)))
+            .groupBy(*KEYS, slices.SLICE)
+            .agg(F.max(F.struct("_segment", "_rank")).alias("_tail"), F.max(F.struct(*ORDER)).alias("_last"))
+        )
+        order = slices.across(KEYS)
+        resets = F.sum(F.when(F.col("_tail._segment") > 0, 1).otherwise(0))
+        segment = Window.partitionBy(*KEYS, "_reset").orderBy(slices.SLICE)
+        carry = (
+            edges.withColumn("_reset", resets.over(slices.upto(order)))
+            .withColumn("_state", F.greatest(floor, F.max("_tail._rank").over(slices.upto(segment))))
+            .withColumns({"_rank": F.lag("_state").over(order), "_before": F.lag("_last").over(order)})
+            .filter(F.col("_before").isNotNull())
+            .select(*KEYS, slices.SLICE, "_before.ts", "_before.seq", "_rank")
+        )
 
-    segment = Window.partitionBy(*KEYS, slices.SLICE, "_segment").orderBy(*ORDER)
+    segment = Window.partitionBy(*slices.place(rows, KEYS), "_segment").orderBy(*ORDER)
     staged = (
         slices.with_carry(rows, carry)
         .withColumn("_segment", objections.over(slices.upto(window)))
@@ -153,100 +154,78 @@ def current_stage(progress: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def _runs(rows: DataFrame, ttl_ms: int, spread: Spread) -> DataFrame:
-    """Cut hot sessions where the expiring stage no longer depends on what came before.
+def _folded(rows: DataFrame, ttl_ms: int) -> DataFrame:
+    """Stages of rows (slice, session, ts, seq, _rank) and of carry rows (_stage, _set_at), many rows at a time."""
 
-    That is so at a turn which comes at least the lifetime after the turn before it, at the
-    first objection after a closing or follow-up turn, and at the first closing or
-    follow-up turn after an objection: such a turn changes the stage for certain.
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, (IDLE, 0)
+        for batch in batches:
+            if batch.empty:
+                continue
+            session, place = batch["session_id"].to_numpy(), batch[slices.SLICE].to_numpy()
+            first = np.append(True, (session[1:] != session[:-1]) | (place[1:] != place[:-1]))
+            columns = [batch[c].to_numpy() for c in ("ts", "_rank", slices.CARRY, "_stage", "_set_at")]
+            # The state of the last session of the batch before stands in front as a carry row.
+            goes_on = key == (place[0], session[0])
+            if goes_on:
+                columns = [np.append(v, c) for v, c in zip((columns[0][0], 0, True, *state), columns)]
+                first = np.append(True, np.append(False, first[1:]))
+            ts, rank, carried, stage, set_at = columns
+            previous, after, at = staged(first, ts, rank, ttl_ms, carried.astype(bool), stage, set_at)
+            key, state = (place[-1], session[-1]), (int(after[-1]), int(at[-1]))
+            told = batch[["session_id", "ts", "seq", slices.CARRY]]
+            yield told.assign(_previous=previous[goes_on:].astype("int32"), _state=after[goes_on:].astype("int32"))
+
+    place = [slices.SLICE, *KEYS]
+    dealt = rows.repartition(*place).sortWithinPartitions(*place, F.desc(slices.CARRY), *ORDER)
+    id_type = rows.schema["session_id"].dataType.simpleString()
+    schema = f"session_id {id_type}, ts bigint, seq bigint, {slices.CARRY} boolean, _previous int, _state int"
+    return dealt.select(*place, *ORDER, "_rank", slices.CARRY, "_stage", "_set_at").mapInPandas(fold, schema)
+
+
+def _entered(placed: DataFrame, ttl_ms: int) -> DataFrame:
+    """Carry rows: the state in which each slice of a hot session begins, but for its first one.
+
+    Each slice is summed up as a map from the state before it to the state after it (see `Run`), by itself. The maps of a
+    session, one row per slice, are then applied one after the other.
     """
-    kind = F.when(F.col("_rank") >= CLOSING, F.lit(2)).when(F.col("_rank") == OBJECTION, F.lit(1))
-    rows = slices.sliced(rows, KEYS, slices.ms_slice(F.col("ts"), spread.seconds), spread)
-    whole = rows.filter(F.col(slices.HOT).isNull())
-    rows = slices.hot_only(rows).withColumn("_kind", kind)
-    window = slices.inside(KEYS, ORDER)
-    here = F.struct(*ORDER)
-
-    def cut(previous_ts: Column, previous_kind: Column) -> Column:
-        apart = F.coalesce(F.col("ts") - previous_ts >= ttl_ms, F.lit(False))
-        turned = F.coalesce(F.col("_kind") != previous_kind, F.lit(False))
-        return apart | turned
-
-    last_kind = F.last("_kind", ignorenulls=True).over(slices.before(window))
-    kinds = F.when(F.col("_kind").isNotNull(), F.struct(*ORDER, "_kind"))
-    edges = (
-        rows.withColumn("_cut", cut(F.lag("ts").over(window), last_kind))
-        .groupBy(*KEYS, slices.SLICE)
-        .agg(
-            F.min(here).alias("_first"),
-            F.max(here).alias("_last"),
-            F.min(kinds).alias("_first_kind"),
-            F.max(kinds).alias("_last_kind"),
-            F.max(F.when(F.col("_cut"), here)).alias("_cut_in"),
-        )
-    )
-    order = slices.across(KEYS)
-    first, first_kind = F.col("_first"), F.col("_first_kind")
-    known_kind = F.last("_last_kind", ignorenulls=True).over(slices.before(order))
-    carry = (
-        edges.withColumns({"_before": F.lag("_last").over(order), "_known": known_kind})
-        .withColumn(
-            "_cut_at",
-            F.greatest(
-                F.col("_cut_in"),
-                F.when(first["ts"] - F.col("_before.ts") >= ttl_ms, first),
-                F.when(
-                    first_kind["_kind"] != F.col("_known._kind"),
-                    F.struct(first_kind["ts"].alias("ts"), first_kind["seq"].alias("seq")),
-                ),
-            ),
-        )
-        .withColumn("_run", F.last("_cut_at", ignorenulls=True).over(slices.before(order)))
-        .filter(F.col("_before").isNotNull())
-        .select(
-            *KEYS, slices.SLICE, "_before.ts", "_before.seq", F.col("_known._kind").alias("_kind"), "_run"
-        )
-    )
-    marked = (
-        slices.with_carry(rows, carry)
-        .withColumns({"_previous_ts": F.lag("ts").over(window), "_previous_kind": last_kind})
-        .withColumn("_cut", cut(F.col("_previous_ts"), F.col("_previous_kind")))
-        .withColumn("_opened", F.when(F.col(slices.CARRY), F.col("_run")).when(F.col("_cut"), here))
-        .withColumn("_run", F.last("_opened", ignorenulls=True).over(slices.before(window)))
-    )
-    # A cutting turn ends its run, which tells its previous stage, and starts the next one unseen.
-    told = F.struct(F.col("_run").alias("run"), F.lit(False).alias("seed"))
-    seed = F.struct(F.col("_opened").alias("run"), F.lit(True).alias("seed"))
-    places = F.when(F.col("_cut"), F.array(told, seed)).otherwise(F.array(told))
-    cut_up = slices.without_carry(marked).select(*KEYS, *ORDER, "_rank", F.explode(places).alias("_place"))
-    return cut_up.select(
-        *KEYS, *ORDER, "_rank", F.col("_place.run.ts").alias("_run_ts"), F.col("_place.run.seq").alias("_run_seq"),
-        F.col("_place.seed").alias("_seed"),
-    ).unionByName(
-        whole.select(*KEYS, *ORDER, "_rank").withColumn("_seed", F.lit(False)), allowMissingColumns=True
-    )
 
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # parts of one slice of one session, which `slice_rows` bounds
 
-def expiring_stages(
-    ts: Sequence[int], rank: Sequence[int], ttl_ms: int, stage: int = IDLE, set_at: int = 0
-) -> tuple[list[int], list[int], int, int]:
-    """Ranks before and after each turn in order, then the state (stage, time it was set).
+        def out() -> pd.DataFrame:
+            rows = pd.concat(held)
+            run = Run.of(rows["ts"].to_numpy(), rows["_rank"].to_numpy(), ttl_ms)
+            head = rows.iloc[0]
+            moved = [list(m) if m else None for m in run.moved]
+            values = [head["session_id"], head[slices.SLICE], head["ts"], moved, run.until.tolist(), run.stage.tolist(), run.set_at.tolist()]
+            return pd.DataFrame([values], columns=["session_id", slices.SLICE, "ts", "moved", "until", "stages", "set_ats"])
 
-    `rank` is the detected rank, 0 for none. Shared by the batch and streaming forms.
-    """
-    previous, after = [], []
-    for at, found in zip(ts, rank):
-        if stage != IDLE and at - set_at >= ttl_ms:
-            stage = IDLE
-        previous.append(stage)
-        if found == OBJECTION:
-            reached = OBJECTION
-        else:
-            reached = max(stage, found, OPENING)
-        if reached != stage:
-            stage, set_at = reached, at
-        after.append(stage)
-    return previous, after, stage, set_at
+        for batch in batches:
+            for _, part in batch.groupby([slices.SLICE, "session_id"], sort=False):
+                if held and (part.iloc[0][["session_id", slices.SLICE]] != held[0].iloc[0][["session_id", slices.SLICE]]).any():
+                    yield out()
+                    held = []
+                held.append(part)
+        if held:
+            yield out()
+
+    def joined(runs: pd.DataFrame) -> pd.DataFrame:
+        runs = runs.sort_values(slices.SLICE, ignore_index=True)
+        state, states = (IDLE, 0), []
+        for row in runs.itertuples(index=False):
+            states.append(state)
+            moved = [tuple(m) if m is not None else None for m in row.moved]
+            state = Run(moved, np.array(row.until), np.array(row.stages), np.array(row.set_ats))(*state, ttl_ms)
+        told = runs[["session_id", slices.SLICE, "ts"]].assign(_stage=[s for s, _ in states], _set_at=[at for _, at in states])
+        return told[1:]
+
+    place = [slices.SLICE, *KEYS]
+    id_type = placed.schema["session_id"].dataType.simpleString()
+    head = f"session_id {id_type}, {slices.SLICE} bigint, ts bigint"
+    dealt = placed.repartition(*place).sortWithinPartitions(*place, *ORDER).select(*place, *ORDER, "_rank")
+    runs = dealt.mapInPandas(summed, f"{head}, moved array<array<bigint>>, until array<bigint>, stages array<bigint>, set_ats array<bigint>")
+    return runs.groupBy(*KEYS).applyInPandas(joined, f"{head}, _stage bigint, _set_at bigint")
 
 
 def stage_progression_ttl(
@@ -255,12 +234,12 @@ def stage_progression_ttl(
     groups: Groups = KEYWORD_GROUPS,
     ttl_seconds: int = STAGE_TTL_SECONDS,
     spread: Spread = Spread(),
+    with_starts: bool = False,
 ) -> DataFrame:
-    """Stages that lapse `ttl_seconds` after their last change.
+    """Stages that lapse `ttl_seconds` after their last change; `with_starts` gives session starts as rows of seq -1 too.
 
-    A session start sets the opening stage, as a turn without keywords would. Expiry makes
-    the rule recursive, so each session is folded in order, a hot one in runs (see `_runs`).
-    Rows stream through the fold in Arrow batches and only the state is held.
+    A session start sets the opening stage, as a turn without keywords would. Sessions are staged batch by batch, many
+    rows at once; hot ones in slices by position, each of which begins with the state the slices before it lead to.
     """
     ttl_ms = ttl_seconds * 1000
     begun = sessions.select(
@@ -269,53 +248,16 @@ def stage_progression_ttl(
         F.lit(-1).cast("long").alias("seq"),
     )
     slim = _ranked(turns, groups).select(*KEYS, *ORDER, "_rank")
-    if spread.hot is None:
-        spread = replace(spread, hot=slices.hot_keys(turns, KEYS, spread.hot_rows))
-    runs = _runs(slim.unionByName(begun, allowMissingColumns=True), ttl_ms, spread)
-    runs = runs.select(
-        *KEYS,
-        *ORDER,
-        F.coalesce("_rank", F.lit(0)).alias("_rank"),
-        F.coalesce("_run_ts", F.lit(-1)).alias("_run_ts"),
-        F.coalesce("_run_seq", F.lit(-1)).alias("_run_seq"),
-        "_seed",
-    )
-    run = [*KEYS, "_run_ts", "_run_seq"]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, stage, set_at = None, IDLE, 0
-        for batch in batches:
-            keys = list(zip(batch["session_id"], batch["_run_ts"], batch["_run_seq"]))
-            ts, rank = batch["ts"].to_numpy(), batch["_rank"].to_numpy()
-            starts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
-            previous, after = [], []
-            for low, high in zip(starts, starts[1:]):
-                if keys[low] != key:
-                    key, stage, set_at = keys[low], IDLE, 0
-                was, now, stage, set_at = expiring_stages(
-                    ts[low:high].tolist(), rank[low:high].tolist(), ttl_ms, stage, set_at
-                )
-                previous += was
-                after += now
-            yield pd.DataFrame(
-                {
-                    "session_id": batch["session_id"],
-                    "ts": ts,
-                    "seq": batch["seq"],
-                    "_seed": batch["_seed"],
-                    "_previous": np.array(previous, dtype="int32"),
-                    "_state": np.array(after, dtype="int32"),
-                }
-            )
-
-    id_type = turns.schema["session_id"].dataType.simpleString()
-    fold_schema = f"session_id {id_type}, ts bigint, seq bigint, _seed boolean, _previous int, _state int"
-    folded = (
-        runs.repartition(*run)
-        .sortWithinPartitions(*run, *ORDER)
-        .mapInPandas(fold, fold_schema)
-    )
-    return folded.filter(~F.col("_seed") & (F.col("seq") >= 0)).select(
+    rows = slim.unionByName(begun, allowMissingColumns=True).withColumn("_rank", F.coalesce("_rank", F.lit(0)))
+    normal, placed = slices.parted(rows, KEYS, ORDER, slices.with_hot(spread, turns, KEYS))
+    no_state = {slices.CARRY: F.lit(False), "_stage": F.lit(0).cast("long"), "_set_at": F.lit(0).cast("long")}
+    all_rows = normal.withColumn(slices.SLICE, F.lit(-1).cast("long")).withColumns(no_state)
+    if placed is not None:
+        carry = _entered(placed, ttl_ms).withColumns({"seq": F.lit(-1).cast("long"), "_rank": F.lit(0), slices.CARRY: F.lit(True)})
+        all_rows = all_rows.unionByName(placed.withColumns(no_state)).unionByName(carry)
+    folded = _folded(all_rows, ttl_ms)
+    turns_only = F.lit(True) if with_starts else F.col("seq") >= 0
+    return folded.filter(~F.col(slices.CARRY) & turns_only).select(
         "session_id",
         "ts",
         "seq",
@@ -325,6 +267,16 @@ def stage_progression_ttl(
     )
 
 
+def stage_intervals(changes: DataFrame, ttl_seconds: int = STAGE_TTL_SECONDS, spread: Spread = Spread()) -> DataFrame:
+    """(session_id, stage, start, end), in milliseconds: each stage from its change to the next one or until it lapses.
+
+    `changes` are the changed rows of `stage_progression_ttl`, session starts among them.
+    """
+    rows = slices.with_neighbours(changes.select(*KEYS, *ORDER, "stage"), KEYS, ORDER, spread, lead={"_next": "ts"})
+    end = F.least(F.col("ts") + ttl_seconds * 1000, "_next")
+    return rows.select(*KEYS, "stage", F.col("ts").alias("start"), end.alias("end")).filter(F.col("start") < F.col("end"))
+
+
 def signals(progress: DataFrame, groups: Groups = KEYWORD_GROUPS) -> DataFrame:
     """At most one signal per turn, with the keywords that caused it and the stage after it."""
     kind = None
@@ -362,13 +314,27 @@ def signals(progress: DataFrame, groups: Groups = KEYWORD_GROUPS) -> DataFrame:
     )
 
 
-def manual_signals(requests: DataFrame, stages: DataFrame) -> DataFrame:
-    """Signals an agent asked for (request: session_id, ts), at the session's current stage."""
+def judged_requests(requests: DataFrame, sessions: DataFrame, at: Column) -> DataFrame:
+    """`requests` (session_id, agent_id ...) with `reason`: only the owner may ask, while the session is open."""
+    known = sessions.select(F.col("id").alias("session_id"), F.col("agent_id").alias("_owner"), "started_at", "ended_at")
+    opened = F.coalesce((at >= F.col("started_at")) & F.coalesce(at < F.col("ended_at"), F.lit(True)), F.lit(False))
+    owned = F.coalesce(F.col("_owner") == F.col("agent_id"), F.lit(False))
+    reason = F.when(~opened, "session_not_found").when(~owned, "forbidden")
+    return requests.join(known, "session_id", "left").select(*requests.columns, reason.alias("reason"))
+
+
+def manual_signals(requests: DataFrame, intervals: DataFrame, ttl_seconds: int = STAGE_TTL_SECONDS, spread: Spread = Spread()) -> DataFrame:
+    """Signals an agent asked for (request_id, session_id, at in ms), at the stage the session is in just then.
+
+    `intervals` are those of `stage_intervals`; a session without a stage at that time is idle.
+    """
     kind, confidence, reason = MANUAL
-    return requests.join(stages, "session_id", "left").select(
+    asked = as_of(requests.select("request_id", *KEYS, "at"), intervals, KEYS, "at", ttl_seconds * 1000, spread)
+    return asked.select(
+        "request_id",
         "session_id",
         F.lit(None).cast("long").alias("seq"),
-        "ts",
+        F.col("at").alias("ts"),
         F.lit(AGENT).alias("speaker"),
         F.lit(kind).alias("signal_type"),
         F.lit(confidence).alias("confidence"),

@@ -80,7 +80,6 @@ def sessions_close(
         starts,
         ["agent_id"],
         ["started_at", "id"],
-        slices.time_slice(F.col("started_at"), spread.seconds),
         spread,
         lead={"_replaced": "started_at"},
     )
@@ -158,6 +157,14 @@ def transcript_excerpt(
     )
 
 
+def _asked_turns(requests: DataFrame, turns: DataFrame, window_ms: int, slice_seconds: int) -> DataFrame:
+    """Turns in hours that some request reaches into; the others are dropped before any shuffle of texts."""
+    hour = lambda ms: slices.ms_slice(ms, slice_seconds)
+    reach = F.explode(F.sequence(hour(F.col("at") - window_ms), hour(F.col("at"))))
+    asked = requests.select("session_id", reach.alias("_hour")).distinct()
+    return turns.withColumn("_hour", hour(F.col("ts"))).join(asked, ["session_id", "_hour"], "left_semi")
+
+
 def excerpts_at(
     requests: DataFrame,
     turns: DataFrame,
@@ -165,38 +172,42 @@ def excerpts_at(
     max_turns: int | None,
     zone: str = "UTC",
     slice_seconds: int = slices.HOUR,
+    spread: slices.Spread = slices.Spread(),
 ) -> DataFrame:
     """(request_id, excerpt) of what was said in the `window_ms` before each request.
 
-    `requests`: request_id, session_id, at (ms). Requests and turns are put in order
-    together, per session and slice, so no request is paired with a whole session.
-    A turn near the end of its slice also enters the next one; slices nobody asks about
-    are dropped first.
+    `requests`: request_id (unique), session_id, at (ms). The turns of a session are numbered once, and for each request the
+    turns before its window and those up to its time are counted in the same pass; it is then joined with the numbers
+    between. So the work grows with the turns and the lines given out, however close turns follow each other.
     """
-    if window_ms > slice_seconds * 1000:
-        raise ValueError("the slice must be at least as wide as the window")
-    own = slices.ms_slice(F.col("ts"), slice_seconds)
-    reach = slices.ms_slice(F.col("ts") + window_ms, slice_seconds)
-    said = turns.select(
-        "session_id",
-        F.explode(F.sequence(own, reach)).alias(slices.SLICE),
-        "ts",
-        F.struct(*ORDER, _line(zone).alias("line")).alias("_t"),
-    )
-    asked = requests.select(
-        "session_id", slices.ms_slice(F.col("at"), slice_seconds).alias(slices.SLICE), F.col("at").alias("ts"),
-        "request_id",
-    )
-    recent = (
-        Window.partitionBy("session_id", slices.SLICE).orderBy("ts").rangeBetween(-window_ms, Window.currentRow)
-    )
-    said = said.join(asked.select("session_id", slices.SLICE).distinct(), ["session_id", slices.SLICE], "left_semi")
-    both = said.unionByName(asked, allowMissingColumns=True)
-    return (
-        both.withColumn("_lines", F.collect_list("_t").over(recent))
-        .filter(F.col("request_id").isNotNull())
-        .select("request_id", _joined(F.col("_lines"), max_turns).alias("excerpt"))
+    said = _asked_turns(requests, turns, window_ms, slice_seconds).select(
+        "session_id", "ts", F.lit(0).alias("_side"), "seq", _line(zone).alias("line"), F.lit(1).cast("long").alias("_turns")
     )
+    mark = lambda ms, side: F.struct(ms.alias("ts"), F.lit(side).alias("_side"))
+    marks = F.explode(F.array(mark(F.col("at") - window_ms, -1), mark(F.col("at"), 1)))
+    asked = requests.select("session_id", "request_id", marks.alias("_m")).select("session_id", "request_id", "_m.*")
+    asked = asked.withColumn("_turns", F.lit(0).cast("long"))
+    keys, order = ["session_id"], ["ts", "_side", "seq", "request_id"]
+    rows = slices.sliced(said.unionByName(asked, allowMissingColumns=True), keys, order, spread)
+    hot, carry = slices.hot_only(rows), None
+    if hot is not None:
+        ends = hot.groupBy(*keys, slices.SLICE).agg(F.sum("_turns").alias("_turns"), F.min(F.struct(*order)).alias("_first"))
+        earlier = F.sum("_turns").over(slices.before(slices.across(keys)))
+        carry = ends.withColumn("_turns", earlier).filter("_turns is not null").select(
+            *keys, slices.SLICE, "_first.ts", F.lit(-2).alias("_side"), "_turns"
+        )
+    running = F.sum("_turns").over(slices.upto(slices.inside(rows, keys, order)))
+    counted = slices.without_carry(slices.with_carry(rows, carry).withColumn("_number", running))
+
+    numbered = counted.filter("_side = 0").select("session_id", "_number", F.struct("ts", "seq", "line").alias("_t"))
+    bound = lambda side: F.max(F.when(F.col("_side") == side, F.col("_number")))
+    spans = counted.filter("_side <> 0").groupBy("request_id", "session_id").agg(bound(-1).alias("_low"), bound(1).alias("_high"))
+    if max_turns is not None:
+        spans = spans.withColumn("_low", F.greatest("_low", F.col("_high") - max_turns))
+    numbers = F.when(F.col("_high") > F.col("_low"), F.sequence(F.col("_low") + 1, F.col("_high"))).otherwise(F.array().cast("array<bigint>"))
+    wanted = spans.select("request_id", "session_id", F.explode_outer(numbers).alias("_number"))
+    found = wanted.join(numbered, ["session_id", "_number"], "left").groupBy("request_id").agg(F.collect_list("_t").alias("_lines"))
+    return found.select("request_id", _joined(F.col("_lines"), max_turns).alias("excerpt"))
 
 
 def session_status(sessions: DataFrame, agents: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from callytics.functions.money import amount_to_cents
 from callytics.functions.time import ms_to_timestamp
 from callytics.operators import attendance, transcripts
 from callytics.operators.sales_maintenance import RELOAD_TAG
-from callytics.plans.slices import Spread, hot_keys
+from callytics.plans.slices import Spread, with_hot
 from callytics.sources.schemas import AGENT, CLIENT, CLOCK_IN, CLOCK_OUT, FOLLOWUP_CODES
 from callytics.sources.raw import load_raw, stream_raw
 
@@ -37,25 +37,21 @@ Reader = Callable[[SparkSession, str, str], DataFrame]
 
 def clock_attempts(spark: SparkSession, folder: str, read: Reader = load_raw) -> DataFrame:
     event, value = F.col("event_type"), F.col("value")
-    return (
-        read(spark, folder, "events")
-        .filter(event != "purchase")
-        .select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").cast("string").alias("agent_id"),
-            F.concat(F.lit("User#"), "user_id").alias("display_name"),
-            F.when(event.isin("signup", "view"), CLOCK_IN).otherwise(CLOCK_OUT).alias("action"),
-            F.col("ts").alias("event_at"),
-            (value < 100).alias("sheets_synced"),
-            F.when(value > 200, F.concat(F.lit("e"), event)).alias("sheets_error"),
-        )
+    return read(spark, folder, "events").select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").cast("string").alias("agent_id"),
+        F.concat(F.lit("User#"), "user_id").alias("display_name"),
+        F.when(event.isin("signup", "view"), CLOCK_IN).otherwise(CLOCK_OUT).alias("action"),
+        F.col("ts").alias("event_at"),
+        (value < 100).alias("sheets_synced"),
+        F.when(value > 200, F.concat(F.lit("e"), event)).alias("sheets_error"),
     )
 
 
 def event_spread(spark: SparkSession, folder: str) -> Spread:
     """Hot agents, counted on one column of the stored table."""
     ids = load_raw(spark, folder, "events").select(F.col("user_id").cast("string").alias("agent_id"))
-    return Spread(hot=hot_keys(ids, ["agent_id"]))
+    return with_hot(Spread(), ids, ["agent_id"])
 
 
 def clock_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -241,18 +237,15 @@ def _turn_ms() -> Column:
 
 
 def turns(spark: SparkSession, folder: str, read: Reader = load_raw) -> DataFrame:
-    agent = F.col("role") == "assistant"
-    return (
-        read(spark, folder, "conversations")
-        .filter(F.col("role").isin("user", "assistant"))
-        .select(
-            F.col("conv_id").cast("string").alias("session_id"),
-            F.col("turn").alias("seq"),
-            F.when(agent, AGENT).otherwise(CLIENT).alias("speaker"),
-            F.when(agent, 0).otherwise(1).cast("short").alias("channel"),
-            "text",
-            _turn_ms().alias("ts"),
-        )
+    """Every line as a turn; only the user is the client."""
+    client = F.col("role") == "user"
+    return read(spark, folder, "conversations").select(
+        F.col("conv_id").cast("string").alias("session_id"),
+        F.col("turn").alias("seq"),
+        F.when(client, CLIENT).otherwise(AGENT).alias("speaker"),
+        F.when(client, 1).otherwise(0).cast("short").alias("channel"),
+        "text",
+        _turn_ms().alias("ts"),
     )
 
 
@@ -342,29 +335,65 @@ def user_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sync_results(spark: SparkSession, folder: str) -> DataFrame:
-    """Export outcomes of the cheap events: ok for sign-ups, an error for the others."""
-    event = F.col("event_type")
-    return (
-        load_raw(spark, folder, "events")
-        .filter(F.col("value") < 150)
-        .select(
-            F.col("event_id").alias("id"),
-            (event == "signup").alias("ok"),
-            F.when(event != "signup", F.concat(F.lit("failed "), event)).alias("error"),
-        )
+    """Export outcomes: ok for sign-ups, an error for the others; dear events are tried again an hour later, and then the
+    dearest succeed."""
+    event, value = F.col("event_type"), F.col("value")
+    once = F.struct(
+        F.col("ts").alias("at"), (event == "signup").alias("ok"), F.when(event != "signup", F.concat(F.lit("failed "), event)).alias("error")
     )
+    again = F.struct(
+        (F.col("ts") + F.make_dt_interval(hours=F.lit(1))).alias("at"),
+        (value >= 200).alias("ok"),
+        F.when(value < 200, F.concat(F.lit("again "), event)).alias("error"),
+    )
+    tries = F.when(value >= 150, F.array(once, again)).otherwise(F.array(once))
+    return load_raw(spark, folder, "events").select(F.col("event_id").alias("id"), F.inline(tries))
 
 
 def turn_spread(spark: SparkSession, folder: str) -> Spread:
     """Hot sessions, counted on one column of the stored table."""
     ids = load_raw(spark, folder, "conversations").select(F.col("conv_id").cast("string").alias("session_id"))
-    return Spread(hot=hot_keys(ids, ["session_id"]))
+    return with_hot(Spread(), ids, ["session_id"])
 
 
 def request_id(session: str = "session_id") -> Column:
     return F.col(session).cast("long") * 1_048_576 + F.col("seq")
 
 
+def manual_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """A request a second after every turn, in every fifth session not by the owner, and one for an unknown session."""
+    said = turns(spark, folder)
+    session = F.col("session_id").cast("long")
+    asked = said.select(
+        request_id().alias("request_id"),
+        "session_id",
+        F.when(session % 5 == 0, "nobody").otherwise((session % 10).cast("string")).alias("agent_id"),
+        (F.col("ts") + 1_000).alias("at"),
+    )
+    unknown = said.agg(
+        F.lit(-1).cast("long").alias("request_id"), F.lit("none").alias("session_id"), F.lit("1").alias("agent_id"), F.max("ts").alias("at")
+    )
+    return asked.unionByName(unknown)
+
+
+def agent_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of a client as a question of the agent a second later; some come from an agent without sessions."""
+    session = F.col("session_id").cast("long")
+    return turns(spark, folder).filter(F.col("speaker") == CLIENT).select(
+        request_id().alias("request_id"),
+        F.when(session % 7 == 0, "nobody").otherwise((session % 10).cast("string")).alias("agent_id"),
+        F.col("text").alias("question"),
+        ms_to_timestamp(F.col("ts") + 1_000).alias("asked_at"),
+    )
+
+
+def overlapping_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """The sessions, of which every third ends half a day late, in its agent's next one."""
+    late = (F.col("id").cast("long") % 3 == 0) & F.col("ended_at").isNotNull()
+    ended = F.when(late, F.col("ended_at") + F.make_dt_interval(hours=F.lit(12))).otherwise(F.col("ended_at"))
+    return sessions(spark, folder).withColumn("ended_at", ended)
+
+
 def playbook_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as playbooks: every line opens a section, some sentences a subsection."""
     text = F.regexp_replace("text", "\n", "\n## ")

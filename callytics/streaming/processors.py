@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from callytics.operators.stages import IDLE, expiring_stages
+from callytics.functions.lapsing import staged
+from callytics.operators.stages import IDLE
 from callytics.sources.schemas import CLOCK_IN, CLOCK_OUT
 
 CHUNK = 10_000
@@ -49,17 +51,21 @@ class ClockState(KeyedState):
     def handleInputRows(self, key, rows, timerValues):
         batch = in_order(rows, ["us", "id"])
         action, at = self.last.get() if self.last.exists() else (None, None)
-        told: dict[str, list] = {"accepted": [], "last_action": [], "last_us": []}
-        for asked, us in zip(batch["action"], batch["us"]):
-            told["last_action"].append(action)
-            told["last_us"].append(at)
-            allowed = asked != (action or CLOCK_OUT)
-            told["accepted"].append(allowed)
-            if allowed:
-                action, at = asked, int(us)
-        if action is not None:
+        if batch.empty:
+            return
+        # An attempt leaves the agent in the state it asks for, so it is judged by the one before it.
+        asked, us = batch["action"], batch["us"].astype("Int64")
+        previous = asked.shift()
+        previous[0] = action or CLOCK_OUT
+        accepted = asked != previous
+        since = us.where(accepted).shift()
+        since[0] = at
+        since = since.ffill()
+        accepted_at = us.where(accepted).ffill().iloc[-1]
+        if not pd.isna(accepted_at):
+            action, at = asked.iloc[-1], int(accepted_at)
             self.last.update((action, at))
-        refused = {CLOCK_IN: "already_clocked_in", CLOCK_OUT: "not_clocked_in"}
+        refused = asked.map({CLOCK_IN: "already_clocked_in", CLOCK_OUT: "not_clocked_in"})
         yield pd.DataFrame(
             {
                 "id": batch["id"],
@@ -67,10 +73,10 @@ class ClockState(KeyedState):
                 "display_name": batch["display_name"],
                 "action": batch["action"],
                 "us": batch["us"],
-                "accepted": told["accepted"],
-                "error": [None if ok else refused[a] for ok, a in zip(told["accepted"], batch["action"])],
-                "last_action": told["last_action"],
-                "last_us": pd.array(told["last_us"], dtype="Int64"),
+                "accepted": accepted,
+                "error": refused.where(~accepted, None),
+                "last_action": previous.where(since.notna(), None),
+                "last_us": since,
             }
         )
 
@@ -90,13 +96,15 @@ class StageState(KeyedState):
         if batch.empty:
             return
         stage, set_at = self.state.get() if self.state.exists() else (IDLE, 0)
-        previous, after, stage, set_at = expiring_stages(
-            batch["ts"].tolist(), batch["rank"].tolist(), self.ttl_ms, stage, set_at
-        )
-        self.state.update((stage, set_at))
-        self.wake_at(set_at + self.ttl_ms)
+        # The state so far stands before the turns.
+        ts = np.append(batch["ts"].iloc[0], batch["ts"].to_numpy())
+        head = np.arange(len(ts)) == 0
+        rank = np.append(0, batch["rank"].to_numpy())
+        previous, after, at = staged(head, ts, rank, self.ttl_ms, head, np.where(head, stage, 0), np.where(head, set_at, 0))
+        self.state.update((int(after[-1]), int(at[-1])))
+        self.wake_at(int(at[-1]) + self.ttl_ms)
         turns = batch[["session_id", "seq", "ts", "speaker", "text"]]
-        yield turns.assign(previous_rank=previous, stage_rank=after)
+        yield turns.assign(previous_rank=previous[1:].astype("int32"), stage_rank=after[1:].astype("int32"))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.state.clear()

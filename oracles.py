@@ -14,7 +14,7 @@ TABLES["att"] = """
   select event_id id, user_id::varchar agent_id, 'User#' || user_id display_name,
          case when event_type in ('signup', 'view') then 'CLOCKIN' else 'CLOCKOUT' end as action, ts event_at,
          value < 100 sheets_synced, case when value > 200 then 'e' || event_type end sheets_error
-  from events where event_type <> 'purchase'"""
+  from events"""
 TABLES["judged"] = """
   select *, coalesce(lag(action) over (partition by agent_id order by event_at, id), 'CLOCKOUT') <> action accepted
   from att"""
@@ -104,7 +104,13 @@ TABLES["ingest"] = """
          case when signature_status <> 'DATE' then signature_status end followup_code
   from raw"""
 TABLES["wanted"] = """
-  select distinct company_code, product_code from ingest where error is null and billing_period = 'year'"""
+  select distinct case when billing_period = 'year' then 'NEW_' || company_code else company_code end company_code,
+         case when currency = 'MXN' then 'NEW_' || product_code else product_code end product_code
+  from ingest where error is null"""
+TABLES["wanted_less"] = """
+  select distinct case when company_code <= 'NATION_15' then 'NEW_' || company_code else company_code end company_code,
+         case when product_code = 'FURNITURE' then 'NEW_FURNITURE' else product_code end product_code
+  from wanted"""
 
 _CASE = """case when contains(lower(text), 'queci') then 6 when contains(lower(text), 'erlich') then 5
               when contains(lower(text), 'nicht') or contains(lower(text), 'thored') then 4
@@ -112,10 +118,10 @@ _CASE = """case when contains(lower(text), 'queci') then 6 when contains(lower(t
               when contains(lower(text), 'anble') or contains(lower(text), 'inble') then 2 end"""
 _NAMES = "['idle', 'opening', 'discovery', 'presentation', 'objection_handling', 'closing', 'follow_up']"
 TABLES["turns"] = """
-  select conv_id::varchar session_id, turn seq, case role when 'assistant' then 'agente' else 'cliente' end speaker,
-         case role when 'assistant' then 0 else 1 end::smallint channel, text,
+  select conv_id::varchar session_id, turn seq, case role when 'user' then 'cliente' else 'agente' end speaker,
+         case role when 'user' then 1 else 0 end::smallint channel, text,
          1704067200000 + conv_id * 3600000 + turn * 45000 ts
-  from conversations where role in ('user', 'assistant')"""
+  from conversations"""
 TABLES["ranked"] = f"""
   select *, {_CASE} r, row_number() over (partition by session_id order by ts, seq) n from turns"""
 TABLES["walk"] = """
@@ -210,21 +216,45 @@ TABLES["guide"] = f"""
         from sections join (values {_guide()}) g(stage, n, phrase) on contains(heading, phrase)
         group by doc, stage, n)
   group by doc, stage"""
-TABLES["copilot"] = f"""
-  select s.session_id::bigint * 1048576 + s.seq request_id, session_id, signal_type trigger_type, s.stage,
+TABLES["lapsing"] = f"""
+  select session_id, seq, ts, {_NAMES}[state + 1] stage, {_NAMES}[case when ts + 1000 - set_at >= 90000 then 1 else state + 1 end] later
+  from walk_ttl join ranked using (session_id, n)"""
+TABLES["asked"] = f"""
+  select t.session_id::bigint * 1048576 + t.seq request_id, t.session_id, case when t.session_id::bigint % 5 = 0 then 'nobody'
+                                              else (t.session_id::bigint % 10)::varchar end agent_id, t.ts + 1000 "at", l.later stage, t.seq,
+         case when s.id is null or epoch_ms(t.ts + 1000) < s.started_at
+                   or epoch_ms(t.ts + 1000) >= coalesce(s.ended_at, timestamp '9999-01-01') then 'session_not_found'
+              when t.session_id::bigint % 5 = 0 then 'forbidden' end reason
+  from turns t left join sessions s on s.id = t.session_id join lapsing l on l.session_id = t.session_id and l.seq = t.seq"""
+
+
+def _prompt_table(raised: str) -> str:
+    """Prompts of signals: request_id, session_id, at, signal_type, stage, words, reason."""
+    return f"""
+  select request_id, session_id, signal_type trigger_type, s.stage,
          array_to_string(words, '|') matched_keywords, 'Sugiere una sola frase.' system_prompt,
          '[ESTADO DE LA LLAMADA]' || chr(10) || 'Etapa: ' || s.stage || chr(10) || 'Señal: ' || signal_type || chr(10)
-         || 'Motivo: ' || reason || chr(10) || 'Keywords: ' || array_to_string(words, ', ') || chr(10) || chr(10)
+         || 'Motivo: ' || reason || chr(10) || 'Keywords: '
+         || case when len(words) = 0 then '(ninguna)' else array_to_string(words, ', ') end || chr(10) || chr(10)
          || '[TRANSCRIPT RECIENTE]' || chr(10) || x || chr(10) || chr(10) || '[FUENTE OPERATIVA UNICA]' || chr(10)
          || coalesce(g.g, '(sin perfil operativo disponible)') || chr(10) || chr(10)
          || 'Usa exclusivamente la fuente operativa anterior, la etapa detectada y el transcript reciente para decidir'
          || ' que debe hacer el agente ahora.' || chr(10)
          || 'Genera solo UNA frase lista para decir al cliente.' user_prompt, x transcript_excerpt
-  from (select sig.*, (select string_agg({_LINE}, chr(10) order by t.ts, t.seq) from turns t
-                       where t.session_id = sig.session_id and t.ts <= sig.ts and t.ts >= sig.ts - 180000) x
-        from sig) s
-  left join (select stage, arg_min(left(text, 5200), doc) g from guide where stage <> 'closing' group by stage) g
-       on g.stage = s.stage"""
+  from (select r.*, (select string_agg({_LINE}, chr(10) order by t.ts, t.seq) from turns t
+                     where t.session_id = r.session_id and t.ts <= r."at" and t.ts >= r."at" - 180000) x
+        from ({raised}) r) s
+  left join (select stage, arg_min(left(text, 5200), doc) g from guide group by stage) g on g.stage = s.stage"""
+
+
+TABLES["copilot"] = _prompt_table(
+    "select sig.session_id::bigint * 1048576 + sig.seq request_id, sig.session_id, sig.ts \"at\", signal_type, words, reason, l.stage "
+    "from sig join lapsing l on l.session_id = sig.session_id and l.seq = sig.seq"
+)
+TABLES["manual"] = _prompt_table(
+    "select request_id, session_id, \"at\", 'manual_request' signal_type, []::varchar[] words, "
+    "'El agente pidió manualmente una recomendación.' reason, stage from asked where reason is null"
+)
 TABLES["resp"] = f"""
   select {_ID} request_id,
          case when session_id::bigint % 9 <> 0 then
@@ -323,9 +353,10 @@ Q["clock_export"] = """
          action accion
   from ck"""
 Q["clock_sync_apply"] = """
-  select id, agent_id, case when event_type = 'signup' then true else sheets_synced end sheets_synced,
-         case when event_type <> 'signup' then 'failed ' || event_type else sheets_error end sheets_error
-  from ck left join (select event_id id, event_type from events where value < 150) using (id)"""
+  select id, agent_id, case when event_type = 'signup' or value >= 200 then true else sheets_synced end sheets_synced,
+         case when value >= 150 and value < 200 then 'again ' || event_type
+              when event_type <> 'signup' then 'failed ' || event_type else sheets_error end sheets_error
+  from ck join (select event_id id, event_type, value from events) using (id)"""
 Q["clock_sync_pending"] = "select * from ck where not sheets_synced"
 Q["clock_sync_report"] = """
   select id, agent_id, action, sheets_synced, sheets_error from ck order by event_at desc, id desc limit 20"""
@@ -362,32 +393,32 @@ Q["sales_duplicates"] = """
     from raw where discord_message_id is not null)
   where n > 1 or stored = 1"""
 Q["sales_recorded"] = """
-  select id, agent_id, company_code, company_code company_name, product_code, product_code product_name,
-         floor(amount::double * 100 + 0.5)::bigint amount_cents
+  select id, agent_id, case when id % 4 = 0 then 'NEW_' else '' end || company_code company_code,
+         case when id % 4 = 0 then 'NEW_' else '' end || company_code company_name, product_code,
+         product_code product_name, floor(amount::double * 100 + 0.5)::bigint amount_cents
   from ingest where error is null
   qualify discord_message_id is null or row_number() over (partition by discord_message_id order by id) = 1"""
 Q["catalog_upsert"] = """
   select 'company' kind, '' company, coalesce(c.code, w.company_code) code,
-         case when w.company_code is null then c.name else w.company_code end as name, true active, c.id::varchar known_id
-  from (select * from companies where active) c
+         case when w.company_code is null then c.name else w.company_code end as name,
+         w.company_code is not null or c.active active, c.id::varchar known_id
+  from companies c
   full join (select distinct company_code from wanted) w on w.company_code = c.code
   union all
   select 'product', coalesce(p.cc, w.company_code), coalesce(p.code, w.product_code),
          case when w.product_code is null then p.name else w.product_code end,
          w.product_code is not null or p.active, null
-  from (select p.*, c.code cc from products p join companies c on c.id = p.company_id where c.active) p
+  from (select p.*, c.code cc from products p join companies c on c.id = p.company_id) p
   full join wanted w on w.company_code = p.cc and w.product_code = p.code"""
 Q["catalog_reconcile"] = """
-  select 'company' kind, '' company, c.code, coalesce(w.company_code, c.name) as name,
+  select 'company' kind, '' company, coalesce(w.company_code, c.code) code, coalesce(w.company_code, c.name) as name,
          w.company_code is not null active, c.id::varchar known_id
-  from companies c
-  left join (select distinct company_code from wanted where product_code <> 'FURNITURE' and company_code > 'NATION_15') w
-       on w.company_code = c.code
+  from companies c full join (select distinct company_code from wanted_less) w on w.company_code = c.code
   union all
-  select 'product', c.code, p.code, coalesce(w.product_code, p.name), w.product_code is not null, null
-  from products p join companies c on c.id = p.company_id
-  left join (select * from wanted where product_code <> 'FURNITURE' and company_code > 'NATION_15') w
-       on w.company_code = c.code and w.product_code = p.code"""
+  select 'product', coalesce(w.company_code, p.cc), coalesce(w.product_code, p.code), coalesce(w.product_code, p.name),
+         w.product_code is not null, null
+  from (select p.*, c.code cc from products p join companies c on c.id = p.company_id) p
+  full join wanted_less w on w.company_code = p.cc and w.product_code = p.code"""
 Q["sales_catalog"] = """
   select c.id company_id, c.code company_code, c.name company_name, p.id product_id, p.code product_code,
          p.name product_name
@@ -413,11 +444,10 @@ Q["constraint_audit"] = """
   union all select 'products unique (company_id, code)', 0
   union all select 'followup_codes unique (code)', 0
   union all select 'sales.company_id references companies', count(*) from sales
-            where company_id not in (select id from companies where active)
+            where notes = '4-NOT SPECIFIED'
   union all select 'sales.product_id references products', 0
   union all select 'sales.followup_code references followup_codes', count(*) from sales where notes = '2-HIGH'
-  union all select 'products.company_id references companies', count(*) from products
-            where company_id not in (select id from companies where active)"""
+  union all select 'products.company_id references companies', count(*) from products where not active"""
 
 Q["sales_enriched"] = "select * from enriched"
 Q["sale_by_id"] = "select * from enriched where id = 42"
@@ -559,25 +589,40 @@ Q["signals"] = """
          stage
   from sig"""
 Q["manual_signals"] = """
-  select session_id, min(ts) + 600000 ts, 'agente' speaker, 'manual_request' signal_type,
-         1.0::double confidence, 'El agente pidió manualmente una recomendación.' reason, '' matched_keywords,
-         arg_max(stage, ts) stage
-  from progress group by session_id"""
+  select request_id, session_id, "at" ts, 'agente' speaker, 'manual_request' signal_type,
+         1.0::double confidence, 'El agente pidió manualmente una recomendación.' reason, '' matched_keywords, stage
+  from asked where reason is null"""
+Q["manual_rejected"] = """
+  select request_id, session_id, agent_id, "at", reason from asked where reason is not null
+  union all select -1, 'none', '1', max(ts), 'session_not_found' from turns"""
+Q["manual_prompts"] = "select * from manual"
+Q["manual_suggestions"] = f"""
+  select request_id id, session_id, trigger_type, stage, matched_keywords, transcript_excerpt,
+         response_text suggestion, 'gpt_api' source, {NOW} shown_at
+  from manual join resp using (request_id) where error is null"""
 Q["playbook_sections"] = "select doc, level::bigint as level, heading, length(body) chars, md5(body) body_md5 from sections"
 Q["stage_guidance"] = """
   select doc, stage, length(left(text, 5200)) chars, md5(left(text, 5200)) text_md5 from guide"""
 Q["copilot_prompts"] = "select * from copilot"
+TABLES["late_sessions"] = """
+  select id, agent_id, started_at, case when id::bigint % 3 = 0 then ended_at + interval 12 hour else ended_at end ended_at
+  from sessions"""
+TABLES["questions"] = f"""
+  select q.request_id, q.ts, q.question, arg_max(s.id, (s.started_at, s.id)) session_id
+  from (select {_ID} request_id, case when session_id::bigint % 7 = 0 then 'nobody' else (session_id::bigint % 10)::varchar end agent_id,
+               text question, ts + 1000 ts
+        from turns where speaker = 'cliente') q
+  left join late_sessions s on s.agent_id = q.agent_id and s.started_at <= epoch_ms(q.ts)
+            and epoch_ms(q.ts) < coalesce(s.ended_at, timestamp '9999-01-01')
+  group by all"""
 Q["ask_prompts"] = f"""
   select request_id, session_id, 'Sugiere una sola frase.' system_prompt,
          '[TRANSCRIPT RECIENTE - últimos 5 minutos]' || chr(10)
-         || case when o then x else '(sin transcript disponible)' end || chr(10) || chr(10)
-         || '[PREGUNTA DEL AGENTE]' || chr(10) || text user_prompt
-  from (select {_ID} request_id, q.*,
-               exists (select 1 from sessions s where s.id = q.session_id
-                       and epoch_ms(q.ts + 1000) < coalesce(s.ended_at, timestamp '9999-01-01')) o,
-               (select string_agg({_LINE}, chr(10) order by t.ts, t.seq) from turns t
-                where t.session_id = q.session_id and t.ts <= q.ts + 1000 and t.ts >= q.ts + 1000 - 300000) x
-        from turns q where speaker = 'cliente')"""
+         || coalesce(x, '(sin transcript disponible)') || chr(10) || chr(10)
+         || '[PREGUNTA DEL AGENTE]' || chr(10) || question user_prompt
+  from (select q.*, (select string_agg({_LINE}, chr(10) order by t.ts, t.seq) from turns t
+                     where t.session_id = q.session_id and t.ts <= q.ts and t.ts >= q.ts - 300000) x
+        from questions q)"""
 Q["response_clean"] = "select request_id, response_text, error from resp"
 Q["playbook_suggestions"] = """
   select session_id, signal_type trigger_type, stage, array_to_string(words, '|') matched_keywords,
@@ -630,5 +675,5 @@ Q["append_defaults"] = f"""
 ORACLES: dict[str, str] = {name: sql(query) for name, query in Q.items()}
 
 # The same rows whichever keys count as hot.
-for _name in ("clock_validate", "clock_shifts", "stage_progression", "stage_progression_ttl"):
+for _name in ("clock_validate", "clock_shifts", "stage_progression", "stage_progression_ttl", "manual_signals"):
     ORACLES[f"{_name}_hot"] = ORACLES[_name]

@@ -221,8 +221,10 @@ def sales_duplicates(spark, folder):
 @query
 def sales_recorded(spark, folder):
     """The whole ingestion; ids of new catalogue rows are left out, as their order is free."""
-    companies, products = b.companies(spark, folder).filter("active"), b.products(spark, folder)
-    done = sales_ingest.record_sales(b.raw_sales(spark, folder), companies, products, NOW)
+    companies, products = b.companies(spark, folder), b.products(spark, folder)
+    raw = b.raw_sales(spark, folder)
+    raw = raw.withColumn("company_code", F.when(F.col("id") % 4 == 0, F.concat(F.lit("new_"), F.trim("company_code"))).otherwise(F.col("company_code")))
+    done = sales_ingest.record_sales(raw, companies, products, NOW)
     named = sales_queries.sales_enriched(done.sales, done.companies, done.products)
     return named.select(
         "id", "agent_id", "company_code", "company_name", "product_code", "product_name", "amount_cents"
@@ -232,7 +234,14 @@ def sales_recorded(spark, folder):
 def _wanted(spark, folder):
     """Upper-cased codes of accepted requests, as a batch of catalogue codes."""
     accepted, _ = sales_ingest.sales_ingest(b.raw_sales(spark, folder), NOW)
-    return accepted.filter("billing_period = 'year'").select("company_code", "product_code")
+    return accepted.select(
+        _renamed("company_code", F.col("billing_period") == "year"), _renamed("product_code", F.col("currency") == "MXN")
+    )
+
+
+def _renamed(code, when):
+    """A code, or where the condition holds one that the catalogue doesn't have."""
+    return F.when(when, F.concat(F.lit("NEW_"), code)).otherwise(F.col(code)).alias(code)
 
 
 def _catalog_rows(companies, products, known):
@@ -251,17 +260,17 @@ def _catalog_rows(companies, products, known):
 
 @query
 def catalog_upsert(spark, folder):
-    companies = b.companies(spark, folder).filter("active")
-    products = b.products(spark, folder).join(
-        companies.select(F.col("id").alias("company_id")), "company_id", "left_semi"
-    )
-    return _catalog_rows(*catalog.catalog_upsert(companies, products, _wanted(spark, folder)), known=23)
+    companies, products = b.companies(spark, folder), b.products(spark, folder)
+    return _catalog_rows(*catalog.catalog_upsert(companies, products, _wanted(spark, folder)), known=24)
 
 
 @query
 def catalog_reconcile(spark, folder):
     companies, products = b.companies(spark, folder), b.products(spark, folder)
-    wanted = _wanted(spark, folder).filter("product_code <> 'FURNITURE' and company_code > 'NATION_15'")
+    wanted = _wanted(spark, folder)
+    wanted = wanted.select(
+        _renamed("company_code", F.col("company_code") <= "NATION_15"), _renamed("product_code", F.col("product_code") == "FURNITURE")
+    )
     return _catalog_rows(*catalog.catalog_reconcile(companies, products, wanted), known=24)
 
 
@@ -291,13 +300,16 @@ def constraint_audit(spark, folder):
             "billing_period": F.when(F.col("notes") == "5-LOW", "week").otherwise(F.col("billing_period")),
             "signature_date": F.when(F.col("amount_cents") > 10_000_000, F.col("signature_date")),
             "followup_code": F.when(F.col("notes") == "2-HIGH", "??").otherwise(F.col("followup_code")),
+            "company_id": F.col("company_id") + F.when(F.col("notes") == "4-NOT SPECIFIED", 100).otherwise(0),
         }
     )
     return audit.constraint_audit(
         {
             "sales": sales,
-            "companies": b.companies(spark, folder).filter("active"),
-            "products": b.products(spark, folder),
+            "companies": b.companies(spark, folder),
+            "products": b.products(spark, folder).withColumn(
+                "company_id", F.col("company_id") + F.when(F.col("active"), 0).otherwise(100)
+            ),
             "followup_codes": b.followup_codes(spark),
             "clock_events": b.clock_events(spark, folder),
             "transcript_turns": b.turns(spark, folder),
@@ -601,12 +613,34 @@ def signals(spark, folder):
     return _signals(spark, folder)
 
 
+def _expiring(spark, folder, spread, with_starts=False):
+    return stages.stage_progression_ttl(
+        b.turns(spark, folder), b.session_starts(spark, folder), b.GROUPS, TTL_SECONDS, spread, with_starts
+    )
+
+
+def _requested(spark, folder):
+    """Requests for suggestions, judged."""
+    asked = b.manual_requests(spark, folder)
+    return stages.judged_requests(asked, b.sessions(spark, folder), b.ms_to_timestamp(F.col("at")))
+
+
+def _manual(spark, folder, spread=None):
+    """Signals of the requests that count, each at the stage the call is in just then."""
+    spread = spread or b.turn_spread(spark, folder)
+    changes = _expiring(spark, folder, spread, with_starts=True).filter("changed")
+    intervals = stages.stage_intervals(changes, TTL_SECONDS, spread)
+    return stages.manual_signals(_requested(spark, folder).filter("reason is null"), intervals, TTL_SECONDS, spread)
+
+
 @query
 def manual_signals(spark, folder):
-    requests = b.session_starts(spark, folder).select(
-        F.col("id").alias("session_id"), (F.unix_millis("started_at") + 600_000).alias("ts")
-    )
-    return stages.manual_signals(requests, _current(spark, folder)).drop("seq")
+    return _manual(spark, folder).drop("seq")
+
+
+@query
+def manual_rejected(spark, folder):
+    return _requested(spark, folder).filter("reason is not null")
 
 
 @query
@@ -627,15 +661,21 @@ def stage_guidance(spark, folder):
     return found.select("doc", "stage", F.length("guidance").alias("chars"), F.md5("guidance").alias("text_md5"))
 
 
-def _prompts(spark, folder):
-    raised = _signals(spark, folder).withColumn("request_id", b.request_id())
+def _prompts_for(spark, folder, raised):
     requests = raised.select("request_id", "session_id", F.col("ts").alias("at"))
     excerpts = prompts.copilot_excerpts(requests, b.turns(spark, folder))
     # The first document with sections for a stage serves as its playbook.
     sections = prompts.playbook_sections(b.playbook_docs(spark, folder))
     guidance = prompts.stage_guidance(sections, GUIDE)
     playbook = guidance.groupBy("stage").agg(F.min(F.struct("doc", "guidance"))["guidance"].alias("guidance"))
-    return prompts.copilot_prompts(raised, excerpts, playbook.filter("stage <> 'closing'"), SYSTEM_PROMPT)
+    return prompts.copilot_prompts(raised, excerpts, playbook, SYSTEM_PROMPT)
+
+
+def _prompts(spark, folder):
+    """Prompts of the signals; the stage of each is the one that may lapse."""
+    stage = _expiring(spark, folder, b.turn_spread(spark, folder)).select("session_id", "ts", "seq", "stage")
+    raised = _signals(spark, folder).drop("stage").join(stage, ["session_id", "ts", "seq"])
+    return _prompts_for(spark, folder, raised.withColumn("request_id", b.request_id()))
 
 
 @query
@@ -643,16 +683,22 @@ def copilot_prompts(spark, folder):
     return _prompts(spark, folder)
 
 
+@query
+def manual_prompts(spark, folder):
+    return _prompts_for(spark, folder, _manual(spark, folder))
+
+
+@query
+def manual_suggestions(spark, folder):
+    """What the agents who asked are shown."""
+    prompted = _prompts_for(spark, folder, _manual(spark, folder))
+    return suggestions.suggestion_log(prompted, _responses(spark, folder), NOW)[0].drop("accepted")
+
+
 @query
 def ask_prompts(spark, folder):
-    questions = b.turns(spark, folder).filter("speaker = 'cliente'").select(
-        b.request_id().alias("request_id"),
-        "session_id",
-        F.col("text").alias("question"),
-        b.ms_to_timestamp(F.col("ts") + 1_000).alias("asked_at"),
-    )
     return prompts.ask_prompts(
-        questions, b.turns(spark, folder), b.sessions(spark, folder), SYSTEM_PROMPT
+        b.agent_questions(spark, folder), b.turns(spark, folder), b.overlapping_sessions(spark, folder), SYSTEM_PROMPT
     )
 
 
@@ -783,7 +829,7 @@ def append_defaults(spark, folder):
 
 # The plan for hot keys, with so low a bound that many keys of the given tables count as hot
 
-HOT_EVENTS, HOT_TURNS = Spread(hot_rows=50), Spread(hot_rows=3, seconds=60)
+HOT_EVENTS, HOT_TURNS = Spread(hot_rows=50, slice_rows=40), Spread(hot_rows=3, slice_rows=10)
 
 
 @query
@@ -807,3 +853,8 @@ def stage_progression_hot(spark, folder):
 def stage_progression_ttl_hot(spark, folder):
     starts = b.session_starts(spark, folder)
     return stages.stage_progression_ttl(b.turns(spark, folder), starts, b.GROUPS, TTL_SECONDS, HOT_TURNS)
+
+
+@query
+def manual_signals_hot(spark, folder):
+    return _manual(spark, folder, HOT_TURNS).drop("seq")

@@ -77,33 +77,66 @@ def _fold(rows, ttl_ms=None):
     return told
 
 
-@pytest.mark.parametrize("slice_seconds", [60, 3_600, 10_000_000])
-def test_progression_equals_the_fold(spark, slice_seconds):
-    rows = _random_turns(slice_seconds)
-    found = stages.stage_progression(spark.createDataFrame(rows, TURNS), WORDS, spread=Spread(100, slice_seconds))
+@pytest.mark.parametrize("slice_rows", [60, 700, 10_000_000])
+def test_progression_equals_the_fold(spark, slice_rows):
+    rows = _random_turns(slice_rows)
+    found = stages.stage_progression(spark.createDataFrame(rows, TURNS), WORDS, spread=Spread(100, slice_rows))
     assert {(r.session_id, r.seq): (r.previous_stage, r.stage) for r in found.collect()} == _fold(rows)
 
 
-@pytest.mark.parametrize(
-    "hot_rows, slice_seconds, ttl", [(0, 60, 3_600), (100, 3_600, 600), (0, 1_800, 7_200), (10_000, 3_600, 3_600)]
-)
-def test_expiring_progression_equals_the_fold(spark, hot_rows, slice_seconds, ttl):
-    rows = _random_turns(slice_seconds + ttl)
+@pytest.mark.parametrize("hot_rows, slice_rows, ttl", [(0, 60, 3_600), (100, 300, 600), (0, 500, 7_200), (10_000, 1, 3_600)])
+def test_expiring_progression_equals_the_fold(spark, hot_rows, slice_rows, ttl):
+    rows = _random_turns(slice_rows + ttl)
     turns = spark.createDataFrame(rows, TURNS)
     starts = turns.groupBy(F.col("session_id").alias("id")).agg(
         F.timestamp_millis(F.min("ts")).alias("started_at")
     )
-    found = stages.stage_progression_ttl(turns, starts, WORDS, ttl, Spread(hot_rows, slice_seconds))
-    got = {(r.session_id, r.seq): (r.previous_stage, r.stage) for r in found.collect()}
-    assert got == _fold(rows, ttl * 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # sessions and slices go on from batch to batch
+    try:
+        found = stages.stage_progression_ttl(turns, starts, WORDS, ttl, Spread(hot_rows, slice_rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(rows)
+    assert {(r.session_id, r.seq): (r.previous_stage, r.stage) for r in found} == _fold(rows, ttl * 1000)
+
+
+@pytest.mark.parametrize("texts", [["o4"], ["", "d2"], ["f6"], ["o4", "c5"]])
+def test_a_session_without_pauses_is_cut(spark, texts):
+    """Turns a second apart, never a pause: slices still split it, and each lapse depends on the one before it."""
+    random = Random(len(texts))
+    rows = [("s", n, "cliente", 1, random.choice(texts), 1_700_000_000_000 + 1_000 * n) for n in range(2_000)]
+    turns = spark.createDataFrame(rows, TURNS)
+    starts = turns.groupBy(F.col("session_id").alias("id")).agg(F.timestamp_millis(F.min("ts")).alias("started_at"))
+    found = stages.stage_progression_ttl(turns, starts, WORDS, 67, Spread(100, 150)).collect()
+    assert {(r.session_id, r.seq): (r.previous_stage, r.stage) for r in found} == _fold(rows, 67_000)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_compose(seed):
+    """The map of a run from any state equals turn after turn, and that of two runs in a row."""
+    import numpy as np
 
+    from callytics.functions.lapsing import Run
 
-def test_long_sessions_are_cut_into_runs(spark):
-    turns = spark.createDataFrame(_random_turns(3), TURNS)
-    runs = stages._runs(stages._ranked(turns, WORDS), 3_600_000, Spread(100, 3_600))
-    sizes = runs.groupBy("session_id", "_run_ts", "_run_seq").count()
-    assert sizes.filter("session_id = 's1'").count() > 5
-    assert sizes.filter("session_id = 's1'").agg(F.max("count")).collect()[0][0] < 200
+    random, ttl = Random(seed), 50
+    ts = np.cumsum([random.choice([0, 1, 9, 60 if seed % 2 else 20]) for _ in range(80)]) + 1_000
+    rank = np.array([random.choice([0, 0, 2, 3, 4, 5, 6] if seed < 4 else [0, 4]) for _ in range(80)])
+
+    def step(state, at, found):
+        stage, set_at = state
+        if stage and at - set_at >= ttl:
+            stage = 0
+        after = 4 if found == 4 else max(stage, found, 1)
+        return (after, at) if after != stage else (stage, set_at)
+
+    for low, middle, high in [(0, 30, 80), (10, 11, 60), (5, 50, 51)]:
+        for state in [(0, 0), *((s, 990 - back) for s in range(1, 7) for back in (0, 10, 45, 49, 50, 300))]:
+            want = state
+            for at, found in zip(ts[low:high].tolist(), rank[low:high].tolist()):
+                want = step(want, at, found)
+            assert Run.of(ts[low:high], rank[low:high], ttl)(*state, ttl) == want
+            half = Run.of(ts[low:middle], rank[low:middle], ttl)(*state, ttl)
+            assert Run.of(ts[middle:high], rank[middle:high], ttl)(*half, ttl) == want
 
 
 def test_silence_and_closing(spark):

@@ -4,7 +4,7 @@ import fixtures as fx
 from callytics.operators import transcripts
 from callytics.plans.keyed import latest_per_key, upsert, with_new_ids
 from callytics.plans.lineage import cut
-from callytics.plans.slices import Spread, hot_keys, time_slice, with_neighbours
+from callytics.plans.slices import SLICE, Spread, hot_keys, sliced, with_neighbours
 from callytics.sources.tables import append, conform, load, write_version
 
 def test_append_fills_defaults_and_conforms(spark, tmp_path):
@@ -86,21 +86,40 @@ def test_neighbours_of_any_key_in_both_directions(spark):
         F.timestamp_seconds(F.col("id") * F.col("id")).alias("at"),
         "id",
     )
-    assert [r.k for r in hot_keys(df, ["k"], 100).collect()] == ["hot"]
+    hot = hot_keys(df, ["k"], 100)
+    assert [r.k for r in hot.keys.collect()] == ["hot"] and (hot.count, hot.rows) == (1, 167)
     found = [
         sorted(
-            with_neighbours(df, ["k"], ["at", "id"], time_slice(F.col("at"), 1_000), spread, {"p": "id"}, {"n": "id"})
+            with_neighbours(df, ["k"], ["at", "id"], spread, {"p": "id"}, {"n": "id"})
             .select("id", "p", "n")
             .collect(),
             key=lambda r: r.id,
         )
-        for spread in (Spread(0), Spread(100), Spread(10_000))
+        for spread in (Spread(0, 60), Spread(100, 20), Spread(10_000))
     ]
     assert found[0] == found[1] == found[2]
     rows = {r.id: r for r in found[0]}
     assert (rows[300].p, rows[300].n) == (297, 303) and rows[0].p is None and rows[498].n is None
 
 
+def test_a_hot_key_is_cut_by_position_also_at_one_instant(spark):
+    df = spark.range(1_000).select(F.lit("hot").alias("k"), F.timestamp_seconds(F.lit(5)).alias("at"), "id")
+    rows = sliced(df, ["k"], ["at", "id"], Spread(10, 100))
+    sizes = rows.groupBy(SLICE).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy(SLICE).collect()
+    assert len(sizes) == 10 and max(r.n for r in sizes) < 250
+    assert all(a.high < b.low for a, b in zip(sizes, sizes[1:]))
+    found = with_neighbours(df, ["k"], ["at", "id"], Spread(10, 100), {"p": "id"}).collect()
+    assert {r.id: r.p for r in found} == {n: n - 1 if n else None for n in range(1_000)}
+
+
+def test_windows_of_normal_keys_share_one_exchange(spark):
+    df = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
+    once = with_neighbours(df, ["k"], ["id"], Spread(), {"p": "id"})
+    twice = with_neighbours(once, ["k"], ["id"], Spread(), None, {"n": "id"})
+    plan = twice._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "Join" not in plan and "Union" not in plan
+
+
 def test_cut_keeps_rows_and_schema(spark):
     sales = fx.sales(spark)
     again = cut(sales, "sales")
