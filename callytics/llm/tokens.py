@@ -10,6 +10,7 @@ the memory of the worker.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -28,10 +29,20 @@ SEGMENT = re.compile(
 #: Places where a text may be cut.
 SAFE_CUT = re.compile(rf"(?<=[^ \t\n\r{_OTHER_SPACE}])(?=[ \t\n\r])")
 
-#: Segments a worker remembers, twice: when full, they become the old ones and are kept until it is full again. About
-#: 200 MB. Results do not depend on it.
-REMEMBERED = 450_000
-#: Longer segments are not remembered.
+#: Where a blank follows on white space; a text with such places, or with a blank at an end, isn't split at blanks.
+WIDE = re.compile(r"\s ")
+#: A full stop or comma before a blank is split off as a word of its own, with a sign that the text must not hold, and so
+#: is a full stop with the line end after it. That is safe where they stand after a letter or digit and no white space
+#: follows the line end.
+ALONE = "\x01"
+UNSAFE_LINE = re.compile(r"\n\s")
+UNSAFE_MARK = re.compile(rf" {ALONE}[.,](?<=[\W_] {ALONE}[.,])")
+#: A word of Latin letters.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+#: Segments a worker remembers, twice: when full, they become the old ones and are kept until it is full again. At most
+#: about 200 bytes each, as longer ones than LONG characters are not remembered. Results do not depend on it.
+REMEMBERED = 800_000
 LONG = 64
 
 
@@ -41,10 +52,36 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(DEFAULT_TOKENIZER)
 
 
-class Encoder(dict):
-    """Segment -> its ids as little-endian unsigned 32-bit integers.
+class Memory(dict):
+    """Segment -> its ids as little-endian unsigned 32-bit integers; bounded."""
 
-    Names of special tokens that stand in a text are ordinary text.
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def known(self, segment: str) -> bytes | None:
+        data = self.get(segment)
+        if data is None and (data := self.old.get(segment)) is not None:
+            self.keep(segment, data)
+        return data
+
+    def keep(self, segment: str, data: bytes) -> bytes:
+        if len(segment) <= LONG:
+            self.room()
+            self[segment] = data
+        return data
+
+    def room(self) -> None:
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
+class Encoder:
+    """Ids of whole texts, as the tokenizer's own `encode` gives them with add_special_tokens=False.
+
+    The name of an added token in a text gives that token, as there. Such names hold no blank, so no cut falls into one.
+    Most texts are split at blanks, and before a full stop or comma. Words that are not known are encoded together.
     """
 
     def __init__(self, path: str):
@@ -53,26 +90,70 @@ class Encoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, segment: str) -> bytes:
-        data = self.old.get(segment)
-        if data is None:
-            ids = self.tokenizer.encode(segment, add_special_tokens=False).ids
-            data = np.array(ids, dtype="<u4").tobytes()
-        if len(segment) <= LONG:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
-            self[segment] = data
+        if any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens with white space would be cut")
+        self.words = Memory()  # by the segment without the blank in front of it
+        self.bare = Memory()
+
+    def _encoded(self, segment: str) -> bytes:
+        return array("I", self.tokenizer.encode(segment, add_special_tokens=False).ids).tobytes()
+
+    def _segment(self, segment: str) -> bytes:
+        if segment[0] == " " and segment[1:2] != ALONE:
+            return self._word(segment[1:])
+        data = self.bare.known(segment)
+        return self.bare.keep(segment, self._encoded(segment)) if data is None else data
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a blank and the word, or of marks alone."""
+        data = self.words.known(word)
+        if data is None and word[:1] == ALONE:
+            data = self.words.keep(word, self._segment(word[1:]))
+        elif data is None:
+            parts = SEGMENT.findall(f" {word}")
+            data = self._encoded(parts[0]) if len(parts) == 1 else b"".join(map(self._segment, parts))
+            self.words.keep(word, data)
         return data
 
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that were not found, those of letters in one call."""
+        old = self.words.old
+        plain = [w for w in words if w not in old and (w.isalpha() and w.isascii() or PLAIN.fullmatch(w)) and len(w) <= LONG]
+        found = {}
+        if plain:
+            # A word of letters with a blank before it is one word of the tokenizer, so its numbers tell them apart.
+            encoding = self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False)
+            data = array("I", encoding.ids).tobytes()
+            ends = (4 * np.flatnonzero(np.diff(np.array(encoding.word_ids), append=-1)) + 4).tolist()
+            if len(ends) != len(plain):
+                raise ValueError("the tokenizer cuts words of letters")
+            found = {w: data[i:j] for w, i, j in zip(plain, [0, *ends], ends)}
+            self.words.room()
+            self.words.update(found)
+        if len(found) < len(words):
+            for word in words:
+                if word not in found:
+                    found[word] = self._word(word)
+        return found
+
     def ids(self, text: str | None) -> bytes:
         """Ids of a whole text; a null text is empty."""
-        return b"".join(map(self.__getitem__, SEGMENT.findall(text))) if text else b""
+        if not text:
+            return b""
+        if text[0].isspace() or text[-1].isspace() or ALONE in text or WIDE.search(text):
+            return b"".join(map(self._segment, SEGMENT.findall(text)))
+        cut = text.replace(". ", f" {ALONE}. ").replace(", ", f" {ALONE}, ")
+        if not UNSAFE_LINE.search(text):
+            cut = cut.replace(".\n", f" {ALONE}.\n {ALONE}")
+        if cut[0] == " " or UNSAFE_MARK.search(cut):
+            cut = text
+        first, *words = cut.split(" ")
+        parts = list(map(self.words.get, words))
+        if None in parts:
+            new = self._learn(list(dict.fromkeys(w for w, data in zip(words, parts) if data is None)))
+            parts = [new[w] if data is None else data for w, data in zip(words, parts)]
+        return b"".join(map(self._segment, SEGMENT.findall(first))) + b"".join(parts)
 
     def count(self, text: str | None) -> int:
         return len(self.ids(text)) // 4
