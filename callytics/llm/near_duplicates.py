@@ -11,12 +11,13 @@ keeps its first point. Two documents agree in a component with probability equal
 drawn up to a time by which nearly all components are met, and further only for documents that need it.
 
 Equal texts are one text from the start, so groups of copies cost nothing. Bands of ROWS components put texts into
-buckets. Every text is compared with the least of the least texts of its buckets; then, where these links leave different
-classes, with the least text of each of its buckets, and in each bucket with its NEAR predecessors in the order of the
-next components. So buckets of up to NEAR + 1 texts are compared whole, and in larger ones the texts that agree furthest
-stand side by side. Larger buckets that still hold several classes are finished exactly: a pair that reaches the
+buckets. Every text is compared with the least of the least texts of its buckets. Then, in rounds, texts of buckets that
+still hold several classes are compared with the least text of each of their buckets and, in the order of the next
+components, with texts of other classes before them: buckets of up to NEAR + 1 texts are compared whole, in larger ones
+each text meets the nearest such text only, as those that agree furthest stand side by side and one link joins whole
+classes. Larger buckets that still hold several classes after the rounds are finished exactly: a pair that reaches the
 threshold shares one of the rarest windows of both, so texts of different classes are joined by these (prefix filter).
-Each pair is checked on the whole multisets, so no wrong link remains.
+Each pair is checked on the whole multisets, whose windows are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BANDS = 32
 ROWS = 5
 SIZE = BANDS * ROWS
 NEAR = 8
+#: Rounds of comparisons with neighbours; a round without a new link is the last.
+NEAR_ROUNDS = 2
 #: Texts of a bucket that are ordered by one task; larger buckets are split by their next component.
 BUCKET = 5_000
 #: Rows of one window that meet in one task on each side of the exact join.
@@ -152,7 +155,7 @@ def coded_bags(docs: DataFrame, some: DataFrame, id_col: str, text_col: str) ->
                 text, h, count = bags(part.column(1).to_pylist())
                 element = np.repeat(np.arange(len(h)), count)
                 which = np.arange(len(element)) - np.repeat(np.cumsum(count) - count, count)
-                codes = (mix(h[element] + GOLDEN * which.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                codes = mix(h[element] + GOLDEN * which.astype(np.uint64)).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, weights=count, minlength=part.num_rows))])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(codes))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["k", "codes"])
@@ -162,7 +165,7 @@ def coded_bags(docs: DataFrame, some: DataFrame, id_col: str, text_col: str) ->
     )
     # One row of each text: the one with the least id. So a group of copies isn't brought together here.
     same = (texts["k"] == some["k"]) & texts["doc_id"].eqNullSafe(some["doc_id"])
-    found = texts.join(some, same, "left_semi").select("k", "text").mapInArrow(run, "k binary, codes array<int>")
+    found = texts.join(some, same, "left_semi").select("k", "text").mapInArrow(run, "k binary, codes array<long>")
     return found.dropDuplicates(["k"])
 
 
@@ -198,7 +201,7 @@ def prefixes(bag: DataFrame, threshold: float) -> DataFrame:
                     size = len(own) - int(np.ceil(threshold * len(own) - 1e-6)) + 1
                     row.append(np.full(size, i))
                     n.append(np.full(size, len(own), np.int32))
-                    code.append(own[:size].astype(np.int32))
+                    code.append(own[:size])
                     rank.append(np.arange(size, dtype=np.int32))
                 if not row:
                     continue
@@ -207,7 +210,7 @@ def prefixes(bag: DataFrame, threshold: float) -> DataFrame:
                 columns = [part.column(0).take(at_row), part.column(1).take(at_row), *numbers]
                 yield pa.RecordBatch.from_arrays(columns, ["k", "label", "n", "code", "p"])
 
-    return bag.mapInArrow(run, "k binary, label binary, n int, code int, p int")
+    return bag.mapInArrow(run, "k binary, label binary, n int, code long, p int")
 
 
 def prefix_pairs(bag: DataFrame, threshold: float) -> DataFrame:
@@ -256,6 +259,41 @@ def classes(links: DataFrame) -> DataFrame:
         labels = labels.select("k", "label")
 
 
+def alike(m: str | Column, n: str | Column, threshold: float) -> Column:
+    """Whether sizes allow the similarity, which is at most the smaller number of windows over the larger."""
+    return F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9
+
+
+def neighbour_pairs(members: DataFrame, label: DataFrame, near: int, threshold: float, whole: bool) -> DataFrame:
+    """Pairs (a, b) of texts of different classes in one bucket.
+
+    In buckets of more than `near` + 1 texts each text meets the nearest one before it. If `whole`, those of other buckets
+    meet all, and each text meets the least one of its bucket. `members` has a row per text and bucket, `label` the classes so far.
+    """
+    known = members.join(label, "k", "left").withColumn("label", F.coalesce("label", "k"))
+    several = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    if not whole:
+        known = known.filter(F.col("texts") > near + 1)
+    known = known.join(several, "key")
+    theirs = label.select(F.col("k").alias("least_k"), F.col("label").alias("least_label"))
+    others = known.filter((F.col("k") != F.col("least.k")) & alike("n", "least.n", threshold))
+    others = others.select("k", "label", F.col("least.k").alias("least_k")).distinct()
+    others = others.join(theirs, "least_k", "left").filter(F.col("label") != F.coalesce("least_label", "least_k"))
+    placed = known.select(
+        "k", "n", "key", "after", "label", "texts",
+        F.when(F.col("texts") > BUCKET, F.pmod(F.shiftright("after", 48), F.ceil(F.col("texts") / BUCKET))).otherwise(0).alias("split"),
+    )
+    order = Window.partitionBy("key", "split").orderBy("after", "k")
+    before = F.array_compact(F.array(*(F.lag(F.struct("k", "n", "label"), i).over(order) for i in range(1, near + 1))))
+    fit = F.filter("before", lambda o: (o["label"] != F.col("label")) & alike(F.col("n"), o["n"], threshold))
+    some = F.when(F.col("texts") > near + 1, F.slice("fit", 1, 1)).otherwise(F.col("fit"))
+    pairs = placed.withColumn("before", before).withColumn("fit", fit).select("k", F.explode(some).alias("other"))
+    pairs = pairs.select("k", F.col("other.k").alias("o"))
+    if whole:
+        pairs = pairs.union(others.select("k", F.col("least_k").alias("o")))
+    return pairs.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
+
+
 def duplicate_classes(
     docs: DataFrame,
     threshold: float = THRESHOLD,
@@ -279,32 +317,17 @@ def duplicate_classes(
     members = stored(one.join(buckets, "key"), "members")
     bag = stored(coded_bags(docs, members.select("k", "doc_id").distinct(), id_col, text_col), "bags")
 
-    # Similarity is at most the smaller number of windows over the larger.
-    alike = lambda m, n: F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9
-    to_least = members.filter((F.col("k") != F.col("least.k")) & alike(F.col("n"), F.col("least.n")))
+    to_least = members.filter((F.col("k") != F.col("least.k")) & alike("n", "least.n", threshold))
     one_each = to_least.groupBy(F.col("k").alias("b")).agg(F.min("least.k").alias("a")).select("a", "b")
     first = stored(linked(one_each, bag, threshold), "links")
     label = classes(first)
 
-    known = members.join(label, "k", "left").withColumn("label", F.coalesce("label", "k"))
-    theirs = label.select(F.col("k").alias("least_k"), F.col("label").alias("least_label"))
-    others = known.filter((F.col("k") != F.col("least.k")) & alike(F.col("n"), F.col("least.n"))).select(
-        "k", "label", F.col("least.k").alias("least_k")
-    )
-    others = others.distinct().join(theirs, "least_k", "left").filter(F.col("label") != F.coalesce("least_label", "least_k"))
-    placed = known.select(
-        "k", "n", "key", "after", "label",
-        F.when(F.col("texts") > BUCKET, F.pmod(F.shiftright("after", 48), F.ceil(F.col("texts") / BUCKET))).otherwise(0).alias("split"),
-    )
-    order = Window.partitionBy("key", "split").orderBy("after", "k")
-    before = F.array(*(F.lag(F.struct("k", "n", "label"), i).over(order) for i in range(1, near + 1)))
-    pairs = placed.withColumn("other", before).select("k", "n", "label", F.explode("other").alias("other"))
-    pairs = pairs.filter((F.col("other.label") != F.col("label")) & alike(F.col("n"), F.col("other.n")))
-    pairs = pairs.select("k", F.col("other.k").alias("o")).union(others.select("k", F.col("least_k").alias("o")))
-    pairs = pairs.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
-    second = stored(linked(pairs, bag, threshold), "links")
-    if not second.isEmpty():
-        first = first.union(second)
+    for number in range(NEAR_ROUNDS):
+        pairs = neighbour_pairs(members, label, near, threshold, number == 0)
+        found = stored(linked(pairs, bag, threshold), "links")
+        if found.isEmpty():
+            break
+        first = first.union(found)
         label = classes(first)
 
     # Larger buckets that still hold several classes: the rest of their pairs.

@@ -100,6 +100,14 @@ def test_crowd_just_below_the_threshold(spark, docs):
     assert got == {d: d - d % 2 for d in texts}
 
 
+def test_no_wrong_link_in_a_crowd(docs):
+    """Two thousand texts of 200 words that share 178: none reaches 0.8 but for a collision of codes."""
+    shared = [f"s{i}" for i in range(178)]
+    rows = [(k, " ".join(shared + [f"o{k}x{i}" for i in range(22)])) for k in range(2_000)]
+    assert 0.79 < similarity(rows[0][1], rows[1][1]) < 0.8
+    assert all(r["class_id"] == r["doc_id"] for r in nd.near_duplicates(docs(rows)).collect())
+
+
 def test_signatures_are_unbiased():
     rng = random.Random(3)
     base = [f"w{i}" for i in range(300)]
