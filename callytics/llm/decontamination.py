@@ -11,9 +11,10 @@ length besides.
 Runs. Matches of a document and an item with the same distance between their places lie on one diagonal. A diagonal
 counts if its longest run of matched windows spans RUN tokens, or if SHARE of the item's windows are matched on it, all
 of them or those that aren't mostly slots.
-Slot consistency. In a run, or for a share on the whole diagonal, each value of the item must always have become the
-same value of the document; where one has become two it is no re-parameterised copy. That doesn't matter to what is
-unchanged: SHARE of the item's windows unchanged, or RUN unchanged tokens in a row with a slot among them, count anyway.
+Slot consistency. In a run, or for a share on the whole diagonal, each name of the item must always have become the same
+value of the document; where one has become two it is no re-parameterised copy. Equal numbers and units may stand for
+different things, so they may part. None of that matters to what is unchanged: SHARE of the item's windows unchanged, or
+RUN unchanged tokens in a row, with or without slots, count anyway.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def _tokens() -> Tokens:
 
 
 def canonical(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Tokens of all texts: canonical hash, the same with names as words, value hash, is it a slot; and the number of
+    """Tokens of all texts: canonical hash, the same with names as words, value hash, kind of slot or 0; and the number of
     tokens of each text. `mix` of the value hash is the hash of the token as a word."""
     known = _tokens().__getitem__
     parts = []
@@ -108,16 +109,17 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     word = mix(value)
     h = np.where(slot_kind > 0, _PLACEHOLDER[slot_kind], word)
     plain = np.where(slot_kind == NAME, word, h)
-    return h, plain, value, slot_kind > 0, np.bincount(text, minlength=len(parts)).astype(np.int64)
+    return h, plain, value, slot_kind, np.bincount(text, minlength=len(parts)).astype(np.int64)
 
 
 def template_windows(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, ...]:
-    """Windows of texts: text number, place, hash, per window the slot values (n, width), 0 where there is no slot; is it
+    """Windows of texts: text number, place, hash, per window the slot values (n, width), with the kind in two bits, 0 where there is no slot; is it
     mostly slots, and its number of tokens.
 
     A text of fewer tokens has one window of all its tokens. Windows mostly of slots have their tokens as words.
     """
-    h, plain, value, slot, counts = canonical(texts)
+    h, plain, value, kind, counts = canonical(texts)
+    slot = kind > 0
     if not len(h):
         none = np.empty(0, np.int64)
         return none, none, np.empty(0, np.uint64), np.empty((0, width), np.uint64), np.empty(0, bool), none
@@ -126,7 +128,7 @@ def template_windows(texts: list[str | None], width: int = WIDTH) -> tuple[np.nd
     place = np.arange(len(h)) - begin[text]
     left = counts[text] - place
     pad = lambda x: np.concatenate([x, np.zeros(width, x.dtype)])
-    ph, pv = pad(h), pad(np.where(slot, value, np.uint64(0)))
+    ph, pv = pad(h), pad(np.where(slot, (value << np.uint64(2)) | kind.astype(np.uint64), np.uint64(0)))
     total, slots, used = np.zeros(len(h), np.uint64), np.zeros(len(h), np.int64), np.minimum(left, width)
     values = np.zeros((len(h), width), np.uint64)
     for j in range(width):
@@ -251,12 +253,11 @@ def _held(
     steps = matches.groupBy(*line, "item_place").agg(
         (~F.bool_or("dense")).cast("int").alias("typed"),
         F.bool_or(kept).alias("kept"),
-        F.bool_or(kept & (F.col("dense") | F.exists("item_slots", lambda x: x != 0))).alias("kept_slot"),
     )
     steps = stored(steps.withColumn("run", F.col("item_place") - F.row_number().over(order)), "steps")
     same = steps.filter("kept").withColumn("run", F.col("item_place") - F.row_number().over(order))
-    unchanged = same.groupBy(*line, "run").agg(F.count("*").alias("n"), F.bool_or("kept_slot").alias("slot")).groupBy(*line).agg(
-        F.sum("n").alias("kept"), F.max(F.when(F.col("slot"), F.col("n"))).alias("kept_run")
+    unchanged = same.groupBy(*line, "run").agg(F.count("*").alias("n")).groupBy(*line).agg(
+        F.sum("n").alias("kept"), F.max("n").alias("kept_run")
     )
     by_run = steps.groupBy(*line, "run").agg(F.count("*").alias("n"), F.sum("typed").alias("typed"))
     sizes = items.groupBy(F.col("id").alias("item_id")).agg(
@@ -267,11 +268,13 @@ def _held(
     # What each value of the item has become, in each run and on the diagonal.
     slots = matches.select(*line, "item_place", F.explode(F.arrays_zip("slots", "item_slots")).alias("z")).filter("z.item_slots <> 0")
     at = [F.col(f"m.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*line, "item_place"]]
-    became = slots.alias("m").join(steps.alias("p"), at).groupBy(*(f"m.{c}" for c in line), "p.run", F.col("m.z.item_slots").alias("value")).agg(
+    # What grows with the documents is never broadcast.
+    became = slots.alias("m").join(steps.hint("merge").alias("p"), at).groupBy(*(f"m.{c}" for c in line), "p.run", F.col("m.z.item_slots").alias("value")).agg(
         F.min("m.z.slots").alias("low"), F.max("m.z.slots").alias("high")
     )
     became = stored(became, "became")
-    torn = F.max((F.col("low") != F.col("high")).cast("int")).alias("torn")
+    name = F.col("value").bitwiseAND(3) == NAME
+    torn = F.max(((F.col("low") != F.col("high")) & name).cast("int")).alias("torn")
     torn_runs = became.groupBy(*line, "run").agg(torn).filter("torn = 1")
     whole = became.groupBy(*line, "value").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     slot_rows = whole.groupBy(*line).agg(
@@ -281,13 +284,13 @@ def _held(
     def on(a: str, b: str, *more: str) -> list:
         return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*line, *more)]
 
-    runs = by_run.alias("r").join(torn_runs.alias("t"), on("r", "t", "run"), "left").groupBy(*(f"r.{c}" for c in line)).agg(
+    runs = by_run.alias("r").join(torn_runs.hint("merge").alias("t"), on("r", "t", "run"), "left").groupBy(*(f"r.{c}" for c in line)).agg(
         F.max("n").alias("longest"), F.max(F.when(F.col("torn").isNull(), F.col("n"))).alias("fair_run"),
         F.sum("n").alias("matched"), F.sum("typed").alias("matched_typed"),
     )
     same_item = F.col("s.item_id").eqNullSafe(F.col("z.item_id"))
-    judged = runs.alias("s").join(sizes.alias("z"), same_item).join(unchanged.alias("u"), on("s", "u"), "left")
-    judged = judged.join(slot_rows.alias("t"), on("s", "t"), "left").select(
+    judged = runs.alias("s").join(sizes.alias("z"), same_item).join(unchanged.hint("merge").alias("u"), on("s", "u"), "left")
+    judged = judged.join(slot_rows.hint("merge").alias("t"), on("s", "t"), "left").select(
         "s.*", "z.windows", "z.windows_typed", "z.length", "u.kept", "u.kept_run", "t.changed", F.coalesce("t.torn", F.lit(0)).alias("torn")
     )
     shared = (F.col("matched") >= share * F.col("windows")) | (

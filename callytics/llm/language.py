@@ -7,20 +7,20 @@ the languages. A document's probabilities are the means over its windows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import regex
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from callytics.llm.common import short_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8  # of each width
-#: Bound of the training sample: documents of each language (about; chosen by a hash of their id), and windows of each.
+#: Bound of the training sample: documents of each language (chosen by a hash of id and text), and windows of each.
 SAMPLE_DOCUMENTS = 1_500
 SAMPLE_WINDOWS = 3
 EPOCHS = 6
@@ -31,7 +31,7 @@ UNDETERMINED = "und"
 #: Windows worked on at once.
 CHUNK = 512
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def windows(text: str) -> bytes:
@@ -121,28 +121,34 @@ def fit(data: np.ndarray, labels: np.ndarray, languages: list[str]) -> Model:
 def sample(docs: DataFrame, chosen: Column, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """Training windows (lang, window): of each language about SAMPLE_DOCUMENTS documents that are `chosen`.
 
-    A hash of the id decides, against a share for each language, so no language is brought together.
+    A hash of id and text decides, against a share for each language, so no language is brought together. Rows that repeat
+    share a hash; at most SAMPLE_DOCUMENTS * SAMPLE_WINDOWS windows of a language are taken, those of the least hashes.
     """
     lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
     labelled = docs.filter(chosen & lang.isNotNull())
     counts = labelled.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).collect()  # a row for each language
     shares = [F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE_DOCUMENTS / r["n"]))] or [F.lit(""), F.lit(0.0)]
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 40)) / float(1 << 40)
+    place = F.pmod(F.xxhash64(F.col(id_col), text, F.lit("language")), F.lit(1 << 40)) / float(1 << 40)
     picked = labelled.filter(place < F.element_at(F.create_map(*shares), lang))
-    texts = picked.select(lang.alias("lang"), text.alias("text")).filter(F.col("text").rlike(r"\p{L}"))
+    texts = picked.select(lang.alias("lang"), place.alias("place"), text.alias("text")).filter(F.col("text").rlike(r"\p{L}"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, found = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            langs, places, found = [], [], []
+            for lang, place, text in zip(*(c.to_pylist() for c in batch.columns)):
                 data = windows(text)
                 n = len(data) // WINDOW
                 for i in sorted({round(j * (n - 1) / max(1, SAMPLE_WINDOWS - 1)) for j in range(SAMPLE_WINDOWS)}):
                     langs.append(lang)
+                    places.append(place)
                     found.append(data[i * WINDOW : (i + 1) * WINDOW])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "window"])
+            columns = [pa.array(langs, pa.string()), pa.array(places, pa.float64()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "place", "window"])
 
-    return texts.mapInArrow(some, "lang string, window binary")
+    # Spark keeps no more of a language per task before the shuffle either.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "window"))
+    taken = texts.mapInArrow(some, "lang string, place double, window binary").withColumn("rank", rank)
+    return taken.filter(F.col("rank") <= SAMPLE_DOCUMENTS * SAMPLE_WINDOWS).select("lang", "window")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

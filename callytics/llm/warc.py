@@ -76,6 +76,8 @@ _TESTS = {
     In: lambda v, x: v in x,
 }
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
+#: Where a record begins after a broken one.
+NEXT_HEAD = b"\r\n\r\nWARC/"
 
 
 def _open(folder: str):
@@ -243,7 +245,11 @@ class WarcReader(DataSourceReader):
             yield self._row(fields, row, block)
 
     def _in_order(self, f, packed: bool) -> Iterator[dict]:
-        """Records of an archive without index; of unwanted ones no more than a piece is in memory."""
+        """Records of an archive without index; of unwanted ones no more than a piece is in memory.
+
+        A record whose Content-Length is missing or no whole number is left out, and reading goes on at the next head; a
+        last record that is cut off is left out.
+        """
         stream = _Unpacked(f) if packed else f
         data = b""
         while True:
@@ -255,7 +261,16 @@ class WarcReader(DataSourceReader):
             head, _, data = data.lstrip(b"\r\n").partition(b"\r\n\r\n")
             fields = parse_head(head)
             row = columns_of(fields)
-            left = int(fields.get("content-length", 0))
+            length = fields.get("content-length", "")
+            if not (length.isascii() and length.isdigit()):  # no way to tell where it ends: go on at the next head
+                while (begin := data.find(NEXT_HEAD)) < 0:
+                    more = stream.read(1 << 16)
+                    if not more:
+                        return
+                    data = data[-len(NEXT_HEAD) :] + more
+                data = data[begin:]
+                continue
+            left = int(length)
             keep = self._wanted(row)
             block = bytearray()
             while left:
@@ -267,6 +282,8 @@ class WarcReader(DataSourceReader):
                 left -= len(piece)
                 if keep and self.payload:
                     block += piece
+            if left:  # the archive is cut off
+                return
             if keep:
                 yield self._row(fields, row, bytes(block) if self.payload else None)
 

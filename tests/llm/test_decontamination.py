@@ -43,7 +43,8 @@ def test_copies_and_reparameterised_items(spark, docs):
         (12, "Berlin likes Oslo and the way that Rome has to be and to stay the same for all of us each day."),
     ]
     got = found(docs, spark, rows, [(1, ITEM), (2, OTHER), (3, SHORT), (4, torn), (None, None), (6, "")])
-    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 2), (7, 3), (10, 2), (None, 1)}
+    # Row 12 turns one name into two, but keeps 14 words in a row.
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 2), (7, 3), (10, 2), (12, 4), (None, 1)}
     assert got[1, 1]["changed_slots"] == 0 and got[3, 1]["changed_slots"] == 4
     assert got[1, 1]["run_tokens"] <= got[1, 1]["item_tokens"]
 
@@ -80,6 +81,19 @@ def test_one_torn_slot_leaves_the_rest(spark, docs):
     assert set(got) == {(1, 1), (3, 3), (4, 2)}
 
 
+def test_equal_numbers_may_part_and_equal_names_may_not(spark, docs):
+    fruit = "Mia has 5 apples and 5 pears and puts them into one small basket for the others to share at school."
+    names = "So Berlin sends Paris a letter and so Berlin waits."
+    rows = [
+        (1, fruit.replace("5 pears", "9 pears").replace("5 apples", "7 apples")),
+        (2, noise(20) + " so Berlin sends Paris"),
+        (3, names.replace("so Berlin waits", "so Oslo waits")),
+        (4, names.replace("Berlin", "Oslo")),
+    ]
+    got = found(docs, spark, rows, [(1, fruit), (2, names)])
+    assert set(got) == {(1, 1), (4, 2)}
+
+
 def test_against_plain_windows(spark, docs):
     """Without slots: a document is found if and only if it shares 13 words in a row, or most of an item."""
     rng = random.Random(7)
@@ -138,4 +152,4 @@ def test_canonical_tokens():
     h, plain, value, slot, counts = dc.canonical(["Tom met Anna. He ran 12km! Then 5 % more", "", None, "ALL CAPS Hello"])
     assert counts.tolist() == [11, 0, 0, 3]
     # Tom met Anna He ran 12 km Then 5 % more
-    assert slot.tolist()[:11] == [False, False, True, False, False, True, True, False, True, True, False]
+    assert (slot > 0).tolist()[:11] == [False, False, True, False, False, True, True, False, True, True, False]

@@ -77,6 +77,47 @@ def test_keep_languages(docs, corpus):
     assert sorted(r["text"] for r in kept.collect()) == sorted(r[1] for r in corpus[:50] + [corpus[0]])
 
 
+def test_numbers_and_signs_are_no_letters(docs, corpus):
+    model = language.train(docs(corpus))
+    table = docs([(1, "½ ² Ⅷ"), (2, "① ½"), (3, "ª"), (4, "日本")])
+    assert [r["lang_pred"] == "und" for r in language.predict(table, model).orderBy("doc_id").collect()] == [True, True, False, False]
+    assert [r["doc_id"] for r in language.keep_languages(table, None).orderBy("doc_id").collect()] == [3, 4]
+
+
+def test_the_sample_is_bounded_for_repeated_rows(docs, corpus, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_DOCUMENTS", 10)
+    rows = corpus[:100] + [corpus[0]] * 500 + [(corpus[0][0], f"{corpus[0][1]} {i}", corpus[0][2]) for i in range(500)]
+    got = language.sample(docs(rows), F.lit(True), "doc_id", "text", "lang").groupBy("lang").count().collect()
+    assert len(got) == 3 and all(r["count"] <= 10 * language.SAMPLE_WINDOWS for r in got)
+
+
+def forward(model, text):
+    """Plain probabilities of a whole text: every window, filter and place by itself."""
+    data = text.lower().encode()
+    total = np.zeros(len(model.languages))
+    starts = range(0, len(data), language.WINDOW)
+    for start in starts:
+        window = data[start : start + language.WINDOW].ljust(language.WINDOW, b"\0")
+        hidden = []
+        for w in language.WIDTHS:
+            for f in range(language.FILTERS):
+                hidden.append(max(sum(float(model.filters[w][i, window[p + i], f]) for i in range(w)) for p in range(language.WINDOW - 3)))
+        hidden = np.maximum(np.array(hidden) + model.offset, 0)
+        logits = hidden @ model.weights + model.bias
+        e = np.exp(logits - logits.max())
+        total += e / e.sum()
+    return total / len(starts)
+
+
+def test_whole_documents_against_a_plain_forward_pass(docs, corpus):
+    model = language.train(docs(corpus))
+    texts = [t for _, t, _ in corpus[:5]] + ["x", "é " * 300]
+    names, scores = language.scorer(model)(texts)
+    for text_, name, score in zip(texts, names, scores):
+        p = forward(model, text_)
+        assert name == model.languages[p.argmax()] and abs(score - p.max()) < 1e-3
+
+
 def test_without_labels_or_rows(docs):
     rows = docs([(1, "some words", None), (2, None, None)])
     model = language.train(rows)

@@ -100,6 +100,24 @@ def test_split_files_and_plain_archives(spark, archive):
         assert warc.read_records(spark, folder, payload=False).filter("record_type = 'revisit'").count() == sum(r[3] == "revisit" for r in wanted())
 
 
+@pytest.mark.parametrize("length", [b"Content-Length: many", b"Content-Length: -5", b"X: y"])
+def test_malformed_lengths_and_cut_off_records(spark, tmp_path, length):
+    from pathlib import Path
+
+    def record(number, head=None, body=b"<p>text</p>"):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        head = head or f"Content-Length: {len(block)}".encode()
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\n%s\r\n\r\n%s\r\n\r\n" % (number, head, block)
+
+    data = record(1) + record(2, length) + record(3, length, b"") + record(4) + record(5)[:-12]
+    for name, content in (("a.warc", data), ("b.warc.gz", gzip.compress(data))):
+        folder = tmp_path / name
+        folder.mkdir()
+        Path(folder / name).write_bytes(content)
+        rows = warc.read_records(spark, str(folder)).collect()
+        assert sorted(r["record_id"].strip("<>")[-1] for r in rows) == ["1", "4"]
+
+
 def test_uncommitted_archives_are_not_read(spark, archive):
     before = warc.read_records(spark, archive, payload=False).count()
     writer = warc.WarcWriter(archive, "2024-01-01T00:00:00Z", [])
