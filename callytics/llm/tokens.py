@@ -125,7 +125,7 @@ class Encoder:
             # A word of letters with a blank before it is one word of the tokenizer, so its numbers tell them apart.
             encoding = self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False)
             data = array("I", encoding.ids).tobytes()
-            ends = (4 * np.flatnonzero(np.diff(np.array(encoding.word_ids), append=-1)) + 4).tolist()
+            ends = (4 * np.flatnonzero(np.diff(np.fromiter(encoding.word_ids, np.int64), append=-1)) + 4).tolist()
             if len(ends) != len(plain):
                 raise ValueError("the tokenizer cuts words of letters")
             found = {w: data[i:j] for w, i, j in zip(plain, [0, *ends], ends)}
@@ -150,9 +150,11 @@ class Encoder:
             cut = text
         first, *words = cut.split(" ")
         parts = list(map(self.words.get, words))
-        if None in parts:
-            new = self._learn(list(dict.fromkeys(w for w, data in zip(words, parts) if data is None)))
-            parts = [new[w] if data is None else data for w, data in zip(words, parts)]
+        unknown = [i for i, data in enumerate(parts) if data is None]
+        if unknown:
+            new = self._learn(list(dict.fromkeys([words[i] for i in unknown])))
+            for i in unknown:
+                parts[i] = new[words[i]]
         return b"".join(map(self._segment, SEGMENT.findall(first))) + b"".join(parts)
 
     def count(self, text: str | None) -> int:
