@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import re
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -27,19 +27,52 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(text, F.lit("")) == ""
 
 
-def contains_any(lowered: Column, words: Sequence[str]) -> Column:
-    """One generated-code OR chain; stops at the first word found."""
-    if not words:
-        return F.lit(False)
-    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w.lower())) for w in words])
+def _trie(words: Iterable[str]) -> str:
+    """A pattern for the longest of the words at a place, branching character by character."""
+    branches: dict[str, list[str]] = {}
+    ends = False
+    for word in words:
+        if word:
+            branches.setdefault(word[0], []).append(word[1:])
+        else:
+            ends = True
+    parts = [re.sub(r"[^\w\s]", r"\\\g<0>", c) + _trie(rest) for c, rest in sorted(branches.items())]
+    if not parts:
+        return ""
+    joined = parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)})"
+    return joined + "?" if ends else joined
+
+
+def longest_words(lowered: Column, words: Iterable[str]) -> Column:
+    """The longest of the words at each place of the text, each once, in one scan for all words. They may overlap."""
+    known = sorted({w.lower() for w in words} - {""})
+    if not known:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?=({_trie(known)}))"), F.lit(1)))
+
+
+def with_nested(longest: Column, words: Iterable[str]) -> Column:
+    """All words that occur, from `longest_words`: shorter words that begin at a place are the beginnings of the longest."""
+    known = sorted({w.lower() for w in words} - {""})
+    inner = {w: [v for v in known if v != w and w.startswith(v)] for w in known}
+    nested = {w: shorter for w, shorter in inner.items() if shorter}
+    if not nested:
+        return longest
+    listed = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in nested.items() for x in pair])
+    more = F.flatten(F.transform(longest, lambda w: F.coalesce(F.element_at(listed, w), F.array().cast("array<string>"))))
+    return F.array_union(longest, more)
+
+
+def any_of(found: Column, words: Sequence[str]) -> Column:
+    """Whether one of the words is among those found."""
+    return F.arrays_overlap(found, F.array(*[F.lit(w.lower()) for w in words])) if words else F.lit(False)
 
 
-def matching_words(lowered: Column, words: Sequence[str]) -> Column:
-    """The words found in the text, in list order, repeats in the list kept."""
+def those_of(found: Column, words: Sequence[str]) -> Column:
+    """The words among those found, in list order, repeats in the list kept."""
     if not words:
         return F.array().cast("array<string>")
-    listed = F.array(*[F.lit(w) for w in words])
-    return F.filter(listed, lambda w: F.contains(lowered, F.lower(w)))
+    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.array_contains(found, F.lower(w)))
 
 
 def tab_name(display_name: Column, agent_id: Column) -> Column:

@@ -152,15 +152,31 @@ def bulk_clock_out(events: DataFrame, now: Instant, zone: str = DEFAULT_ZONE) ->
     )
 
 
-def _paired(events: DataFrame, spread: Spread) -> DataFrame:
-    """Every event with the action and time of the agent's next one."""
-    return slices.with_neighbours(
-        events.select(*KEYS, *ORDER, "display_name", "action"),
-        KEYS,
-        ORDER,
-        spread,
-        lead={"_next_action": "action", "_next_at": "event_at"},
+def _reaching(events: DataFrame, start: Instant, end: Instant) -> DataFrame:
+    """The events of the range, and a row per agent for what lies outside.
+
+    The range filter reaches the scan of a stored table. The events before the range are reduced to the agent's last one,
+    whose action still holds at its start (an agent without any is out), and those after it to whether the agent is in
+    today: `_in`, which only these rows have.
+    """
+    before = F.when(F.col("event_at") < instant(start), F.struct(*ORDER, "display_name", "action"))
+    edges = events.groupBy(*KEYS).agg(F.max(before).alias("_before"), F.max(F.struct(*ORDER, "action")).alias("_last"))
+    edges = edges.select(
+        *KEYS,
+        F.coalesce("_before.event_at", instant(start) - F.expr("interval 1 microsecond")).alias("event_at"),
+        F.coalesce("_before.id", F.lit(-1).cast("long")).alias("id"),
+        F.col("_before.display_name").alias("display_name"),
+        F.coalesce("_before.action", F.lit(CLOCK_OUT)).alias("action"),
+        (F.col("_last.action") == CLOCK_IN).alias("_in"),
     )
+    inside = _in_range(events, start, end, None).select(*KEYS, *ORDER, "display_name", "action")
+    return inside.unionByName(edges, allowMissingColumns=True)
+
+
+def _paired(events: DataFrame, start: Instant, end: Instant, spread: Spread) -> DataFrame:
+    """The events that reach into the range with the action and time of the agent's next one."""
+    lead = {"_next_action": "action", "_next_at": "event_at"}
+    return slices.with_neighbours(_reaching(events, start, end), KEYS, ORDER, spread, lead=lead)
 
 
 def _shift(start: Instant, end: Instant) -> tuple[Column, Column]:
@@ -175,7 +191,7 @@ def _shift(start: Instant, end: Instant) -> tuple[Column, Column]:
 def clock_shifts(events: DataFrame, start: Instant, end: Instant, spread: Spread = Spread()) -> DataFrame:
     """Clock-ins up to `end` with their clock-out, where it is the next event."""
     opens, clock_out = _shift(start, end)
-    paired = _paired(events.filter(F.col("event_at") <= instant(end)), spread)
+    paired = _paired(events, start, end, spread)
     return paired.filter(opens).select(
         *KEYS, "display_name", "id", F.col("event_at").alias("clock_in"), clock_out.alias("clock_out")
     )
@@ -201,18 +217,17 @@ def clock_summary(
 ) -> DataFrame:
     """Worked minutes and shifts per agent and display name, most minutes first.
 
-    One pass: the agent's last event of all time is the one without a next event, so the
-    current state comes from the same rows as the shifts.
+    Only the events of the range are put in order, with one row per agent for the others (see `_reaching`).
     """
     check_range(start, end, max_days)
     opens, clock_out = _shift(start, end)
-    marked = _paired(events, spread).select(
+    marked = _paired(events, start, end, spread).select(
         *KEYS,
         "display_name",
         opens.alias("_opens"),
         F.col("event_at").alias("clock_in"),
         clock_out.alias("clock_out"),
-        F.when(F.col("_next_at").isNull(), F.col("action") == CLOCK_IN).alias("_in"),
+        "_in",
     )
     length = micros_between(F.col("clipped_in"), F.col("clipped_out"))
     named = clip_shifts(marked, start, end, now).groupBy(*KEYS, "display_name").agg(
@@ -220,7 +235,7 @@ def clock_summary(
         F.count_if("_opens").alias("shifts_count"),
         F.max("_in").alias("_in"),
     )
-    # One row per display name of an agent; the last event is known to one of them.
+    # One row per display name of an agent; the state of today is known to one of them.
     current = F.max("_in").over(Window.partitionBy(*KEYS))
     return (
         named.withColumn("currently_clocked", F.coalesce(current, F.lit(False)))

@@ -68,32 +68,59 @@ REFERENCES = [
 ]
 
 
-def _rule(name: str, bad: DataFrame) -> DataFrame:
-    return bad.select(F.lit(name).alias("rule"), F.col("bad_rows"))
+def _audited(name: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(rule, bad_rows) of one table, which is scanned once.
+
+    Rows are grouped by each of its key columns at once (grouping sets) and counted, with the row rules in the set of
+    all rows. So a hot value crosses the shuffle as one row per task. The values of referenced keys are then joined with
+    all counts at once.
+    """
+    table, rules = tables[name], _row_rules().get(name, {})
+    unique = UNIQUE.get(name)
+    references = [(column, other, key) for t, column, other, key in REFERENCES if t == name and other in tables]
+    sets = [list(unique)] if unique else []
+    sets += [[column] for column, _, _ in references]
+    sets = list(map(list, dict.fromkeys(map(tuple, sets))))
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    bad = [F.count_if(rule).alias(f"_bad_{n}") for n, rule in rules.items()]
+    if not sets:
+        counted = table.agg(*bad).withColumns({"_set": F.lit(-1), "_n": F.lit(0).cast("long"), "_key": F.lit(None).cast("string")})
+    else:
+        marks = {f"_key_{c}": F.col(c) for c in columns}
+        keyed = [[F.col(f"_key_{c}") for c in s] for s in [[], *sets]]
+        grouped = table.withColumns(marks).groupingSets(keyed, *marks)
+        counted = grouped.agg(F.count("*").alias("_n"), F.grouping_id().alias("_id"), *bad)
+        # In a grouping id the bit of a column is set where the column is not grouped by.
+        ids = [sum(1 << (len(columns) - 1 - columns.index(c)) for c in columns if c not in s) for s in sets]
+        number = F.coalesce(*[F.when(F.col("_id") == i, F.lit(n)) for n, i in enumerate(ids)], F.lit(-1))
+        texts = [F.col(f"_key_{c}").cast("string") for c in columns]
+        counted = counted.withColumns({"_set": number, "_key": F.concat_ws("\x1f", *texts)})
+        # A key with a null in it is neither repeated nor lost.
+        present = F.coalesce(
+            *[F.when(F.col("_set") == n, reduce(lambda a, b: a & b, [F.col(f"_key_{c}").isNotNull() for c in s])) for n, s in enumerate(sets)],
+            F.lit(True),
+        )
+        counted = counted.filter(present)
+    known = None
+    for column, other, key in references:
+        values = tables[other].select(F.lit(sets.index([column])).alias("_set"), F.col(key).cast("string").alias("_key"), F.lit(other).alias("_other"))
+        known = values.distinct() if known is None else known.unionByName(values.distinct())
+    if known is not None:
+        met = known.groupBy("_set", "_key").agg(F.collect_set("_other").alias("_met"))  # as many as there are references
+        counted = counted.join(met, ["_set", "_key"], "left")
+    told = [(f"{name}.{n}", F.sum(F.when(F.col("_set") == -1, F.col(f"_bad_{n}")))) for n in rules]
+    if unique:
+        at = sets.index(list(unique))
+        told.append((f"{name} unique ({', '.join(unique)})", F.sum(F.when(F.col("_set") == at, F.col("_n") - 1))))
+    for column, other, _ in references:
+        lost = (F.col("_set") == sets.index([column])) & ~F.coalesce(F.array_contains("_met", other), F.lit(False))
+        told.append((f"{name}.{column} references {other}", F.sum(F.when(lost, F.col("_n")))))
+    totals = counted.agg(*[F.coalesce(total, F.lit(0)).alias(f"_{i}") for i, (_, total) in enumerate(told)])
+    rows = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"_{i}").alias("bad_rows")) for i, (rule, _) in enumerate(told)])
+    return totals.select(F.inline(rows))
 
 
 def constraint_audit(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(rule, bad_rows) for every rule whose tables are given; one scan per table for row rules."""
-    parts: list[DataFrame] = []
-    for table, rules in _row_rules().items():
-        if table in tables:
-            counted = tables[table].agg(*[F.count_if(bad).alias(n) for n, bad in rules.items()])
-            named = F.array(
-                *[F.struct(F.lit(f"{table}.{n}").alias("rule"), F.col(n).alias("bad_rows")) for n in rules]
-            )
-            parts.append(counted.select(F.inline(named)))
-    for table, keys in UNIQUE.items():
-        if table in tables:
-            present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-            repeats = tables[table].filter(present).groupBy(*keys).agg((F.count("*") - 1).alias("_extra"))
-            bad = repeats.agg(F.coalesce(F.sum("_extra"), F.lit(0)).alias("bad_rows"))
-            parts.append(_rule(f"{table} unique ({', '.join(keys)})", bad))
-    for table, column, other, key in REFERENCES:
-        if table in tables and other in tables:
-            # Count per value first, so a hot value crosses the shuffle as one row.
-            used = tables[table].filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_key"))
-            known = tables[other].select(F.col(key).alias("_key"))
-            orphans = used.agg(F.count("*").alias("_n")).join(known, "_key", "left_anti")
-            bad = orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("bad_rows"))
-            parts.append(_rule(f"{table}.{column} references {other}", bad))
-    return reduce(DataFrame.unionByName, parts)
+    """(rule, bad_rows) for every rule whose tables are given; one pass over each table."""
+    ruled = [t for t in tables if t in _row_rules() or t in UNIQUE or any(r[0] == t and r[2] in tables for r in REFERENCES)]
+    return reduce(DataFrame.unionByName, [_audited(t, tables) for t in ruled])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from callytics.functions.lapsing import Run, staged
-from callytics.functions.text import contains_any, matching_words
+from callytics.functions.text import any_of, longest_words, those_of, with_nested
 from callytics.plans import slices
 from callytics.plans.intervals import as_of
 from callytics.plans.keyed import latest_per_key
@@ -57,28 +57,32 @@ def groups_from(vocabulary: DataFrame) -> dict[str, list[str]]:
     return groups
 
 
-def _lowered(turns: DataFrame) -> DataFrame:
-    return turns.withColumn("_text", F.lower("text"))
+def _scanned(turns: DataFrame, groups: Groups, names: Sequence[str]) -> DataFrame:
+    """Turns with the keywords of these groups that occur in them, by one scan of the text."""
+    words = [w for name in names for w in groups.get(name, ())]
+    # In two steps, so that the scan stands in the plan once.
+    longest = turns.withColumn("_longest", longest_words(F.lower("text"), words))
+    return longest.withColumn("_found", with_nested(F.col("_longest"), words)).drop("_longest")
 
 
 def keyword_matches(turns: DataFrame, groups: Groups = KEYWORD_GROUPS) -> DataFrame:
     """One array column per group with the keywords found in the turn, in list order."""
-    found = {f"{name}_matches": matching_words(F.col("_text"), words) for name, words in groups.items()}
-    return _lowered(turns).withColumns(found).drop("_text")
+    found = {f"{name}_matches": those_of(F.col("_found"), words) for name, words in groups.items()}
+    return _scanned(turns, groups, list(groups)).withColumns(found).drop("_found")
 
 
 def _detected(groups: Groups) -> Column:
-    """Rank of the stage a lowered text points to, null when it points to none."""
+    """Rank of the stage a turn points to by its keywords, null when it points to none."""
     chain = None
     for group, stage in STAGE_OF_GROUP:
-        hit = contains_any(F.col("_text"), groups.get(group, ()))
+        hit = any_of(F.col("_found"), groups.get(group, ()))
         rank = F.lit(RANK[stage])
         chain = F.when(hit, rank) if chain is None else chain.when(hit, rank)
     return chain
 
 
 def _ranked(turns: DataFrame, groups: Groups) -> DataFrame:
-    return _lowered(turns).withColumn("_rank", _detected(groups)).drop("_text")
+    return _scanned(turns, groups, [g for g, _ in STAGE_OF_GROUP]).withColumn("_rank", _detected(groups)).drop("_found")
 
 
 def turn_stage_detect(turns: DataFrame, groups: Groups = KEYWORD_GROUPS) -> DataFrame:
@@ -281,7 +285,7 @@ def signals(progress: DataFrame, groups: Groups = KEYWORD_GROUPS) -> DataFrame:
     """At most one signal per turn, with the keywords that caused it and the stage after it."""
     kind = None
     for number, (_, group, client_only, _, _) in enumerate(SIGNALS):
-        hit = contains_any(F.col("_text"), groups.get(group, ()))
+        hit = any_of(F.col("_found"), groups.get(group, ()))
         if client_only:
             hit = (F.col("speaker") == CLIENT) & hit
         kind = F.when(hit, F.lit(number)) if kind is None else kind.when(hit, F.lit(number))
@@ -292,9 +296,9 @@ def signals(progress: DataFrame, groups: Groups = KEYWORD_GROUPS) -> DataFrame:
             chain = chain.when(F.col("_kind") == number, value)
         return chain
 
-    words = [matching_words(F.col("_text"), groups.get(s[1], ())) for s in SIGNALS]
+    words = [those_of(F.col("_found"), groups.get(s[1], ())) for s in SIGNALS]
     return (
-        _lowered(progress)
+        _scanned(progress, groups, [s[1] for s in SIGNALS])
         .withColumn("_kind", kind)
         .filter(F.col("_kind").isNotNull())
         .withColumn("matched_keywords", by_kind(words))

@@ -117,6 +117,34 @@ def test_shifts_do_not_depend_on_the_slices(spark, hot_rows):
     assert {r.id: r.clock_out for r in found.collect()} == want
 
 
+def test_summary_of_a_stored_table_reads_the_range(spark, tmp_path):
+    """The scan of ordered rows has the range pushed down, and one exchange carries event rows."""
+    fx.clock_events(spark).write.parquet(str(tmp_path / "clock_events"))
+    events = spark.read.parquet(str(tmp_path / "clock_events"))
+    found = attendance.clock_summary(events, fx.DAY_FROM, fx.DAY_TO, fx.DAY_NOW)
+    want = attendance.clock_summary(fx.clock_events(spark), fx.DAY_FROM, fx.DAY_TO, fx.DAY_NOW)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    scans = [line for line in final.splitlines() if "FileScan parquet" in line]
+    assert len(scans) == 2 and sum("PushedFilters: [IsNotNull(event_at), Grea" in s for s in scans) == 1
+    # By agent: the rows put in order and the reduced rows outside; then the result's order.
+    assert final.count("hashpartitioning(agent_id") == 2 and final.count("rangepartitioning") <= 1
+
+
+def test_a_state_from_before_and_after_the_range(spark):
+    rows = [
+        (1, "in", "x", "CLOCKIN", BASE, False, None),
+        (2, "later", "x", "CLOCKOUT", BASE + timedelta(days=9), False, None),
+        (3, "later", "x", "CLOCKIN", BASE + timedelta(days=2), False, None),
+        (4, "after", "x", "CLOCKIN", BASE + timedelta(days=9), False, None),
+    ]
+    start, end = BASE + timedelta(days=1), BASE + timedelta(days=3)
+    found = attendance.clock_summary(fx.clock_events(spark, rows), start, end, BASE + timedelta(days=20))
+    got = {r.agent_id: (r.total_minutes, r.shifts_count, r.currently_clocked) for r in found.collect()}
+    assert got == {"in": (2_880, 1, True), "later": (1_440, 1, False)}
+
+
 def test_status_history_and_bulk_clock_out(spark):
     events = fx.clock_events(spark)
     agents = spark.createDataFrame([("open",), ("inside",), ("nobody",)], "agent_id string")

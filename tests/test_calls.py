@@ -38,6 +38,29 @@ def test_repeated_keywords_are_kept(spark):
     assert matches.discovery_matches == ["retiro", "retiro"]
 
 
+def test_one_scan_finds_what_plain_searches_find(spark):
+    """Nested, overlapping and repeated keywords, and letters that mean something in patterns."""
+    random = Random(8)
+    groups = {
+        "a": ["ab", "abc", "b", "abcab", "Ab", "ab"], "b": ["c.c", "(a", "a|b", "bca", "é", "s&p 500"], "none": [], "c": ["ca", "a" * 6, "aa", "^", "\\"],
+    }
+    rows = [("s", n, "x", 0, "".join(random.choices("abcABé.(|^\\ ", k=random.randrange(30))), n) for n in range(600)]
+    rows += [("s", 900, "x", 0, "S&P 500 c.c", 0), ("s", 901, "x", 0, "", 0), ("s", 902, "x", 0, None, 0)]
+    found = stages.keyword_matches(spark.createDataFrame(rows, TURNS), groups)
+    for r in found.collect():
+        text = (r.text or "").lower()
+        for name, words in groups.items():
+            assert list(r[f"{name}_matches"] or []) == [w for w in words if w.lower() in text]
+    for vocabulary in (KEYWORD_GROUPS, groups):
+        words = [w for ws in vocabulary.values() for w in ws]
+        table = [("s", n, "x", 0, f"{a} {b}", n) for n, (a, b) in enumerate(zip(words, reversed(words)))]
+        for r in stages.keyword_matches(spark.createDataFrame(table, TURNS), vocabulary).collect():
+            for name, listed in vocabulary.items():
+                assert r[f"{name}_matches"] == [w for w in listed if w.lower() in r.text.lower()]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("lower(text") == 1
+
+
 def test_a_lapsed_stage_starts_from_idle(spark):
     turns = fx.call(spark, pause_at=6, pause_ms=3_601_000)
     starts = turns.groupBy(F.col("session_id").alias("id")).agg(
@@ -168,8 +191,9 @@ def test_excerpts(spark):
     }
 
 
+@pytest.mark.parametrize("spread", [Spread(), Spread(50, 30)])
 @pytest.mark.parametrize("max_turns", [None, 3])
-def test_excerpts_at_any_time_equal_the_plain_search(spark, max_turns):
+def test_excerpts_at_any_time_equal_the_plain_search(spark, max_turns, spread):
     random = Random(9)
     rows = [
         (f"s{random.randrange(3)}", n, "agente", 0, f"t{n}", 1_700_000_000_000 + 20_000 * n + random.randrange(9_000))
@@ -178,7 +202,7 @@ def test_excerpts_at_any_time_equal_the_plain_search(spark, max_turns):
     asked = [(n, f"s{random.randrange(4)}", 1_700_000_000_000 + random.randrange(9_000_000)) for n in range(200)]
     found = transcripts.excerpts_at(
         spark.createDataFrame(asked, "request_id bigint, session_id string, at bigint"),
-        spark.createDataFrame(rows, TURNS), 180_000, max_turns, slice_seconds=200,
+        spark.createDataFrame(rows, TURNS), 180_000, max_turns, slice_seconds=200, spread=spread,
     )
     want = {}
     for number, session, at in asked:
@@ -239,16 +263,74 @@ def test_prompt_texts(spark):
     assert "(sin perfil operativo disponible)" in rows[3].user_prompt
     assert rows[4].transcript_excerpt.count("\n") == 4
 
+    last = fx.call(spark).agg(F.max("ts")).first()[0]
+    changes = stages.stage_changes(progress)
     manual = stages.manual_signals(
-        spark.createDataFrame([("s1", 1), ("zz", 1)], "session_id string, ts bigint"),
-        stages.current_stage(progress, spark.createDataFrame([("s1",)], "id string")),
+        spark.createDataFrame([(100, "s1", last), (101, "zz", 1), (102, "s1", last + 3_600_000)], "request_id bigint, session_id string, at bigint"),
+        stages.stage_intervals(changes),
     )
-    assert {(r.session_id, r.stage, r.confidence) for r in manual.collect()} == {("s1", "follow_up", 1.0), ("zz", "idle", 1.0)}
-    asked = manual.withColumn("request_id", F.xxhash64("session_id"))
-    row = prompts.copilot_prompts(asked, excerpts, guidance, "SYS").filter("session_id = 'zz'").collect()[0]
+    assert {(r.request_id, r.session_id, r.stage, r.confidence) for r in manual.collect()} == {
+        (100, "s1", "follow_up", 1.0), (101, "zz", "idle", 1.0), (102, "s1", "idle", 1.0),
+    }
+    row = prompts.copilot_prompts(manual, excerpts, guidance, "SYS").filter("session_id = 'zz'").collect()[0]
     assert "Keywords: (ninguna)" in row.user_prompt and "(sin transcript disponible)" in row.user_prompt
 
 
+@pytest.mark.parametrize("spread", [Spread(), Spread(20, 15)])
+def test_as_of_equals_the_plain_search(spark, spread):
+    from callytics.plans.intervals import as_of
+
+    random, intervals = Random(3), []
+    for key in ("a", "b", "hot", "hot2"):
+        at = random.randrange(50)
+        for n in range(200 if key.startswith("hot") else 12):
+            end = at + random.choice([0, 1, 7, 40, 95])
+            intervals.append((key, at, end, f"{key}{n}"))
+            at = end + random.choice([0, 0, 3, 200])
+    asked = [(n, random.choice(["a", "b", "hot", "hot2", "none"]), random.randrange(6_000)) for n in range(400)] + [(900, "hot", 10), (900, "hot", 10)]
+    found = as_of(
+        spark.createDataFrame(asked, "n int, key string, t bigint"), spark.createDataFrame(intervals, "key string, start bigint, end bigint, name string"),
+        ["key"], "t", 50, spread,
+    ).collect()
+    want = sorted((n, k, t, next((name for key, a, b, name in intervals if key == k and a <= t < b), "")) for n, k, t in asked)
+    assert sorted((r.n, r.key, r.t, r.name or "") for r in found) == want
+
+
+@pytest.mark.parametrize("levels", [0, 4, 12])
+def test_stabbed_equals_the_plain_search(spark, levels):
+    from callytics.plans.intervals import stabbed
+
+    random = Random(levels)
+    intervals = [
+        (random.choice("ab"), a := random.randrange(-20, 400), random.choice([None, a, a + 1, a + random.randrange(300)]), f"i{n}") for n in range(120)
+    ]
+    asked = [(n, random.choice("abc"), random.randrange(-30, 700)) for n in range(300)]
+    found = stabbed(
+        spark.createDataFrame(asked, "n int, key string, t bigint"), spark.createDataFrame(intervals, "key string, start bigint, end bigint, name string"),
+        ["key"], "t", levels,
+    ).collect()
+    want = {}
+    for n, key, t in asked:
+        open_ = [(a, b if b is not None else 10_000, name) for k, a, b, name in intervals if k == key and a <= t and (b is None or t < b)]
+        latest = max((a for a, _, _ in open_), default=None)
+        want[n] = {name for a, _, name in open_ if a == latest}
+    assert len(found) == 300 and all((r.name in want[r.n]) if want[r.n] else r.name is None for r in found)
+
+
+def test_requests_are_judged_by_owner_and_session(spark):
+    sessions = spark.createDataFrame([("s1", "a", 0, None), ("s2", "b", 0, 50)], "id string, agent_id string, s bigint, e bigint").select(
+        "id", "agent_id", F.timestamp_seconds("s").alias("started_at"), F.timestamp_seconds("e").alias("ended_at")
+    )
+    asked = spark.createDataFrame(
+        [(1, "s1", "a", 10), (2, "s1", "b", 10), (3, "s2", "b", 49), (4, "s2", "b", 50), (5, "zz", "a", 1), (6, "s1", "a", -1), (7, "s1", None, 5)],
+        "request_id bigint, session_id string, agent_id string, s bigint",
+    )
+    judged = stages.judged_requests(asked, sessions, F.timestamp_seconds("s"))
+    assert {r.request_id: r.reason for r in judged.collect()} == {
+        1: None, 2: "forbidden", 3: None, 4: "session_not_found", 5: "session_not_found", 6: "session_not_found", 7: "forbidden",
+    }
+
+
 def test_responses_and_feedback(spark):
     texts = ["'a'", "\"b\"", "'\"c\"'", "\"'d'\"", "''e''", " 'f' ", "'"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string")
