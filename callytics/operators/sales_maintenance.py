@@ -14,6 +14,7 @@ from callytics.operators.catalog import catalog_upsert
 from callytics.operators.sales_ingest import resolve_catalog
 from callytics.plans.lineage import cut
 from callytics.sources.schemas import BILLING_PERIODS
+from callytics.sources.tables import load_periods, replace_periods, with_period
 
 # Fixed value: the notes of sales that a reload replaces.
 RELOAD_TAG = "mock_dashboard_seed"
@@ -163,3 +164,23 @@ def sales_reload(sales: DataFrame, replacement: DataFrame, tag: str = RELOAD_TAG
     """Replace the sales whose notes equal the tag."""
     kept = sales.filter(~F.coalesce(F.col("notes") == tag, F.lit(False)))
     return kept.unionByName(replacement.withColumn("notes", F.lit(tag)).select(*sales.columns))
+
+
+def reload_stored(path: str, replacement: DataFrame, tag: str = RELOAD_TAG, every: str = "day") -> None:
+    """`sales_reload` on sales stored by `write_periods`: only periods with replaced or new sales are read and rewritten."""
+    spark = replacement.sparkSession
+    stored = load_periods(spark, path, "sales")
+    replaced = F.coalesce(F.col("notes") == tag, F.lit(False))
+    new = with_period(replacement.withColumn("notes", F.lit(tag)), F.col("sold_at"), every).select(*stored.columns)
+    touched = stored.filter(replaced).select("period").union(new.select("period")).distinct()
+    kept = stored.filter(~replaced).join(touched, "period", "left_semi").select(*stored.columns)
+    replace_periods(kept.unionByName(new), path, touched)
+
+
+def delete_stored(path: str, ids: DataFrame) -> None:
+    """`sales_delete` on sales stored by `write_periods`: only periods with deleted sales are rewritten."""
+    stored = load_periods(ids.sparkSession, path, "sales")
+    gone = ids.select("id").distinct()
+    touched = stored.join(gone, "id", "left_semi").select("period").distinct()
+    kept = stored.join(gone, "id", "left_anti").join(touched, "period", "left_semi").select(*stored.columns)
+    replace_periods(kept, path, touched)

@@ -4,25 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 from callytics.session import checkpoint_root
 
-_open_scopes: list[list[str]] = []
+# Each thread has its own innermost scope.
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Remove the tables that `cut` writes inside, once the caller has written what it built on them."""
-    _open_scopes.append([])
+    outer = _tables.set([])
     try:
         yield
     finally:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in map(jvm.org.apache.hadoop.fs.Path, _open_scopes.pop()):
+        for path in map(jvm.org.apache.hadoop.fs.Path, _tables.get()):
             path.getFileSystem(conf).delete(path, True)
+        _tables.reset(outer)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +37,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid4().hex}"
-    if _open_scopes:
-        _open_scopes[-1].append(path)
+    if (inner := _tables.get()) is not None:
+        inner.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

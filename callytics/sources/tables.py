@@ -11,18 +11,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from callytics.sources.schemas import schema
 
 
+# Fixed value: the file that Spark writes when all files of a folder are in place.
+DONE = "_SUCCESS"
+
+
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A model table from Parquet, with its declared schema (no inference); `load_current` reads versioned ones."""
     return spark.read.schema(schema(table)).parquet(f"{folder.rstrip('/')}/{table}")
 
 
+def current_version(spark: SparkSession, folder: str, table: str) -> int | None:
+    """The greatest number of a version of a table that is written to its end, None without one."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{table}/version=*/{DONE}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return max((int(f.getPath().getParent().getName().partition("=")[2]) for f in found or []), default=None)
+
+
 def load_current(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """The newest version of a table written by `write_version` with rising numbers."""
-    path = f"{folder.rstrip('/')}/{table}"
-    declared = schema(table)
-    newest = spark.read.schema(f"{declared.simpleString()[7:-1].replace(':', ' ')}, version long").parquet(path)
-    version = newest.agg(F.max("version")).first()[0]
-    return spark.read.schema(declared).parquet(f"{path}/version={version}")
+    """The newest version of a table written by `write_version` with rising numbers; one still being written doesn't count."""
+    version = current_version(spark, folder, table)
+    if version is None:
+        raise FileNotFoundError(f"{folder}/{table}: no version")
+    return spark.read.schema(schema(table)).parquet(f"{folder.rstrip('/')}/{table}/version={version}")
 
 
 def load_jdbc(
@@ -101,3 +111,34 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str], ts: Column) -> Non
         new = dated.join(stored.select("day", *keys), ["day", *keys], "left_anti")
     # Even out the files of a day; a large day is split over several tasks.
     new.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+
+
+def with_period(df: DataFrame, ts: Column, every: str) -> DataFrame:
+    return df.withColumn("period", F.trunc(ts.cast("date"), every) if every != "day" else ts.cast("date"))
+
+
+def write_periods(df: DataFrame, path: str, ts: Column, every: str = "day") -> None:
+    """Write a table in folders by period: day, week, month, quarter or year."""
+    with_period(df, ts, every).hint("rebalance", "period").write.partitionBy("period").parquet(path)
+
+
+def load_periods(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table written by `write_periods`, with its period."""
+    declared = schema(table)
+    return spark.read.schema(f"{declared.simpleString()[7:-1].replace(':', ' ')}, period date").parquet(path)
+
+
+def replace_periods(rows: DataFrame, path: str, gone: DataFrame) -> None:
+    """Put `rows` in place of all rows of their periods; periods of `gone` that get no row are removed.
+
+    Files of other periods stay as they are. `rows` may be made from the table itself: its new files are moved into place
+    when all are written. Done again after a failure it gives the same table.
+    """
+    spark = rows.sparkSession
+    # One row per touched period, whatever the number of rows.
+    empty = gone.select("period").distinct().join(rows.select("period").distinct(), "period", "left_anti").collect()
+    overwrite = rows.hint("rebalance", "period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    overwrite.partitionBy("period").parquet(path)
+    for row in empty:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/period={row['period']}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

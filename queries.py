@@ -26,7 +26,7 @@ from callytics.plans.slices import Spread
 from callytics.session import checkpoint_root, prepare
 from callytics.sources import bindings as b
 from callytics.sources.raw import stream_raw
-from callytics.sources.tables import append, load
+from callytics.sources.tables import append, load, load_periods, write_periods
 from callytics.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -489,7 +489,10 @@ def sales_reload(spark, folder):
     fresh = sales.filter("signature_status = 'IMM' and billing_period = 'year'").withColumn(
         "id", -F.col("id") - 1
     )
-    return sales_maintenance.sales_reload(sales, fresh).select("id", "agent_id", "amount_cents", "notes")
+    path = f"{checkpoint_root(spark)}/sales-{uuid4().hex}"
+    write_periods(sales, path, F.col("sold_at"), "quarter")
+    sales_maintenance.reload_stored(path, fresh, every="quarter")
+    return load_periods(spark, path, "sales").select("id", "agent_id", "amount_cents", "notes")
 
 
 # Transcripts and sessions

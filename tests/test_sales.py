@@ -233,3 +233,35 @@ def test_audit_finds_what_is_wrong(spark):
     assert {k: v for k, v in found.items() if v} == {
         "sales.signature_date": 1, "sales.company_id references companies": 2, "sales unique (discord_message_id)": 3,
     }
+
+
+def _files(path):
+    import os
+
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_stored_sales_are_rewritten_by_day(spark, tmp_path):
+    from callytics.sources.tables import load_periods, write_periods
+
+    path, sales = str(tmp_path / "sales"), fx.sales(spark)
+    # Every third sale was seeded; all of 3 June are.
+    seeded = (F.col("id") % 3 == 0) | (F.to_date("sold_at") == "2026-06-03")
+    mixed = sales.withColumn("notes", F.when(seeded, F.col("notes")))
+    write_periods(mixed, path, F.col("sold_at"))
+    before = _files(path)
+    fresh = sales.filter("id <= 2").withColumn("id", -F.col("id"))
+    want = sorted(map(tuple, sales_maintenance.sales_reload(mixed, fresh).select("id", "notes").collect()))
+    for _ in range(2):  # done again it gives the same table
+        sales_maintenance.reload_stored(path, fresh)
+        stored = load_periods(spark, path, "sales")
+        assert sorted(map(tuple, stored.select("id", "notes").collect())) == want
+        assert stored.filter("period <> to_date(sold_at)").count() == 0
+    after = _files(path)
+    touched = {r[0].isoformat() for r in mixed.filter("notes is not null").union(fresh.select(*mixed.columns)).select(F.to_date("sold_at")).distinct().collect()}
+    kept = {f for f in before if not any(f"period={day}" in f for day in touched)}
+    assert kept and all(after.get(f) == before[f] for f in kept) and not any(f in after for f in set(before) - kept)
+    assert not any("period=2026-06-03" in f for f in after)
+
+    sales_maintenance.delete_stored(path, spark.createDataFrame([(4,), (999,)], "id bigint"))
+    assert sorted(r.id for r in load_periods(spark, path, "sales").select("id").collect()) == [i for i, _ in want if i != 4]

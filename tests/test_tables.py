@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 import fixtures as fx
@@ -135,6 +136,14 @@ def test_newest_version_is_read_alone(spark, tmp_path):
     for version, label in enumerate(["old", "new"]):
         write_version(follow_ups(label), str(tmp_path), "followup_codes", version)
     assert [r.label for r in load_current(spark, str(tmp_path), "followup_codes").collect()] == ["new"]
+    # A version that is still being written has files, but no mark of its end.
+    path = write_version(follow_ups("half"), str(tmp_path), "followup_codes", 10)
+    import os
+
+    os.remove(f"{path}/_SUCCESS")
+    assert [r.label for r in load_current(spark, str(tmp_path), "followup_codes").collect()] == ["new"]
+    with pytest.raises(FileNotFoundError):
+        load_current(spark, str(tmp_path), "companies")
 
 
 def test_rows_repeated_in_a_batch_are_stored_once(spark, tmp_path):
