@@ -10,17 +10,13 @@ carries no event time and always reaches its key's state.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callytics.functions.time import ms_to_timestamp
 from callytics.operators import stages, transcripts
-from callytics.plans.keyed import latest_per_key
 from callytics.session import prepare
-from callytics.sources.schemas import KEYWORD_GROUPS
-from callytics.sources.tables import write_version
+from callytics.sources.schemas import CLOCK_IN, KEYWORD_GROUPS
 from callytics.streaming.processors import (
     ClockState,
     RecentState,
@@ -93,22 +89,20 @@ def stream_clock(attempts: DataFrame) -> DataFrame:
     )
 
 
-def status_sink(folder: str) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` function that keeps the live status of all agents from judged attempts.
+def live_status(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Last action of every agent, its time and whether the agent is clocked in, from the state of `stream_clock`.
 
-    Every micro-batch writes the next version of the table from the one before it, so a
-    repeated micro-batch writes the same version again.
+    The state itself is read, as of the last micro-batch that was committed, so no table of it is kept beside it.
+    `checkpoint` is the folder the stream was started with.
     """
-
-    def save(judged: DataFrame, batch: int) -> None:
-        spark = judged.sparkSession
-        accepted = judged.filter("accepted").select("agent_id", "event_at", "id", "action")
-        if batch > 0:
-            accepted = accepted.unionByName(spark.read.parquet(f"{folder}/clock_status/version={batch - 1}"))
-        last = latest_per_key(accepted, ["agent_id"], ["event_at", "id"])
-        write_version(last, folder, "clock_status", batch)
-
-    return save
+    prepare_streaming(spark)
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last").load()
+    return state.select(
+        F.col("key.agent_id").alias("agent_id"),
+        (F.col("value.action") == CLOCK_IN).alias("clocked_in"),
+        F.col("value.action").alias("last_action"),
+        F.timestamp_micros("value.at").alias("last_at"),
+    )
 
 
 def stream_stages(

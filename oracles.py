@@ -646,6 +646,8 @@ Q["suggestion_feedback_rejected"] = """
   union all select -suggestion_id - 1, agent_id, accepted, "at", 'suggestion_not_found' from fbj"""
 
 Q["stream_clock"] = Q["clock_validate"].replace("agent_id, action", "agent_id, display_name, action")
+Q["stream_status"] = """
+  select agent_id, action = 'CLOCKIN' clocked_in, action last_action, event_at last_at from latest"""
 Q["stream_stages"] = f"""
   select session_id, seq, ts, speaker, {_NAMES}[previous + 1] previous_stage, {_NAMES}[state + 1] stage,
          previous <> state changed

@@ -789,6 +789,16 @@ def stream_clock(spark, folder):
     return _replayed(spark, streams.stream_clock(b.clock_attempts(spark, folder, stream_raw)))
 
 
+@query
+def stream_status(spark, folder):
+    """Who is clocked in, read from the state of the stream."""
+    streams.prepare_streaming(spark)
+    path = f"{checkpoint_root(spark)}/stream-{uuid4().hex}"
+    judged = streams.stream_clock(b.clock_attempts(spark, folder, stream_raw))
+    streams.write_stream(judged, f"{path}/out", f"{path}/state", available_now=True).awaitTermination()
+    return streams.live_status(spark, f"{path}/state")
+
+
 @query
 def stream_stages(spark, folder):
     streams.prepare_streaming(spark)

@@ -40,11 +40,10 @@ def test_live_status(spark, replay, tmp_path):
     source, _ = replay
     attempts = fx.clock_events(spark).drop("sheets_synced", "sheets_error")
     judged = streams.stream_clock(source(attempts, "in", ["event_at", "id"], 9))
-    writer = judged.writeStream.foreachBatch(streams.status_sink(str(tmp_path)))
-    writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "clock_status" / "version=1"))
-    want = {r.agent_id: r.last_action for r in attendance.clock_status(attempts).collect()}
-    assert {r.agent_id: r.action for r in last.collect()} == want
+    state = str(tmp_path / "state")
+    streams.write_stream(judged, str(tmp_path / "out"), state, available_now=True).awaitTermination()
+    want = {(r.agent_id, r.clocked_in, r.last_action) for r in attendance.clock_status(attempts).collect()}
+    assert {(r.agent_id, r.clocked_in, r.last_action) for r in streams.live_status(spark, state).collect()} == want
 
 
 def test_stages_with_a_pause(spark, replay):
