@@ -21,6 +21,11 @@ BLOCKS = frozenset(
 NEVER = frozenset(
     "head nav footer aside form dialog menu button select datalist object audio video canvas map fieldset".split()
 )
+#: Of these, those that can also be wrapped around a page's own text.
+WRAPPERS = frozenset(("form", "fieldset"))
+#: A block of one of these that is a link as a whole is still text if it is as long as a sentence.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote".split())
+SENTENCE_WORDS = 6
 RAW = frozenset("script style title textarea noscript template iframe svg math xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {
@@ -38,6 +43,12 @@ WORDS = frozenset(
     "comment comments disqus respond reply replies share sharing social related recommended breadcrumb breadcrumbs "
     "menu nav navbar navigation footer copyright widget login signup pagination pager toolbar skip hidden".split()
 )
+#: Of these, words that also name parts of the page's own text or layout.
+LAYOUT_WORDS = frozenset(
+    "sidebar share sharing social related recommended widget notice notices notification promo promotion banner toolbar skip hidden".split()
+)
+#: Class names such as no-sidebar tell what a part has or lacks, not what it is.
+ABOUT = ("no-", "has-", "with-", "without-", "no_", "has_", "with_", "without_")
 #: Left out only outside the article, where they can be its heading.
 HEADS = frozenset("header masthead topbar".split())
 
@@ -63,21 +74,25 @@ class Leaf:
 
 
 def _kind(tag: str, attributes: str) -> tuple[str, str]:
-    """What an element is by its tag and attributes ('main', 'out', 'head' or ''), and its class."""
+    """What an element is by its tag and attributes ('main', 'out', 'head' or ''), and its class. 'maybe' is out unless it
+    holds most of the text."""
     if not attributes or attributes.isspace():
         values = {}
     else:
         values = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(attributes)}
     named = values.get("class", "")
     role = values.get("role", "").lower()
-    if tag in NEVER or role in ROLES:
+    if tag in NEVER and tag not in WRAPPERS or role in ROLES:
         return "out", named
     style = values.get("style", "").replace(" ", "").lower()
     if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in style:
         return "out", named
-    words = {w.lower() for w in _WORDS.findall(named + " " + values.get("id", ""))}
+    names = [n for n in f"{named} {values.get('id', '')}".split() if not n.lower().startswith(ABOUT)]
+    words = {w.lower() for w in _WORDS.findall(" ".join(names))}
     if words & WORDS and tag not in ("html", "body", "main"):
-        return "out", named
+        return ("maybe" if words & WORDS <= LAYOUT_WORDS else "out"), named
+    if tag in WRAPPERS:
+        return "maybe", named
     if tag == "article" or tag == "main" or role in ("main", "article") or "articleBody" in values.get("itemprop", ""):
         return "main", named
     if tag == "header" or words & HEADS:
@@ -97,7 +112,8 @@ def parse(html: str | None) -> Node:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                stack[-1].children.append(Leaf(joined, 2 * linked > plain + linked))
+                sentence = stack[-1].tag in PARAGRAPHS and joined.count(" ") + 1 >= SENTENCE_WORDS
+                stack[-1].children.append(Leaf(joined, 2 * linked > plain + linked and not sentence))
             text.clear()
             plain = linked = 0
 
@@ -168,23 +184,25 @@ def parse(html: str | None) -> Node:
     return root
 
 
-def _size(node: Node) -> int:
-    """Characters of the text below a node."""
-    total, todo = 0, [node]
+def _sizes(root: Node) -> dict[Node, int]:
+    """Characters of the text below each node, without blocks that are links."""
+    order, todo = [], [root]
     while todo:
         x = todo.pop()
-        for c in x.children:
-            if isinstance(c, Leaf):
-                total += len(c.text)
-            else:
-                todo.append(c)
+        order.append(x)
+        todo.extend(c for c in x.children if isinstance(c, Node))
+    total: dict[Node, int] = {}
+    for x in reversed(order):
+        total[x] = sum(total[c] if isinstance(c, Node) else 0 if c.linked else len(c.text) for c in x.children)
     return total
 
 
 def content(root: Node) -> tuple[Node, bool]:
     """The part of the tree that can be the main text, and whether the page names it itself (article, main).
 
-    Of several articles side by side the one with most text counts; of an article within a main part the article.
+    Articles inside a main part are the text if they hold half of it, else all of the main part is. Of several articles the
+    one with most text counts, with the articles beside it. What only its form tag or a word of the layout marks as no text
+    is kept if it holds most of the text.
     """
     order, parents = [], {}
     todo = [root]
@@ -201,32 +219,54 @@ def content(root: Node) -> tuple[Node, bool]:
         while x in parents and parents[x] not in around:
             x = parents[x]
             around.add(x)
-    outs = {"out", "head"}
-    inside: set[Node] = set()
 
-    def prune(node: Node, kinds: set[str]) -> None:
+    def prune(node: Node, drops) -> None:
         todo = [node]
         while todo:
             x = todo.pop()
-            x.children = [c for c in x.children if isinstance(c, Leaf) or c.kind not in kinds or c in around]
+            x.children = [c for c in x.children if isinstance(c, Leaf) or c in around or not drops(c)]
             todo.extend(c for c in x.children if isinstance(c, Node))
 
-    prune(root, {"out"})
-    best, size = None, 0
-    todo = [root]
-    while todo:
-        x = todo.pop()
-        if x.kind == "main":
-            inside.add(x)
-        todo.extend(c for c in x.children if isinstance(c, Node))
-    articles = [x for x in order if x in inside and x.tag == "article" and not _has_parent(x, parents, "article")]
-    for x in articles or [x for x in order if x in inside]:
-        if (s := _size(x)) > size:
-            best, size = x, s
-    if best is not None:
-        return best, True
-    prune(root, outs)
-    return root, False
+    prune(root, lambda c: c.kind == "out")
+    sizes = _sizes(root)
+    inside = [x for x in order if x.kind == "main" and x in sizes]
+    unmarked = [x for x in inside if not _marked(x, parents)]
+    inside = unmarked or inside
+    articles = [x for x in inside if x.tag == "article" and not _has_parent(x, parents, "article")]
+    chosen, named = root, False
+    if inside:
+        chosen, named = max(articles or inside, key=sizes.get), True
+        beside = [x for x in parents[chosen].children if x in set(articles)]
+        wider = [x for x in inside if x.tag != "article" and any(_inside(a, x, parents) for a in beside)]
+        outer = max(wider, key=sizes.get, default=None)
+        if outer is not None and 2 * sum(sizes[a] for a in beside if _inside(a, outer, parents)) < sizes[outer]:
+            chosen = outer
+        elif len(beside) > 1:
+            chosen = Node("", "", "")
+            chosen.children = beside
+    if not named:
+        prune(root, lambda c: c.kind == "head")
+    sizes = _sizes(chosen)
+    most = sizes[chosen]
+    prune(chosen, lambda c: c.kind == "maybe" and 2 * sizes[c] <= most)
+    return chosen, named
+
+
+def _marked(node: Node, parents: dict) -> bool:
+    """Whether something around the node is marked as no part of the text."""
+    while node in parents:
+        node = parents[node]
+        if node.kind in ("out", "maybe") and node.tag not in WRAPPERS:
+            return True
+    return False
+
+
+def _inside(node: Node, outer: Node, parents: dict) -> bool:
+    while node in parents:
+        node = parents[node]
+        if node is outer:
+            return True
+    return False
 
 
 def _has_parent(node: Node, parents: dict, tag: str) -> bool:

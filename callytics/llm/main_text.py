@@ -1,10 +1,10 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned with a reference page of that host by simple tree matching of their block trees. Blocks of
-the reference that have the same text on nearly all pages of the host are template; all others are slots, whose text
-varies from page to page and is content. Pages that share most of their text with the reference are copies of it, say
-nothing about the template and don't vote; so an article that is published many times is not taken for template.
-What tags and class names tell to be no article is left out before.
+Pages of one host and layout (the class names of their containers) are aligned with a typical page of these by simple
+tree matching of their block trees. Blocks of the reference that have the same text on nearly all pages are template; all
+others are slots, whose text varies from page to page and is content. There is a template only where some slot varies on
+most of the pages: an article that is published many times with a change here or there has no such slot, so it isn't taken
+for template. What tags and class names tell to be no article is left out before.
 
 Only skeletons of pages (labels, and hashes of texts) are shuffled, each different page of a host once. The blocks
 to leave out are joined back to the pages; pages are parsed a second time, so no texts are stored on the way.
@@ -25,8 +25,10 @@ from callytics.llm.html_tree import content, leaves, match, parse, skeleton
 #: A block is template if this share of the voting pages has it, and if that are this many pages at least.
 SHARE = 0.9
 PAGES = 5
-#: The reference is the page whose number of nodes is closest to this.
-NODES = 24
+#: A slot that varies on this share of the pages shows that they are different pages.
+VARIES = 0.5
+#: Containers down to this depth tell the layout.
+DEPTH = 4
 
 
 def host_of(url_col: str = "url") -> Column:
@@ -40,17 +42,28 @@ def extract(html: str | None, template: frozenset[int] = frozenset()) -> str:
     return "\n".join(t for i, t in enumerate(texts) if i not in template)
 
 
+def layout(tree: list) -> str:
+    """Labels with class names of the containers near the top of a skeleton, each once."""
+    found, level = set(), [tree]
+    for _ in range(DEPTH):
+        level = [x for x in level if len(x) == 2]
+        found.update(x[0] for x in level if "." in x[0])
+        level = [c for x in level for c in x[1]]
+    return " ".join(sorted(found))
+
+
 def skeletons(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
-    """host, k (key of the html), nodes, tree of each different page of each host."""
+    """host (host and layout), k (key of the html), nodes, tree of each different page of each host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, trees = [], []
-            for html in batch.column(2).to_pylist():
+            hosts, nodes, trees = [], [], []
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 tree, n = skeleton(*content(parse(html)))
+                hosts.append(f"{host} {layout(tree)}")
                 nodes.append(n)
                 trees.append(json.dumps(tree, separators=(",", ":"), ensure_ascii=False))
-            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int32()), pa.array(trees, pa.string())]
+            columns = [pa.array(hosts, pa.string()), batch.column(1), pa.array(nodes, pa.int32()), pa.array(trees, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["host", "k", "nodes", "tree"])
 
     html = F.col(html_col).cast("string")
@@ -60,54 +73,59 @@ def skeletons(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
     return rows.mapInArrow(run, "host string, k binary, nodes int, tree string").dropDuplicates(["host", "k"])
 
 
-def aligned(trees: DataFrame) -> DataFrame:
-    """host, k, same: numbers of the blocks (own, in the reference) with the same text, of pages that vote."""
-    nearest = F.struct(F.abs(F.col("nodes") - NODES).alias("off"), "k", "tree")
-    references = stored(trees.groupBy("host").agg(F.min(nearest).alias("r")).select("host", F.col("r.k").alias("ref"), "r.tree"), "references")
-    both = trees.join(references.withColumnRenamed("tree", "reference"), "host").filter("k <> ref")
+def references_of(trees: DataFrame) -> DataFrame:
+    """host, ref, reference: of each host and layout a page with about the usual number of nodes."""
+    usual = trees.groupBy("host").agg(F.percentile_approx("nodes", 0.5).alias("usual"))
+    nearest = F.min(F.struct(F.abs(F.col("nodes") - F.col("usual")).alias("off"), "k", "tree")).alias("r")
+    return trees.join(usual, "host").groupBy("host").agg(nearest).select("host", F.col("r.k").alias("ref"), F.col("r.tree").alias("reference"))
+
+
+def aligned(trees: DataFrame, references: DataFrame) -> DataFrame:
+    """host, k, votes, slots: the blocks of each page (own) in the slots of the reference (ref), with hashes of their texts
+    (h). Copies, whose texts are all the reference's, don't vote."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            same = []
-            for tree, reference in zip(frame["tree"], frame["reference"]):
+            votes, slots = [], []
+            for k, ref, tree, reference in zip(frame["k"], frame["ref"], frame["tree"], frame["reference"]):
                 a, b = json.loads(tree), json.loads(reference)
-                pairs = [(x, y) for x, y, equal in match(a, b) if equal]
-                n = min(_leaves(a), _leaves(b))
-                same.append(None if 2 * len(pairs) > n else [{"own": x, "ref": y} for x, y in pairs])
-            out = frame[["host", "k"]].assign(same=same)
-            yield out[out["same"].notna()]
+                pairs, texts = match(a, b), _leaves(a)
+                same = sum(equal for _, _, equal in pairs)
+                votes.append(k == ref or same < max(len(texts), len(_leaves(b))))
+                slots.append([{"own": x, "ref": y, "h": texts[x]} for x, y, _ in pairs])
+            yield frame[["host", "k"]].assign(votes=votes, slots=slots)
 
-    return both.select("host", "k", "tree", "reference").mapInPandas(run, "host string, k binary, same array<struct<own: int, ref: int>>")
+    both = trees.join(references, "host").select("host", "k", "ref", "tree", "reference")
+    return both.mapInPandas(run, "host string, k binary, votes boolean, slots array<struct<own: int, ref: int, h: long>>")
 
 
-def _leaves(tree: list) -> int:
-    n, todo = 0, [tree]
+def _leaves(tree: list) -> dict[int, int]:
+    """Hashes of the texts of a skeleton by the numbers of the blocks."""
+    found, todo = {}, [tree]
     while todo:
         x = todo.pop()
         if len(x) == 3:
-            n += 1
+            found[x[1]] = x[2]
         else:
             todo.extend(x[1])
-    return n
+    return found
 
 
 def template_blocks(pages: DataFrame, html_col: str = "html", url_col: str = "url", share: float = SHARE, least: int = PAGES) -> DataFrame:
-    """host, k, template: numbers of the blocks of each page that belong to its host's template. Pages without any have
-    no row."""
+    """k, template: numbers of the blocks of each page that belong to the template of its host and layout, with `site`, the
+    host. Pages without any have no row."""
     trees = stored(skeletons(pages, html_col, url_col), "skeletons")
-    votes = stored(aligned(trees), "votes")
-    voters = votes.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
-    pairs = votes.select("host", "k", F.explode("same").alias("s")).select("host", "k", "s.own", "s.ref")
-    constant = stored(
-        pairs.groupBy("host", "ref").agg(F.count("*").alias("n")).join(voters, "host")
-        .filter((F.col("n") >= share * F.col("pages")) & (F.col("n") >= least)).select("host", "ref"),
-        "template",
-    )
-    # The reference's own blocks, and those of the pages that voted.
-    reference = trees.groupBy("host").agg(F.min(F.struct(F.abs(F.col("nodes") - NODES).alias("off"), "k")).alias("r"))
-    of_reference = constant.join(reference.select("host", F.col("r.k").alias("k")), "host").select("host", "k", F.col("ref").alias("own"))
-    found = pairs.join(constant, ["host", "ref"]).select("host", "k", "own").unionByName(of_reference)
-    return found.groupBy("host", "k").agg(F.collect_set("own").alias("template"))
+    pages_ = stored(aligned(trees, stored(references_of(trees), "references")), "aligned")
+    voters = pages_.filter("votes").groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
+    slots = pages_.join(voters, "host").select("host", "k", "votes", "pages", F.explode("slots").alias("s")).select("host", "k", "votes", "pages", "s.*")
+    # The most frequent text of each slot, and the number of pages that have it.
+    texts = slots.filter("votes").groupBy("host", "pages", "ref", "h").agg(F.count("*").alias("n"))
+    usual = stored(texts.groupBy("host", "pages", "ref").agg(F.max(F.struct("n", "h")).alias("u")).select("host", "pages", "ref", "u.*"), "usual")
+    varied = usual.groupBy("host").agg(F.min(F.col("n") / F.col("pages")).alias("low")).filter(F.col("low") <= 1 - VARIES)
+    constant = usual.filter((F.col("n") >= share * F.col("pages")) & (F.col("n") >= least)).join(varied, "host", "left_semi")
+    found = slots.join(constant.select("host", "ref", "h"), ["host", "ref", "h"], "left_semi")
+    site = F.substring_index("host", " ", 1).alias("site")
+    return found.groupBy("host", "k").agg(F.collect_set("own").alias("template")).select(site, "k", "template")
 
 
 def main_texts(
@@ -130,5 +148,5 @@ def main_texts(
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(template, ["host", "k"], "left").select("page_id", "url", "html", "template")
+    joined = rows.join(template.withColumnRenamed("site", "host"), ["host", "k"], "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

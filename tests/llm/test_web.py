@@ -150,6 +150,13 @@ CASES = [
     ("<p>" * 3_000 + "deep", "deep"),
     ("<div>" * 3_000 + "deep", "deep"),
     ("<article><p title='unclosed>x</p><p>y</p></article>", "x\ny"),
+    ("<main><p>A long paragraph of the page itself, which is its text.</p><article><p>teaser</p></article></main>", "A long paragraph of the page itself, which is its text.\nteaser"),
+    ("<main><article><p>Part one</p></article><article><p>Part two, longer</p></article></main>", "Part one\nPart two, longer"),
+    ("<body><nav>menu</nav><form><div><p>All of the page is in a form.</p></div></form></body>", "All of the page is in a form."),
+    ("<div class='content no-sidebar'><p>The text.</p></div><div class='sidebar'><p>aside</p></div>", "The text."),
+    ("<article><div class='share'><p>The whole article stands in here.</p></div><p>End</p></article>", "The whole article stands in here.\nEnd"),
+    ("<div><p>Plain words.</p><p><a href=x>A whole paragraph that is a single link.</a></p><p><a href=y>Home</a></p></div>", "Plain words.\nA whole paragraph that is a single link."),
+    ("<article><p>text of it</p></article><section class='related'><article><p>another story, told at greater length</p></article></section>", "text of it"),
 ]
 
 
@@ -186,6 +193,16 @@ def test_blocks_of_the_template_are_left_out(spark, pages):
     for i in range(60, 70):  # no article named: a repeated block is template, the varying one is content
         rows.append((i, "http://four.example", f"<div><p>Our motto</p></div><div><p>{i} {words()}</p><p>{words()}</p></div>"))
         want[i] = "\n".join(p.split("</p>")[0] for p in rows[-1][2].split("<p>")[2:])
+    boiler = [f"Line {n} of the house" for n in range(10)]
+    for i in range(100, 112):  # ten equal untagged lines around two of the page's own
+        own = [words(), words()]
+        rows.append((i, "http://five.example/x", "<div>" + "".join(f"<div>{b}</div>" for b in boiler[:6] + own + boiler[6:]) + "</div>"))
+        want[i] = "\n".join(own)
+    for i in range(120, 160):  # two layouts on one host, each with lines of its own
+        own = [words() for _ in range(rng.randrange(2, 5))]
+        box, line = (("news", "All news of the day"), ("shop", "Free delivery on every order"))[i % 2]
+        rows.append((i, "http://six.example/", f"<div class='{box}'><div>{line}</div>" + "".join(f"<p>{o}</p>" for o in own) + "</div>"))
+        want[i] = "\n".join(own)
     rows += [(80, None, "<p>no url</p>"), (81, "http://one.example/", None), (None, "http://one.example/x", "<p>no id</p>")]
     want |= {80: "no url", 81: "", None: "no id"}
     rows.append(rows[0])
