@@ -21,6 +21,8 @@ from callytics.llm.common import stored
 
 LEAST = 0.6
 WORD = r"[a-z0-9]+(?:[.][0-9]+)*"
+#: The number of a clause doesn't count.
+CLAUSE = r"^\s*[0-9]+[.)]\s"
 
 # Names of licences with usual notices, and the opening of their texts.
 TEMPLATES: list[tuple[str, str]] = [
@@ -38,7 +40,21 @@ TEMPLATES: list[tuple[str, str]] = [
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
     ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-                "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
+                "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+                "option) any later version"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+                "option) any later version"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+                 "(at your option) any later version"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                 "(at your option) any later version"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+                 "(at your option) any later version"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
     ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
@@ -50,10 +66,15 @@ TEMPLATES: list[tuple[str, str]] = [
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    # Both have this sentence; the other clause tells the longer one.
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
                      "that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("ISC", "Licensed under the ISC License"),
     ("ISC", "SPDX-License-Identifier: ISC"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
@@ -76,7 +97,7 @@ _COMMENT = r"^(?:\\s*(?:#|//|/\\*|\\*|--|;|%|<!--)[^\\n]*\\n?)+"
 
 def words_of(text: str) -> list[str]:
     """The words of a text that count; `best_template` gets the same ones."""
-    return [w for w in re.findall(WORD, text.lower()) if w not in STOP]
+    return [w for w in re.findall(WORD, re.sub(CLAUSE, "", text.lower())) if w not in STOP]
 
 
 def vectors() -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]]]]:
@@ -92,15 +113,19 @@ def vectors() -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]
 
 
 def anchors(least: float = LEAST) -> list[str]:
-    """Words of which a text needs one to reach the least score: of each template the heaviest, until the length of
-    what is left, which bounds the cosine of a text without them, is below the score."""
+    """Words of which a text needs one to reach the least score: the word that takes most of what the templates have left,
+    again and again, until the length left of each, which bounds the cosine of a text without these words, is below."""
     out: set[str] = set()
-    for _, vector in vectors()[2]:
-        left = {w: v for w, v in vector.items() if w not in out}
-        while sum(v * v for v in left.values()) >= least * least:
-            word = max(left, key=lambda w: (w.isalpha(), left[w], w))
-            out.add(word)
-            del left[word]
+    left = [dict(vector) for _, vector in vectors()[2]]
+    while left := [v for v in left if sum(x * x for x in v.values()) >= least * least]:
+        gain: Counter[str] = Counter()
+        for v in left:
+            for w, x in v.items():
+                gain[w] += x * x * (1 if w.isalpha() else 0.5)  # numbers are frequent in texts
+        word = max(gain, key=lambda w: (gain[w], w))
+        out.add(word)
+        for v in left:
+            v.pop(word, None)
     return sorted(out)
 
 
@@ -130,7 +155,8 @@ def own_license(text: str, whole: str = "false", least: float = LEAST) -> str:
     parts = f"concat({lines}, array(regexp_extract({text}, '{_COMMENT}', 0)), if({whole}, array({text}), array()))"
     some = f"filter({parts}, p -> p rlike '\\\\b({'|'.join(anchors(least)).replace('.', '[.]')})\\\\b')"
     stop = ", ".join(f"'{w}'" for w in STOP)
-    words = f"transform({some}, p -> filter(regexp_extract_all(p, '{WORD}', 0), w -> w not in ({stop})))"
+    clause = CLAUSE.replace("\\", "\\\\")
+    words = f"transform({some}, p -> filter(regexp_extract_all(regexp_replace(p, '{clause}', ''), '{WORD}', 0), w -> w not in ({stop})))"
     scored = f"transform({words}, ws -> {best_template('ws')})"
     best = f"array_max({scored})"
     return f"transform(array({best}), b -> if(b.score >= {least!r}D, b, null))[0]"
@@ -149,10 +175,12 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least
     rows = rows.withColumn("_own_", F.expr(own_license("_lower_", "_whole_", least))).drop("_lower_")
     rows = rows.withColumn("_dir_", F.regexp_extract(path, r"^(.*)/[^/]*$", 1))
 
-    narrow = stored(rows.select("_dir_", "_whole_", "_own_").filter("_dir_ is not null").distinct(), "directories")
-    licensed = narrow.filter("_whole_ and _own_ is not null").groupBy(F.col("_dir_").alias("above")).agg(F.max("_own_").alias("found"))
+    # Only licence files are scored here; all files are scored once, at the end.
+    narrow = stored(rows.select("_dir_").filter("_dir_ is not null").distinct(), "directories")
+    licensed = rows.filter("_whole_ and _dir_ is not null").groupBy(F.col("_dir_").alias("above")).agg(F.max("_own_").alias("found"))
+    licensed = stored(licensed.filter("found is not null"), "licensed")
     parts: Column = F.split("_dir_", "/")
-    above = narrow.select("_dir_").distinct().select(
+    above = narrow.select(
         "_dir_", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"), parts.alias("parts")
     )
     above = above.select("_dir_", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("above")).distinct()

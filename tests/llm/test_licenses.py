@@ -91,3 +91,23 @@ def test_nothing(spark):
 def test_no_python_in_the_plan(spark, capsys):
     licenses.scan(spark.createDataFrame(FILES, "path string, text string")).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
+
+
+def test_usual_notices_give_their_own_licence(spark):
+    gnu = "{0} is free software; you can redistribute it and/or modify\n{1}it under the terms of the GNU {2}General Public License as published by\n{1}the Free Software Foundation; either version {3} of the License, or\n{1}(at your option) any later version.\n"
+    bsd = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+        "1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce the above copyright notice.\n"
+    )
+    cases = {
+        "GPL-2.0": "# " + gnu.format("This program", "# ", "", "2"),
+        "GPL-3.0": "# " + gnu.format("This program", "# ", "", "3"),
+        "LGPL-2.1": "# " + gnu.format("This library", "# ", "Lesser ", "2.1"),
+        "AGPL-3.0": "# " + gnu.format("This program", "# ", "Affero ", "3"),
+        "BSD-2-Clause": bsd,
+        "BSD-3-Clause": bsd + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    }
+    table = spark.createDataFrame([(f"d/{n}.c", t) for n, t in cases.items()], "path string, text string")
+    got = {r["path"][2:-2]: r["own_license"] for r in licenses.scan(table).collect()}
+    assert got == {n: n for n in cases}
