@@ -4,28 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
+from threading import get_ident
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 from callytics.session import checkpoint_root
 
-# Each thread has its own innermost scope.
-_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+# The open scopes of each thread, the innermost last.
+_open_scopes: dict[int, list[list[str]]] = {}
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Remove the tables that `cut` writes inside, once the caller has written what it built on them."""
-    outer = _tables.set([])
+    scopes = _open_scopes.setdefault(get_ident(), [])
+    scopes.append([])
     try:
         yield
     finally:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in map(jvm.org.apache.hadoop.fs.Path, _tables.get()):
+        for path in map(jvm.org.apache.hadoop.fs.Path, scopes.pop()):
             path.getFileSystem(conf).delete(path, True)
-        _tables.reset(outer)
+        if not scopes:
+            del _open_scopes[get_ident()]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +39,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid4().hex}"
-    if (inner := _tables.get()) is not None:
-        inner.append(path)
+    if scopes := _open_scopes.get(get_ident()):
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
