@@ -138,4 +138,10 @@ QUERIES: dict[str, Query] = {
         op13_quality,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+  select page_id, strlen(h) payload_bytes, sha256(h) payload_digest,
+         case when strlen(h) >= 100 and page_id <> least_id then 'revisit' else 'response' end record_type,
+         case when strlen(h) >= 100 and page_id <> least_id then least_id end refers_to
+  from (select page_id, coalesce(html, '') h, min(page_id) over (partition by coalesce(html, '')) least_id from pages)"""
+}
