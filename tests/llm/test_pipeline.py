@@ -11,6 +11,7 @@ from callytics.llm import language, queries as llm
 from callytics.llm.common import table
 from callytics.llm.tokens import default_tokenizer, encoder
 from test_near_duplicates import brute_classes
+from test_spellings import counted
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -22,16 +23,25 @@ def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "packing"]
 
 
-@pytest.mark.parametrize("name", sorted(llm.QUERIES))
+TABLES = {"page_id": "pages", "doc_id": "documents", "vec_id": "embeddings"}
+
+
+@pytest.mark.parametrize("name", sorted(set(llm.QUERIES) - {"op11_spellings"}))
 def test_query_covers_its_table(spark, name):
     out = queries()[name](spark, FOLDER)
-    key = "page_id" if "page_id" in out.columns else "doc_id"
-    rows = table(spark, FOLDER, "pages" if key == "page_id" else "documents")
+    key = next(k for k in TABLES if k in out.columns)
+    rows = table(spark, FOLDER, TABLES[key])
     ids = {r[0] for r in out.select(key).distinct().collect()}
     every = {r[0] for r in rows.select(key).collect()}
     assert ids == every if "decontamination" not in name else ids < every
 
 
+def test_words_of_all_documents(spark):
+    docs = [tuple(r) for r in table(spark, FOLDER, "documents").select("doc_id", "text").collect()]
+    want = {w: n for w, n in counted(docs).items() if len(w) >= 5 and n >= 3}
+    assert {r["word"]: r["n"] for r in queries()["op11_spellings"](spark, FOLDER).collect()} == want
+
+
 def test_pipeline(spark):
     docs = [tuple(r) for r in table(spark, FOLDER, "documents").select("doc_id", "text").collect()]
     names, scores = language.scorer(language.train(table(spark, FOLDER, "documents")))([t for _, t in docs])
