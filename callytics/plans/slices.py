@@ -4,7 +4,8 @@
 key in one task. That is right for most keys and wrong for a hot one. Keys are counted
 first (one column, reduced before the shuffle); without hot keys a window costs the one
 shuffle it always costs, and nothing else is in the plan. The rows of hot keys are range
-partitioned by key and order, so a key is cut by position, wherever its rows lie in time,
+partitioned by key and order, into tasks whose number goes with the rows alone, and each task
+cuts its rows into slices. So a key is cut by position, wherever its rows lie in time,
 also if all have one instant. Each slice is reduced to its edge row before any shuffle,
 the few edge rows are put in order, and each slice receives the edge row of its neighbour
 as a carry row. The windows then run per (key, slice).
@@ -24,6 +25,10 @@ from callytics.plans.lineage import cut
 SLICE = "_slice"
 CARRY = "_carry"
 HOT = "_hot"
+ROW = "_row"
+
+#: Numbers of `monotonically_increasing_id` that one task has.
+TASK = 1 << 33
 
 HOUR = 3_600
 DAY = 86_400
@@ -31,6 +36,9 @@ DAY = 86_400
 #: Hot keys are broadcast up to this number; beyond it Spark joins as it sees fit.
 BROADCAST_KEYS = 1_000_000
 
+#: Rows of hot keys that one task cuts into slices, if slices are shorter.
+TASK_ROWS = 100_000
+
 
 @dataclass(frozen=True)
 class Hot:
@@ -84,9 +92,12 @@ def parted(df: DataFrame, keys: Sequence[str], order: Sequence[str], spread: Spr
     # Proven size: a table of 2e12 rows has at most a million hot keys.
     listed = F.broadcast(hot.keys) if hot.count <= BROADCAST_KEYS else hot.keys
     normal = df.join(listed, list(keys), "left_anti")
-    slices = -(-hot.rows // spread.slice_rows)
-    placed = df.join(listed, list(keys), "left_semi").repartitionByRange(slices, *keys, *order)
-    return normal, cut(placed.withColumn(SLICE, F.spark_partition_id().cast("long")), "slices")
+    tasks = -(-hot.rows // max(spread.slice_rows, TASK_ROWS))
+    ordered = df.join(listed, list(keys), "left_semi").repartitionByRange(tasks, *keys, *order).sortWithinPartitions(*keys, *order)
+    # Rows alike in key and order stand in one task, and stay in the slice of the first of them.
+    first = F.min(ROW).over(Window.partitionBy(*keys, *order))
+    placed = ordered.withColumn(ROW, F.monotonically_increasing_id()).withColumn(SLICE, first - first % TASK % spread.slice_rows)
+    return normal, cut(placed.drop(ROW), "slices")
 
 
 def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], spread: Spread) -> DataFrame:

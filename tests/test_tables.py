@@ -5,7 +5,7 @@ import fixtures as fx
 from callytics.operators import transcripts
 from callytics.plans.keyed import latest_per_key, upsert, with_new_ids
 from callytics.plans.lineage import cut
-from callytics.plans.slices import SLICE, Spread, hot_keys, sliced, with_neighbours
+from callytics.plans.slices import SLICE, Spread, hot_keys, parted, sliced, with_neighbours
 from callytics.sources.tables import append, conform, load, write_version
 
 def test_append_fills_defaults_and_conforms(spark, tmp_path):
@@ -113,6 +113,15 @@ def test_a_hot_key_is_cut_by_position_also_at_one_instant(spark):
     assert {r.id: r.p for r in found} == {n: n - 1 if n else None for n in range(1_000)}
 
 
+def test_short_slices_need_few_tasks_and_keep_ties_together(spark):
+    df = spark.range(3_000).select(F.concat(F.lit("k"), F.col("id") % 3).alias("k"), F.floor(F.col("id") / 21).alias("at"), "id")
+    _, placed = parted(df, ["k"], ["at"], Spread(10, 4))
+    assert len(placed.inputFiles()) == 1
+    counted = placed.groupBy("k", "at").agg(F.countDistinct(SLICE).alias("slices"))
+    assert counted.filter("slices > 1").isEmpty() and placed.select(SLICE).distinct().count() > 300
+    assert placed.count() == 3_000 and placed.columns == [*df.columns, SLICE]
+
+
 def test_windows_of_normal_keys_share_one_exchange(spark):
     df = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
     once = with_neighbours(df, ["k"], ["id"], Spread(), {"p": "id"})
