@@ -195,41 +195,52 @@ def _entered(placed: DataFrame, ttl_ms: int) -> DataFrame:
     """
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # parts of one slice of one session, which `slice_rows` bounds
+        key, held = None, []  # parts of one slice of one session, which `slice_rows` bounds
 
-        def out() -> pd.DataFrame:
-            rows = pd.concat(held)
-            run = Run.of(rows["ts"].to_numpy(), rows["_rank"].to_numpy(), ttl_ms)
-            head = rows.iloc[0]
+        def out() -> tuple:
+            ts, rank = (np.concatenate(v) for v in zip(*held))
+            run = Run.of(ts, rank, ttl_ms)
             moved = [list(m) if m else None for m in run.moved]
-            values = [head["session_id"], head[slices.SLICE], head["ts"], moved, run.until.tolist(), run.stage.tolist(), run.set_at.tolist()]
-            return pd.DataFrame([values], columns=["session_id", slices.SLICE, "ts", "moved", "until", "stages", "set_ats"])
+            return *key, int(ts[0]), moved, run.until.tolist(), run.stage.tolist(), run.set_at.tolist()
 
+        names = ["session_id", slices.SLICE, "ts", "moved", "until", "stages", "set_ats"]
         for batch in batches:
-            for _, part in batch.groupby([slices.SLICE, "session_id"], sort=False):
-                if held and (part.iloc[0][["session_id", slices.SLICE]] != held[0].iloc[0][["session_id", slices.SLICE]]).any():
-                    yield out()
-                    held = []
-                held.append(part)
+            session, place, ts, rank = (batch[c].to_numpy() for c in ("session_id", slices.SLICE, "ts", "_rank"))
+            cuts = np.flatnonzero((session[1:] != session[:-1]) | (place[1:] != place[:-1])) + 1
+            runs = []
+            for low, high in zip([0, *cuts], [*cuts, len(batch)]) if len(batch) else ():
+                if held and key != (session[low], place[low]):
+                    runs.append(out())
+                    held.clear()
+                key = session[low], place[low]
+                held.append((ts[low:high], rank[low:high]))
+            if runs:
+                yield pd.DataFrame(runs, columns=names)
         if held:
-            yield out()
-
-    def joined(runs: pd.DataFrame) -> pd.DataFrame:
-        runs = runs.sort_values(slices.SLICE, ignore_index=True)
-        state, states = (IDLE, 0), []
-        for row in runs.itertuples(index=False):
-            states.append(state)
-            moved = [tuple(m) if m is not None else None for m in row.moved]
-            state = Run(moved, np.array(row.until), np.array(row.stages), np.array(row.set_ats))(*state, ttl_ms)
-        told = runs[["session_id", slices.SLICE, "ts"]].assign(_stage=[s for s, _ in states], _set_at=[at for _, at in states])
-        return told[1:]
+            yield pd.DataFrame([out()], columns=names)
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, (IDLE, 0)
+        names = ["session_id", slices.SLICE, "ts", "moved", "until", "stages", "set_ats"]
+        for runs in batches:
+            told = []
+            for session, number, ts, moved, *groups in zip(*(runs[c] for c in names)):
+                if session == key:
+                    told.append((session, number, ts, *state))
+                else:
+                    key, state = session, (IDLE, 0)
+                run = Run([tuple(m) if m is not None else None for m in moved], *map(np.array, groups))
+                state = run(*state, ttl_ms)
+            if told:
+                yield pd.DataFrame(told, columns=["session_id", slices.SLICE, "ts", "_stage", "_set_at"])
 
     place = [slices.SLICE, *KEYS]
     id_type = placed.schema["session_id"].dataType.simpleString()
     head = f"session_id {id_type}, {slices.SLICE} bigint, ts bigint"
     dealt = placed.repartition(*place).sortWithinPartitions(*place, *ORDER).select(*place, *ORDER, "_rank")
     runs = dealt.mapInPandas(summed, f"{head}, moved array<array<bigint>>, until array<bigint>, stages array<bigint>, set_ats array<bigint>")
-    return runs.groupBy(*KEYS).applyInPandas(joined, f"{head}, _stage bigint, _set_at bigint")
+    told = runs.repartition(*KEYS).sortWithinPartitions(*KEYS, slices.SLICE)
+    return told.mapInPandas(joined, f"{head}, _stage bigint, _set_at bigint")
 
 
 def stage_progression_ttl(

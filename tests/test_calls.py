@@ -123,6 +123,16 @@ def test_expiring_progression_equals_the_fold(spark, hot_rows, slice_rows, ttl):
     assert {(r.session_id, r.seq): (r.previous_stage, r.stage) for r in found} == _fold(rows, ttl * 1000)
 
 
+def test_slices_are_joined_many_sessions_at_a_time(spark):
+    rows = [(f"s{k}", n, "cliente", 1, "o4", 1_700_000_000_000 + 1_000 * n) for k in range(30) for n in range(12)]
+    turns = spark.createDataFrame(rows, TURNS)
+    starts = turns.groupBy(F.col("session_id").alias("id")).agg(F.timestamp_millis(F.min("ts")).alias("started_at"))
+    found = stages.stage_progression_ttl(turns, starts, WORDS, 5, Spread(3, 5))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+    assert {(r.session_id, r.seq): (r.previous_stage, r.stage) for r in found.collect()} == _fold(rows, 5_000)
+
+
 @pytest.mark.parametrize("texts", [["o4"], ["", "d2"], ["f6"], ["o4", "c5"]])
 def test_a_session_without_pauses_is_cut(spark, texts):
     """Turns a second apart, never a pause: slices still split it, and each lapse depends on the one before it."""
