@@ -22,6 +22,7 @@ from callytics.operators import (
     transcripts,
 )
 from callytics.plans.keyed import upsert
+from callytics.plans.lineage import cut
 from callytics.plans.slices import Spread
 from callytics.session import checkpoint_root, prepare
 from callytics.sources import bindings as b
@@ -631,7 +632,7 @@ def _requested(spark, folder):
 def _manual(spark, folder, spread=None):
     """Signals of the requests that count, each at the stage the call is in just then."""
     spread = spread or b.turn_spread(spark, folder)
-    changes = _expiring(spark, folder, spread, with_starts=True).filter("changed")
+    changes = cut(_expiring(spark, folder, spread, with_starts=True).filter("changed"), "changes")
     intervals = stages.stage_intervals(changes, TTL_SECONDS, spread)
     return stages.manual_signals(_requested(spark, folder).filter("reason is null"), intervals, TTL_SECONDS, spread)
 

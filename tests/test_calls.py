@@ -133,6 +133,13 @@ def test_slices_are_joined_many_sessions_at_a_time(spark):
     assert {(r.session_id, r.seq): (r.previous_stage, r.stage) for r in found.collect()} == _fold(rows, 5_000)
 
 
+def test_stages_of_requests_are_computed_once(spark):
+    from queries import QUERIES
+
+    plan = QUERIES["manual_signals_hot"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan
+
+
 @pytest.mark.parametrize("texts", [["o4"], ["", "d2"], ["f6"], ["o4", "c5"]])
 def test_a_session_without_pauses_is_cut(spark, texts):
     """Turns a second apart, never a pause: slices still split it, and each lapse depends on the one before it."""
