@@ -29,8 +29,8 @@ SEGMENT = re.compile(
 #: Places where a text may be cut.
 SAFE_CUT = re.compile(rf"(?<=[^ \t\n\r{_OTHER_SPACE}])(?=[ \t\n\r])")
 
-#: Where a blank follows on white space; a text with such places, or with a blank at an end, isn't split at blanks.
-WIDE = re.compile(r"\s ")
+#: Where a blank follows on white space; a text with such places, or with white space at its end, isn't split at blanks.
+WIDE = re.compile(r" (?<=\s )")
 #: A full stop or comma before a blank is split off as a word of its own, with a sign that the text must not hold, and so
 #: is a full stop with the line end after it. That is safe where they stand after a letter or digit and no white space
 #: follows the line end.
@@ -93,6 +93,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("added tokens with white space would be cut")
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids that begin with a blank or a line end.
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t[0] in "\u0120\u010a"]] = True
         self.words = Memory()  # by the segment without the blank in front of it
         self.bare = Memory()
 
@@ -117,36 +121,59 @@ class Encoder:
         return data
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that were not found, those of letters in one call."""
+        """Ids of words that were not found, those of letters, also with marks behind them, in one call."""
         old = self.words.old
-        plain = [w for w in words if w not in old and (w.isalpha() and w.isascii() or PLAIN.fullmatch(w)) and len(w) <= LONG]
-        found = {}
-        if plain:
-            # A word of letters with a blank before it is one word of the tokenizer, so its numbers tell them apart.
-            encoding = self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False)
-            data = array("I", encoding.ids).tobytes()
-            ends = (4 * np.flatnonzero(np.diff(np.fromiter(encoding.word_ids, np.int64), append=-1)) + 4).tolist()
-            if len(ends) != len(plain):
-                raise ValueError("the tokenizer cuts words of letters")
-            found = {w: data[i:j] for w, i, j in zip(plain, [0, *ends], ends)}
-            self.words.room()
-            self.words.update(found)
+        spaced: dict[str, bytes | None] = {}  # letters after a blank
+        bare: dict[str, bytes | None] = {}  # letters that begin a line
+        made: list[tuple[str, dict, str, str]] = []
+        for word in words:
+            if len(word) > LONG or word in old:
+                continue
+            stem = word.rstrip(_MARKS)
+            if stem[:1] == ALONE:
+                letters, stems, memory = stem[1:], bare, self.bare
+            else:
+                letters, stems, memory = stem, spaced, self.words
+            if letters.isalpha() and letters.isascii() or PLAIN.fullmatch(letters):
+                if letters not in stems:
+                    stems[letters] = memory.get(letters)
+                made.append((word, stems, letters, word[len(stem) :]))
+        self._encode_letters(spaced, bare)
+        found = {w: stems[letters] + self._segment(marks) if marks else stems[letters] for w, stems, letters, marks in made}
+        self.words.room()
+        self.words.update(found)
         if len(found) < len(words):
             for word in words:
                 if word not in found:
                     found[word] = self._word(word)
         return found
 
+    def _encode_letters(self, spaced: dict[str, bytes | None], bare: dict[str, bytes | None]) -> None:
+        """Give words of letters their ids, after a blank or at the begin of a line, where they have none."""
+        blank, line = ([w for w, data in words.items() if data is None] for words in (spaced, bare))
+        if not blank and not line:
+            return
+        # A word of letters is one word of the tokenizer, with the blank before it or behind a line end.
+        text = "".join([*[f" {w}" for w in blank], *[f"\n{w}" for w in line]])
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        data, begins = ids.tobytes(), np.flatnonzero(self.begins[ids])
+        if len(begins) != len(blank) + len(line):
+            raise ValueError("the tokenizer cuts words of letters")
+        begin, end = (4 * begins).tolist(), (4 * np.append(begins[1:], len(ids))).tolist()
+        n = len(blank)
+        spaced.update({w: data[i:j] for w, i, j in zip(blank, begin, end)})
+        bare.update({w: data[i + 4 : j] for w, i, j in zip(line, begin[n:], end[n:])})
+
     def ids(self, text: str | None) -> bytes:
         """Ids of a whole text; a null text is empty."""
         if not text:
             return b""
-        if text[0].isspace() or text[-1].isspace() or ALONE in text or WIDE.search(text):
+        if text[-1].isspace() or ALONE in text or WIDE.search(text):
             return b"".join(map(self._segment, SEGMENT.findall(text)))
         cut = text.replace(". ", f" {ALONE}. ").replace(", ", f" {ALONE}, ")
         if not UNSAFE_LINE.search(text):
             cut = cut.replace(".\n", f" {ALONE}.\n {ALONE}")
-        if cut[0] == " " or UNSAFE_MARK.search(cut):
+        if cut[0] == " " != text[0] or UNSAFE_MARK.search(cut):
             cut = text
         first, *words = cut.split(" ")
         parts = list(map(self.words.get, words))

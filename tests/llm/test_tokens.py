@@ -50,6 +50,28 @@ def test_segments_give_the_ids_of_whole_texts(plain):
             assert plain(text[: cut.start()]) + plain(text[cut.start() :]) == plain(text)
 
 
+@pytest.mark.parametrize("begin", ["one ", " ", "\n"])
+def test_words_with_marks_and_of_new_lines_are_learned_in_few_calls(plain, begin):
+    from callytics.llm.tokens import Encoder
+
+    class Counted:
+        calls = 0
+
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode(self, *args, **options):
+            Counted.calls += 1
+            return self.tokenizer.encode(*args, **options)
+
+    encode = Encoder(default_tokenizer())
+    encode.tokenizer = Counted(encode.tokenizer)
+    words = ["".join(random.Random(n).choices("abcdeé", k=9)) for n in range(60)]
+    text = begin + " ".join(f"{w}&&& {w.title()}{w}, {w}.\n{w.title()}é!!" for w in words)
+    assert as_ids(encode.ids(text)) == plain(text)
+    assert Counted.calls <= 5
+
+
 def test_packing(spark, docs, plain):
     rng = random.Random(2)
     rows = list(enumerate(ODD + [" ".join(rng.choices(["the", "of", "xylo", "été"], k=rng.randrange(1, 120))) for _ in range(300)]))
