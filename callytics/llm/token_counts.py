@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from callytics.llm.common import short_batches
-from callytics.llm.tokens import SAFE_CUT, Encoder, default_tokenizer, encoder
+from callytics.llm.tokens import Encoder, default_tokenizer, encoder, safe_parts
 
 LEAF = 512
 #: A leaf that has grown to so many times its size is cut anew, and the tree is built again from the sums of its leaves.
@@ -26,15 +26,7 @@ TREE = "chars array<long>, tokens array<long>"
 
 
 def leaves_of(text: str, leaf: int = LEAF) -> list[str]:
-    out, at = [], 0
-    while len(text) - at > leaf:
-        cut = SAFE_CUT.search(text, at + leaf)
-        if not cut:
-            break
-        out.append(text[at : cut.start()])
-        at = cut.start()
-    out.append(text[at:])
-    return out
+    return safe_parts(text, leaf)
 
 
 class Tree:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callytics.llm.common import partitions_of, short_batches
-from callytics.llm.tokens import default_tokenizer, encoder
+from callytics.llm.tokens import batch_encoder, default_tokenizer, larger
 
 MAGIC = b"TOKIDS01"
 END_ID = 2
@@ -50,8 +50,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
     text = F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS)
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit("dictionary")), F.lit(1 << 40))
     chosen = docs.filter(place < int(share * (1 << 40))).select(text.alias("text")).orderBy("text").limit(2 * SAMPLE_DOCUMENTS)
-    encode = encoder(tokenizer).ids
-    samples = [ids for r in chosen.collect() if (ids := encode(r["text"]))]
+    texts = pa.array([r["text"] for r in chosen.collect()], pa.string())
+    samples = [ids for ids in batch_encoder(tokenizer).batch(texts) if ids]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -104,16 +104,16 @@ def write_tokens(
                 index.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=INDEX))
                 rows.clear()
 
-        encode = encoder(path).ids
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        encode = batch_encoder(path).batch
+        for batch in larger(batches):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 if out is None:
                     out = files.open_output_stream(f"{root}/{name}.ids")
                     sink = files.open_output_stream(f"{root}/{name}.index")
                     index = pa.ipc.new_file(sink, INDEX)
                     out.write(MAGIC + digest(dictionary))
                     low = doc
-                ids = encode(text) + end
+                ids += end
                 frame = compress(ids)
                 out.write(frame)
                 rows.append((doc, place, len(frame), start, len(ids) // 4))

@@ -72,6 +72,59 @@ def test_words_with_marks_and_of_new_lines_are_learned_in_few_calls(plain, begin
     assert Counted.calls <= 8
 
 
+def test_batches_give_the_ids_of_whole_texts(plain, monkeypatch):
+    from callytics.llm import tokens
+
+    encode = tokens.Encoder(default_tokenizer())
+    rng = random.Random(4)
+    parts = ["a", "B", "é", "ÿ", "ɏ", "ɐ", "×", "²", "7", "42", ".", "!", "?!", "'s", "'", ",", "_", "-", "(", "|", " ", " ", " ", "  "]
+    parts += ["\n", "\n\n", "\r\n", "\t", "\xa0", "\x85", "\x1c", "\x0b", "\x7f", "\u2003", "\u2028", "\u3000", "\u1680", "\u205f", "\u200b"]
+    parts += ["word", "Wort", "ß", "日本", "т", "р", "😀", "’", "ＡＢ", "e\u0301", "<|endoftext|>", "<|endof", "text|>", "x" * 70, "٣"]
+    texts = ODD + ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(4_000)] + ["<|endof", "text|>"]
+    want = [plain(t) for t in texts]
+    column = tokens.pa.array(texts)
+    for _ in range(2):  # unknown and known
+        assert [as_ids(ids) for ids in encode.batch(column)] == want
+    assert [as_ids(ids) for ids in encode.batch(column.slice(5, 40))] == want[5:45]
+    assert encode.batch(column.slice(0, 0)) == [] and encode.batch(tokens.pa.array([None, None], "string")) == [b"", b""]
+    # Texts longer than a chunk, memories that overflow.
+    monkeypatch.setattr(tokens, "CHUNK", 97)
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    assert [as_ids(ids) for ids in encode.batch(column)] == want
+
+
+def test_a_batch_needs_no_call_for_each_text_or_word(plain):
+    from callytics.llm import tokens
+
+    class Counted:
+        calls = 0
+
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode(self, *args, **options):
+            Counted.calls += 1
+            return self.tokenizer.encode(*args, **options)
+
+    encode = tokens.Encoder(default_tokenizer())
+    encode.tokenizer = Counted(encode.tokenizer)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdeé", k=9))
+    texts = [f"{word()} {word()}, {word()}.\n{word().title()} ({word()}) 12-{word()}!" for _ in range(500)]
+    assert [as_ids(ids) for ids in encode.batch(tokens.pa.array(texts))] == list(map(plain, texts))
+    assert Counted.calls <= 8
+
+
+def test_larger_batches_keep_all_rows(monkeypatch):
+    from callytics.llm import tokens
+
+    monkeypatch.setattr(tokens, "CHUNK", 100)
+    batches = [tokens.pa.RecordBatch.from_pydict({"n": list(range(k, k + 5))}) for k in range(0, 50, 5)]
+    out = list(tokens.larger(iter(batches)))
+    assert [n for b in out for n in b.column(0).to_pylist()] == list(range(50)) and len(out) < 10
+    assert list(tokens.larger(iter([]))) == []
+
+
 def test_packing(spark, docs, plain):
     rng = random.Random(2)
     rows = list(enumerate(ODD + [" ".join(rng.choices(["the", "of", "xylo", "été"], k=rng.randrange(1, 120))) for _ in range(300)]))
