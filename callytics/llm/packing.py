@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from callytics.llm.common import partitions_of, short_batches, stored
-from callytics.llm.tokens import default_tokenizer, encoder
+from callytics.llm.tokens import batch_encoder, default_tokenizer, larger
 
 CAPACITY = 2048
 END_ID = 0
@@ -59,12 +59,12 @@ def pieces(
     short_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
+        encode = batch_encoder(path).batch
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in larger(batches):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, start = encode(text) + end, 0
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids, start = ids + end, 0
                 for k, n in enumerate(lengths_of(len(ids) // 4, capacity)):
                     rows.append((doc, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
                     start += n
