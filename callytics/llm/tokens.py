@@ -176,7 +176,9 @@ class Encoder:
         #: Ids that begin with a blank or a line end.
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t[0] in "\u0120\u010a"]] = True
-        self.model = self.tokenizer.model
+        #: Words go straight to the merges where nothing else would change them.
+        plain = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+        self.model = self.tokenizer.model if plain else None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Memory()  # by the segment without the blank in front of it
         self.bare = Memory()
@@ -283,12 +285,14 @@ class Encoder:
             halves = safe_parts(texts[first].as_py(), CHUNK) if len(part) > CHUNK else []
             if len(halves) > 1:
                 out.append(b"".join(self.batch(pa.array(halves))))
+            elif any(name.encode() in part.tobytes() for name in self.added):
+                some = [(t, any(name in t for name in self.added)) for t in texts[first:last].to_pylist()]
+                others = [t.encode() for t, named in some if not named]
+                begin = np.cumsum([0, *map(len, others)], dtype=np.int64)[:-1]
+                rest = iter(self._chunk(np.frombuffer(b"".join(others), np.uint8), begin))
+                out += [self.ids(t) if named else next(rest) for t, named in some]
             else:
                 out += self._chunk(part, places[first:last] - places[first])
-                if any(name.encode() in part.tobytes() for name in self.added):
-                    for i in range(first, last):
-                        if any(name in (text := texts[i].as_py()) for name in self.added):
-                            out[i] = self.ids(text)
         return out
 
     def _chunk(self, data: np.ndarray, texts: np.ndarray) -> list[bytes]:
@@ -319,7 +323,7 @@ class Encoder:
         """Ids of different segments that are not in the newer memory."""
         found = list(map(self.bare.old.get, segments))
         new = [i for i, ids in enumerate(found) if ids is None]
-        words = [i for i in new if len(segments[i]) <= LONG and WORD.fullmatch(segments[i])]
+        words = [i for i in new if self.model and len(segments[i]) <= LONG and WORD.fullmatch(segments[i])]
         if words:
             # One word each, so no splitting is needed. No word holds a line end.
             data = np.frombuffer("\n".join([segments[i] for i in words]).encode(), np.uint8)

@@ -115,6 +115,24 @@ def test_a_batch_needs_no_call_for_each_text_or_word(plain):
     assert Counted.calls <= 8
 
 
+@pytest.mark.parametrize("lower", [False, True])
+def test_batches_with_other_tokenizers(tmp_path, lower):
+    from tokenizers import Tokenizer, normalizers
+
+    from callytics.llm import tokens
+
+    other = Tokenizer.from_file(default_tokenizer())
+    other.add_tokens(["STOP"])
+    if lower:
+        other.normalizer = normalizers.Lowercase()
+    other.save(path := str(tmp_path / "other.json"))
+    texts = ["Some STOP words", "STOP", "no STOPPED", "Ends ST", "OP begins", "", None, "Some words", "STO", "P"] * 2
+    encode = tokens.Encoder(path)
+    for column in (texts, texts[3:4] + texts, texts[:3]):
+        want = [other.encode(t or "", add_special_tokens=False).ids for t in column]
+        assert [as_ids(ids) for ids in encode.batch(tokens.pa.array(column))] == want
+
+
 def test_larger_batches_keep_all_rows(monkeypatch):
     from callytics.llm import tokens
 
