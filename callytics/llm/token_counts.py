@@ -4,7 +4,7 @@ A text is cut at safe places (see `tokens`) into leaves of LEAF characters or a
 the characters and tokens below each node, as two heap-ordered arrays: node i has children 2i and 2i+1, node 1 is the whole
 document. An edit finds its leaves by character sums, takes in the leaf beside it where it meets a leaf's first or last
 character (so that the cuts around stay safe), encodes the new text of these leaves only and adds the differences on the
-paths to the root. Counts stay exactly those of encoding the whole new text.
+paths to the root. Counts stay exactly those of encoding the whole new text. Leaves of many documents are encoded together.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from callytics.llm.common import short_batches
-from callytics.llm.tokens import Encoder, default_tokenizer, encoder, safe_parts
+from callytics.llm.tokens import Encoder, batch_encoder, default_tokenizer, safe_parts
 
 LEAF = 512
 #: A leaf that has grown to so many times its size is cut anew, and the tree is built again from the sums of its leaves.
@@ -69,9 +69,23 @@ class Tree:
     def leaves(self) -> list[tuple[int, int]]:
         return list(zip(self.chars[self.size :], self.tokens[self.size :]))
 
+    def renew(self, first: int, last: int, new: list[tuple[int, int]], leaf: int = LEAF) -> Tree:
+        """The tree with new leaves for those from `first` to `last`; the same one if the first leaf takes the new text."""
+        if sum(chars for chars, _ in new) > GROWN * leaf:
+            old = self.leaves()
+            return Tree.build([x for x in old[:first] + new + old[last + 1 :] if x[0]] or [(0, 0)])
+        # The others become empty.
+        ((chars, tokens),) = new
+        for i in range(first + 1, last + 1):
+            self.add(i, -self.chars[self.size + i], -self.tokens[self.size + i])
+        at = self.size + first
+        self.add(first, chars - self.chars[at], tokens - self.tokens[at])
+        return self
 
-def edit(text: str, tree: Tree, start: int, remove: int, insert: str, encode: Encoder, leaf: int = LEAF) -> tuple[str, Tree, int]:
-    """The text and tree after an edit, and how many characters were encoded. Places beyond the text count as its end."""
+
+def touched(text: str, tree: Tree, start: int, remove: int, insert: str, leaf: int = LEAF) -> tuple[str, int, int, list[str]]:
+    """The text after an edit, the first and last leaf it touches, and the new text of these leaves: whole, or cut into
+    leaves if it has grown too long. Places beyond the text count as its end."""
     n = len(text)
     start = min(max(start, 0), n)
     end = min(start + max(remove, 0), n)
@@ -79,18 +93,39 @@ def edit(text: str, tree: Tree, start: int, remove: int, insert: str, encode: En
     last, before_last = tree.find(min(end, n - 1)) if n else (0, 0)
     high = before_last + tree.chars[tree.size + last]
     region = text[low:start] + insert + text[end:high]
-    text = text[:low] + region + text[high:]
-    if len(region) <= GROWN * leaf:
-        # The first leaf takes the new region, the others become empty.
-        for i in range(first + 1, last + 1):
-            tree.add(i, -tree.chars[tree.size + i], -tree.tokens[tree.size + i])
-        at = tree.size + first
-        tree.add(first, len(region) - tree.chars[at], encode.count(region) - tree.tokens[at])
-    else:
-        pieces = [(len(p), encode.count(p)) for p in leaves_of(region, leaf)]
-        old = tree.leaves()
-        tree = Tree.build([x for x in old[:first] + pieces + old[last + 1 :] if x[0]] or [(0, 0)])
-    return text, tree, len(region)
+    return text[:low] + region + text[high:], first, last, [region] if len(region) <= GROWN * leaf else leaves_of(region, leaf)
+
+
+def edit(text: str, tree: Tree, start: int, remove: int, insert: str, encode: Encoder, leaf: int = LEAF) -> tuple[str, Tree, int]:
+    """The text and tree after an edit, and how many characters were encoded. Places beyond the text count as its end."""
+    ((text, tree, encoded),) = edit_all([text], [tree], [[(start, remove, insert)]], encode, leaf)
+    return text, tree, encoded
+
+
+def edit_all(
+    texts: list[str], trees: list[Tree], edits: list[list[tuple[int, int, str]]], encode: Encoder, leaf: int = LEAF
+) -> list[tuple[str, Tree, int]]:
+    """The same for the edits of many texts. The first edits of all texts are encoded together, then the second ones."""
+    texts, trees, encoded = list(texts), list(trees), [0] * len(texts)
+    going, k = range(len(texts)), 0
+    while going := [i for i in going if len(edits[i]) > k]:
+        leaves = []
+        for i in going:
+            texts[i], *renewed = touched(texts[i], trees[i], *edits[i][k], leaf)
+            leaves.append(renewed)
+        tokens = encode.counts(p for *_, parts in leaves for p in parts)
+        for i, (first, last, parts) in zip(going, leaves):
+            trees[i] = trees[i].renew(first, last, [(len(p), next(tokens)) for p in parts], leaf)
+            encoded[i] += sum(map(len, parts))
+        k += 1
+    return list(zip(texts, trees, encoded))
+
+
+def trees_of(texts: list[str], encode: Encoder, leaf: int = LEAF) -> list[Tree]:
+    """The trees of many texts, whose leaves are encoded together."""
+    leaves = [leaves_of(t, leaf) for t in texts]
+    tokens = encode.counts(p for parts in leaves for p in parts)
+    return [Tree.build([(len(p), next(tokens)) for p in parts]) for parts in leaves]
 
 
 def build_trees(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF, text_col: str = "text") -> DataFrame:
@@ -104,10 +139,10 @@ def build_trees(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF,
     place = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(path).count
+        encode = batch_encoder(path)
+        kind = pa.list_(pa.int64())
         for batch in batches:
-            trees = [Tree.build([(len(p), count(p)) for p in leaves_of(t or "", leaf)]) for t in batch.column(place).to_pylist()]
-            kind = pa.list_(pa.int64())
+            trees = trees_of([t or "" for t in batch.column(place).to_pylist()], encode, leaf)
             added = [pa.array([t.chars for t in trees], kind), pa.array([t.tokens for t in trees], kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "chars", "tokens"])
 
@@ -139,17 +174,18 @@ def apply_edits(
     short_batches(trees.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = batch_encoder(path)
+        kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 4]
+        names = ["doc_id", "text", "chars", "tokens", "n_tokens", "edited_chars", "edited_tokens", "encoded_chars"]
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text, chars, tokens, edits in zip(*(c.to_pylist() for c in batch.columns)):
-                tree, text, encoded, before = Tree(chars, tokens), text or "", 0, tokens[1]
-                for e in edits or ():
-                    text, tree, n = edit(text, tree, e["start"] or 0, e["remove"] or 0, e["insert"] or "", encode, leaf)
-                    encoded += n
-                rows.append((doc, text, tree.chars, tree.tokens, before, tree.chars[1], tree.tokens[1], encoded))
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * 4]
-            names = ["doc_id", "text", "chars", "tokens", "n_tokens", "edited_chars", "edited_tokens", "encoded_chars"]
+            ids, texts, chars, tokens, edits = (c.to_pylist() for c in batch.columns)
+            before = [t[1] for t in tokens]
+            lists = [[(e["start"] or 0, e["remove"] or 0, e["insert"] or "") for e in some or ()] for some in edits]
+            edited = edit_all([t or "" for t in texts], list(map(Tree, chars, tokens)), lists, encode, leaf)
+            rows = [
+                (doc, text, tree.chars, tree.tokens, n, tree.chars[1], tree.tokens[1], encoded)
+                for doc, n, (text, tree, encoded) in zip(ids, before, edited)
+            ]
             columns = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ LONG = 64
 
 #: Bytes of text that are cut into segments at once.
 CHUNK = 8 << 20
+#: Characters up to which it is faster to count the ids of texts one by one.
+FEW = 8 << 10
 #: Segments that are one word of the tokenizer.
 WORD = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-&(-/:-@[-`{-~]+)")
 #: The code points that byte-level vocabularies write for bytes: visible ones stand for themselves, others count from 256.
@@ -272,8 +274,39 @@ class Encoder:
 
     def batch(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text of an Arrow column. Texts are cut together, and each different segment is looked up once."""
+        return self._each(texts, self._chunk, self.ids, b"".join)
+
+    def counts(self, texts: Iterable[str]) -> Iterator[int]:
+        """Number of ids of each text, found as in `batch` for texts of about CHUNK characters at once; few are cut alone."""
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield from self._each(pa.array(some, pa.large_string()), self._chunk_counts, self.count, sum)
+                some, size = [], 0
+        if size <= FEW:
+            yield from map(self._count_alone, some)
+        else:
+            yield from self._each(pa.array(some, pa.large_string()), self._chunk_counts, self.count, sum)
+
+    def _count_alone(self, text: str) -> int:
+        """Number of ids of a short text, with the memory of `batch`."""
+        if any(name in text for name in self.added):
+            return self.count(text)
+        segments = SEGMENT.findall(text)
+        found = list(map(self.bare.get, segments))
+        if None in found:
+            unknown = list(dict.fromkeys([s for s, ids in zip(segments, found) if ids is None]))
+            new = dict(zip(unknown, self._learn_segments(unknown)))
+            found = [new[s] if ids is None else ids for s, ids in zip(segments, found)]
+        return sum(map(len, found)) // 4
+
+    def _each(self, texts: pa.Array, chunk: Callable, one: Callable, join: Callable) -> list:
+        """What `chunk` gives for many texts and `one` for a text with an added token; `join` puts parts of a text together."""
         texts = texts.cast(pa.large_string()).fill_null("")
-        out: list[bytes] = []
+        out: list = []
         if not len(texts):
             return out
         _, ends, data = texts.buffers()
@@ -284,30 +317,35 @@ class Encoder:
             part = bytes_[places[first] : places[last]]
             halves = safe_parts(texts[first].as_py(), CHUNK) if len(part) > CHUNK else []
             if len(halves) > 1:
-                out.append(b"".join(self.batch(pa.array(halves))))
+                out.append(join(self._each(pa.array(halves), chunk, one, join)))
             elif any(name.encode() in part.tobytes() for name in self.added):
                 some = [(t, any(name in t for name in self.added)) for t in texts[first:last].to_pylist()]
                 others = [t.encode() for t, named in some if not named]
                 begin = np.cumsum([0, *map(len, others)], dtype=np.int64)[:-1]
-                rest = iter(self._chunk(np.frombuffer(b"".join(others), np.uint8), begin))
-                out += [self.ids(t) if named else next(rest) for t, named in some]
+                rest = iter(chunk(np.frombuffer(b"".join(others), np.uint8), begin))
+                out += [one(t) if named else next(rest) for t, named in some]
             else:
-                out += self._chunk(part, places[first:last] - places[first])
+                out += chunk(part, places[first:last] - places[first])
         return out
 
-    def _chunk(self, data: np.ndarray, texts: np.ndarray) -> list[bytes]:
-        """Ids of texts without added tokens that lie one behind the other, by their places."""
-        if not len(data):
-            return [b""] * len(texts)
+    def _segments(self, data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Which of the different segments stand in texts that lie one behind the other, where those of each text and of
+        the end begin among them, and the ids of the different ones."""
         begin = segment_starts(data, texts)
         ends = pa.py_buffer(np.append(begin, len(data)))
         segments = pa.Array.from_buffers(pa.large_string(), len(begin), [None, ends, pa.py_buffer(data)]).dictionary_encode()
-        index = segments.indices.to_numpy()
         different = segments.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.bare.get, different))
         unknown = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(unknown, self._learn_segments([different[i] for i in unknown])):
             found[i] = ids
+        return segments.indices.to_numpy(), np.searchsorted(begin, np.append(texts, len(data))), found
+
+    def _chunk(self, data: np.ndarray, texts: np.ndarray) -> list[bytes]:
+        """Ids of texts without added tokens that lie one behind the other, by their places."""
+        if not len(data):
+            return [b""] * len(texts)
+        index, first, found = self._segments(data, texts)
         ids = np.frombuffer(b"".join(found), "<u4")
         n = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(n) - n
@@ -316,9 +354,17 @@ class Encoder:
         place = np.repeat(start[index] - end + each, each)
         place += np.arange(len(place))
         all_ids = ids[place].tobytes()
-        cut = 4 * np.append(0, end)[np.searchsorted(begin, np.append(texts, len(data)))]
+        cut = 4 * np.append(0, end)[first]
         return [all_ids[i:j] for i, j in zip(cut.tolist(), cut[1:].tolist())]
 
+    def _chunk_counts(self, data: np.ndarray, texts: np.ndarray) -> list[int]:
+        """The same for their numbers."""
+        if not len(data):
+            return [0] * len(texts)
+        index, first, found = self._segments(data, texts)
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.diff(np.append(0, np.cumsum(n[index]))[first]).tolist()
+
     def _learn_segments(self, segments: list[str]) -> list[bytes]:
         """Ids of different segments that are not in the newer memory."""
         found = list(map(self.bare.old.get, segments))
@@ -357,5 +403,5 @@ def larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def batch_encoder(path: str) -> Encoder:
-    """The same for `batch`, whose memory is another."""
+    """The same for `batch` and `counts`, whose memory is another."""
     return worker_memory(f"token batches {path}", lambda: Encoder(path))

@@ -286,3 +286,86 @@ def test_token_counts(spark, docs, plain):
         assert r["edited_chars"] == len(r["text"])
     assert out[0]["encoded_chars"] == 0
     assert token_counts.build_trees(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("chunk, few", [(8 << 20, 8 << 10), (8 << 20, 0), (97, 0), (97, 50)])
+def test_counts_are_those_of_whole_texts(plain, monkeypatch, chunk, few):
+    from callytics.llm import tokens
+
+    monkeypatch.setattr(tokens, "CHUNK", chunk)
+    monkeypatch.setattr(tokens, "FEW", few)
+    encode = tokens.Encoder(default_tokenizer())
+    rng = random.Random(6)
+    parts = ["a", "é", "7", ".", "!", "'s", "'", ",", "_", " ", " ", "\n", "\r\n", "\t", "\xa0", "\x1c", " ", "日本", "😀", "word"]
+    parts += ["<|endoftext|>", "<|endof", "text|>", "x" * 70]
+    texts = [t or "" for t in ODD] + ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(1_000)]
+    want = [len(plain(t)) for t in texts]
+    for _ in range(2):  # unknown and known
+        assert list(encode.counts(texts)) == want
+    assert [n for t in texts for n in encode.counts([t])] == want
+    assert list(encode.counts([])) == []
+
+
+def test_trees_and_edits_need_no_call_for_each_document(spark, docs, plain, monkeypatch):
+    from callytics.llm import common, tokens
+
+    class Counted:
+        calls = 0
+
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode(self, *args, **options):
+            Counted.calls += 1
+            return self.tokenizer.encode(*args, **options)
+
+    class Counting(tokens.Encoder):
+        def __init__(self, path):
+            super().__init__(path)
+            self.tokenizer = Counted(self.tokenizer)
+
+    # The functions that Spark's workers run, here in this process.
+    runs = []
+    rows = docs([(1, "")])
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, run, schema, *args, **options: runs.append(run) or df)
+    monkeypatch.setattr(tokens, "Encoder", Counting)
+    monkeypatch.setattr(common, "_memory", {})
+    token_counts.build_trees(rows.select("doc_id", "text"))
+    trees = rows.withColumns({"chars": F.array(F.lit(1)), "tokens": F.array(F.lit(1)), "edits": F.expr(f"cast(null as {token_counts.EDITS})")})
+    token_counts.apply_edits(trees)
+    build, apply = runs
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdeé", k=9))
+    texts = [" ".join(word() for _ in range(70)) for _ in range(200)] + ["", None]
+    batch = tokens.pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    edits = [[{"seq": k, "start": 20 * k, "remove": 5, "insert": f"{word()} {word()}"} for k in range(i % 4)] for i in range(len(texts))]
+    (built,) = build(iter([batch]))
+    columns = [built.column(c) for c in ("doc_id", "text", "chars", "tokens")]
+    (out,) = apply(iter([tokens.pa.RecordBatch.from_arrays([*columns, tokens.pa.array(edits)], ["doc_id", "text", "chars", "tokens", "edits"])]))
+    out = out.to_pylist()
+    assert [r["doc_id"] for r in out] == list(range(len(texts)))
+    for text, some, r in zip(texts, edits, out):
+        new = text or ""
+        for e in some:
+            new = new[: e["start"]] + e["insert"] + new[e["start"] + 5 :]
+        assert (r["text"], r["n_tokens"], r["edited_chars"], r["edited_tokens"]) == (new, len(plain(text)), len(new), len(plain(new)))
+    assert Counted.calls <= 8
+
+
+def test_regions_grow_and_shrink_alike_alone_and_together(plain):
+    encode = encoder(default_tokenizer())
+    rng = random.Random(8)
+    words = ["the ", "of", " ", "\n", "xylo", "été", "!", "don't "]
+    texts = ["", " ", "x" * 300] + ["".join(rng.choices(words, k=n)) for n in (3, 100, 600)]
+    edits = [
+        [(rng.randrange(1_500), rng.choice([0, 5, 300]), "".join(rng.choices(words, k=rng.choice([0, 3, 90])))) for _ in range(n)]
+        for n in (3, 0, 40, 20, 7, 40)
+    ]
+    together = token_counts.edit_all(texts, token_counts.trees_of(texts, encode, 20), edits, encode, 20)
+    for text, some, (new, tree, encoded) in zip(texts, edits, together):
+        alone, n = token_counts.trees_of([text], encode, 20)[0], 0
+        for e in some:
+            text, alone, m = token_counts.edit(text, alone, *e, encode, 20)
+            n += m
+        assert (new, encoded, tree.chars, tree.tokens) == (text, n, alone.chars, alone.tokens)
+        assert (tree.chars[1], tree.tokens[1]) == (len(new), len(plain(new)))
